@@ -5,18 +5,19 @@ multiple of the source's own words. A source's rate (target / words) says how
 often each of its documents is taken: the whole part for certain, the
 fractional part with that probability. The cube method turns these inclusion
 probabilities into 0 or 1 while it keeps two totals of each source in place,
-words and documents: it moves the probabilities of three documents along the
-null space of both constraints until one of them is decided, then lets the
-next document in. Long documents go first, so that what is left is short.
-Documents fly in blocks, many tasks per source; at most two
-of a block stay undecided, those fly together again, and the last two of a
-source are landed by dropping the document constraint, then the word one.
+words and documents: it moves the probabilities of a window of documents
+along the null space of both totals until one of them is decided, then lets
+the next one in, long documents first. Documents fly in blocks, many tasks per
+source; each block leaves a few short ones undecided. Those of a source land
+together, and when too few are left for both totals, the document total is
+dropped, then the word total, so that only a short document is rounded.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from quiresmith.session import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 BLOCK_ROWS = 32_768
+#: Undecided short documents that a block leaves to the landing.
+SPARE = 8
 _EPS = 1e-9
 
 
@@ -69,40 +72,59 @@ def _move(u: list[float], pi: list[float], rng: random.Random) -> None:
         pi[k] = 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
 
 
-def fly(sizes: list[int], chances: list[float], rng: random.Random, land: bool) -> list[float]:
-    """Flight phase over units in the given order; with ``land``, no unit stays undecided."""
-    out = list(chances)
-    held: list[int] = []
+def _direction(x: np.ndarray) -> np.ndarray:
+    """The longest unit's axis, projected onto the null space of word and document totals.
 
-    def settle(u: list[float]) -> None:
+    Where that null space is nil, the document total is dropped, then the word total.
+    """
+    k = int(np.argmax(x))
+    y = x / max(1.0, x[k])
+    n, sy, syy = len(y), y.sum(), y @ y
+    det = n * syy - sy * sy
+    for slope, base in (
+        ((n * y[k] - sy) / det, (syy - sy * y[k]) / det) if det > 1e-9 else (0.0, 1.0 / n),
+        (y[k] / syy, 0.0) if syy else (0.0, 0.0),
+        (0.0, 0.0),
+    ):
+        u = -(slope * y + base)
+        u[k] += 1.0
+        if np.abs(u).max() > 1e-7:
+            break
+    return np.where(np.abs(u) > 1e-12, u, 0.0)
+
+
+def fly(sizes: list[int], chances: list[float], rng: random.Random, leave: int, window: int = 16) -> list[float]:
+    """Decide all but ``leave`` units, keeping the totals of words and documents.
+
+    Units enter a window, the longest first; each step moves the longest of
+    the window along ``_direction``, so that units of like length make up for
+    it, and settles one unit at least. The units left are short.
+    """
+    out = list(chances)
+    queue = sorted((k for k, p in enumerate(out) if 0.0 < p < 1.0), key=lambda k: -sizes[k])
+    held, queue = queue[:window], iter(queue[window:])
+    waiting = True
+    while held and (waiting or len(held) > leave):
         pi = [out[k] for k in held]
-        _move(u, pi, rng)
+        _move(_direction(np.array([sizes[k] for k in held], float)).tolist(), pi, rng)
         for k, p in zip(held, pi, strict=True):
             out[k] = p
-        held[:] = [k for k in held if 0.0 < out[k] < 1.0]
-
-    for k, p in enumerate(chances):
-        if not 0.0 < p < 1.0:
-            continue
-        held.append(k)
-        if len(held) == 3:
-            a, b, c = (float(sizes[i]) for i in held)
-            u = [b - c, c - a, a - b]
-            settle(u if any(u) else [1.0, -1.0, 0.0])
-    while land and held:
-        if len(held) == 2:
-            a, b = (float(sizes[i]) for i in held)
-            settle([b, -a] if a and b else [0.0, 1.0] if a else [1.0, 0.0])
-        else:
-            settle([1.0])
+        held = [k for k in held if 0.0 < out[k] < 1.0]
+        while waiting and len(held) < window:
+            k = next(queue, None)
+            if k is None:
+                waiting = False
+            else:
+                held.append(k)
     return out
 
 
-def _flight(land: bool, seed: int):
+def _flight(last: bool, seed: int):
     def run(key, table: pa.Table) -> pa.Table:
-        order = table.sort_by([("size", "descending"), ("_order", "ascending"), ("doc_id", "ascending")])
-        rng = random.Random(f"{seed}:{':'.join(str(k.as_py()) for k in key)}:{int(land)}")
-        chances = fly(order.column("size").to_pylist(), order.column("_chance").to_pylist(), rng, land)
+        order = table.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        rng = random.Random(f"{seed}:{':'.join(str(k.as_py()) for k in key)}:{int(last)}")
+        sizes, chances = order.column("size").to_pylist(), order.column("_chance").to_pylist()
+        chances = fly(sizes, chances, rng, 0 if last else SPARE)
         return order.set_column(order.schema.get_field_index("_chance"), "_chance", pa.array(chances, pa.float64()))
 
     return run
@@ -137,8 +159,8 @@ def mix(
     keep = ["doc_id", "source", "size", "source_size", "target", "source_rank", "_whole", "_chance", "_order"]
     kind = rows.select(*keep).schema
 
-    def flown(df: DataFrame, blocks: Column, land: bool = False) -> DataFrame:
-        flight = _flight(land, seed)
+    def flown(df: DataFrame, blocks: Column, last: bool = False) -> DataFrame:
+        flight = _flight(last, seed)
         dealt = df.select(*keep, blocks.alias("_block")).groupBy("source_rank", "_block")
         return dealt.applyInArrow(lambda key, t: flight(key, t.drop_columns("_block")), kind)
 
@@ -148,13 +170,13 @@ def mix(
     state = materialize(flown(rows, block(1, F.ceil(F.col("source_docs") / block_rows))), "mix-flight")
     open_ = (F.col("_chance") > 0) & (F.col("_chance") < 1)
     done, left = state.where(~open_), state.where(open_)
-    # A block leaves two units at most, so each level shrinks a source by half of block_rows.
+    # A block leaves SPARE units at most, so each level shrinks a large source by block_rows / SPARE.
     most = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     level = 1
-    while (most := 2 * -(-most // block_rows)) > block_rows:
+    while (most := SPARE * -(-most // block_rows)) > block_rows:
         level += 1
         state = materialize(flown(left, block(level, F.lit(-(-most // block_rows)))), "mix-flight")
         done, left = done.unionByName(state.where(~open_)), state.where(open_)
-    landed = flown(left, F.lit(0), land=True)
+    landed = flown(left, F.lit(0), last=True)
     copies = (F.col("_whole") + F.col("_chance").cast("int")).alias("copies")
     return done.unionByName(landed).select("doc_id", "source", "size", "source_size", "target", copies)
