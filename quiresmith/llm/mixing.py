@@ -120,7 +120,7 @@ def fly(sizes: list[int], chances: list[float], rng: random.Random, leave: int,
 
 
 def _flight(last: bool, seed: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = table.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
         rng = random.Random(f"{seed}:{':'.join(str(k.as_py()) for k in key)}:{int(last)}")
         sizes, chances = order.column("size").to_pylist(), order.column("_chance").to_pylist()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiresmith.llm import bpe, mixing, simhash, warc
+from quiresmith.llm import bpe, mixing, simhash, topk, vectors, warc
 from quiresmith.session import load
 
 
@@ -51,6 +51,32 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path, pattern))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for every vector whose id is divisible by 100."""
+    asked = F.col("vec_id") % 100 == 0
+    return topk.top_k(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), asked, k=10)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, within its label."""
+    return vectors.near_duplicates(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
@@ -61,9 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_round_trip": OP2_SQL,
+    "op5_exact_top_k": OP5_SQL,
 }
