@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiresmith.llm import bpe, mixing, simhash, topk, vectors, warc
+from quiresmith.llm import bpe, mixing, quality, simhash, topk, toxicity, vectors, warc
 from quiresmith.session import load
 
 
@@ -51,6 +51,18 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path, pattern))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs, labels = load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality.verdicts(docs, labels)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.verdicts(docs, labels)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all vectors for every vector whose id is divisible by 100."""
     asked = F.col("vec_id") % 100 == 0
@@ -87,7 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_quality": op4_quality,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_toxicity": op6_toxicity,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
