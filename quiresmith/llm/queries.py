@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiresmith.llm import bpe, mixing, quality, simhash, topk, toxicity, vectors, warc
+from quiresmith.llm import bpe, lm, mixing, quality, simhash, topk, toxicity, vectors, warc
 from quiresmith.session import load
 
 
@@ -84,6 +84,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and maximum-entropy log probability of every document."""
+    return lm.score(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector, within its label."""
     return vectors.near_duplicates(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scores": op7_lm_scores,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
