@@ -54,3 +54,13 @@ def tiled(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFram
         .withColumn("tile_j", F.greatest("part", "_other"))
         .drop("_parts", "_other")
     )
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with ``__id`` and ``__hash``, which tell documents apart without their texts.
+
+    A row without an id takes one from its text, behind any id in use.
+    """
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    without = digest.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), without), "__hash": digest})

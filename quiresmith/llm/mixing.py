@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiresmith.llm.common import word_count
+from quiresmith.llm.common import with_keys, word_count
 from quiresmith.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 2048
 #: Undecided short documents that a block leaves to the landing.
 SPARE = 8
 _EPS = 1e-9
@@ -136,6 +136,7 @@ def mix(
     max_repeats: int = MAX_REPEATS,
     block_rows: int = BLOCK_ROWS,
     seed: int = 17,
+    keys: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """Mix docs(doc_id, text, source): doc_id, source, size, source_size, target, copies.
 
@@ -143,9 +144,10 @@ def mix(
     takes it. Draws hang on doc_id, size and seed alone, so reruns agree
     whatever the partitioning. A null text has size 0; a null source is a
     source of its own, the last; null ids and repeated rows are documents like
-    any other; an empty table gives an empty mix.
+    any other; an empty table gives an empty mix. ``keys`` are the columns
+    that the mix keeps, doc_id first.
     """
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = materialize(docs.select(*keys, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     plan = source_targets(sizes, weights, max_repeats)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
@@ -156,7 +158,7 @@ def mix(
         .withColumn("_chance", F.col("_rate") - F.col("_whole"))
         .withColumn("_order", F.xxhash64("doc_id", F.lit(seed)))
     )
-    keep = ["doc_id", "source", "size", "source_size", "target", "source_rank", "_whole", "_chance", "_order"]
+    keep = [*keys, "source", "size", "source_size", "target", "source_rank", "_whole", "_chance", "_order"]
     kind = rows.select(*keep).schema
 
     def flown(df: DataFrame, blocks: Column, last: bool = False) -> DataFrame:
@@ -179,4 +181,16 @@ def mix(
         done, left = done.unionByName(state.where(~open_)), state.where(open_)
     landed = flown(left, F.lit(0), last=True)
     copies = (F.col("_whole") + F.col("_chance").cast("int")).alias("copies")
-    return done.unionByName(landed).select("doc_id", "source", "size", "source_size", "target", copies)
+    return done.unionByName(landed).select(*keys, "source", "size", "source_size", "target", copies)
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text, source, ...) with each document as often as the mix takes it; those not taken go."""
+    keyed = with_keys(docs)
+    taken = mix(keyed.select(F.col("__id").alias("doc_id"), "__hash", "text", "source"), keys=("doc_id", "__hash"), **options)
+    # Rows that share id, text and source are one document to the join.
+    own = F.xxhash64("source").alias("__from")
+    totals = taken.groupBy(F.col("doc_id").alias("__id"), "__hash", own).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    once = keyed.withColumn("__from", F.xxhash64("source")).dropDuplicates(["__id", "__hash", "__from"])
+    found = once.join(totals, ["__id", "__hash", "__from"])
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

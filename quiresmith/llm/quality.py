@@ -179,25 +179,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int
     return pickle.loads(found[0]) if found else None  # noqa: S301 - written by the task above
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score for docs(doc_id, text), a row each; without a model every score is 1.
+def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
+    """docs(text, ...) with a ``column`` of scores added; without a model every score is 1.
 
     Whole texts are scored; null and empty ones have the score of the bare
-    bias. Null ids and repeated rows stay; an empty table gives no rows.
+    bias. Nulls in other columns and repeated rows stay; an empty table gives
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in rows_of(batches):
-            texts = batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             scores = own.score(texts) if own else np.ones(len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    scored = score(docs, fit(docs, labels))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quiresmith.llm.common import rows_of, tiled
+from quiresmith.llm.common import rows_of, tiled, with_keys
 from quiresmith.llm.graph import components, forest
 from quiresmith.session import materialize
 
@@ -43,15 +44,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) for docs(doc_id, text), one row each; a null text counts as empty."""
+    """docs(..., text) with the text replaced by its fingerprint fp (long); a null text counts as empty."""
+    keys = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([*map(batch.column, keys), pa.array(fps, pa.int64())], [*keys, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keys), T.StructField("fp", T.LongType())]))
 
 
 def _above(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -161,7 +162,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, lanes
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for docs(doc_id, text), one row per document.
+    """doc_id, fp, component_id for docs(doc_id, text), one row per document; further columns but the text stay.
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is
     the smallest doc_id reachable over links, the document's own included. A
@@ -176,4 +177,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     named = named.withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = named.join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(by_fp, "fp").select(*marked.columns, "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs(doc_id, text, ...) with one document of each component, the one of the smallest id.
+
+    Rows without an id stand behind all others. Rows that share id and text
+    are one document.
+    """
+    keyed = with_keys(docs)
+    marked = near_duplicates(keyed.select(F.col("__id").alias("doc_id"), "text", "__hash"), shingle, radius)
+    kept = marked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").alias("__id"), "__hash")).alias("k")).select("k.*")
+    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
