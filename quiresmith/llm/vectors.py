@@ -26,10 +26,10 @@ from quiresmith.llm.graph import components, forest
 from quiresmith.session import materialize
 
 COSINE = 0.98
-BLOCKS = 8
+BLOCKS = 4
 #: Vectors of a label that one cell of the grid may hold before another axis is cut.
 CELL_ROWS = 2048
-CHUNK = 1024
+CHUNK = 2048
 _LATTICE = 1 << 20
 #: What rounding to the lattice can add to a squared distance of this size.
 _SLACK = 1e-5
@@ -105,9 +105,10 @@ def _scaled(v: np.ndarray) -> np.ndarray:
     return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of lattice points, exact."""
-    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T)
+def _lifted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two forms of lattice points whose products are squared distances, exact in any order of summation."""
+    square, one = (points * points).sum(axis=1, keepdims=True), np.ones((len(points), 1))
+    return np.hstack((points, square, one)), np.hstack((-2 * points, one, square))
 
 
 def _pairs(cosine: float, blocks: int):
@@ -115,44 +116,47 @@ def _pairs(cosine: float, blocks: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block, tile_i, tile_j = (key[k].as_py() for k in (1, 3, 4))
+        table = table.sort_by("rep")
         rep, n, home, part = (table.column(c).to_numpy() for c in ("rep", "n", "home", "part"))
-        vectors = table.column("embedding").to_pylist()
-        dim = len(vectors[0])
-        unit = _scaled(np.array(vectors, float))
+        flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        unit = _scaled(flat.reshape(len(rep), -1))
+        dim = unit.shape[1]
         norm = np.sqrt((unit * unit).sum(axis=1))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, dim).astype(float)
         splits = _splits(dim, blocks)
         budget = _budget(cosine, splits, dim)
+        lifted = [_lifted(points[:, a:b]) for a, b in splits[: block + 1]]
         count = np.zeros(len(rep), np.int64)
         left, right = [], []
-        across = tile_i != tile_j
+
+        def dense(i: np.ndarray, j: np.ndarray, rows: np.ndarray, at: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Products of the pairs' rows: one matrix product where they are many, else one by one."""
+            if 16 * len(i) > len(rows) * (len(rep) - at):
+                return (a[rows] @ b[at:].T)[i, j - at]
+            cuts = range(0, len(i), 1 << 15)
+            return np.concatenate([np.einsum("ij,ij->i", a[rows[i[c : c + (1 << 15)]]], b[j[c : c + (1 << 15)]]) for c in cuts])
+
         for at in range(0, len(rep), _SLAB):
-            rows = np.arange(at, min(len(rep), at + _SLAB))
-            rows = rows[home[rows]]
-            if not len(rows):
-                continue
-            # A pair counts once: at the home of its smaller rep, in the tile of both parts.
-            near = rep[rows, None] < rep[None]
-            if across:
-                near &= part[rows, None] != part[None]
-            lo, hi = splits[block]
-            near &= _distances(points[rows, lo:hi], points[:, lo:hi]) <= budget[block]
-            some = near.any(axis=1)
-            if not some.any():
+            rows = at + np.flatnonzero(home[at : at + _SLAB])
+            # A pair counts once: at the home of its smaller rep, in the tile of both parts, and in its first block.
+            i, j = np.nonzero(lifted[block][0][rows] @ lifted[block][1][at:].T <= budget[block])
+            j = j + at
+            keep = rep[rows[i]] < rep[j]
+            if tile_i != tile_j:
+                keep &= part[rows[i]] != part[j]
+            i, j = i[keep], j[keep]
+            for k in range(block):
+                if len(i):
+                    keep = dense(i, j, rows, at, *lifted[k]) > budget[k]
+                    i, j = i[keep], j[keep]
+            if not len(i):
                 continue
-            rows, near = rows[some], near[some]
-            near &= (unit[rows] @ unit.T) / (norm[rows, None] * norm[None]) >= cosine
-            for (a, b), share in list(zip(splits, budget))[:block]:
-                if not near.any():
-                    break
-                near &= _distances(points[rows, a:b], points[:, a:b]) > share
-            i, j = np.nonzero(near)
-            np.add.at(count, rows[i], n[j])
-            np.add.at(count, j, n[rows[i]])
-            left.append(rows[i].astype(np.int32))
+            keep = dense(i, j, rows, at, unit, unit) / (norm[rows[i]] * norm[j]) >= cosine
+            i, j = rows[i[keep]], j[keep]
+            count += np.bincount(i, n[j], len(rep)).astype(np.int64) + np.bincount(j, n[i], len(rep)).astype(np.int64)
+            left.append(i.astype(np.int32))
             right.append(j.astype(np.int32))
         i, j = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (left, right))
-        # The forest's root is a position; links go between reps.
         child, root = forest(len(rep), i, j)
         linked = np.flatnonzero(count)
         return pa.table(
@@ -183,8 +187,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     # -0.0 and 0.0 are one value to grouping and to the cosine.
     reps = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = materialize(reps.withColumn("dim", F.size("embedding")), "vector-reps")
-    # A cut axis leaves about three of ten vectors in reach, so larger labels have more axes cut.
-    per_label = reps.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.log(F.count(F.lit(1)) / cell_rows) / 1.1)).cast("int").alias("axes"))
+    # A cut axis leaves less than half of the vectors in reach, so larger labels have more axes cut.
+    per_label = reps.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.log(F.count(F.lit(1)) / cell_rows) / 0.8)).cast("int").alias("axes"))
     kept = ["rep", "n", "label", "dim", "embedding"]
     celled = reps.join(per_label, "label").select(*kept, "axes")
     kind = f"{', '.join(f'{c} {reps.schema[c].dataType.simpleString()}' for c in kept)}, point binary, cells array<struct<block: int, cell: long, home: boolean>>"
