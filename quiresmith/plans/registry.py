@@ -1,10 +1,577 @@
-"""Registered queries of the corpus operators, and the SQL they are held against."""
+"""Registered queries of the corpus operators over the driver's tables, and the SQL they are held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quiresmith.functions import names, numbers, strings
+from quiresmith.operators import aggregates, chains, layout, raster, relations, sequences, upsert
+from quiresmith.plans import corpus
+from quiresmith.session import load
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL if it has one."""
+
+    def keep(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[run.__name__] = sql
+        return run
+
+    return keep
+
+
+FAMILY_SQL = """
+WITH items AS ({items}),
+sizes AS (SELECT family, paper, count(DISTINCT number) AS questions FROM items GROUP BY 1, 2),
+tally AS (SELECT family, questions, count(*) AS hits FROM sizes GROUP BY 1, 2),
+ranked AS (SELECT *, sum(hits) OVER (PARTITION BY family) AS papers,
+                  row_number() OVER (PARTITION BY family ORDER BY hits DESC, questions) AS rn FROM tally)
+SELECT family, questions, round(hits::DOUBLE / papers::DOUBLE, 3) AS share, papers::BIGINT AS papers,
+       (hits::DOUBLE / papers::DOUBLE >= 0.9 AND papers >= 12) AS certain
+FROM ranked WHERE rn = 1
+"""
+
+
+@query(FAMILY_SQL.format(items="SELECT o_orderpriority AS family, o_orderkey AS paper, l_linenumber AS number FROM lineitem JOIN orders ON l_orderkey = o_orderkey"))
+def family_shape(spark, d):
+    """Modal item count of each family, its share and whether it is certain."""
+    joined = load(spark, d, "lineitem", "l_orderkey", "l_linenumber").join(load(spark, d, "orders", "o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = joined.select(F.col("o_orderpriority").alias("family"), F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("number"))
+    return aggregates.family_shape(items).drop("seen")
+
+
+@query(FAMILY_SQL.format(items="SELECT o_orderpriority || '/' || o_orderstatus AS family, o_orderkey AS paper, l_linenumber AS number FROM lineitem JOIN orders ON l_orderkey = o_orderkey"))
+def family_shape_fine(spark, d):
+    """The same by a finer family."""
+    joined = load(spark, d, "lineitem", "l_orderkey", "l_linenumber").join(load(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = joined.select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("family"), F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("number"))
+    return aggregates.family_shape(items).drop("seen")
+
+
+@query("SELECT l_orderkey, list_sort(list(l_linenumber)) = list_transform(range(1, count(*) + 1), lambda x: x::INTEGER) AS complete FROM lineitem GROUP BY 1")
+def sequence_complete(spark, d):
+    """Whether an order's line numbers are exactly 1 to n."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber")
+    return lines.groupBy("l_orderkey").agg(sequences.is_complete(F.array_sort(F.collect_list("l_linenumber"))).alias("complete"))
+
+
+def _events(spark, d):
+    return load(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+
+
+ISLANDS = """
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events)
+"""
+
+
+@query(ISLANDS + "SELECT user_id, event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM a GROUP BY user_id, event_type, g")
+def runs_islands(spark, d):
+    """Runs of equal events per user."""
+    found = sequences.runs(_events(spark, d), ["user_id"], ["ts", "event_id"], "event_type")
+    return found.groupBy("user_id", "event_type", "run").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count(F.lit(1)).alias("n")).drop("run")
+
+
+@query("""
+WITH b AS (SELECT *, event_type <> 'click' AS blank FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, blank ORDER BY ts, event_id) AS g FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id, blank, g ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id, blank, g) AS n FROM r)
+SELECT event_id, NOT (blank AND n > 3 AND k > 3 // 2 AND k <= n - (3 - 3 // 2)) AS keep FROM p
+""")
+def gap_keep_mask(spark, d):
+    """Rows that stay when long blank runs are collapsed."""
+    marked = _events(spark, d).withColumn("blank", F.col("event_type") != "click")
+    return sequences.keep_in_gaps(marked, ["user_id"], ["ts", "event_id"], "blank", 3).select("event_id", "keep")
+
+
+@query("SELECT event_id, max((event_type = 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS near FROM events")
+def dilate(spark, d):
+    """Events near an error."""
+    marked = _events(spark, d).withColumn("flag", F.col("event_type") == "error")
+    return sequences.dilate(marked, ["user_id"], ["ts", "event_id"], "flag", 2, "near").select("event_id", "near")
+
+
+@query("SELECT doc_id, coalesce(sum(n_chars + 10) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM documents")
+def running_offset(spark, d):
+    """Where documents start when stacked with gaps."""
+    return sequences.running_offset(load(spark, d, "documents", "doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 10).select("doc_id", "offset")
+
+
+@query("SELECT event_id, greatest(sum((event_type <> 'view')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1, 0)::BIGINT AS new_at FROM events")
+def remap_cumsum(spark, d):
+    """Places of events among the kept ones."""
+    marked = _events(spark, d).withColumn("keep", F.col("event_type") != "view")
+    return sequences.remap(marked, ["user_id"], ["ts", "event_id"], "keep").select("event_id", "new_at")
+
+
+@query("SELECT o_orderkey, coalesce(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), TIMESTAMP '2100-01-01') AS stop FROM orders")
+def lead_intervals(spark, d):
+    """Where each order's interval ends."""
+    orders = load(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    return sequences.until_next(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderdate", last=F.lit("2100-01-01").cast(orders.schema["o_orderdate"].dataType)).select("o_orderkey", "stop")
+
+
+@query("""
+WITH p AS (SELECT event_id AS purchase_id, user_id, ts AS start, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stop FROM events WHERE event_type = 'purchase')
+SELECT e.event_id, p.purchase_id FROM events e JOIN p ON e.user_id = p.user_id AND e.ts >= p.start AND (p.stop IS NULL OR e.ts < p.stop)
+""")
+def interval_assign(spark, d):
+    """Events in their user's purchase intervals."""
+    events = _events(spark, d)
+    bought = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("start"))
+    bounds = sequences.until_next(bought, ["user_id"], ["start", "purchase_id"], "start")
+    return relations.in_interval(events, bounds, ["user_id"], events["ts"], bounds["start"], bounds["stop"]).select("event_id", "purchase_id")
+
+
+@query("""
+WITH e AS (SELECT *, epoch_us(ts) // 1000000 AS sec FROM events), p AS (SELECT event_id, user_id, sec FROM e WHERE event_type = 'purchase'),
+c AS (SELECT user_id, sec, CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS priority FROM e),
+j AS (SELECT p.event_id, c.priority, c.sec AS found_at, row_number() OVER (PARTITION BY p.event_id ORDER BY c.priority, c.sec DESC) AS rn
+      FROM p JOIN c ON p.user_id = c.user_id AND c.priority IS NOT NULL AND c.sec < p.sec AND c.sec > p.sec - 43200)
+SELECT p.event_id, j.priority::INTEGER AS priority, j.found_at FROM p LEFT JOIN j ON p.event_id = j.event_id AND j.rn = 1
+""")
+def asof_backward_tolerance(spark, d):
+    """The best event within twelve hours before each purchase: signup, else click, else view, the nearest of its kind."""
+    events = _events(spark, d).withColumn("sec", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    marks = events.where("event_type = 'purchase'").select("event_id", "user_id", F.col("sec").alias("at"))
+    kinds = [F.col("event_type") == k for k in ("signup", "click", "view")]
+    found = relations.as_of(marks, events.select("user_id", "sec", "event_type"), ["user_id"], "at", "sec", 43200, kinds, ["event_id"])
+    return found.select("event_id", "priority", "found_at")
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def slug(spark, d):
+    """Slugs of whole texts."""
+    return load(spark, d, "documents", "doc_id", "text").select("doc_id", strings.slug(F.col("text")).alias("slug"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, list_filter(list_transform(string_split(replace(p_name || ' ' || upper(p_name), ' ', ','), ','), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS tags FROM part)
+SELECT p_partkey, array_to_string(list_filter(tags, lambda x, i: list_position(list_transform(tags, lambda y: lower(y)), lower(x)) = i), ', ') AS tags FROM t
+""")
+def tag_tidy(spark, d):
+    """Tags that differ in case count once."""
+    raw = F.replace(F.concat_ws(" ", "p_name", F.upper("p_name")), F.lit(" "), F.lit(","))
+    return load(spark, d, "part", "p_partkey", "p_name").select("p_partkey", strings.tidy_tags(raw).alias("tags"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'Q' || l_quantity::INTEGER || '(i)' WHEN 1 THEN '.' || l_quantity::INTEGER
+                  WHEN 2 THEN l_quantity::INTEGER || ' The' ELSE ' ' || l_quantity::INTEGER || '. ' END AS label FROM lineitem),
+b AS (SELECT *, regexp_extract(regexp_replace(trim(label), '^([Qq.,])\\s*([0-9])', '\\2'), '^([0-9]{1,2})\\s*(?:\\(.*)?\\.?$', 1) AS n FROM t)
+SELECT l_orderkey, l_linenumber, label, CASE WHEN try_cast(n AS INTEGER) BETWEEN 1 AND 40 THEN try_cast(n AS INTEGER) END AS number FROM b
+""")
+def label_number(spark, d):
+    """Numbers that labels name."""
+    n = F.col("l_quantity").cast("int").cast("string")
+    kind = F.col("l_linenumber") % 4
+    label = F.when(kind == 0, F.concat(F.lit("Q"), n, F.lit("(i)"))).when(kind == 1, F.concat(F.lit("."), n)).when(kind == 2, F.concat(n, F.lit(" The"))).otherwise(F.concat(F.lit(" "), n, F.lit(". ")))
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    return lines.select("l_orderkey", "l_linenumber", label.alias("label"), strings.label_number(label).alias("number"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, string_agg('[' || CASE WHEN l_linenumber % 2 = 0 THEN 'Total: ' ELSE '' END || l_linenumber || ']', ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM lineitem GROUP BY 1)
+SELECT l_orderkey, len(regexp_extract_all(text, '\\[\\s*(?:Total:?\\s*)?[0-9]{1,2}\\s*\\]'))::INTEGER AS n, array_to_string(regexp_extract_all(text, '\\[\\s*(?:Total:?\\s*)?[0-9]{1,2}\\s*\\]'), '|') AS marks FROM t
+""")
+def mark_allocations(spark, d):
+    """Mark allocations in a text."""
+    one = F.concat(F.lit("["), F.when(F.col("l_linenumber") % 2 == 0, "Total: ").otherwise(""), F.col("l_linenumber").cast("string"), F.lit("]"))
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    text = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    marks = strings.mark_allocations(F.col("text"))
+    return text.select("l_orderkey", F.size(marks).alias("n"), F.array_join(marks, "|").alias("marks"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, repeat(chr(1), (n_chars % 40)::INTEGER) || repeat('a', (n_chars % 7)::INTEGER) AS strip FROM documents),
+c AS (SELECT doc_id, length(strip) AS visible, length(strip) - length(replace(strip, chr(1), '')) AS odd, length(replace(strip, chr(1), '')) AS readable FROM t)
+SELECT doc_id, visible >= 6 AND odd > 0.3 * visible AND odd >= 8 AND odd > readable AS code_strip FROM c
+""")
+def control_ratio(spark, d):
+    """Strips of control codes."""
+    strip = F.concat(F.repeat(F.lit("\x01"), (F.col("n_chars") % 40).cast("int")), F.repeat(F.lit("a"), (F.col("n_chars") % 7).cast("int")))
+    return load(spark, d, "documents", "doc_id", "n_chars").select("doc_id", strings.is_code_strip(strip).alias("code_strip"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (l_linestatus = 'F') AS f, count(DISTINCT l_linenumber) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1)
+SELECT l_orderkey, f AS own, o AS theirs, f <> o AS mismatch FROM s WHERE f > 0 AND o > 0
+""")
+def pair_selfjoin(spark, d):
+    """Both sides of an order, and whether their counts differ."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linestatus", "l_linenumber")
+    sides = lines.groupBy("l_orderkey", "l_linestatus").agg(F.count_distinct("l_linenumber").alias("n"))
+    own = sides.where("l_linestatus = 'F'").select("l_orderkey", F.col("n").alias("own"))
+    theirs = sides.where("l_linestatus = 'O'").select("l_orderkey", F.col("n").alias("theirs"))
+    return own.join(theirs, "l_orderkey").select("l_orderkey", "own", "theirs", (F.col("own") != F.col("theirs")).alias("mismatch"))
+
+
+@query("""
+WITH n AS (SELECT o_orderkey, lpad((9700 + o_orderkey % 5)::VARCHAR, 4, '0') || '_s' || lpad((o_orderkey % 20)::VARCHAR, 2, '0') || CASE WHEN o_orderstatus = 'F' THEN '_qp_' ELSE '_MS_' END || (o_custkey % 60)::VARCHAR AS name FROM orders),
+d AS (SELECT lower(regexp_extract(name, '_(qp|MS)_', 1)) AS side, regexp_extract(name, '^([0-9]{4})', 1) AS syllabus, regexp_extract(name, '_(s[0-9]{2})_', 1) AS session, regexp_extract(name, '_([0-9]+)$', 1) AS variant FROM n)
+SELECT syllabus, session, variant, count(DISTINCT side) = 2 AS complete FROM d GROUP BY 1, 2, 3
+""")
+def pair_incomplete(spark, d):
+    """Documents whose two sides are both there."""
+    key = F.col("o_orderkey")
+    name = F.concat((key % 5 + 9700).cast("string"), F.lit("_s"), F.lpad((key % 20).cast("string"), 2, "0"), F.when(F.col("o_orderstatus") == "F", "_qp_").otherwise("_MS_"), (F.col("o_custkey") % 60).cast("string"))
+    return corpus.paired(load(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus").select(name.alias("name")))
+
+
+@query("SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS no_output FROM orders")
+def no_output_flag(spark, d):
+    """Orders without lines."""
+    there = load(spark, d, "lineitem", F.col("l_orderkey").alias("o_orderkey"))
+    return relations.flagged(load(spark, d, "orders", "o_orderkey"), there, ["o_orderkey"], "no_output")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def todo_anti(spark, d):
+    """Documents without a label."""
+    return relations.without(load(spark, d, "documents", "doc_id"), load(spark, d, "labels", "doc_id"), "doc_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_exists(spark, d):
+    """Documents with a label."""
+    return relations.only(load(spark, d, "documents", "doc_id"), load(spark, d, "labels", "doc_id"), "doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedupe_first(spark, d):
+    """The first document of each text."""
+    keyed = load(spark, d, "documents", "doc_id", F.sha2("text", 256).alias("digest"))
+    return relations.first_by(keyed, ["digest"], "doc_id").select("doc_id")
+
+
+@query("SELECT max(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedupe_last(spark, d):
+    """The last document of each text."""
+    keyed = load(spark, d, "documents", "doc_id", F.sha2("text", 256).alias("digest"))
+    return relations.last_by(keyed, ["digest"], "doc_id").select("doc_id")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_suppkey, l_partkey, 'kept' AS change FROM (SELECT * FROM b INTERSECT SELECT * FROM a)
+UNION ALL SELECT l_suppkey, l_partkey, 'new' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT l_suppkey, l_partkey, 'gone' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+""")
+def set_compare(spark, d):
+    """Pairs kept, new and gone between two sets."""
+    lines = load(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_returnflag")
+    return relations.set_change(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), "l_suppkey", "l_partkey")
+
+
+FAULTS = {"shredded": "n_chars < 400", "gap": "n_chars % 3 = 0", "clipped": "lang = 'de'", "furniture": "contains(text, '\n')", "stale": "doc_id % 7 = 0"}
+
+
+def _faults(df: DataFrame) -> DataFrame:
+    faults = F.array().cast("array<string>")
+    for fault, when in FAULTS.items():
+        faults = relations.with_fault(faults, fault, F.expr(when))
+    return df.withColumn("faults", faults)
+
+
+FAULTS_SQL = "WITH f AS (SELECT doc_id, source, n_chars, list_sort(list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{fault}' END" for fault, when in FAULTS.items()) + "], lambda x: x IS NOT NULL)) AS faults FROM documents) "
+
+
+@query(FAULTS_SQL + "SELECT fault, count(*) AS n FROM (SELECT unnest(faults) AS fault FROM f) WHERE fault NOT IN ('shredded', 'mixed-rotation') GROUP BY 1")
+def fault_histogram(spark, d):
+    """Faults by number, without harmless ones."""
+    return aggregates.fault_counts(_faults(load(spark, d, "documents", "doc_id", "n_chars", "lang", "text")), relations.HARMLESS)
+
+
+@query(FAULTS_SQL + """SELECT doc_id, len(list_filter(faults, lambda x: x NOT IN ('shredded', 'mixed-rotation'))) > 0 AS open,
+  list_has_any(list_filter(faults, lambda x: x NOT IN ('shredded', 'mixed-rotation')), ['pair-mismatch', 'missing-part', 'gap', 'foreign-label', 'no-questions', 'no-output']) AS fixable FROM f""")
+def fault_gates(spark, d):
+    """Whether faults are open, and whether reading again may mend them."""
+    rows = _faults(load(spark, d, "documents", "doc_id", "n_chars", "lang", "text"))
+    return rows.select("doc_id", relations.fault_gate(F.col("faults")).alias("open"), relations.fixable(F.col("faults")).alias("fixable"))
+
+
+@query("""
+WITH e AS (SELECT source, n_chars / 100.0 AS x FROM documents), r AS (SELECT source, round_even(x, 0) AS edge, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT s.source, coalesce(max(edge) FILTER (n >= 2), 0)::DOUBLE AS head, coalesce(min(edge) FILTER (n >= 2), 0)::DOUBLE AS foot FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN r USING (source) GROUP BY 1
+""")
+def consensus_having(spark, d):
+    """Rounded edges that several pages agree on."""
+    x = F.col("n_chars") / 100.0
+    return aggregates.consensus_edges(load(spark, d, "documents", "source", "n_chars").select("source", x.alias("head"), x.alias("foot")), ["source"])
+
+
+@query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.75) AS p75, quantile_cont(l_extendedprice, 0.98) AS p98 FROM lineitem GROUP BY 1")
+def percentiles(spark, d):
+    """Interpolated percentiles."""
+    return aggregates.percentiles(load(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p75": 0.75, "p98": 0.98})
+
+
+@query("SELECT o_custkey, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS middle FROM orders GROUP BY 1")
+def upper_median(spark, d):
+    """The upper middle value of each customer's orders."""
+    return load(spark, d, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(aggregates.upper_median(F.collect_list("o_totalprice")).alias("middle"))
+
+
+@query("SELECT CASE WHEN n_chars <= 1200 THEN 0.4 WHEN n_chars <= 3000 THEN 0.45 WHEN n_chars <= 6000 THEN 0.5 WHEN n_chars <= 12000 THEN 0.55 ELSE 0.6 END::DOUBLE AS band, count(*) AS n FROM documents GROUP BY 1")
+def size_band(spark, d):
+    """Pictures by size band."""
+    return aggregates.size_histogram(load(spark, d, "documents", "n_chars"), "n_chars")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders)
+SELECT o_orderkey, o_orderpriority FROM r WHERE rn <= 3 ORDER BY rn, o_orderkey LIMIT 10
+""")
+def stratified_spread(spark, d):
+    """Up to three orders of each priority, in rounds, ten in all."""
+    return aggregates.stratified(load(spark, d, "orders", "o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], 3, 10)
+
+
+PAPERS = """
+WITH named AS (SELECT l_orderkey, (9700 + (l_orderkey // 2) % 3)::VARCHAR || '_s' || lpad(((l_orderkey // 6) % 100)::VARCHAR, 2, '0') || CASE WHEN l_orderkey % 2 = 0 THEN '_qp_' ELSE '_ms_' END || ((l_orderkey // 600) % 1000)::VARCHAR AS name, l_linenumber, l_returnflag, l_tax FROM lineitem),
+rows0 AS (SELECT name, list_sort(list(l_linenumber)) AS own, count(*) AS pictures,
+   list_sort(list_filter([CASE WHEN count_if(l_returnflag = 'R') > 3 THEN 'clipped' END, CASE WHEN count_if(l_returnflag = 'A') > 1 THEN 'gap' END, CASE WHEN max(l_tax) > 0.07 THEN 'shredded' END], lambda x: x IS NOT NULL)) AS faults FROM named GROUP BY name),
+mated AS (SELECT *, CASE WHEN contains(name, '_qp_') THEN replace(name, '_qp_', '_ms_') ELSE replace(name, '_ms_', '_qp_') END AS mate FROM rows0)
+"""
+
+
+def _papers(spark, d):
+    """Audit rows and artifacts made of orders: an order is a document side, a line an item."""
+    key = F.col("l_orderkey")
+    session = F.lpad((F.floor(key / 6) % 100).cast("string"), 2, "0")
+    name = F.concat((F.floor(key / 2) % 3 + 9700).cast("string"), F.lit("_s"), session, F.when(key % 2 == 0, "_qp_").otherwise("_ms_"), (F.floor(key / 600) % 1000).cast("string"))
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_tax").withColumn("name", name)
+    faults = F.array().cast("array<string>")
+    for fault, when in (("clipped", F.col("_r") > 3), ("gap", F.col("_a") > 1), ("shredded", F.col("_t") > 0.07)):
+        faults = relations.with_fault(faults, fault, when)
+    rows = lines.groupBy("name").agg(F.count_if(F.col("l_returnflag") == "R").alias("_r"), F.count_if(F.col("l_returnflag") == "A").alias("_a"), F.max("l_tax").alias("_t"), F.array_sort(F.collect_list("l_linenumber")).alias("questions"))
+    rows = rows.select("name", "questions", faults.alias("faults"), F.lit(0).alias("ord"))
+    return rows, lines.select(F.col("name").alias("paper"), F.col("l_linenumber").alias("number"))
+
+
+@query(PAPERS + """,
+judged AS (SELECT m.*, p.own AS theirs, NOT list_has_any(m.faults, ['clipped', 'furniture'])
+     AND ((m.own = list_transform(range(1, len(m.own) + 1), lambda x: x::INTEGER) AND coalesce(m.own = p.own, false)) OR len(list_filter(m.faults, lambda x: x <> 'shredded')) = 0) AS sound
+   FROM mated m LEFT JOIN rows0 p ON m.mate = p.name)
+SELECT a.name, CASE WHEN a.sound AND coalesce(b.sound, false) THEN 'clean' ELSE 'review' END AS verdict,
+  CASE WHEN NOT a.sound AND len(list_filter(a.faults, lambda x: x <> 'shredded')) > 0 THEN array_to_string(list_filter(a.faults, lambda x: x <> 'shredded'), ',')
+       WHEN NOT a.sound THEN 'pictures do not pair' WHEN NOT coalesce(b.sound, false) THEN 'no usable partner' ELSE '' END AS reasons, a.pictures
+FROM judged a LEFT JOIN judged b ON a.mate = b.name
+""")
+def classify_clean(spark, d):
+    """Verdict on every document with pictures."""
+    rows, artifacts = _papers(spark, d)
+    return corpus.classify(rows, artifacts).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(PAPERS + """,
+f AS (SELECT regexp_extract(name, '^([0-9]{4})', 1) || '_' || regexp_extract(name, '_([0-9])[0-9]*$', 1) AS family, len(own) AS n FROM rows0),
+shape AS (SELECT family, n FROM (SELECT family, n, row_number() OVER (PARTITION BY family ORDER BY count(*) DESC, n) AS rn, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY family) AS share FROM f GROUP BY family, n) WHERE rn = 1 AND share >= 0.2),
+j AS (SELECT m.name, m.own, m.faults, p.own AS theirs, p.faults AS their_faults, s.n AS size FROM mated m LEFT JOIN rows0 p ON m.mate = p.name
+   LEFT JOIN shape s ON s.family = regexp_extract(m.name, '^([0-9]{4})', 1) || '_' || regexp_extract(m.name, '_([0-9])[0-9]*$', 1) WHERE list_contains(m.faults, 'gap')),
+t AS (SELECT *, coalesce(len(list_filter(their_faults, lambda x: x NOT IN ('shredded', 'mixed-rotation', 'pair-mismatch'))) = 0 AND theirs = list_transform(range(1, len(theirs) + 1), lambda x: x::INTEGER), false) AS taught FROM j)
+SELECT name, CASE WHEN taught THEN 'partner' WHEN size IS NOT NULL THEN 'family' ELSE 'gap' END AS source,
+  CASE WHEN taught THEN len(theirs) WHEN size IS NOT NULL THEN size ELSE list_max(own) END::INTEGER AS target_size FROM t
+""")
+def repair_target(spark, d):
+    """What faulty documents should hold: by partner, family or own gap."""
+    rows, artifacts = _papers(spark, d)
+    items = artifacts.join(rows.select(F.col("name").alias("paper"), F.size("questions").alias("n")), "paper")
+    sizes = items.select("paper", "n", names.family(F.col("paper")).alias("family")).distinct().groupBy("family", "n").agg(F.count(F.lit(1)).alias("hits"))
+    total = sizes.groupBy("family").agg(F.sum("hits").alias("papers"))
+    modal = relations.first_by(sizes, ["family"], F.col("hits").desc(), "n").join(total, "family")
+    families = modal.select("family", F.col("n").alias("questions"), (F.col("hits") / F.col("papers") >= 0.2).alias("certain"))
+    return corpus.repair_targets(rows, families).select("name", "source", F.size("target").alias("target_size"))
+
+
+@query("""
+WITH o AS (SELECT l_orderkey, list_sort(list(l_linenumber)) AS numbers, count_if(l_returnflag = 'R') AS cut, count_if(l_discount = 0) AS empty, max(l_suppkey) % 7 + 1 AS mate FROM lineitem GROUP BY 1),
+r AS (SELECT l_orderkey, list_filter([CASE WHEN numbers <> list_transform(range(1, len(numbers) + 1), lambda x: x::INTEGER) THEN 'not one to n' END, CASE WHEN mate <> len(numbers) THEN 'partner has another count' END,
+   CASE WHEN cut > 0 THEN 'cut edges' END, CASE WHEN empty > 0 THEN 'empty pictures' END], lambda x: x IS NOT NULL) AS reasons FROM o)
+SELECT l_orderkey::VARCHAR AS name, len(reasons) = 0 AS passed, array_to_string(reasons, ',') AS reasons FROM r
+""")
+def verdict_reasons(spark, d):
+    """Reasons against each repaired document."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_discount", "l_suppkey")
+    papers = lines.groupBy(F.col("l_orderkey").cast("string").alias("name")).agg(
+        F.array_sort(F.collect_list("l_linenumber")).alias("numbers"),
+        F.sequence(F.lit(1), (F.max("l_suppkey") % 7 + 1).cast("int")).alias("mate_numbers"),
+        F.count_if(F.col("l_returnflag") == "R").alias("cut"),
+        F.count_if(F.col("l_discount") == 0).alias("empty"),
+    )
+    return corpus.double_check(papers).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _upsert(spark, d, blanks):
+    table = load(spark, d, "customer", F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    orders = load(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    staged = orders.select((F.col("o_custkey") + 1000).cast("string").alias("key"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("segment"), F.col("o_orderkey").alias("seq"))
+    return upsert.upsert(table, staged, "key", ["name", "segment"], blanks)
+
+
+UPSERT_SQL = """
+WITH s AS (SELECT (o_custkey + 1000)::VARCHAR AS key, o_orderpriority AS name, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus END AS segment, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders),
+l AS (SELECT * FROM s WHERE rn = 1)
+SELECT coalesce(c_custkey::VARCHAR, l.key) AS key, CASE WHEN l.key IS NOT NULL THEN l.name ELSE c_name END AS name, CASE WHEN {take} THEN l.segment ELSE c_mktsegment END AS segment
+FROM customer FULL JOIN l ON c_custkey::VARCHAR = l.key
+"""
+
+
+@query(UPSERT_SQL.format(take="l.key IS NOT NULL"))
+def upsert_csv(spark, d):
+    """Upsert where blanks overwrite."""
+    return _upsert(spark, d, True)
+
+
+@query(UPSERT_SQL.format(take="l.key IS NOT NULL AND l.segment <> ''"))
+def upsert_sheet(spark, d):
+    """Upsert where blanks keep the old value."""
+    return _upsert(spark, d, False)
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, (o_orderkey % 9 + 1)::INTEGER AS a, (o_custkey % 25 + 1)::INTEGER AS b, (o_custkey % 20)::INTEGER + 1 AS c FROM orders),
+p AS (SELECT o_orderkey, list_sort(list_distinct(list_filter(list_concat(range(least(a, b), greatest(a, b) + 1), [c::BIGINT]), lambda x: x BETWEEN 1 AND 20))) AS pages FROM s)
+SELECT o_orderkey, array_to_string(list_transform(pages, lambda x: x - 1), ',') AS pages FROM p
+""")
+def page_spec(spark, d):
+    """Pages that a written list names."""
+    a, b, c = (F.col("o_orderkey") % 9 + 1, F.col("o_custkey") % 25 + 1, F.col("o_custkey") % 20 + 1)
+    spec = F.concat(a.cast("string"), F.lit("-"), b.cast("string"), F.lit(", "), c.cast("string"))
+    pages = numbers.page_list(spec, F.lit(20))
+    return load(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.array_join(pages.cast("array<string>"), ",").alias("pages"))
+
+
+def _chain(spark, d, pick):
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    found = chains.chains(lines, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber"], "l_linenumber", pick)
+    return found.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("length"), F.max("value").alias("ends"))
+
+
+CHAIN_SQL = """
+WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS p FROM lineitem),
+c AS (SELECT l_orderkey, p, v, 1 AS n FROM s UNION SELECT s.l_orderkey, s.p, s.v, c.n + 1 FROM c JOIN s ON s.l_orderkey = c.l_orderkey AND s.p > c.p AND {step}),
+r AS (SELECT l_orderkey, n, v, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, v) AS rn FROM c)
+SELECT l_orderkey, n::BIGINT AS length, v::BIGINT AS ends FROM r WHERE rn = 1
+"""
+
+
+@query(CHAIN_SQL.format(step="s.v = c.v + 1"))
+def chain_plus_one(spark, d):
+    """The longest chain of each order's lines that counts up by one."""
+    return _chain(spark, d, chains.counting_chain)
+
+
+@query(CHAIN_SQL.format(step="s.v > c.v"))
+def lis(spark, d):
+    """The longest rising chain of each order's lines."""
+    return _chain(spark, d, chains.rising_chain)
+
+
+@query("""
+WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS ink FROM embeddings),
+u AS (SELECT vec_id, ink, unnest(range(1, len(ink) + 1)) AS k FROM m), f AS (SELECT vec_id, k, ink[k] AS on_ FROM u),
+g AS (SELECT vec_id, k - row_number() OVER (PARTITION BY vec_id ORDER BY k) AS g FROM f WHERE on_), r AS (SELECT vec_id, max(n) AS longest FROM (SELECT vec_id, g, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1)
+SELECT vec_id, len(list_filter(ink, lambda x: x))::INTEGER AS ink_count, coalesce(longest, 0)::INTEGER AS longest, len(list_filter(ink, lambda x: x)) = 0 AS blank FROM m LEFT JOIN r USING (vec_id)
+""")
+def edge_profile(spark, d):
+    """Ink and longest run of rows."""
+    rows = load(spark, d, "embeddings", "vec_id", "embedding").select(F.lit("x").alias("img"), F.col("vec_id").alias("y"), F.transform("embedding", lambda x: x > 0).alias("ink"))
+    return raster.row_profile(rows).select(F.col("y").alias("vec_id"), "ink_count", "longest", "blank")
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, o_custkey % 600 AS x0, o_custkey % 600 + o_orderkey % 300 + 1 AS x1, o_orderkey % 800 AS y0, o_orderkey % 800 + 1 + o_custkey % 41 AS y1 FROM orders)
+SELECT o_orderkey, CASE WHEN (x1 < 36 OR x0 > 564) AND x1 - x0 < 25 AND y1 - y0 > 100 THEN 'edge bar' WHEN y0 > 0.935 * 800 THEN 'foot' WHEN y1 < 0.075 * 800 AND abs((x0 + x1) / 2.0 - 300) < 90 THEN 'page number' END AS rule FROM b
+""")
+def furniture_geometry(spark, d):
+    """Furniture by place, for blocks that hold a bare number."""
+    x0, y0 = F.col("o_custkey") % 600, F.col("o_orderkey") % 800
+    x1, y1 = x0 + F.col("o_orderkey") % 300 + 1, y0 + 1 + F.col("o_custkey") % 41
+    rule = layout.furniture_rule(F.col("o_orderkey").cast("string"), *(c.cast("double") for c in (x0, y0, x1, y1)), F.lit(600.0), F.lit(800.0))
+    return load(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", rule.alias("rule"))
+
+
+@query("""
+WITH w AS (SELECT o_orderkey, o_custkey, o_orderkey % 500 AS y0, o_orderkey % 500 + o_custkey % 120 AS y1 FROM orders)
+SELECT o_orderkey, CASE WHEN y1 <= 60 OR y0 >= 450 THEN 'outside the window' WHEN y0 < 60 OR y1 > 450 THEN 'cut by the window' END AS why FROM w WHERE y1 <= 60 OR y0 >= 450 OR y0 < 60 OR y1 > 450
+""")
+def marks_outside(spark, d):
+    """Marks outside a window or cut by it."""
+    y0 = (F.col("o_orderkey") % 500).cast("double")
+    orders = load(spark, d, "orders", "o_orderkey", "o_custkey")
+    blocks = orders.select(F.lit("d").alias("doc"), F.lit(0).alias("page"), F.concat(F.lit("[3] "), F.col("o_orderkey").cast("string")).alias("text"), y0.alias("y0"), (y0 + F.col("o_custkey") % 120).alias("y1"))
+    windows = spark.range(1).select(F.lit("d").alias("doc"), F.lit(0).alias("page"), F.lit(60.0).alias("top"), F.lit(450.0).alias("foot"))
+    return layout.lost_marks(blocks, windows).select(F.substring_index("text", " ", -1).cast("long").alias("o_orderkey"), "why")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT AS height, (l_suppkey % 30 + 1) AS width FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(height + 5) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, width, height ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 2 AS y,
+  (max(width) OVER (PARTITION BY l_orderkey) - width) // 2 + 2 AS x FROM p
+""")
+def stacked_layout(spark, d):
+    """Where parts lie when they are stacked, centred, with gaps and a margin."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
+    parts = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("height"), (F.col("l_suppkey") % 30 + 1).alias("width"))
+    parts = parts.withColumn("at", F.struct("l_linenumber", "l_partkey", "width", "height"))
+    return raster.stacked(parts, ["l_orderkey"], "at", 5, 2, "center").select("l_orderkey", "l_linenumber", "l_partkey", "y", "x")
+
+
+@query("""
+SELECT a.c_custkey AS left_key, b.c_custkey AS right_key FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND abs(a.c_acctbal - b.c_acctbal) <= 4.0
+""")
+def near_pairs(spark, d):
+    """Points of a group at most four apart."""
+    points = load(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return relations.near_pairs(points, ["c_nationkey", "c_mktsegment"], "c_acctbal", 4.0, ["c_custkey", "c_acctbal"]).select(F.col("c_custkey").alias("left_key"), F.col("near_c_custkey").alias("right_key"))
+
+
+@query("""
+SELECT count(*) AS papers, count_if(event_type <> 'error') AS ok, count_if(event_type = 'error') AS failed, sum(user_id)::BIGINT AS questions, sum(value) AS seconds FROM events
+""")
+def status_report(spark, d):
+    """Counts of a batch log."""
+    log = load(spark, d, "events", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("user_id").alias("questions"), F.col("value").alias("seconds"))
+    return aggregates.status_report(log)
+
+
+@query("""
+SELECT conv_id, count(*) AS n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS whole FROM conversations GROUP BY 1
+""")
+def conversation_turns(spark, d):
+    """Whether a conversation's turns count up from zero without a gap."""
+    turns = load(spark, d, "conversations", "conv_id", "turn").groupBy("conv_id").agg(F.array_sort(F.collect_list((F.col("turn") + 1).cast("int"))).alias("t"))
+    return turns.select("conv_id", F.size("t").cast("long").alias("n"), sequences.is_complete(F.col("t")).alias("whole"))
+
+
+@query()
+def hunt_monotone(spark, d):
+    """Numbers 1 to 7 hunted in turn through each order's lines, set out as spans of a document."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    order = F.row_number().over(sequences.Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
+    spans = lines.select(
+        F.col("l_orderkey").cast("string").alias("doc"), F.lit("qp").alias("kind"), F.sequence(F.lit(1), F.lit(7)).alias("target"), F.lit(0).alias("page"), order.alias("ord"),
+        F.lit(50.0).alias("left"), F.lit(53.0).alias("centre"), (order * 20.0).alias("y"), F.col("l_linenumber").cast("string").alias("text"),
+    )
+    return chains.hunt_starts(spans)
+
+
+@query()
+def column_election(spark, d):
+    """Items read from each order's lines, set out as spans of a document."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    order = F.row_number().over(sequences.Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
+    spans = lines.select(
+        F.col("l_orderkey").cast("string").alias("doc"), F.lit("qp").alias("kind"), F.lit(0).alias("page"), order.alias("ord"), F.lit(50.0).alias("left"), F.lit(53.0).alias("centre"), (order * 20.0).alias("y"), F.col("l_linenumber").cast("string").alias("text")
+    )
+    return chains.find_starts(spans)
