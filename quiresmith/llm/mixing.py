@@ -97,8 +97,10 @@ def fly(sizes: list[int], chances: list[float], rng: random.Random, leave: int,
     """Decide all but ``leave`` units, keeping the totals of words and documents.
 
     Units enter a window, the longest first; each step moves the longest of
-    the window along ``_direction``, so that units of like length make up for
-    it, and settles one unit at least. The units left are short.
+    the window along ``_direction``, so that the others make up for it, and
+    settles one unit at least. The window grows until the others together
+    outweigh its longest many times, or a long one would wait to the end. The
+    units left are short.
     """
     out = list(chances)
     queue = sorted((k for k, p in enumerate(out) if 0.0 < p < 1.0), key=lambda k: -sizes[k])
@@ -110,12 +112,14 @@ def fly(sizes: list[int], chances: list[float], rng: random.Random, leave: int,
         for k, p in zip(held, pi, strict=True):
             out[k] = p
         held = [k for k in held if 0.0 < out[k] < 1.0]
-        while waiting and len(held) < window:
+        longest, total = max((sizes[k] for k in held), default=0), sum(sizes[k] for k in held)
+        while waiting and (len(held) < window or total < window * longest // 2):
             k = next(queue, None)
             if k is None:
                 waiting = False
             else:
                 held.append(k)
+                total += sizes[k]
     return out
 
 

@@ -88,7 +88,7 @@ def close_pairs(fps: np.ndarray, radius: int = RADIUS, stride: int = 8) -> tuple
     rows = np.flatnonzero(alive.any(axis=1))
     alive = alive[rows]
     own = np.where(bits.astype(bool), _ONES, np.uint64(0))[rows]
-    counters = [np.zeros_like(alive) for _ in range(radius.bit_length())]
+    counters = [np.zeros_like(alive) for _ in range(max(1, radius.bit_length()))]
     over = np.zeros_like(alive)
     for b in range(0, 64, 2):
         x, y = planes[b] ^ own[:, b, None], planes[b + 1] ^ own[:, b + 1, None]
