@@ -34,9 +34,9 @@ def pixels(points: Column, dpi: Column) -> Column:
 
 
 def align_offset(inner: Column, outer: Column, align: Column) -> Column:
-    """Offset of a part within the larger side: left or top 0, centre half the rest, else all of it."""
+    """Offset of a part within the larger side: half the rest if centred, all of it at the right or bottom, else 0."""
     rest = outer - inner
-    return F.when(align.isin("left", "top", "start"), 0).when(align.isin("center", "centre", "middle"), F.floor(rest / 2)).otherwise(rest).cast("int")
+    return F.when(align.isin("center", "middle"), F.floor(rest / 2)).when(align.isin("right", "bottom"), rest).otherwise(0).cast("int")
 
 
 def target_size(width: Column, height: Column, wanted: Column, upscale: bool = False) -> Column:
