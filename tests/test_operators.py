@@ -341,7 +341,7 @@ def test_paginate_by_rows():
 
 
 def test_split_and_edges(spark):
-    ink = image(120, 60)
+    ink = image(200, 60)
     ink[10:40, 5:50] = True
     ink[60:100, 5:50] = True
     ink[10:100:10, 15:] = False  # thin rows set the floor
@@ -352,7 +352,7 @@ def test_split_and_edges(spark):
     assert rows(raster.split_items(df, marks, 1.0, False, False), "number") == [("i", 1, 10, 40), ("i", 2, 60, 100)]
     assert rows(raster.trim_boxes(df, 4)) == [("i", 1, 6, 54, 104)]
     assert rows(raster.blank_images(raster.row_profile(df))) == [("i", False)]
-    assert rows(raster.pages_of(df, 50), "first")[0] == ("i", 0, 50)
+    assert rows(raster.pages_of(df, 50), "first")[0] == ("i", 0, 49)
     cut = image(40, 300)
     cut[0:20, ::10] = True
     clean = cut.copy()
