@@ -25,6 +25,14 @@ def fault_counts(rows: DataFrame, harmless: Sequence[str] = ()) -> DataFrame:
     return rows.select(F.explode(left).alias("fault")).groupBy("fault").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "fault")
 
 
+def pictures_by_syllabus(rows: DataFrame, name: str = "name", size: str = "pictures") -> DataFrame:
+    """syllabus, papers, pictures of rows(name, pictures)."""
+    from quiresmith.functions.names import document_name
+
+    syllabus = F.coalesce(document_name(F.col(name))["syllabus"], F.lit("?"))
+    return rows.groupBy(syllabus.alias("syllabus")).agg(F.count(F.lit(1)).alias("papers"), F.sum(size).alias("pictures")).orderBy("syllabus")
+
+
 def family_shape(items: DataFrame) -> DataFrame:
     """family, questions, share, papers, seen, certain for items(family, paper, number).
 

@@ -65,6 +65,12 @@ def with_partner(rows: DataFrame, name: str = "name", prefix: str = "mate_") ->
     return rows.withColumn("_mate", partner(F.col(name))).join(mates, F.col("_mate") == F.col(f"{prefix}{name}"), "left").drop("_mate")
 
 
+def at_positions(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], order: Sequence[str], position: str = "position") -> DataFrame:
+    """Rows whose place in their key's order (from 0) is wanted."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return rows.withColumn(position, place).join(wanted, [*keys, position])
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it is counted at ``rows`` or fewer."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
