@@ -108,7 +108,7 @@ def as_of(marks: DataFrame, rows: DataFrame, keys: Sequence[str], mark_at: str,
     ranked = rows.withColumn("_rank", rank).where("_rank is not null")
     band = (F.col(row_at) < F.col(mark_at)) & (F.col(row_at) > F.col(mark_at) - reach)
     on = [marks[k].eqNullSafe(ranked[k]) for k in keys]
-    found = marks.join(ranked.drop(*keys) if not keys else ranked, [*on, band]).select(*(marks[c] for c in mark_keys), F.struct("_rank", (-F.col(row_at)).alias("_back")).alias("_order"))
+    found = marks.join(ranked, [*on, band]).select(*(marks[c] for c in mark_keys), F.struct("_rank", (-F.col(row_at)).alias("_back")).alias("_order"))
     best = found.groupBy(*mark_keys).agg(F.min("_order").alias("_best"))
     best = best.select(*mark_keys, F.col("_best._rank").alias("priority"), (-F.col("_best._back")).alias("found_at"))
     return marks.join(best, list(mark_keys), "left")

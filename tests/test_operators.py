@@ -150,8 +150,8 @@ def test_line_openings(spark):
 
 
 def test_first_places_and_next_free(spark):
-    df = spark.createDataFrame([("d", 50.0, 1, 0), ("d", 51.0, 1, 1), ("d", 90.0, 1, 2)], "doc string, x double, n int, ord int")
-    assert [r["ord"] for r in sequences.first_places(df, ["doc"], "x", "n", 4.0, ["ord"]).orderBy("ord").collect()] == [0, 1, 2] or True
+    df = spark.createDataFrame([("d", 50.0, 1, 0), ("d", 49.0, 1, 1), ("d", 90.0, 1, 2)], "doc string, x double, n int, ord int")
+    assert [r["ord"] for r in sequences.first_places(df, ["doc"], "x", "n", 4.0, ["ord"]).orderBy("ord").collect()] == [0, 2]
     taken = spark.createDataFrame([("a",), ("a-2",), ("b-3",)], "name string")
     new = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "name string")
     assert sorted(r["free"] for r in sequences.next_free(new, taken, "name").collect()) == ["a-3", "a-4", "b", "c"]
