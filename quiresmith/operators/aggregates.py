@@ -39,7 +39,8 @@ def family_shape(items: DataFrame) -> DataFrame:
     A paper's size is its number of distinct items; a family's shape is the
     size most of its papers have, the smaller on ties.
     """
-    sizes = items.groupBy("family", "paper").agg(F.count_distinct("number").alias("questions"))
+    # The items of one paper are few, so their set is cheaper than a distinct count and its two more shuffles.
+    sizes = items.groupBy("family", "paper").agg(F.size(F.collect_set("number")).cast("long").alias("questions"))
     tally = sizes.groupBy("family", "questions").agg(F.count(F.lit(1)).alias("hits"))
     total = F.sum("hits").over(Window.partitionBy("family"))
     rank = F.row_number().over(Window.partitionBy("family").orderBy(F.col("hits").desc(), "questions"))
