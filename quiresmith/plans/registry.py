@@ -554,6 +554,117 @@ def conversation_turns(spark, d):
     return turns.select("conv_id", F.size("t").cast("long").alias("n"), sequences.is_complete(F.col("t")).alias("whole"))
 
 
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_suppkey % 40)::DOUBLE AS x, (l_partkey % 60 + 0.5)::DOUBLE AS y, round_even((l_partkey % 60 + 0.5)::DOUBLE, 0)::BIGINT AS line FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x <= min(x) OVER (PARTITION BY l_orderkey ORDER BY line RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) + 0.5 AS opens FROM s
+""")
+def line_openings(spark, d):
+    """Whether a span is the first on its line."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    spans = lines.withColumns({"doc": F.col("l_orderkey"), "page": F.lit(0), "left": (F.col("l_suppkey") % 40).cast("double"), "y": (F.col("l_partkey") % 60).cast("double") + 0.5})
+    return sequences.opens_line(spans).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "opens")
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS doc, o_orderkey AS page FROM orders), i AS (SELECT o_custkey AS doc, o_orderkey AS page, (o_orderkey % 4) * 10 AS x0, 20 AS y0, (o_orderkey % 4) * 10 + 30 AS x1, 50 AS y1 FROM orders),
+n AS (SELECT doc, count(*) AS pages FROM p GROUP BY 1), o AS (SELECT doc, x0, y0, x1, y1 FROM i JOIN n USING (doc) GROUP BY doc, x0, y0, x1, y1, pages HAVING count(*) >= greatest(2, 0.6 * pages))
+SELECT doc, page, x0, x1 FROM i SEMI JOIN o USING (doc, x0, y0, x1, y1)
+""")
+def repeated_stamps(spark, d):
+    """Boxes that most pages of a document repeat at one place."""
+    orders = load(spark, d, "orders", F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"))
+    x0 = (F.col("page") % 4 * 10).cast("double")
+    images = orders.select("doc", "page", (x0 + 0.2).alias("x0"), F.lit(20.3).alias("y0"), (x0 + 30.1).alias("x1"), F.lit(49.8).alias("y1"))
+    pages = orders.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    return aggregates.repeated_stamps(images, pages).select("doc", "page", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"))
+
+
+@query("""
+WITH m AS (SELECT label::VARCHAR AS img, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, list_transform(embedding, lambda x: x > 0.25) AS ink FROM embeddings),
+e AS (SELECT img, y, len(ink) AS w, list_position(ink, true) - 1 AS l, len(ink) - list_position(list_reverse(ink), true) AS r, list_contains(ink, true) AS inked FROM m)
+SELECT img, greatest(0, min(l) FILTER (inked) - 3)::INTEGER AS x0, greatest(0, min(y) FILTER (inked) - 3)::INTEGER AS y0, least(max(w), max(r) FILTER (inked) + 4)::INTEGER AS x1, least(max(y) + 1, max(y) FILTER (inked) + 4)::INTEGER AS y1 FROM e GROUP BY img
+""")
+def trim_boxes(spark, d):
+    """The box around the ink of images made of vectors."""
+    place = F.row_number().over(sequences.Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = load(spark, d, "embeddings", "vec_id", "label", "embedding").select(F.col("label").cast("string").alias("img"), place.alias("y"), F.transform("embedding", lambda x: x > 0.25).alias("ink"))
+    return raster.trim_boxes(rows, 3)
+
+
+@query("""
+WITH m AS (SELECT label::VARCHAR AS img, vec_id, len(list_filter(embedding, lambda x: x > 0.1)) AS n FROM embeddings), f AS (SELECT img, floor(quantile_cont(n, 0.05) FILTER (n > 0))::INTEGER AS base FROM m GROUP BY 1)
+SELECT vec_id, n = 0 AS blank, n <= greatest(2, round_even(1.5 * base::DOUBLE, 0)) AS seam FROM m JOIN f USING (img)
+""")
+def row_classes(spark, d):
+    """Blank rows and seams of images made of vectors."""
+    rows = load(spark, d, "embeddings", "vec_id", "label", "embedding").select(F.col("label").cast("string").alias("img"), F.col("vec_id").alias("y"), F.transform("embedding", lambda x: x > 0.1).alias("ink"))
+    return raster.row_classes(raster.row_profile(rows), False).select(F.col("y").alias("vec_id"), "blank", "seam")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT 'f' || (o_custkey % 400) || CASE WHEN o_orderkey % 3 = 0 THEN ' (' || (o_orderkey % 5) || ')' ELSE '' END AS name FROM orders)
+SELECT name FROM f a WHERE NOT regexp_matches(name, ' \\([0-9]+\\)$') OR NOT EXISTS (SELECT 1 FROM f b WHERE b.name = regexp_replace(a.name, ' \\([0-9]+\\)$', ''))
+""")
+def drop_copies(spark, d):
+    """Names but second downloads of names that are there."""
+    name = F.concat(F.lit("f"), (F.col("o_custkey") % 400).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" ("), (F.col("o_orderkey") % 5).cast("string"), F.lit(")"))).otherwise(""))
+    return relations.without_copies(load(spark, d, "orders", "o_custkey", "o_orderkey").select(name.alias("name")).distinct())
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS page, l_returnflag = 'N' AS is_end, l_discount > 0.08 AS marked FROM lineitem),
+t AS (SELECT *, min(is_end::INTEGER) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) = 1 AS tail FROM p)
+SELECT doc, greatest(coalesce(max(page + 1) FILTER (NOT tail), 1), coalesce(max(page + 1) FILTER (marked), 0), 1)::INTEGER AS last_page FROM t GROUP BY doc
+""")
+def content_end(spark, d):
+    """Where a document's content ends, past its end matter's first page but not short of its last mark."""
+    place = F.row_number().over(sequences.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount")
+    pages = lines.select(F.col("l_orderkey").alias("doc"), place.alias("page"), (F.col("l_returnflag") == "N").alias("is_end"), (F.col("l_discount") > 0.08).alias("marked"))
+    return sequences.trimmed_tail(pages, "is_end", "marked")
+
+
+NAMED = "lpad((o_orderkey % 9999)::VARCHAR, 4, '0') || '_s' || lpad((o_custkey % 100)::VARCHAR, 2, '0') || CASE o_orderkey % 3 WHEN 0 THEN '_qp_' WHEN 1 THEN '_MS_' ELSE '_er_' END || (o_custkey % 70)::VARCHAR"
+
+
+@query(f"""
+WITH n AS (SELECT o_orderkey, {NAMED} AS name FROM orders), v AS (SELECT *, regexp_matches(name, '^[0-9]{{4}}_[a-z][0-9]{{2}}_(qp|MS)_[0-9]+$') AS fit FROM n)
+SELECT o_orderkey, CASE WHEN fit THEN CASE WHEN contains(name, '_qp_') THEN replace(name, '_qp_', '_ms_') ELSE replace(name, '_MS_', '_qp_') END END AS partner,
+  CASE WHEN fit THEN left(name, 4) || '_' || left(regexp_extract(name, '_([0-9]+)$', 1), 1) END AS family FROM v
+""")
+def name_fields(spark, d):
+    """Partner and family of document names."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    side = F.when(key % 3 == 0, "_qp_").when(key % 3 == 1, "_MS_").otherwise("_er_")
+    name = F.concat(F.lpad((key % 9999).cast("string"), 4, "0"), F.lit("_s"), F.lpad((cust % 100).cast("string"), 2, "0"), side, (cust % 70).cast("string"))
+    return load(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", names.partner(name).alias("partner"), names.family(name).alias("family"))
+
+
+@query("""
+SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_custkey % 3 = 0 THEN 'subject' END, CASE WHEN o_orderkey % 9 NOT BETWEEN 1 AND 7 THEN 'paper' END, CASE WHEN o_custkey % 15 > 9 THEN 'variant' END,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'chapter' END, CASE WHEN o_custkey < 1000 THEN 'year' END, CASE WHEN o_orderstatus = 'P' THEN 'season' END, CASE WHEN o_orderstatus = 'F' THEN 'kind' END], lambda x: x IS NOT NULL), ',') AS problems,
+  'physics_p' || (o_orderkey % 9) || (o_custkey % 15) || '_' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'motion-energy' END || '_' || o_custkey || 'mj_q' || (o_orderkey % 30) || '_Q.png' AS file
+FROM orders
+""")
+def form_problems(spark, d):
+    """What forms still lack, and their file names."""
+    key, cust, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    row = {
+        "subject": F.when(cust % 3 == 0, "history").otherwise("Physics"), "paper": (key % 9).cast("string"), "variant": (cust % 15).cast("string"), "chapter": F.when(key % 4 == 0, " -- ").otherwise("Motion & Energy"),
+        "year": cust.cast("string"), "season": F.when(status == "P", "winter").otherwise("MJ"), "question": (key % 30).cast("string"), "kind": F.when(status == "F", "q").otherwise("Q"),
+    }
+    name = names.stem(F.lit("Physics"), *(row[c] for c in ("paper", "variant", "chapter", "year")), F.lit("MJ"), row["question"])
+    return load(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus").select("o_orderkey", F.array_join(names.problems(row), ",").alias("problems"), names.file_name(name, F.lit("Q")).alias("file"))
+
+
+@query(FAULTS_SQL + "SELECT l.doc_id FROM labels l JOIN f USING (doc_id) WHERE len(list_filter(faults, lambda x: x NOT IN ('shredded', 'mixed-rotation'))) = 0")
+def requeue_log(spark, d):
+    """A log without the names that are to run again."""
+    rows = _faults(load(spark, d, "documents", "doc_id", "n_chars", "lang", "text")).select(F.col("doc_id").alias("name"), "faults", F.lit(0).alias("ord"))
+    log = load(spark, d, "labels", F.col("doc_id").alias("name"))
+    return corpus.requeue(rows, log)[1].select(F.col("name").alias("doc_id"))
+
+
 @query()
 def hunt_monotone(spark, d):
     """Numbers 1 to 7 hunted in turn through each order's lines, set out as spans of a document."""
