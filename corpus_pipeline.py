@@ -45,8 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    decoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    return bpe.digests(decoded, "ids")
+    return bpe.digests(bpe.round_trip(docs, path, pattern), "ids")
 
 
 STAGES = [

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiresmith.llm.common import rows_of
+from quiresmith.llm.common import in_small_batches, rows_of
 
-_CACHED = 400_000
+_CACHED = 250_000
 _NEVER = 1 << 60
 
 
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -237,6 +237,20 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, decoded for docs(doc_id, text): ``encode`` and ``decode`` in one pass, so that each core needs one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in rows_of(batches, 64):
+            ids = [own.encode(t.as_py()) for t in batch.column(1)]
+            packed, texts = pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())
+            yield pa.record_batch([batch.column(0), packed, texts], ["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of decoded(doc_id, ids, decoded), and the columns of ``more``."""
     return decoded.select(

@@ -24,6 +24,18 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows of an Arrow batch; texts may be long, and every running task holds a few batches.
+BATCH_ROWS = 1024
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to send Python small batches, unless the user has set their size."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":  # Spark's default
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ``step`` rows, so that long texts are few at a time."""
     for batch in batches:

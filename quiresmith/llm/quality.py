@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import rows_of
+from quiresmith.llm.common import in_small_batches, rows_of
 from quiresmith.llm.learning import held_out, isotonic, labelled_sample
 
 #: At most so many labelled rows teach the model.
@@ -28,7 +28,7 @@ BITS = 18
 THRESHOLD = 0.3
 #: A shape n-gram is noted at each of these shares of a text that it reaches.
 LEVELS = (1 / 128, 1 / 32, 1 / 8, 1 / 2)
-_CACHED = 500_000
+_CACHED = 100_000
 
 
 def shape(token: str) -> str:
@@ -38,8 +38,6 @@ def shape(token: str) -> str:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
-            if len(out) == 12:
-                break
     return "".join(out)
 
 
@@ -54,7 +52,6 @@ class _Codes(dict):
         return value
 
 
-_codes = _Codes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,13 +60,13 @@ def _slot(values: np.ndarray, salt: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def indicators(text: str | None) -> np.ndarray:
+def indicators(text: str | None, codes: _Codes | None = None) -> np.ndarray:
     """Hashed positions, each once, of the indicators that a text has; an empty text has none."""
     tokens = (text or "").split()
     n = len(tokens)
     if not n:
         return np.empty(0, np.int32)
-    codes = _codes
+    codes = _Codes() if codes is None else codes
     both = np.fromiter([codes[t] for t in tokens], np.int64, n)
     word, kind = both & 0xFFFFFFFF, both >> 32
     kind[1:][word[1:] == word[:-1]] = 1  # a repeat of the word before has a shape of its own
@@ -136,9 +133,10 @@ class Model:
         length = float(self.square[row].sum(dtype=float)) ** 0.5
         return float(self.scaled[row].sum(dtype=float)) / max(1e-12, length) + self.bias
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], codes: _Codes | None = None) -> np.ndarray:
         """Probability that each text is of label 1."""
-        return np.clip(np.interp([self.margin(indicators(t)) for t in texts], *self.knots), 0.0, 1.0)
+        codes = _Codes() if codes is None else codes
+        return np.clip(np.interp([self.margin(indicators(t, codes)) for t in texts], *self.knots), 0.0, 1.0)
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Model | None:
@@ -162,8 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int
     sample = labelled_sample(docs, labels, "quality", max_rows)
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
         for batch in rows_of(batches):
-            rows = [indicators(t) for t in batch.column("text").to_pylist()]
+            rows = [indicators(t, codes) for t in batch.column("text").to_pylist()]
             fold = [zlib.crc32(r.tobytes()) % folds for r in rows]
             ids = batch.column("doc_id").cast(pa.string())
             yield pa.record_batch([ids, pa.array([r.tobytes() for r in rows], pa.binary()), batch.column("y"), pa.array(fold, pa.int32())], ["id", "row", "y", "fold"])
@@ -189,13 +188,13 @@ def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, codes = shared.value, _Codes()
         for batch in rows_of(batches):
             texts = batch.column("text").to_pylist()
-            scores = own.score(texts) if own else np.ones(len(texts))
+            scores = own.score(texts, codes) if own else np.ones(len(texts))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return in_small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -47,8 +47,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(load(spark, sf_dir, "documents", "doc_id", "text"), path, pattern)
-    return bpe.digests(bpe.decode(encoded, path, pattern))
+    return bpe.digests(bpe.round_trip(load(spark, sf_dir, "documents", "doc_id", "text"), path, pattern))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import rows_of, tiled, with_keys
+from quiresmith.llm.common import in_small_batches, rows_of, tiled, with_keys
 from quiresmith.llm.graph import components, forest
 from quiresmith.session import materialize
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([*map(batch.column, keys), pa.array(fps, pa.int64())], [*keys, "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keys), T.StructField("fp", T.LongType())]))
+    return in_small_batches(docs).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keys), T.StructField("fp", T.LongType())]))
 
 
 def _above(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:

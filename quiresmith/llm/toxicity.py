@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import rows_of
+from quiresmith.llm.common import in_small_batches, rows_of
 from quiresmith.llm.learning import Trees, held_out, isotonic, labelled_sample
+from quiresmith.session import materialize
 
 #: At most so many labelled rows teach the model, and so many words make the lexicon.
 MAX_ROWS, MAX_WORDS = 20_000, 4096
@@ -151,7 +152,8 @@ _SOFT = 2.0
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, strong: float = _SOFT, folds: int = 2) -> Model | None:
     """Learn from labels(doc_id, toxic) of documents that are not held out; None without labels of both kinds."""
-    sample = labelled_sample(docs, labels, "toxic", max_rows).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int"))
+    sample = in_small_batches(labelled_sample(docs, labels, "toxic", max_rows)).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int"))
+    sample = materialize(sample, "toxicity-sample")  # a bounded table, so that documents are read once
     words = learn_lexicon(sample, folds)
     tables = [{w: odds[k] for w, odds in words if odds[k] > 1.0} for k in range(folds + 1)]
 
@@ -188,7 +190,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFr
             scores = model.score(texts) if model else np.zeros(len(texts))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return in_small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

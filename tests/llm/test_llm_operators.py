@@ -175,6 +175,7 @@ def test_bpe_equals_the_library(spark, docs, none, texts, vocabulary):
         ids = np.array(library.encode_ordinary(text or ""), "<u4")
         want[k, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
     assert Counter(map(tuple, rows)) == want
+    assert Counter(map(tuple, bpe.digests(bpe.round_trip(docs, path, pattern)).collect())) == want
     assert bpe.encode(none, path, pattern).count() == 0
 
 
