@@ -665,7 +665,15 @@ def requeue_log(spark, d):
     return corpus.requeue(rows, log)[1].select(F.col("name").alias("doc_id"))
 
 
-@query()
+#: A step for each wanted number: its first place after the last hit; misses move nothing.
+HUNT_SQL = (
+    "WITH s AS (SELECT l_orderkey AS o, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS p FROM lineitem), h0 AS (SELECT DISTINCT o, 0::BIGINT AS f FROM s)"
+    + "".join(f", h{k} AS (SELECT o, coalesce(min(p) FILTER (v = {k} AND p > f), f) AS f, min(p) FILTER (v = {k} AND p > f) AS hit FROM h{k - 1} JOIN s USING (o) GROUP BY o, f)" for k in range(1, 8))
+    + " UNION ALL ".join(f"{' ' * (k == 1)}SELECT o::VARCHAR AS doc, 0 AS page, hit * 20.0::DOUBLE AS y, {k} AS number FROM h{k} WHERE hit IS NOT NULL" for k in range(1, 8))
+)
+
+
+@query(HUNT_SQL)
 def hunt_monotone(spark, d):
     """Numbers 1 to 7 hunted in turn through each order's lines, set out as spans of a document."""
     lines = load(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -677,7 +685,14 @@ def hunt_monotone(spark, d):
     return chains.hunt_starts(spans)
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT l_orderkey AS o, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS p FROM lineitem),
+u AS (SELECT o, v, min(p) AS p FROM s GROUP BY 1, 2), counted AS (SELECT DISTINCT a.o FROM u a JOIN u b ON a.o = b.o AND b.v = a.v + 1 AND b.p > a.p),
+c AS (SELECT o, p, v, [p] AS path, [v] AS vals FROM u WHERE o IN (SELECT o FROM counted)
+  UNION ALL SELECT u.o, u.p, u.v, list_append(path, u.p), list_append(vals, u.v) FROM c JOIN u ON u.o = c.o AND u.p > c.p AND u.v > c.v),
+r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY len(path) DESC, v, list_reverse(path)) AS rn FROM c)
+SELECT o::VARCHAR AS doc, 0 AS page, unnest(path) * 20.0::DOUBLE AS y, unnest(vals) AS number, NULL::VARCHAR AS error FROM r WHERE rn = 1
+""")
 def column_election(spark, d):
     """Items read from each order's lines, set out as spans of a document."""
     lines = load(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
