@@ -517,7 +517,7 @@ def marks_outside(spark, d):
 @query("""
 WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT AS height, (l_suppkey % 30 + 1) AS width FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(height + 5) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, width, height ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 2 AS y,
-  (max(width) OVER (PARTITION BY l_orderkey) - width) // 2 + 2 AS x FROM p
+  ((max(width) OVER (PARTITION BY l_orderkey) - width) // 2 + 2)::INTEGER AS x FROM p
 """)
 def stacked_layout(spark, d):
     """Where parts lie when they are stacked, centred, with gaps and a margin."""
@@ -537,7 +537,7 @@ def near_pairs(spark, d):
 
 
 @query("""
-SELECT count(*) AS papers, count_if(event_type <> 'error') AS ok, count_if(event_type = 'error') AS failed, sum(user_id)::BIGINT AS questions, sum(value) AS seconds FROM events
+SELECT count(*) AS papers, count_if(event_type <> 'error')::BIGINT AS ok, count_if(event_type = 'error')::BIGINT AS failed, sum(user_id)::BIGINT AS questions, sum(value) AS seconds FROM events
 """)
 def status_report(spark, d):
     """Counts of a batch log."""
