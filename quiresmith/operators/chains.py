@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quiresmith.functions.strings import HIGHEST_LABEL, LABEL, LABEL_START, WORDED_HEADING
 
@@ -77,16 +78,43 @@ def rising_chain(values: Sequence[int]) -> list[int]:
 
 
 def chains(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, pick: Callable[[Sequence[int]], list[int]] = counting_chain) -> DataFrame:
-    """keys, position (from 0) and value of each key's chain; ``order`` fixes the sequence."""
-    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
+    """keys, position (from 0) and value of each key's chain; ``order`` fixes the sequence.
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        values = table.sort_by([(c, "ascending") for c in order]).column(value).to_pylist()
-        places = pick(values)
-        same = [pa.array([k.as_py()] * len(places), k.type) for k in key]
-        return pa.table([*same, pa.array(places, pa.int32()), pa.array([values[p] for p in places], pa.int64())], names=[*keys, "position", "value"])
-
-    return df.select(*dict.fromkeys([*keys, *order, value])).groupBy(*keys).applyInArrow(run, f"{', '.join(kinds)}, position int, value long")
+    Keys are many and short, so a task takes its keys one after the other from
+    sorted batches, instead of a call for each.
+    """
+    kinds = [df.schema[k] for k in keys]
+    out = T.StructType([*kinds, T.StructField("position", T.IntegerType()), T.StructField("value", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        values: list[int] = []
+        found: list[tuple] = []
+
+        def close() -> None:
+            found.extend((*key, at, values[at]) for at in pick(values))
+
+        def table(types: list[pa.DataType]) -> pa.RecordBatch:
+            columns = list(zip(*found)) if found else [()] * (len(keys) + 2)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*types, pa.int32(), pa.int64()])], [*keys, "position", "value"])
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            for now, v in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column(value).to_pylist()):
+                if now != key:
+                    if key is not None:
+                        close()
+                    key, values = now, []
+                values.append(v)
+            yield table(types)
+            found.clear()
+        if key is not None:
+            close()
+            yield table(types)
+
+    rows = df.select(*dict.fromkeys([*keys, *order, value])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInArrow(run, out)
 
 
 class Document:
