@@ -1,12 +1,12 @@
 """License scans by conditional compression.
 
-Blocks of words around license cues are compressed alone and with each
-template as a raw zstandard dictionary; the template that saves most names the
-likely license. Winners are confirmed by the exact differences in wording: a
-block is taken only if nearly all of the template's words stand in it, in
-order, and every number and license code among them. A confirmed passage is
-taken out and the rest of its block is ranked again, so that a block can hold
-several licenses.
+Every template is looked for by wording in the blocks of words around license
+cues: a passage is taken only if nearly all of the template's words stand in
+it, in order, and every number and license code among them. Passages are
+compressed, with a few words around them, alone and with their template as a
+raw zstandard dictionary; the template that saves most names the license. A
+passage taken is taken out and the rest of its block is looked at again, so
+that a block can hold several licenses.
 """
 
 from __future__ import annotations
@@ -52,38 +52,55 @@ def _templates() -> list[tuple[str, list[str], object]]:
     return out
 
 
-def ranked(words: list[str]) -> list[tuple[int, int]]:
-    """(bytes saved, template) of the templates that save any, most first."""
+def saving(t: int, words: list[str], first: int, last: int) -> int:
+    """Bytes that template ``t`` saves on the words from first to last and half as many again on either side.
+
+    In longer pieces the sizes of two streams differ by more than a short template saves.
+    """
     import zstandard
 
-    block = " ".join(words).encode("utf-8", "surrogatepass")
-    alone = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(block))
-    saved = [(alone - len(c.compress(block)), k) for k, (_, _, c) in enumerate(_templates())]
-    return sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], x[1]))
+    around = (last - first + 1) // 2
+    piece = " ".join(words[max(0, first - around) : last + around]).encode("utf-8", "surrogatepass")
+    alone = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(piece))
+    return alone - len(_templates()[t][2].compress(piece))
+
+
+def may_hold(template: list[str], words: set[str]) -> bool:
+    """Whether so few of a template's words are missing from a block that it could be confirmed there."""
+    missing = [w for w in template if w not in words]
+    return confirmed(template, (0, 0, missing, []))
 
 
 def differences(template: list[str], words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
     """Where a template stands in a block (first, past last), its missing words and the extra ones; None if it does not."""
-    spots = [k for k, w in enumerate(words) if w == template[0]] or [0]
+    # A passage starts with one of the template's first words: more may not be missing.
+    heads, left = set(), int(SLACK * len(template)) + 1
+    for w in template:
+        heads.add(w)
+        left -= w not in ARTICLES
+        if not left:
+            break
     best = None
-    for at in spots:
-        # Alignments start at the template's first word, or anywhere if that is missing.
-        window = words[at : at + 2 * len(template) + 8] if words[at : at + 1] == template[:1] else words
+    for at in (k for k, w in enumerate(words) if w in heads):
+        window = words[at : at + 2 * len(template) + 8]
+        if not may_hold(template, set(window)):
+            continue
         match = SequenceMatcher(None, template, window, autojunk=False)
         blocks = [b for b in match.get_matching_blocks() if b.size]
         if not blocks:
             continue
-        first, last = at * (window is not words) + blocks[0].b, at * (window is not words) + blocks[-1].b + blocks[-1].size
+        first, last = at + blocks[0].b, at + blocks[-1].b + blocks[-1].size
         kept = {i for b in blocks for i in range(b.a, b.a + b.size)}
-        used = {at * (window is not words) + i for b in blocks for i in range(b.b, b.b + b.size)}
+        used = {at + i for b in blocks for i in range(b.b, b.b + b.size)}
         missing = [w for i, w in enumerate(template) if i not in kept]
         extra = [words[i] for i in range(first, last) if i not in used]
-        found = (len(missing) + len(extra), first, last, missing, extra)
-        if best is None or found[0] < best[0]:
+        # Differences that are allowed come before fewer that are not.
+        found = (not confirmed(template, (first, last, missing, extra)), len(missing) + len(extra), first, last, missing, extra)
+        if best is None or found[:2] < best[:2]:
             best = found
-        if best[0] == 0:
+        if best[:2] == (False, 0):
             break
-    return best[1:] if best else None
+    return best[2:] if best else None
 
 
 def confirmed(template: list[str], found: tuple[int, int, list[str], list[str]]) -> bool:
@@ -113,13 +130,13 @@ def scan(text: str | None) -> list[dict]:
         places = [k for k in range(first, last) if plain(raw[k])]
         while len(places) > 1:
             words = [plain(raw[k]) for k in places]
-            hit = None
-            for saved, t in ranked(words):
-                name, template, _ = _templates()[t]
-                found = differences(template, words)
+            hit, held = None, set(words)
+            for t, (name, template, _) in enumerate(_templates()):
+                found = differences(template, words) if may_hold(template, held) else None
                 if found and confirmed(template, found):
-                    hit = (saved, name, *found)
-                    break
+                    saved = saving(t, words, *found[:2])
+                    if hit is None or saved > hit[0]:
+                        hit = (saved, name, *found)
             if hit is None:
                 break
             saved, name, a, b, missing, extra = hit

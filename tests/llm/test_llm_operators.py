@@ -458,3 +458,22 @@ def test_license_variants():
     found = licenses.scan("Code RELEASED UNDER MIT license; docs licensed under\nCC BY-SA 4.0.")
     assert [(r["license"], r["wording"], r["missing"]) for r in found] == [("MIT", "variant", "the"), ("CC-BY-SA-4.0", "exact", "")]
     assert licenses.scan("Licensed under CC BY 4.0 and CC BY-ND 4.0")[0]["license"] == "CC-BY-4.0"
+
+
+def test_licenses_in_long_blocks():
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    rng = random.Random(5)
+    for name, notice in notices.items():
+        for _ in range(5):
+            words = prose(rng, 1400).split()
+            words[20::40] = ["license"] * len(words[20::40])
+            words.insert(rng.randrange(100, 1300), notice)
+            text = " ".join(words)
+            assert [(r["license"], r["start"], r["wording"]) for r in licenses.scan(text)] == [(name, text.index(notice), "exact")]
+            assert licenses.scan(text)[0]["saved_bytes"] > 0
+    # The first word missing, and found elsewhere; the longer of two templates that begin alike.
+    long = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0-or-later")
+    found = licenses.scan("This is a license. " + long.removeprefix("This "))
+    assert [(r["license"], r["missing"]) for r in found] == [("GPL-3.0-or-later", "this")]
+    long = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 100)
+    assert [(r["license"], r["start"], r["end"]) for r in licenses.scan(long)] == [("Apache-2.0", 0, len(long))]
