@@ -8,6 +8,12 @@ of the history, trained by rounds of gradient updates on every partition,
 averaged by tokens. Within a class words have their smoothed counts, and each
 class of several words keeps one share for words never seen, so that the
 probabilities of all words sum to one.
+
+That model is the prior of a bigram model whose counts are all kept, so that
+what is learned of context grows with the corpus: p = (c(before, word) +
+PRIOR * p0) / (c(before) + PRIOR). Words outside the head take part in it as
+the rest of their class. Pairs and their counts meet in buckets, as many as the
+corpus has tokens for.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quiresmith.llm.common import id_crc, rows_of
 from quiresmith.session import materialize
@@ -29,10 +36,16 @@ from quiresmith.session import materialize
 FOLDS, HELD_OUT = 7, 2
 #: At most so many words, the most frequent, are known to every task; the others' counts are joined.
 HEAD_WORDS = 1 << 17
-SINGLES, ENDINGS = 20, 20
+SINGLES, ENDINGS = 24, 24
 HASH_BITS = 13  # slots fit 16 bits, which sort fast
 ROUNDS = 2
 RATE = 0.5
+#: Weight of the prior in the bigram model, in tokens.
+PRIOR = 100.0
+#: Tokens of the corpus in a bucket of pairs, and those that a task holds before it sends them to their buckets.
+BUCKET, HELD = 1 << 21, 400_000
+#: The prior's probability travels to the buckets in so many steps of a factor ten.
+STEPS = 2048
 #: No word has white space, so this is the end of a text.
 END = b" "
 _BATCH = 8192
@@ -85,7 +98,7 @@ def ending_class(word: bytes) -> int:
 class Vocabulary:
     """Counts of the head words, classes, and the mass of each class."""
 
-    def __init__(self, head: list[tuple[str, int]], tail_mass: dict[int, int], tokens: int, words: int) -> None:
+    def __init__(self, head: list[tuple[str, int]], tail_mass: dict[int, int], tokens: int, words: int, tail_tokens: dict[int, int] | None = None) -> None:
         ranked = sorted(((w.encode("utf-8", "surrogatepass"), c) for w, c in head), key=lambda x: (-x[1], x[0]))
         self.tokens, self.words = tokens, words
         self.single = {w: k for k, (w, _) in enumerate(ranked[:SINGLES])}
@@ -98,6 +111,12 @@ class Vocabulary:
         self.log_mass = np.log10(np.maximum(mass, 1))
         self.bias = np.where(mass > 0, np.log(np.maximum(mass, 1) / mass.sum()), -60.0).astype(np.float32)
         self.head = {w: float(np.log10(c + 1)) for w, c in ranked}
+        # By number: the head's words, then the rest of each class of endings.
+        ends = range(SINGLES, _CLASSES)
+        self.number = {w: k for k, (w, _) in enumerate(ranked)}
+        self.classes = np.array([self.class_of(w) for w, _ in ranked] + list(ends), np.int32)
+        self.shares = np.log10(np.array([c + 1 for _, c in ranked] + [tail_mass.get(k, 0) + 1 for k in ends], float))
+        self.counts = np.array([c for _, c in ranked] + [(tail_tokens or {}).get(k, 0) for k in ends], float)
 
     def class_of(self, word: bytes) -> int:
         """Class of any word."""
@@ -106,23 +125,22 @@ class Vocabulary:
 
 
 class _Codes(dict):
-    """Word -> class and hash in one number."""
+    """Word -> its number in the vocabulary and its hash in one number."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.single = {w: k << 32 | zlib.crc32(w) for w, k in vocabulary.single.items()}
-        self.update(self.single)
+        self.number, self.rest = vocabulary.number, len(vocabulary.number) - SINGLES
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHED:
             self.clear()
-            self.update(self.single)
-        value = self[word] = ending_class(word) << 32 | zlib.crc32(word)
+        own = self.number.get(word)
+        value = self[word] = (self.rest + ending_class(word) if own is None else own) << 32 | zlib.crc32(word)
         return value
 
 
 def _slots(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Classes of tokens, and the hashed features of their histories: word before, the two before, and the one two before."""
+    """Numbers of tokens, and the hashed features of their histories: word before, the two before, and the one two before."""
     h = (codes & 0xFFFFFFFF).astype(np.uint64)
     edge = np.uint64(0x51ED)
     one, two = np.concatenate(([edge], h[:-1])), np.concatenate(([edge, edge], h[:-2]))[: len(h)]
@@ -189,7 +207,8 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, w: np.ndarray, parts: i
         own, squares, codes, tokens = start.copy(), np.zeros(len(start), np.float32), _Codes(known), 0
         texts = (words_of(t.as_py()) for batch in rows_of(batches) for t in batch.column(0))
         for joined, starts in _token_batches(texts, codes):
-            y, slots = _slots(joined, starts)
+            numbers, slots = _slots(joined, starts)
+            y = known.classes[numbers]
             for at in range(0, len(y), _BATCH):
                 cut = slice(at, at + _BATCH)
                 update(own, squares, known.bias, y[cut], [s[cut] for s in slots])
@@ -214,24 +233,98 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, w: np.ndarray, parts: i
     return out
 
 
-def _score_rows(vocabulary: Vocabulary, w: np.ndarray):
+def _pairs(numbers: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """The number before each token, and its own, in one; a text starts after an end."""
+    before = np.concatenate(([end], numbers[:-1])).astype(np.int64)
+    before[starts] = end
+    return before << 20 | numbers
+
+
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    """Whole numbers of so many bytes, compressed by planes of bytes."""
+    import zstandard
+
+    planes = numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _added(pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and their counts."""
+    if counts is None:
+        return np.unique(pairs, return_counts=True)
+    order = np.argsort(pairs, kind="stable")
+    pairs = pairs[order]
+    firsts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+    return pairs[firsts], np.add.reduceat(counts[order], firsts)
+
+
+def _bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+_COUNTS, _TOKENS, _ROWS = 0, 1, 2
+_DOC = "held_out boolean, row long, n_tokens long, n_known long, base double, model double, words array<string>, tfs array<int>"
+_BLOB = "bucket int, kind int, pairs binary, places binary, values binary"
+
+
+def _blobs(bucket: np.ndarray, buckets: int, kind: int, row: int, pairs: np.ndarray, values: np.ndarray, places: np.ndarray | None) -> Iterator[dict]:
+    order, width = np.argsort(bucket, kind="stable"), 4 if kind == _COUNTS else 2
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        at = order[ends[k] : ends[k + 1]]
+        if len(at):
+            yield {"bucket": k, "kind": kind, "row": row, "pairs": _packed(pairs[at], 5), "values": _packed(values[at], width), "places": None if places is None else _packed(np.diff(places[at], prepend=0), 2)}
+
+
+def _score_rows(vocabulary: Vocabulary, w: np.ndarray, buckets: int, schema: pa.Schema):
+    """Rows of documents, and in blobs by bucket their pairs' counts (unless held out) and all their pairs with the prior's probability."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = vocabulary.value, w.value
         codes, head, base_total = _Codes(known), known.head, float(np.log10(known.tokens + known.words + 1))
         # The head's end is in it unless nothing was learned.
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        end = codes[END] >> 32
+        row = first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            pairs, places, prior, held = (np.concatenate(x) for x in zip(*waiting))
+            blobs = list(_blobs(_bucket(pairs, buckets), buckets, _TOKENS, first, pairs, prior, places))
+            if not held.all():
+                learned, counts = _added(pairs[~held])
+                blobs += _blobs(_bucket(learned, buckets), buckets, _COUNTS, first, learned, counts, None)
+            yield pa.RecordBatch.from_pylist(blobs, schema)
+
         for batch in rows_of(batches):
             texts = batch.column("text")
             out: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "model", "words", "tfs")}
             split = [words_of(t.as_py()) for t in texts]
             joined, starts = _joined([[codes[x] for x in words] for words in split])
-            y, slots = _slots(joined, starts)
+            numbers, slots = _slots(joined, starts)
+            y = known.classes[numbers]
             logs = np.empty(len(y))
             for at in range(0, len(y), _BATCH):
                 cut = slice(at, at + _BATCH)
                 logits = _logits(weights, known.bias, [s[cut] for s in slots])
                 logs[cut] = logits[np.arange(len(logits)), y[cut]] - np.log(np.exp(logits).sum(axis=1))
             logs = logs / np.log(10) - known.log_mass[y]
+            pairs = _pairs(numbers, starts, end)
+            lengths = np.diff(np.append(starts, len(y)))
+            places = np.repeat(np.arange(row - first, row - first + len(split)), lengths)
+            held_out = np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
+            prior = np.rint(-STEPS * (logs + known.shares[numbers])).clip(0, 0xFFFF).astype(np.int32)
+            waiting.append((pairs, places, prior, held_out))
+            # A pair never seen has the prior's share alone.
+            logs += np.log10(PRIOR / (known.counts[pairs >> 20] + PRIOR))
             model = np.add.reduceat(logs, starts)
             for words, m in zip(split, model.tolist()):
                 found = [head.get(x) for x in words]
@@ -246,9 +339,50 @@ def _score_rows(vocabulary: Vocabulary, w: np.ndarray):
                 out["words"].append([x.decode("utf-8", "surrogatepass") for x in rest])
                 out["tfs"].append(list(rest.values()))
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
-            columns = [pa.array(v, k) for v, k in zip(out.values(), kinds)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", *out])
+            out |= {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "bucket": [k % buckets for k in out["row"]], "kind": [_ROWS] * len(split)}
+            none = pa.nulls(len(split), pa.binary())
+            yield pa.record_batch([pa.array(out[f.name], f.type) if isinstance(out.get(f.name), list) else out.get(f.name, none) for f in schema], schema=schema)
+            if sum(len(x[0]) for x in waiting) >= HELD or row - first > 60_000:
+                yield from sent()
+                waiting.clear()
+                first = row
+        if waiting:
+            yield from sent()
+
+    return run
+
+
+def _meet(schema: pa.Schema):
+    """Rows of documents as they are, and what the counts of pairs add to the scores of rows; sorted by bucket and kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            rows = batch.filter(pa.array(kinds == _ROWS))
+            if rows.num_rows:
+                yield rows.select(schema.names)
+            for r in batch.select(["bucket", "kind", "row", *(x.split()[0] for x in _BLOB.split(", ")[2:])]).filter(pa.array(kinds != _ROWS)).to_pylist():
+                if r["bucket"] != bucket:
+                    bucket, parts = r["bucket"], []
+                    pairs, counts = np.zeros(0, np.int64), np.zeros(0)
+                if r["kind"] == _COUNTS:
+                    parts.append((_unpacked(r["pairs"], 5), _unpacked(r["values"], 4)))
+                    continue
+                if parts:
+                    pairs, counts = _added(*(np.concatenate(x) for x in zip(*parts)))
+                    parts = []
+                if not len(pairs):
+                    continue
+                wanted, prior = _unpacked(r["pairs"], 5), _unpacked(r["values"], 2) / STEPS
+                at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+                seen = np.where(pairs[at] == wanted, counts[at], 0)
+                more = np.bincount(np.cumsum(_unpacked(r["places"], 2)), np.log10(1 + seen / PRIOR * 10.0**prior))
+                places = np.flatnonzero(more)
+                n = len(places)
+                out = {"kind": pa.array([_TOKENS] * n, pa.int32()), "row": pa.array(r["row"] + places, pa.int64()), "model": pa.array(more[places])}
+                yield pa.record_batch([out[f.name] if f.name in out else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     return run
 
@@ -268,8 +402,9 @@ def learn(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -
     head = [(r["word"], r["c"]) for r in counts.where(in_head).toArrow().to_pylist()]
     ending = F.crc32(F.substring("word", -2, 2).cast("binary")) % ENDINGS + SINGLES
     tail = counts.where(~in_head)
-    mass = {r["k"]: r["m"] for r in tail.groupBy(ending.cast("int").alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).collect()}
-    vocabulary = Vocabulary(head, mass, sum(c for _, c in levels.values()), sum(n for n, _ in levels.values()))
+    rest = tail.groupBy(ending.cast("int").alias("k")).agg(F.sum(F.col("c") + 1).alias("m"), F.sum("c").alias("c")).collect()
+    mass, tail_tokens = {r["k"]: r["m"] for r in rest}, {r["k"]: r["c"] for r in rest}
+    vocabulary = Vocabulary(head, mass, sum(c for _, c in levels.values()), sum(n for n, _ in levels.values()), tail_tokens)
     w = np.zeros((1 << HASH_BITS, _CLASSES), np.float32)
     for k in range(rounds):
         turn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == k)
@@ -287,20 +422,27 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     vocabulary, w, tail = learn(docs.where(~is_held_out()))
-    kind = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("held_out boolean, row long, n_tokens long, n_known long, base double, model double, words array<string>, tfs array<int>")])
+    kind = T.StructType([T.StructField("kind", T.IntegerType()), docs.schema["doc_id"], *T._parse_datatype_string(_DOC)])
+    sent = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(f"{_BLOB}, {_DOC}")])
+    for field in (*kind, *sent):
+        field.nullable = True
     shared = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(w)
+    buckets = vocabulary.tokens // BUCKET + 1
     marked = docs.select("doc_id", "text", is_held_out().alias("held_out"))
-    rows = materialize(marked.mapInArrow(_score_rows(*shared), kind), "lm-rows")
+    dealt = marked.mapInArrow(_score_rows(*shared, buckets, to_arrow_schema(sent)), sent).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    met = materialize(dealt.mapInArrow(_meet(to_arrow_schema(kind)), kind), "lm-rows")
+    rows = met.where(F.col("kind") == _ROWS).drop("kind")
+    seen = met.where(F.col("kind") == _TOKENS).groupBy("row").agg(F.sum("model").alias("context"))
     rest = rows.select("row", F.explode(F.arrays_zip("words", "tfs")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf"))
     # Words outside the head: each is rare, so its rows are few.
     found = rest.join(tail, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("known"))
     more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("words", "tfs").join(found, "row", "left").select(
+    return rows.drop("words", "tfs").join(found, "row", "left").join(seen, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("model") + more + F.coalesce("context", F.lit(0.0))).alias("score"),
     )

@@ -280,6 +280,45 @@ def test_lm_classes_sum_to_one():
         assert math.isclose(10 ** vocabulary.log_mass[k], max(mass, 1))
 
 
+def test_lm_learns_every_pair(spark):
+    rng = random.Random(8)
+    after = list(range(2000))
+    rng.shuffle(after)
+    rows = []
+    for k in range(700):
+        at, words = rng.randrange(2000), []
+        for _ in range(60):
+            words.append(f"w{at:04d}")
+            at = after[at]
+        rows.append((k, " ".join(words)))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    # 60 words of which each but the first follows from the one before; the first is one of 2,000.
+    assert got and sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got) > -1.0
+
+
+def test_lm_scores_by_brute_force(spark):
+    rows = [(k, t) for k, t in enumerate(["a b a c", "a b b", "c a b", "b", "a c c b a", "d a b", "b a b a", "c c", "a b c d", "d d a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in lm.score(df).collect()}
+    vocabulary, w, _ = lm.learn(df.where(~lm.is_held_out()))
+    learned = [lm.words_of(t) for k, t in rows if not got[k][0]]
+    pairs = Counter(p for words in learned for p in zip([lm.END, *words], words))
+    before = Counter(p[0] for words in learned for p in zip([lm.END, *words], words))
+    codes = lm._Codes(vocabulary)
+    for k, text in rows:
+        words = lm.words_of(text)
+        numbers, slots = lm._slots(np.array([codes[x] for x in words]), np.array([0]))
+        logits = lm._logits(w, vocabulary.bias, slots).astype(float)
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        total = 0.0
+        for at, (a, b) in enumerate(zip([lm.END, *words], words)):
+            prior = p[at][vocabulary.classes] * 10 ** (vocabulary.shares - vocabulary.log_mass[vocabulary.classes])
+            assert math.isclose(prior.sum(), 1, abs_tol=1e-5)
+            p0 = prior[vocabulary.number.get(b, numbers[at])]
+            total += math.log10((pairs[a, b] + lm.PRIOR * p0) / (before[a] + lm.PRIOR))
+        assert math.isclose(got[k][1], total, abs_tol=1e-3)
+
+
 # Top-k
 
 
