@@ -31,8 +31,9 @@ MARGIN, LONGEST = max(len(text.split()) for _, text in TEMPLATES), 1500
 #: Words of a template that may differ, as a share; articles may always.
 SLACK, ARTICLES = 0.1, frozenset({"a", "an", "the"})
 _WORD = re.compile(r"\S+")
+_NUMBER = re.compile(r"\(?\d{1,2}[.)]$")
 _EDGES = ".,;:()[]{}<>\"'`*#/\\-–—“”‘’!?|"
-_BOUND = re.compile(r"\d|^(by|cc|mit|bsd|isc|gnu|lesser|affero|apache|mozilla|not|sharealike|noncommercial)\b|attribution|^cc0$")
+_BOUND = re.compile(r"\d|^(by|cc|mit|bsd|isc|gnu|lesser|affero|apache|mozilla|neither|endorse|not|sharealike|noncommercial)\b|attribution|^cc0$")
 
 
 def plain(word: str) -> str:
@@ -40,6 +41,14 @@ def plain(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
+def starts_item(text: str, spans: list[tuple[int, int]], raw: list[str], k: int) -> bool:
+    """Whether a number can be that of a list's item: it starts the text or a paragraph, or follows the end of a sentence or item."""
+    if k == 0 or raw[k - 1][-1] in ".:;":
+        return True
+    gap = text[spans[k - 1][1] : spans[k][0]]
+    return gap.count("\n") > 1 or ("\n" in gap and (raw[k - 1].lower() in ("and", "or") or not plain(raw[k - 1])))
+
+
 @lru_cache(maxsize=1)
 def _templates() -> list[tuple[str, list[str], object]]:
     import zstandard
@@ -116,6 +125,7 @@ def scan(text: str | None) -> list[dict]:
     text = text or ""
     spans = [m.span() for m in _WORD.finditer(text)] if re.search(CUE, text) else []
     raw = [text[a:b] for a, b in spans]
+    listed = {k for k in range(len(raw)) if _NUMBER.match(raw[k]) and starts_item(text, spans, raw, k)}
     cues = [k for k, w in enumerate(raw) if re.search(CUE, w) or (w.lower() in ("public", "creative"))]
     out: list[dict] = []
     blocks: list[list[int]] = []
@@ -127,7 +137,7 @@ def scan(text: str | None) -> list[dict]:
             # A block that grew too long goes on in the next, which starts a template's length before.
             blocks.append([first, last])
     for first, last in blocks:
-        places = [k for k in range(first, last) if plain(raw[k])]
+        places = [k for k in range(first, last) if plain(raw[k]) and k not in listed]
         while len(places) > 1:
             words = [plain(raw[k]) for k in places]
             hit, held = None, set(words)

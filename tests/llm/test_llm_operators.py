@@ -516,3 +516,31 @@ def test_licenses_in_long_blocks():
     assert [(r["license"], r["missing"]) for r in found] == [("GPL-3.0-or-later", "this")]
     long = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 100)
     assert [(r["license"], r["start"], r["end"]) for r in licenses.scan(long)] == [("Apache-2.0", 0, len(long))]
+
+
+def test_whole_license_texts():
+    from quiresmith.llm.license_texts import _BSD_CONDITIONS, _BSD_DISCLAIMER, _BSD_NAMES
+
+    items = [x if x.endswith(".") else x + "." for x in _BSD_CONDITIONS.strip().replace("met: ", "met:|").replace("disclaimer. ", "disclaimer.|").split("|")[1:]]
+    opening = _BSD_CONDITIONS.split("met: ")[0] + "met:"
+    for mark in ("{}. ", "({}) ", "* ", ""):
+        for gap in ("\n", "\n\n", " "):
+            for name, clauses in (("BSD-2-Clause", items), ("BSD-3-Clause", [*items, _BSD_NAMES.strip()])):
+                text = gap.join([opening, *(mark.format(k + 1) + x for k, x in enumerate(clauses)), _BSD_DISCLAIMER])
+                found = licenses.scan("Copyright 2020 Some One.\n" + text)
+                assert [(r["license"], r["wording"]) for r in found] == [(name, "exact")], (mark, gap)
+    assert [r["license"] for r in licenses.scan(opening + "\n1. " + items[0])] == ["BSD-2-Clause OR BSD-3-Clause"]
+    notice = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for name, *parts in (
+        ("GPL-2.0-or-later", "program", "General Public License", "2"),
+        ("GPL-3.0-or-later", "program", "General Public License", "3"),
+        ("LGPL-2.0-or-later", "library", "Library General Public License", "2"),
+        ("LGPL-2.1-or-later", "library", "Lesser General Public License", "2.1"),
+        ("AGPL-3.0-or-later", "program", "Affero General Public License", "3"),
+    ):
+        assert [r["license"] for r in licenses.scan(notice.format(*parts))] == [name]
+    # A version at the start of a line is none of a list's numbers.
+    assert [r["license"] for r in licenses.scan("This work is licensed under the GNU General Public License, version\n3.")] == ["GPL-3.0"]
+    lesser = licenses.scan("This work is licensed under the GNU Lesser General Public License, version 3.")
+    assert [(r["license"], r["wording"]) for r in lesser] == [("LGPL-3.0", "variant")]
+    assert [r["license"] for r in licenses.scan("This library is licensed under the GNU Library General Public License, version 2.")] == ["LGPL-2.0"]
