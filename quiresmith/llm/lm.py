@@ -43,7 +43,7 @@ RATE = 0.5
 #: Weight of the prior in the bigram model, in tokens.
 PRIOR = 100.0
 #: Tokens of the corpus in a bucket of pairs, and those that a task holds before it sends them to their buckets.
-BUCKET, HELD = 1 << 21, 400_000
+BUCKET, HELD = 1 << 20, 400_000
 #: The prior's probability travels to the buckets in so many steps of a factor ten.
 STEPS = 2048
 #: No word has white space, so this is the end of a text.
@@ -353,16 +353,17 @@ def _score_rows(vocabulary: Vocabulary, w: np.ndarray, buckets: int, schema: pa.
 
 
 def _meet(schema: pa.Schema):
-    """Rows of documents as they are, and what the counts of pairs add to the scores of rows; sorted by bucket and kind."""
+    """Rows of documents as they are, and in blobs what the counts of pairs add to the scores of rows; sorted by bucket and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []
         pairs, counts = np.zeros(0, np.int64), np.zeros(0)
-        for batch in batches:
+        for batch in rows_of(batches, 32):
             kinds = batch.column("kind").to_numpy()
             rows = batch.filter(pa.array(kinds == _ROWS))
             if rows.num_rows:
-                yield rows.select(schema.names)
+                none = pa.nulls(rows.num_rows, pa.binary())
+                yield pa.record_batch([none if f.name in ("places", "values") else rows.column(f.name) for f in schema], schema=schema)
             for r in batch.select(["bucket", "kind", "row", *(x.split()[0] for x in _BLOB.split(", ")[2:])]).filter(pa.array(kinds != _ROWS)).to_pylist():
                 if r["bucket"] != bucket:
                     bucket, parts = r["bucket"], []
@@ -380,13 +381,22 @@ def _meet(schema: pa.Schema):
                 seen = np.where(pairs[at] == wanted, counts[at], 0)
                 more = np.bincount(np.cumsum(_unpacked(r["places"], 2)), np.log10(1 + seen / PRIOR * 10.0**prior))
                 places = np.flatnonzero(more)
-                n = len(places)
-                out = {"kind": pa.array([_TOKENS] * n, pa.int32()), "row": pa.array(r["row"] + places, pa.int64()), "model": pa.array(more[places])}
-                yield pa.record_batch([out[f.name] if f.name in out else pa.nulls(n, f.type) for f in schema], schema=schema)
+                out = {"kind": _TOKENS, "row": r["row"], "places": _packed(np.diff(places, prepend=0), 2), "values": more[places].astype(np.float32).tobytes()}
+                yield pa.RecordBatch.from_pylist([out], schema)
 
     return run
 
 
+def _added_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by row of what all buckets added to the rows that were sent together."""
+    total = np.zeros(1 << 16)
+    for batch in batches:
+        for places, values in zip(batch.column("places"), batch.column("values")):
+            total[np.cumsum(_unpacked(places.as_py(), 2))] += np.frombuffer(values.as_py(), np.float32)
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(key[0].as_py() + at, pa.int64()), pa.array(total[at])], ["row", "context"])
+
+
 def learn(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray, DataFrame]:
     """Vocabulary, weights and the table of all counts, from docs(doc_id, text)."""
     counts = materialize(count_words(docs), "lm-counts")
@@ -422,7 +432,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     vocabulary, w, tail = learn(docs.where(~is_held_out()))
-    kind = T.StructType([T.StructField("kind", T.IntegerType()), docs.schema["doc_id"], *T._parse_datatype_string(_DOC)])
+    kind = T.StructType([T.StructField("kind", T.IntegerType()), docs.schema["doc_id"], *T._parse_datatype_string(f"{_DOC}, places binary, values binary")])
     sent = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(f"{_BLOB}, {_DOC}")])
     for field in (*kind, *sent):
         field.nullable = True
@@ -431,8 +441,8 @@ def score(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", is_held_out().alias("held_out"))
     dealt = marked.mapInArrow(_score_rows(*shared, buckets, to_arrow_schema(sent)), sent).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
     met = materialize(dealt.mapInArrow(_meet(to_arrow_schema(kind)), kind), "lm-rows")
-    rows = met.where(F.col("kind") == _ROWS).drop("kind")
-    seen = met.where(F.col("kind") == _TOKENS).groupBy("row").agg(F.sum("model").alias("context"))
+    rows = met.where(F.col("kind") == _ROWS).drop("kind", "places", "values")
+    seen = met.where(F.col("kind") == _TOKENS).select("row", "places", "values").groupBy("row").applyInArrow(_added_up, "row long, context double")
     rest = rows.select("row", F.explode(F.arrays_zip("words", "tfs")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf"))
     # Words outside the head: each is rare, so its rows are few.
     found = rest.join(tail, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("known"))
