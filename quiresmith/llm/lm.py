@@ -1,25 +1,28 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax.
 
-log p(word | history) = log p(class | history) + log p(word | class). The most
-frequent words are classes of their own; all others fall in classes by a hash
-of their last letters, so that any word, known or not, has one. The class
-distribution is a maximum-entropy model over hashed n-gram and skip features
-of the history, trained by rounds of gradient updates on every partition,
-averaged by tokens. Within a class words have their smoothed counts, and each
-class of several words keeps one share for words never seen, so that the
-probabilities of all words sum to one.
+log p(word | history) = log p(class | history) + log p(member | class, history)
++ log p(word | member). The most frequent words are members of their own; all
+others fall in shared members by a hash of their last letters, so that any
+word, known or not, has one. Both softmax factors are maximum-entropy models
+over hashed n-gram and skip features of the history, trained by gradient
+updates on shards of the corpus, averaged by tokens. Within a shared member
+words have their smoothed counts, and each keeps one share for words never
+seen, so that the probabilities of all words sum to one.
 
 That model is the prior of a bigram model whose counts are all kept, so that
 what is learned of context grows with the corpus: p = (c(before, word) +
 PRIOR * p0) / (c(before) + PRIOR). Words outside the head take part in it as
-the rest of their class. Pairs and their counts meet in buckets, as many as the
-corpus has tokens for.
+the rest of their member.
+
+Texts are read once, as hashes of their words; then chunks of documents stand
+as numbers. What a chunk needs to know of all counts (of its pairs and its
+rare words, each once) it asks of buckets by hash, and scores when the answers
+are back, so a pair that is frequent everywhere is one entry per chunk.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,30 +30,28 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from quiresmith.llm.common import id_crc, rows_of
-from quiresmith.session import materialize
+from quiresmith.session import discard, materialize
 
 FOLDS, HELD_OUT = 7, 2
-#: At most so many words, the most frequent, are known to every task; the others' counts are joined.
+#: At most so many words, the most frequent, are known to every task (and those with a member of their own); the others' counts are asked for.
 HEAD_WORDS = 1 << 17
-SINGLES, ENDINGS = 24, 24
-HASH_BITS = 13  # slots fit 16 bits, which sort fast
+SINGLES, ENDINGS, MEMBERS = 24, 24, 16
+CLASS_BITS, MEMBER_BITS = 14, 14
 ROUNDS = 2
 RATE = 0.5
 #: Weight of the prior in the bigram model, in tokens.
 PRIOR = 100.0
-#: Tokens of the corpus in a bucket of pairs, and those that a task holds before it sends them to their buckets.
-BUCKET, HELD = 1 << 20, 400_000
-#: The prior's probability travels to the buckets in so many steps of a factor ten.
-STEPS = 2048
+#: Tokens of a chunk of documents, of a shard of training, and of the corpus in a bucket.
+CHUNK, SHARD, BUCKET = 1 << 20, 1 << 21, 1 << 21
 #: No word has white space, so this is the end of a text.
 END = b" "
 _BATCH = 8192
 _CACHED = 400_000
 _CLASSES = SINGLES + ENDINGS
+_OWN, _SHARED = SINGLES * MEMBERS, ENDINGS * MEMBERS
+_LOW = 511  # bits of a code that tell the shared member
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,179 +66,135 @@ def is_held_out() -> Column:
     return F.pmod(id_crc("doc_id"), F.lit(FOLDS)) == HELD_OUT
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, c over the tokens of docs(text); each task adds up its words before they are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+def code_of(word: bytes) -> int:
+    """What stands for a word: 55 bits of its hash, and its shared member, by its last two letters."""
+    from xxhash import xxh64_intdigest
 
-        def table() -> pa.RecordBatch:
-            words = pa.array(list(seen.keys()), pa.binary()).cast(pa.string())
-            return pa.record_batch([words, pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-
-        for batch in rows_of(batches):
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-            if len(seen) > _CACHED:
-                yield table()
-                seen.clear()
-        if seen:
-            yield table()
-
-    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def ending_class(word: bytes) -> int:
-    """Class of a word that has none of its own, by its last two letters."""
     end = word[-2:]
     if not end.isascii():
         end = word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")
-    return SINGLES + zlib.crc32(end) % ENDINGS
-
-
-class Vocabulary:
-    """Counts of the head words, classes, and the mass of each class."""
-
-    def __init__(self, head: list[tuple[str, int]], tail_mass: dict[int, int], tokens: int, words: int, tail_tokens: dict[int, int] | None = None) -> None:
-        ranked = sorted(((w.encode("utf-8", "surrogatepass"), c) for w, c in head), key=lambda x: (-x[1], x[0]))
-        self.tokens, self.words = tokens, words
-        self.single = {w: k for k, (w, _) in enumerate(ranked[:SINGLES])}
-        mass = np.ones(_CLASSES)  # the share of words never seen
-        mass[:SINGLES] = 0
-        for w, c in ranked:
-            mass[self.class_of(w)] += c + 1
-        for k, m in tail_mass.items():
-            mass[k] += m
-        self.log_mass = np.log10(np.maximum(mass, 1))
-        self.bias = np.where(mass > 0, np.log(np.maximum(mass, 1) / mass.sum()), -60.0).astype(np.float32)
-        self.head = {w: float(np.log10(c + 1)) for w, c in ranked}
-        # By number: the head's words, then the rest of each class of endings.
-        ends = range(SINGLES, _CLASSES)
-        self.number = {w: k for k, (w, _) in enumerate(ranked)}
-        self.classes = np.array([self.class_of(w) for w, _ in ranked] + list(ends), np.int32)
-        self.shares = np.log10(np.array([c + 1 for _, c in ranked] + [tail_mass.get(k, 0) + 1 for k in ends], float))
-        self.counts = np.array([c for _, c in ranked] + [(tail_tokens or {}).get(k, 0) for k in ends], float)
-
-    def class_of(self, word: bytes) -> int:
-        """Class of any word."""
-        own = self.single.get(word)
-        return ending_class(word) if own is None else own
+    return xxh64_intdigest(word) & ~_LOW | zlib.crc32(end) % _SHARED
 
 
 class _Codes(dict):
-    """Word -> its number in the vocabulary and its hash in one number."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.number, self.rest = vocabulary.number, len(vocabulary.number) - SINGLES
+    """Word -> its code as bytes, computed once while they are few enough."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _CACHED:
             self.clear()
-        own = self.number.get(word)
-        value = self[word] = (self.rest + ending_class(word) if own is None else own) << 32 | zlib.crc32(word)
+        value = self[word] = code_of(word).to_bytes(8, "little")
         return value
 
 
-def _slots(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Numbers of tokens, and the hashed features of their histories: word before, the two before, and the one two before."""
-    h = (codes & 0xFFFFFFFF).astype(np.uint64)
-    edge = np.uint64(0x51ED)
-    one, two = np.concatenate(([edge], h[:-1])), np.concatenate(([edge, edge], h[:-2]))[: len(h)]
-    one[starts] = two[starts] = edge
-    after = starts + 1
-    two[after[after < len(h)]] = edge
-    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - HASH_BITS)
-    slots = [((x * mix + np.uint64(salt)) * mix >> shift).astype(np.uint16) for salt, x in ((1, one), (2, one * np.uint64(31) + two), (3, two))]
-    return (codes >> 32).astype(np.int32), slots
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, codes (of 8 bytes each) of docs(doc_id, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Codes()
+        for batch in rows_of(batches):
+            codes = [b"".join(map(own.__getitem__, words_of(t.as_py()))) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "held_out", "codes"])
 
-def _logits(w: np.ndarray, bias: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-    out = w.take(slots[0], axis=0)
-    for s in slots[1:]:
-        out += w.take(s, axis=0)
-    out += bias
-    if abs(float(out.max())) > 60.0:  # else no exponential overflows
-        out -= out.max(axis=1, keepdims=True)
-    return out
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, codes binary")
 
 
-def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, y: np.ndarray, slots: list[np.ndarray]) -> None:
-    """One gradient step on a batch of tokens; each slot's step shrinks with its past gradients."""
-    p = _logits(w, bias, slots)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(y)), y] -= 1.0
-    for s in slots:
-        order = np.argsort(s, kind="stable")
-        sorted_ = s[order]
-        firsts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        gradient = np.add.reduceat(p.take(order, axis=0), firsts, axis=0)
-        at = sorted_[firsts]
-        squares[at] += np.einsum("ij,ij->i", gradient, gradient)
-        w[at] -= RATE * gradient / np.sqrt(squares[at] + 1.0)[:, None]
-
-
-def _token_batches(rows: Iterator[list[bytes]], codes: _Codes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes of whole texts joined into batches, and where texts start."""
-    held: list[list[int]] = []
-    size = 0
-    for words in rows:
-        held.append([codes[w] for w in words])
-        size += len(words)
-        if size >= _BATCH:
-            yield _joined(held)
-            held, size = [], 0
-    if held:
-        yield _joined(held)
+def count_codes(tokens: DataFrame, together: int = 1 << 21) -> DataFrame:
+    """code, c over tokens(codes); each task adds up its own before they are shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
 
-def _joined(held: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.cumsum([0, *map(len, held[:-1])])
-    return np.concatenate([np.array(x, np.int64) for x in held]), starts
+        def table() -> pa.RecordBatch:
+            codes, counts = np.unique(np.frombuffer(b"".join(held), "<i8"), return_counts=True)
+            return pa.record_batch([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "c"])
 
+        for batch in rows_of(batches):
+            for codes in batch.column(0):
+                held.append(codes.as_py())
+                size += len(held[-1]) // 8
+                if size >= together:
+                    yield table()
+                    held.clear()
+                    size = 0
+        if held:
+            yield table()
 
-def train_round(docs: DataFrame, vocabulary: Vocabulary, w: np.ndarray, parts: int = 8) -> np.ndarray:
-    """Weights after every partition of docs(text) went on from ``w`` by itself: their mean by tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, w))
-    size = len(w) // parts
+    return tokens.select("codes").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
-        own, squares, codes, tokens = start.copy(), np.zeros(len(start), np.float32), _Codes(known), 0
-        texts = (words_of(t.as_py()) for batch in rows_of(batches) for t in batch.column(0))
-        for joined, starts in _token_batches(texts, codes):
-            numbers, slots = _slots(joined, starts)
-            y = known.classes[numbers]
-            for at in range(0, len(y), _BATCH):
-                cut = slice(at, at + _BATCH)
-                update(own, squares, known.bias, y[cut], [s[cut] for s in slots])
-            tokens += len(y)
-        if tokens:
-            moved = (own - start) * np.float32(tokens)
-            rows = [moved[k * size : (k + 1) * size].tobytes() for k in range(parts)]
-            yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([tokens] * parts, pa.int64()), pa.array(rows, pa.binary())], ["part", "tokens", "moved"])
 
-    def mean(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens = None, 0
-        for batch in batches:
-            for n, moved in zip(batch.column("tokens"), batch.column("moved")):
-                add = np.frombuffer(moved.as_py(), np.float32).astype(float)
-                total, tokens = add if total is None else total + add, tokens + n.as_py()
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["part", "moved"])
-
-    moves = docs.select("text").mapInArrow(run, "part int, tokens long, moved binary")
-    out = w.copy()
-    for r in moves.groupBy("part").applyInArrow(mean, "part int, moved binary").collect():
-        out[r["part"] * size : (r["part"] + 1) * size] += np.frombuffer(r["moved"], np.float32).reshape(size, -1)
-    return out
+class Vocabulary:
+    """Counts of the head words, members, and the mass of each; plain arrays, so that it can be broadcast.
 
+    Numbers 0, 1, ... are the head's words, the most frequent first, then come the rests of the shared members.
+    """
 
-def _pairs(numbers: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-    """The number before each token, and its own, in one; a text starts after an end."""
-    before = np.concatenate(([end], numbers[:-1])).astype(np.int64)
-    before[starts] = end
-    return before << 20 | numbers
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, tail_mass: np.ndarray, tail_tokens: np.ndarray, tokens: int, words: int) -> None:
+        order = np.lexsort((codes, -counts))
+        self.codes, counts = codes[order], counts[order]
+        self.tokens, self.words = tokens, words
+        n = len(codes)
+        leaves = np.where(np.arange(n) < _OWN, np.arange(n), _OWN + (self.codes & np.uint64(_LOW)).astype(np.int64))
+        self.leaves = np.concatenate((leaves, _OWN + np.arange(_SHARED))).astype(np.int32)
+        mass = np.zeros(_OWN + _SHARED)
+        mass[_OWN:] = tail_mass + 1.0  # one is the share of words never seen
+        np.add.at(mass, leaves, counts + 1.0)
+        self.log_mass = np.log10(np.maximum(mass, 1.0))
+        by_class = mass.reshape(_CLASSES, MEMBERS)
+        totals = by_class.sum(axis=1)
+        self.class_bias = np.where(totals > 0, np.log(np.maximum(totals, 1.0) / mass.sum()), -60.0).astype(np.float32)
+        self.member_bias = np.where(by_class > 0, np.log(np.maximum(by_class, 1.0) / np.maximum(totals, 1.0)[:, None]), -60.0).astype(np.float32)
+        #: By number: the log of what its words have of their member, and how often it comes before a token.
+        self.shares = np.log10(np.concatenate((counts + 1.0, tail_mass + 1.0)))
+        self.counts = np.concatenate((counts, tail_tokens)).astype(float)
+        slots = (self.codes >> np.uint64(44)).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        same = slots[order[1:]] == slots[order[:-1]]
+        self.first, self.next = np.full(1 << 20, -1, np.int32), np.full(max(n, 1), -1, np.int32)
+        self.first[slots[order[::-1]]] = order[::-1]
+        self.next[order[:-1][same]] = order[1:][same]
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The numbers of codes (uint64)."""
+        n = len(self.codes)
+        if not n:
+            return (codes & np.uint64(_LOW)).astype(np.int32)
+        out = self.first[(codes >> np.uint64(44)).astype(np.int64)]
+        wrong = np.flatnonzero((out >= 0) & (self.codes[out] != codes))
+        while len(wrong):
+            out[wrong] = at = self.next[out[wrong]]
+            wrong = wrong[(at >= 0) & (self.codes[at] != codes[wrong])]
+        rest = np.flatnonzero(out < 0)
+        out[rest] = n + (codes[rest] & np.uint64(_LOW)).astype(np.int32)
+        return out
+
+
+def learn_vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS) -> Vocabulary:
+    """The vocabulary of counts(code, c): whole levels of frequency make the head while they fit."""
+    level = F.floor(4 * F.log2("c")).cast("int")
+    levels = {r["level"]: (r["n"], r["c"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
+    least, room = None, head_words
+    for k in sorted(levels, reverse=True):
+        room -= levels[k][0]
+        if room < 0:
+            break
+        least = k
+    in_head = level >= least if least is not None else F.lit(False)
+    # The most frequent have members of their own in any case.
+    top = counts.orderBy(F.col("c").desc(), "code").limit(_OWN).toArrow()
+    head = pa.concat_tables([counts.where(in_head).toArrow(), top])
+    codes, at = np.unique(head.column("code").to_numpy(), return_index=True)
+    amounts = head.column("c").to_numpy()[at]
+    mass, tokens = np.zeros(_SHARED), np.zeros(_SHARED)
+    tail = counts.where(~in_head).groupBy(F.col("code").bitwiseAND(F.lit(_LOW).cast("long")).cast("int").alias("k"))
+    for r in tail.agg(F.sum(F.col("c") + 1).alias("m"), F.sum("c").alias("c")).collect():
+        mass[r["k"]], tokens[r["k"]] = r["m"], r["c"]
+    beyond = at >= head.num_rows - top.num_rows  # in the head by ``top`` alone
+    shared = (codes[beyond] & _LOW).astype(np.int64)
+    np.subtract.at(mass, shared, amounts[beyond] + 1.0)
+    np.subtract.at(tokens, shared, amounts[beyond])
+    return Vocabulary(codes.view(np.uint64), amounts.astype(float), mass, tokens, sum(c for _, c in levels.values()), sum(n for n, _ in levels.values()))
 
 
 def _packed(numbers: np.ndarray, width: int) -> bytes:
@@ -257,202 +214,343 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def _added(pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs in order, and their counts."""
-    if counts is None:
-        return np.unique(pairs, return_counts=True)
-    order = np.argsort(pairs, kind="stable")
-    pairs = pairs[order]
-    firsts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
-    return pairs[firsts], np.add.reduceat(counts[order], firsts)
+class Chunk:
+    """Documents as numbers: where each starts, which are held out, and the codes of words outside the head."""
 
+    def __init__(self, numbers: bytes, lengths: bytes, held: bytes, rare: bytes = b"") -> None:
+        self.numbers = _unpacked(numbers, 3).astype(np.int32)
+        self.lengths, self.held = np.frombuffer(lengths, "<i4"), np.frombuffer(held, np.bool_)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.rare = np.frombuffer(rare, "<u8")
 
-def _bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    def pairs(self, end: int) -> np.ndarray:
+        """The number before each token, and its own, in one; a text starts after an end."""
+        before = np.concatenate(([end], self.numbers[:-1])).astype(np.int64)
+        before[self.starts] = end
+        return before << 20 | self.numbers
 
+    def by_token(self, rows: np.ndarray) -> np.ndarray:
+        """Values of documents at each of their tokens."""
+        return np.repeat(rows, self.lengths)
 
-_COUNTS, _TOKENS, _ROWS = 0, 1, 2
-_DOC = "held_out boolean, row long, n_tokens long, n_known long, base double, model double, words array<string>, tfs array<int>"
-_BLOB = "bucket int, kind int, pairs binary, places binary, values binary"
 
+def chunked(tokens: DataFrame, vocabulary, size: int = CHUNK, most_docs: int = 50_000) -> DataFrame:
+    """chunk, doc_ids, held, lengths, numbers, rare of tokens(doc_id, held_out, codes), documents together up to ``size`` tokens."""
 
-def _blobs(bucket: np.ndarray, buckets: int, kind: int, row: int, pairs: np.ndarray, values: np.ndarray, places: np.ndarray | None) -> Iterator[dict]:
-    order, width = np.argsort(bucket, kind="stable"), 4 if kind == _COUNTS else 2
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            yield {"bucket": k, "kind": kind, "row": row, "pairs": _packed(pairs[at], 5), "values": _packed(values[at], width), "places": None if places is None else _packed(np.diff(places[at], prepend=0), 2)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Vocabulary = vocabulary.value
+        first, made = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0
+        ids: list[pa.Array] = []
+        held: list[bool] = []
+        codes: list[bytes] = []
+
+        def chunk() -> pa.RecordBatch:
+            whole = np.frombuffer(b"".join(codes), "<u8")
+            numbers = known.numbers(whole)
+            columns = {
+                "chunk": pa.array([first + made], pa.int64()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.concat_arrays(ids)),
+                "held": pa.array([np.array(held, np.bool_).tobytes()], pa.binary()),
+                "lengths": pa.array([np.array([len(c) // 8 for c in codes], "<i4").tobytes()], pa.binary()),
+                "numbers": pa.array([_packed(numbers, 3)], pa.binary()),
+                "rare": pa.array([whole[numbers >= len(known.codes)].tobytes()], pa.binary()),
+            }
+            return pa.record_batch(list(columns.values()), list(columns))
+
+        waiting = 0
+        for batch in rows_of(batches, 64):
+            ids.append(batch.column(0))
+            held += batch.column(1).to_pylist()
+            codes += batch.column(2).to_pylist()
+            waiting += sum(len(c) // 8 for c in codes[-batch.num_rows :])
+            if waiting >= size or len(codes) >= most_docs:
+                yield chunk()
+                made += 1
+                waiting = 0
+                ids, held, codes = [], [], []
+        if codes:
+            yield chunk()
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "held_out", "codes").mapInArrow(run, f"chunk long, doc_ids array<{kind}>, held binary, lengths binary, numbers binary, rare binary")
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def histories(numbers: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Of each token's history: the word before, the two before, and the one two before; none reaches past a text's start."""
+    h = numbers.astype(np.uint64) * _MIX ^ np.uint64(0xC2B2AE3D27D4EB4F)
+    edge = np.uint64(0x51ED)
+    one, two = np.concatenate(([edge], h[:-1])), np.concatenate(([edge, edge], h[:-2]))[: len(h)]
+    one[starts] = two[starts] = edge
+    after = starts + 1
+    after = after[after < len(h)]
+    two[after] = edge
+    return [one, one * np.uint64(31) + two, two]
+
+
+def _slots(features: list[np.ndarray], bits: int, also: np.ndarray | None = None) -> np.ndarray:
+    """Slots of hashed features, a row each; ``also`` takes part in every hash."""
+    shift = np.uint64(64 - bits)
+    out = np.empty((len(features), len(features[0])), np.uint16)
+    for k, x in enumerate(features):
+        salted = x + np.uint64(k + 1) if also is None else x + (also + 17).astype(np.uint64) * np.uint64(0x100000001B3) + np.uint64(k + 1)
+        out[k] = (salted * _MIX ^ salted >> np.uint64(31)) * _MIX >> shift
+    return out
 
 
-def _score_rows(vocabulary: Vocabulary, w: np.ndarray, buckets: int, schema: pa.Schema):
-    """Rows of documents, and in blobs by bucket their pairs' counts (unless held out) and all their pairs with the prior's probability."""
+def _logits(w: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Logits of tokens, a row each, less the row's largest, so that no exponential overflows and one is 1."""
+    out = w.take(slots[0], axis=0)
+    for s in slots[1:]:
+        out += w.take(s, axis=0)
+    out += bias
+    out -= out.max(axis=1, keepdims=True)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = vocabulary.value, w.value
-        codes, head, base_total = _Codes(known), known.head, float(np.log10(known.tokens + known.words + 1))
-        # The head's end is in it unless nothing was learned.
-        end = codes[END] >> 32
-        row = first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        waiting: list[tuple[np.ndarray, ...]] = []
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            pairs, places, prior, held = (np.concatenate(x) for x in zip(*waiting))
-            blobs = list(_blobs(_bucket(pairs, buckets), buckets, _TOKENS, first, pairs, prior, places))
-            if not held.all():
-                learned, counts = _added(pairs[~held])
-                blobs += _blobs(_bucket(learned, buckets), buckets, _COUNTS, first, learned, counts, None)
-            yield pa.RecordBatch.from_pylist(blobs, schema)
 
-        for batch in rows_of(batches):
-            texts = batch.column("text")
-            out: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "model", "words", "tfs")}
-            split = [words_of(t.as_py()) for t in texts]
-            joined, starts = _joined([[codes[x] for x in words] for words in split])
-            numbers, slots = _slots(joined, starts)
-            y = known.classes[numbers]
-            logs = np.empty(len(y))
-            for at in range(0, len(y), _BATCH):
-                cut = slice(at, at + _BATCH)
-                logits = _logits(weights, known.bias, [s[cut] for s in slots])
-                logs[cut] = logits[np.arange(len(logits)), y[cut]] - np.log(np.exp(logits).sum(axis=1))
-            logs = logs / np.log(10) - known.log_mass[y]
-            pairs = _pairs(numbers, starts, end)
-            lengths = np.diff(np.append(starts, len(y)))
-            places = np.repeat(np.arange(row - first, row - first + len(split)), lengths)
-            held_out = np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
-            prior = np.rint(-STEPS * (logs + known.shares[numbers])).clip(0, 0xFFFF).astype(np.int32)
-            waiting.append((pairs, places, prior, held_out))
-            # A pair never seen has the prior's share alone.
-            logs += np.log10(PRIOR / (known.counts[pairs >> 20] + PRIOR))
-            model = np.add.reduceat(logs, starts)
-            for words, m in zip(split, model.tolist()):
-                found = [head.get(x) for x in words]
-                rest = Counter([x for x, c in zip(words, found) if c is None])
-                counts = sum([c for c in found if c is not None])
-                n = len(words)
-                out["row"].append(row)
-                out["n_tokens"].append(n)
-                out["n_known"].append(n - rest.total())
-                out["base"].append(counts - n * base_total)
-                out["model"].append(m + counts)
-                out["words"].append([x.decode("utf-8", "surrogatepass") for x in rest])
-                out["tfs"].append(list(rest.values()))
-                row += 1
-            out |= {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "bucket": [k % buckets for k in out["row"]], "kind": [_ROWS] * len(split)}
-            none = pa.nulls(len(split), pa.binary())
-            yield pa.record_batch([pa.array(out[f.name], f.type) if isinstance(out.get(f.name), list) else out.get(f.name, none) for f in schema], schema=schema)
-            if sum(len(x[0]) for x in waiting) >= HELD or row - first > 60_000:
-                yield from sent()
-                waiting.clear()
-                first = row
-        if waiting:
-            yield from sent()
+def log_p(w: np.ndarray, bias: np.ndarray, slots: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax's probability of each token's y."""
+    logits = _logits(w, bias, slots)
+    own = logits[np.arange(len(y)), y]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(axis=1))
+
+
+def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, y: np.ndarray, slots: np.ndarray) -> None:
+    """One gradient step on a batch of tokens; each slot's step shrinks with its past gradients."""
+    p = _logits(w, bias, slots)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    n = len(y)
+    p[np.arange(n), y] -= 1.0
+    flat = slots.ravel()
+    order = np.argsort(flat, kind="stable")
+    sorted_ = flat[order]
+    firsts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    gradient = np.add.reduceat(p.take(order % n, axis=0), firsts, axis=0)
+    at = sorted_[firsts]
+    squares[at] += np.einsum("ij,ij->i", gradient, gradient)
+    w[at] -= RATE * gradient / np.sqrt(squares[at] + 1.0)[:, None]
+
+
+Weights = tuple[np.ndarray, np.ndarray]
 
-    return run
 
+def no_weights() -> Weights:
+    """Weights before training: both factors have the shares of the counts."""
+    return np.zeros((1 << CLASS_BITS, _CLASSES), np.float32), np.zeros((1 << MEMBER_BITS, MEMBERS), np.float32)
 
-def _meet(schema: pa.Schema):
-    """Rows of documents as they are, and in blobs what the counts of pairs add to the scores of rows; sorted by bucket and kind."""
+
+def _member_slots(features: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+    return _slots([features[0], features[2]], MEMBER_BITS, classes)
+
+
+def train_round(chunks: DataFrame, vocabulary, shards: int, w: Weights, turn: int = 0, turns: int = 1, parts: int = 16) -> Weights:
+    """Weights after every shard of chunks went on from ``w`` by itself: their mean by tokens.
+
+    Takes the documents whose place in their chunk is ``turn`` of ``turns``;
+    how many files held them changes neither shards nor steps. Moves are added
+    up in two levels.
+    """
+    start = np.concatenate([x.ravel() for x in w])
+    shared = chunks.sparkSession.sparkContext.broadcast(start)
+    size, fold = -(-len(start) // parts), max(1, round(shards**0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts = None, []
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0)
-        for batch in rows_of(batches, 32):
-            kinds = batch.column("kind").to_numpy()
-            rows = batch.filter(pa.array(kinds == _ROWS))
-            if rows.num_rows:
-                none = pa.nulls(rows.num_rows, pa.binary())
-                yield pa.record_batch([none if f.name in ("places", "values") else rows.column(f.name) for f in schema], schema=schema)
-            for r in batch.select(["bucket", "kind", "row", *(x.split()[0] for x in _BLOB.split(", ")[2:])]).filter(pa.array(kinds != _ROWS)).to_pylist():
-                if r["bucket"] != bucket:
-                    bucket, parts = r["bucket"], []
-                    pairs, counts = np.zeros(0, np.int64), np.zeros(0)
-                if r["kind"] == _COUNTS:
-                    parts.append((_unpacked(r["pairs"], 5), _unpacked(r["values"], 4)))
-                    continue
-                if parts:
-                    pairs, counts = _added(*(np.concatenate(x) for x in zip(*parts)))
-                    parts = []
-                if not len(pairs):
-                    continue
-                wanted, prior = _unpacked(r["pairs"], 5), _unpacked(r["values"], 2) / STEPS
-                at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
-                seen = np.where(pairs[at] == wanted, counts[at], 0)
-                more = np.bincount(np.cumsum(_unpacked(r["places"], 2)), np.log10(1 + seen / PRIOR * 10.0**prior))
-                places = np.flatnonzero(more)
-                out = {"kind": _TOKENS, "row": r["row"], "places": _packed(np.diff(places, prepend=0), 2), "values": more[places].astype(np.float32).tobytes()}
-                yield pa.RecordBatch.from_pylist([out], schema)
+        known: Vocabulary = vocabulary.value
+        now, own, squares, tokens = None, None, None, 0
+
+        def opened() -> None:
+            nonlocal own, squares, tokens
+            flat = shared.value.copy()
+            cut = w_class_size
+            own = (flat[:cut].reshape(1 << CLASS_BITS, -1), flat[cut:].reshape(1 << MEMBER_BITS, -1), flat)
+            squares, tokens = (np.zeros(1 << CLASS_BITS, np.float32), np.zeros(1 << MEMBER_BITS, np.float32)), 0
+
+        def closed() -> pa.RecordBatch:
+            moved = (own[2] - shared.value) * np.float32(tokens)
+            rows = [moved[k * size : (k + 1) * size].tobytes() for k in range(parts)]
+            return pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([now % fold] * parts, pa.int32()), pa.array([tokens] * parts, pa.int64()), pa.array(rows, pa.binary())], ["part", "fold", "tokens", "moved"])
+
+        for batch in batches:
+            for r in rows_of([batch], 1):
+                shard = r.column("shard")[0].as_py()
+                if shard != now:
+                    if tokens:
+                        yield closed()
+                    now = shard
+                    opened()
+                chunk = Chunk(*(r.column(c)[0].as_py() for c in ("numbers", "lengths", "held")))
+                taken = ~chunk.held & (np.arange(len(chunk.held)) % turns == turn)
+                places = np.flatnonzero(chunk.by_token(taken))
+                features = [x[places] for x in histories(chunk.numbers, chunk.starts)]
+                leaves = known.leaves[chunk.numbers[places]]
+                y, member = np.divmod(leaves, MEMBERS)
+                for at in range(0, len(y), _BATCH):
+                    cut = slice(at, at + _BATCH)
+                    some = [x[cut] for x in features]
+                    update(own[0], squares[0], known.class_bias, y[cut], _slots(some, CLASS_BITS))
+                    update(own[1], squares[1], known.member_bias.take(y[cut], axis=0), member[cut], _member_slots(some, y[cut]))
+                tokens += len(y)
+        if tokens:
+            yield closed()
+
+    def total(level: int):
+        def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            moves, tokens = None, 0
+            for batch in batches:
+                for n, moved in zip(batch.column("tokens"), batch.column("moved")):
+                    more = np.frombuffer(moved.as_py(), np.float32 if level == 0 else np.float64).astype(float)
+                    moves, tokens = more if moves is None else moves + more, tokens + n.as_py()
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([tokens], pa.int64()), pa.array([moves.tobytes()], pa.binary())], ["part", "tokens", "moved"])
+
+        return add
+
+    w_class_size = w[0].size
+    # A shuffle deals chunks to shards; within a shard they come in order.
+    dealt = chunks.select(F.pmod(F.xxhash64("chunk"), F.lit(shards)).cast("int").alias("shard"), "chunk", "numbers", "lengths", "held")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "chunk")
+    moves = dealt.mapInArrow(run, "part int, fold int, tokens long, moved binary")
+    folded = moves.groupBy("part", "fold").applyInArrow(total(0), "part int, tokens long, moved binary")
+    out = start.copy()
+    for r in folded.groupBy("part").applyInArrow(total(1), "part int, tokens long, moved binary").collect():
+        out[r["part"] * size : (r["part"] + 1) * size] += (np.frombuffer(r["moved"]) / max(r["tokens"], 1)).astype(np.float32)
+    return out[:w_class_size].reshape(w[0].shape), out[w_class_size:].reshape(w[1].shape)
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of distinct keys by their bucket, and where each bucket ends in it."""
+    mixed = keys.astype(np.uint64) * _MIX
+    bucket = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _asked(vocabulary, buckets: int):
+    """Kernel over chunks: a row for each bucket with the chunk's pairs and rare words of that bucket, each once, and their counts in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Vocabulary = vocabulary.value
+        end = int(known.numbers(np.array([code_of(END)], np.uint64))[0])
+        for r in rows_of(batches, 1):
+            chunk = Chunk(*(r.column(c)[0].as_py() for c in ("numbers", "lengths", "held", "rare")))
+            learned = ~chunk.by_token(chunk.held)
+            blobs = []
+            for keys, weight, width in ((chunk.pairs(end), learned, 5), (chunk.rare.view(np.int64), learned[chunk.numbers >= len(known.codes)], 8)):
+                once, at = np.unique(keys, return_inverse=True)
+                counts = np.bincount(at, weight, len(once)).astype(np.int64)
+                order, ends = _by_bucket(once, buckets)
+                cuts = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                blobs += [[_packed(once[c], width) for c in cuts], [_packed(counts[c], 4) for c in cuts]]
+            columns = [pa.array([r.column("chunk")[0].as_py()] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)]
+            yield pa.record_batch(columns, ["chunk", "bucket", "pairs", "pair_counts", "words", "word_counts"])
 
     return run
 
 
-def _added_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by row of what all buckets added to the rows that were sent together."""
-    total = np.zeros(1 << 16)
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets, one bucket after the other, with the counts over all chunks in place of the chunk's."""
+
+    def answer(rows: list[dict]) -> pa.RecordBatch:
+        out = {"chunk": [r["chunk"] for r in rows], "bucket": [r["bucket"] for r in rows]}
+        for name, width in (("pair", 5), ("word", 8)):
+            keys, counts = ([_unpacked(r[c], w) for r in rows] for c, w in ((f"{name}s", width), (f"{name}_counts", 4)))
+            once, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counts), len(once)).astype(np.int64)[at]
+            ends = np.cumsum([len(k) for k in keys])
+            out[f"{name}_counts"] = [_packed(x, 5) for x in np.split(total, ends[:-1])]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
+
+    held: list[dict] = []
     for batch in batches:
-        for places, values in zip(batch.column("places"), batch.column("values")):
-            total[np.cumsum(_unpacked(places.as_py(), 2))] += np.frombuffer(values.as_py(), np.float32)
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(key[0].as_py() + at, pa.int64()), pa.array(total[at])], ["row", "context"])
+        for r in batch.to_pylist():
+            if held and r["bucket"] != held[-1]["bucket"]:
+                yield answer(held)
+                held = []
+            held.append(r)
+    if held:
+        yield answer(held)
+
+
+def _scored(vocabulary, weights, buckets: int):
+    """Kernel over a chunk and its answers: a row per document."""
+
+    def run(key: tuple[pa.Scalar, ...], chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        known: Vocabulary = vocabulary.value
+        w = weights.value
+        end = int(known.numbers(np.array([code_of(END)], np.uint64))[0])
+        chunk = Chunk(*(chunks.column(c)[0].as_py() for c in ("numbers", "lengths", "held", "rare")))
+        answers = answers.sort_by("bucket")
+
+        def counted(keys: np.ndarray, column: str) -> np.ndarray:
+            once, at = np.unique(keys, return_inverse=True)
+            order, _ = _by_bucket(once, buckets)
+            counts = np.empty(len(once), np.int64)
+            counts[order] = np.concatenate([_unpacked(x.as_py(), 5) for x in answers.column(column)])
+            return counts[at]
+
+        numbers = chunk.numbers
+        pairs = chunk.pairs(end)
+        seen = counted(pairs, "pair_counts")
+        tail = np.flatnonzero(numbers >= len(known.codes))
+        own = known.counts[numbers]
+        own[tail] = counted(chunk.rare.view(np.int64), "word_counts")
+        # What a word has of its number's share: all of it, but for rare words.
+        within = np.zeros(len(numbers))
+        within[tail] = np.log10(own[tail] + 1) - known.shares[numbers[tail]]
+        leaves = known.leaves[numbers]
+        y, member = np.divmod(leaves, MEMBERS)
+        features = histories(numbers, chunk.starts)
+        logs = np.empty(len(y))
+        for at in range(0, len(y), _BATCH):
+            cut = slice(at, at + _BATCH)
+            some = [x[cut] for x in features]
+            logs[cut] = log_p(w[0], known.class_bias, _slots(some, CLASS_BITS), y[cut])
+            logs[cut] += log_p(w[1], known.member_bias.take(y[cut], axis=0), _member_slots(some, y[cut]), member[cut])
+        prior = logs / np.log(10) + known.shares[numbers] - known.log_mass[leaves]
+        model = np.log10(seen + PRIOR * 10.0**prior) - np.log10(known.counts[pairs >> 20] + PRIOR) + within
+        base = np.log10(own + 1) - np.log10(known.tokens + known.words + 1)
+        sums = [np.add.reduceat(x, chunk.starts) for x in (own > 0, base, model)]
+        ids = chunks.column("doc_ids").combine_chunks().flatten()
+        columns = [ids, pa.array(chunk.held), pa.array(chunk.lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
+    return run
 
-def learn(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray, DataFrame]:
-    """Vocabulary, weights and the table of all counts, from docs(doc_id, text)."""
-    counts = materialize(count_words(docs), "lm-counts")
-    level = F.floor(4 * F.log2("c")).cast("int")
-    levels = {r["level"]: (r["n"], r["c"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
-    least, room = None, head_words
-    for k in sorted(levels, reverse=True):
-        room -= levels[k][0]
-        if room < 0:
-            break
-        least = k
-    in_head = level >= least if least is not None else F.lit(False)
-    head = [(r["word"], r["c"]) for r in counts.where(in_head).toArrow().to_pylist()]
-    ending = F.crc32(F.substring("word", -2, 2).cast("binary")) % ENDINGS + SINGLES
-    tail = counts.where(~in_head)
-    rest = tail.groupBy(ending.cast("int").alias("k")).agg(F.sum(F.col("c") + 1).alias("m"), F.sum("c").alias("c")).collect()
-    mass, tail_tokens = {r["k"]: r["m"] for r in rest}, {r["k"]: r["c"] for r in rest}
-    vocabulary = Vocabulary(head, mass, sum(c for _, c in levels.values()), sum(n for n, _ in levels.values()), tail_tokens)
-    w = np.zeros((1 << HASH_BITS, _CLASSES), np.float32)
+
+def learn(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> tuple[Vocabulary, Weights, DataFrame]:
+    """Vocabulary and weights from docs(doc_id, text) that are not held out, and all documents in chunks."""
+    tokens = materialize(tokens_of(docs), "lm-tokens")
+    counts = materialize(count_codes(tokens.where(~F.col("held_out"))), "lm-counts")
+    known = learn_vocabulary(counts, head_words)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(known)
+    chunks = materialize(chunked(tokens, vocabulary), "lm-chunks")
+    discard(tokens, counts)
+    w = no_weights()
     for k in range(rounds):
-        turn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == k)
-        w = train_round(turn, vocabulary, w)
-    return vocabulary, w, tail
+        w = train_round(chunks, vocabulary, known.tokens // SHARD + 1, w, k, rounds)
+    return known, w, chunks
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text), a row each.
 
-    Counts and gradients come from all documents that are not held out. A
-    null text counts as empty: one token, its end. Null ids and repeated rows
-    stay; an empty table gives no rows.
+    Counts and gradients come from all documents that are not held out; the
+    rounds of training share them, one pass over each. A null text counts as
+    empty: one token, its end. Whole texts of any length are scored. Null ids
+    and repeated rows stay; an empty table gives no rows. Words are told apart
+    by 55 bits of their hash and their last letters.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    vocabulary, w, tail = learn(docs.where(~is_held_out()))
-    kind = T.StructType([T.StructField("kind", T.IntegerType()), docs.schema["doc_id"], *T._parse_datatype_string(f"{_DOC}, places binary, values binary")])
-    sent = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(f"{_BLOB}, {_DOC}")])
-    for field in (*kind, *sent):
-        field.nullable = True
-    shared = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(w)
-    buckets = vocabulary.tokens // BUCKET + 1
-    marked = docs.select("doc_id", "text", is_held_out().alias("held_out"))
-    dealt = marked.mapInArrow(_score_rows(*shared, buckets, to_arrow_schema(sent)), sent).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    met = materialize(dealt.mapInArrow(_meet(to_arrow_schema(kind)), kind), "lm-rows")
-    rows = met.where(F.col("kind") == _ROWS).drop("kind", "places", "values")
-    seen = met.where(F.col("kind") == _TOKENS).select("row", "places", "values").groupBy("row").applyInArrow(_added_up, "row long, context double")
-    rest = rows.select("row", F.explode(F.arrays_zip("words", "tfs")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf"))
-    # Words outside the head: each is rare, so its rows are few.
-    found = rest.join(tail, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("words", "tfs").join(found, "row", "left").join(seen, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more + F.coalesce("context", F.lit(0.0))).alias("score"),
-    )
+    known, w, chunks = learn(docs, head_words, rounds)
+    context, buckets = docs.sparkSession.sparkContext, known.tokens // BUCKET + 1
+    vocabulary, weights = context.broadcast(known), context.broadcast(w)  # of fixed size
+    asked = chunks.select("chunk", "numbers", "lengths", "held", "rare").mapInArrow(_asked(vocabulary, buckets), "chunk long, bucket int, pairs binary, pair_counts binary, words binary, word_counts binary")
+    asked = asked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk")
+    answers = asked.mapInArrow(_answered, "chunk long, bucket int, pair_counts binary, word_counts binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    rows = both.applyInArrow(_scored(vocabulary, weights, buckets), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")

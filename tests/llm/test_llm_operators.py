@@ -263,21 +263,62 @@ def test_lm_scores(docs, none, texts):
     assert lm.score(none).count() == 0
 
 
-def test_lm_small_head_gives_the_same_base(docs, monkeypatch):
-    full = {(r["doc_id"], round(r["base_score"], 6)) for r in lm.score(docs).collect()}
-    monkeypatch.setattr(lm.learn, "__defaults__", (40, 1))
-    assert {(r["doc_id"], round(r["base_score"], 6)) for r in lm.score(docs).collect()} == full
+def test_lm_small_head_gives_the_same_base(docs):
+    full = Counter((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.score(docs).collect())
+    assert Counter((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.score(docs, 40, 1).collect()) == full
 
 
-def test_lm_classes_sum_to_one():
-    head = [(w, 50 - k) for k, w in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(" ", 80), ("longer", 3)]
-    vocabulary = lm.Vocabulary(head, {lm.SINGLES: 7}, 1000, 30)
-    known = Counter()
-    for w, c in head:
-        known[vocabulary.class_of(w.encode())] += c + 1
-    for k in range(lm._CLASSES):
-        mass = known[k] + (7 if k == lm.SINGLES else 0) + (k >= lm.SINGLES)
-        assert math.isclose(10 ** vocabulary.log_mass[k], max(mass, 1))
+def test_lm_vocabulary_numbers_and_masses():
+    rng = np.random.default_rng(4)
+
+    def coded(values):  # the low bits name a shared member
+        values = values.astype(np.uint64)
+        return values & ~np.uint64(511) | (values & np.uint64(511)) % np.uint64(lm._SHARED)
+
+    codes = np.unique(coded(rng.integers(0, 1 << 62, 5000)))
+    codes[:200] = np.uint64(7 << 44) + np.arange(200).astype(np.uint64) * np.uint64(512)  # one slot of the table
+    counts = rng.integers(1, 50, len(codes)).astype(float)
+    tail = np.arange(lm._SHARED, dtype=float)
+    known = lm.Vocabulary(codes, counts, tail, tail / 2, 1000, 30)
+    assert (known.numbers(known.codes) == np.arange(len(codes))).all() and (np.diff(known.counts[: len(codes)]) <= 0).all()
+    others = np.setdiff1d(coded(rng.integers(0, 1 << 62, 3000)), codes)
+    assert (known.numbers(others) == len(codes) + (others & np.uint64(511)).astype(int)).all()
+    # What all words of a member share is its mass.
+    mass = np.zeros(lm._OWN + lm._SHARED)
+    np.add.at(mass, known.leaves, 10**known.shares)
+    assert np.allclose(mass, 10**known.log_mass)
+
+
+def test_lm_gradient_step_by_a_naive_loop():
+    rng = np.random.default_rng(2)
+    w, squares, bias = rng.standard_normal((32, 5)).astype(np.float32), rng.random(32).astype(np.float32), rng.standard_normal(5).astype(np.float32)
+    y, slots = rng.integers(0, 5, 40), rng.integers(0, 32, (3, 40)).astype(np.uint16)
+    gradient = np.zeros((32, 5))
+    for t in range(40):
+        logits = sum(w[s[t]].astype(float) for s in slots) + bias
+        p = np.exp(logits) / np.exp(logits).sum()
+        p[y[t]] -= 1
+        for s in slots:
+            gradient[s[t]] += p
+    after = squares + (gradient**2).sum(axis=1)
+    want = np.where(np.isin(np.arange(32), slots)[:, None], w - lm.RATE * gradient / np.sqrt(after + 1)[:, None], w)
+    lm.update(w, squares, bias, y, slots)
+    assert np.allclose(w, want, atol=1e-4)
+    # Logits far below zero neither overflow nor vanish.
+    assert np.isfinite(lm.log_p(w * 0, bias - 500, slots, y)).all()
+
+
+def test_lm_beats_its_base_and_files_do_not_matter(spark):
+    rng = random.Random(5)
+    nouns, verbs = [f"n{k}a" for k in range(300)], [f"v{k}o" for k in range(300)]
+    rows = [(k, " ".join(f"the {rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(40))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for files in (1, 40):
+        got = lm.score(df.repartition(files)).where("held_out").collect()
+        found.append(sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got))
+        assert found[-1] > sum(r["base_score"] for r in got) / sum(r["n_tokens"] for r in got) + 0.3
+    assert abs(found[0] - found[1]) < 0.05
 
 
 def test_lm_learns_every_pair(spark):
@@ -300,22 +341,28 @@ def test_lm_scores_by_brute_force(spark):
     rows = [(k, t) for k, t in enumerate(["a b a c", "a b b", "c a b", "b", "a c c b a", "d a b", "b a b a", "c c", "a b c d", "d d a"])]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: (r["held_out"], r["score"]) for r in lm.score(df).collect()}
-    vocabulary, w, _ = lm.learn(df.where(~lm.is_held_out()))
+    known, w, _ = lm.learn(df)
     learned = [lm.words_of(t) for k, t in rows if not got[k][0]]
     pairs = Counter(p for words in learned for p in zip([lm.END, *words], words))
     before = Counter(p[0] for words in learned for p in zip([lm.END, *words], words))
-    codes = lm._Codes(vocabulary)
+
+    def softmax(logits):
+        p = np.exp(logits.astype(float))
+        return p / p.sum(axis=1, keepdims=True)
+
     for k, text in rows:
         words = lm.words_of(text)
-        numbers, slots = lm._slots(np.array([codes[x] for x in words]), np.array([0]))
-        logits = lm._logits(w, vocabulary.bias, slots).astype(float)
-        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        numbers = known.numbers(np.array([lm.code_of(x) for x in words], np.uint64))
+        features = lm.histories(numbers, np.array([0]))
+        classes = softmax(lm._logits(w[0], known.class_bias, lm._slots(features, lm.CLASS_BITS)))
+        members = [softmax(lm._logits(w[1], known.member_bias[[c] * len(words)], lm._member_slots(features, np.full(len(words), c)))) for c in range(lm._CLASSES)]
+        leaves = np.concatenate([classes[:, [c]] * m for c, m in enumerate(members)], axis=1)
         total = 0.0
         for at, (a, b) in enumerate(zip([lm.END, *words], words)):
-            prior = p[at][vocabulary.classes] * 10 ** (vocabulary.shares - vocabulary.log_mass[vocabulary.classes])
+            prior = leaves[at][known.leaves] * 10 ** (known.shares - known.log_mass[known.leaves])
             assert math.isclose(prior.sum(), 1, abs_tol=1e-5)
-            p0 = prior[vocabulary.number.get(b, numbers[at])]
-            total += math.log10((pairs[a, b] + lm.PRIOR * p0) / (before[a] + lm.PRIOR))
+            p0, rare = prior[numbers[at]], numbers[at] >= len(known.codes)
+            total += math.log10((pairs[a, b] + lm.PRIOR * p0) / (before[a] + lm.PRIOR)) - rare * known.shares[numbers[at]]
         assert math.isclose(got[k][1], total, abs_tol=1e-3)
 
 
