@@ -29,9 +29,9 @@ BATCH_ROWS = 1024
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session was told to send Python small batches, unless the user has set their size."""
+    """``df``, whose session sends Python batches of ``BATCH_ROWS`` from now on, unless the user set a size, whatever it is."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":  # Spark's default
+    if name not in conf.getAll:  # the user's own settings
         conf.set(name, str(BATCH_ROWS))
     return df
 
@@ -68,11 +68,53 @@ def tiled(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFram
     )
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with ``__id`` and ``__hash``, which tell documents apart without their texts.
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator puts its own in place of."""
+    mine = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in mine])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as set it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """id, hash, row of docs(doc_id, text, ...): what tells documents apart without their texts, and the whole row as one.
 
     A row without an id takes one from its text, behind any id in use.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    without = digest.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), without), "__hash": digest})
+    without_id = digest.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), without_id).alias("id"), digest.alias("hash"), whole.alias("row"))
+
+
+def one_row_each(rows: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
+    """``rows`` with one row for each key; ``repeated`` holds the keys of several rows.
+
+    Of these the row with the smallest hash of all its columns stays. Only they are shuffled.
+    """
+    some = rows.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rows.join(repeated, keys, "left_anti").select(*keys, "row").unionByName(some)
+
+
+#: Keys that hold more than this share of the rows are told to all tasks; there are at most as many as its inverse.
+HOT = 1 / 1000
+
+
+def joined_hot(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has a row for every key and the number ``n`` of its rows.
+
+    The few keys that hold a large share of the rows are broadcast (at most
+    1 / HOT of them, by counting), so their rows stay where they are; the rows
+    of all others are shuffled.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = facts.where(F.col(n) > HOT * total)
+    found = rows.join(F.broadcast(hot.drop(n)), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return found.unionByName(rest.join(facts.where(F.col(n) <= HOT * total).drop(n), key))

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiresmith.session import materialize
+from quiresmith.llm.common import joined_hot
+from quiresmith.session import discard, materialize
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -23,34 +24,33 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return child, label[child]
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node in edges(a, b), longs.
 
     Large-star and small-star rounds (Kiveris et al., 2014): each hangs
     neighbours on the smallest one known, with a minimum per node that is
-    combined before the shuffle; no node's neighbours meet in a list. Rounds
-    are cut by tables in the shared folder and end when the links stand still.
+    combined before the shuffle; no node's neighbours meet in a list, and the
+    links of a node with very many stay where they are. Rounds are cut by
+    tables in the shared folder, of which the last is kept, and end when the
+    links stand still, as they do after finitely many.
     """
     links = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     links = materialize(links.distinct(), "links")
-    state = _state(links)
-    for _ in range(max_rounds):
+    state, now = None, _state(links)
+    while now != state:
         # Large star: of a node's neighbours, the larger ones move to the smallest.
         both = links.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = joined_hot(both.where("v > u"), least, "u", "n").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         large = materialize(large.where("lo <> hi").distinct(), "links")
+        discard(links, least)
         # Small star: a node and its smaller neighbours move to the smallest of these.
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        least = materialize(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        moved = joined_hot(large, least, "hi", "n").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
         small = moved.union(least.select(F.col("m").alias("lo"), "hi"))
         links = materialize(small.where("lo <> hi").distinct(), "links")
-        now = _state(links)
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        discard(large, least)
+        state, now = now, _state(links)
     roots = links.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
     return roots.union(links.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 

@@ -19,15 +19,19 @@ def held_out(column: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """doc_id, text, y (0 or 1) of at most ``max_rows`` labelled documents that are not held out.
 
-    Where there are more labels, the rows with the smallest hashes of doc_id
-    are taken. The sample's ids are few by that bound, so they are broadcast
-    and no text is shuffled. Null ids and null labels teach nothing; of labels
-    that disagree the higher holds.
+    Where there are more, those with the smallest hashes of doc_id, then of
+    the text, are taken; rows that repeat an id and its text count once. The
+    sample's ids are few by that bound, so they are broadcast and only its own
+    texts are shuffled. Null ids and null labels teach nothing; of labels that
+    disagree the higher holds.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).join(F.broadcast(taken), "doc_id")
+    once = found.groupBy("doc_id", "_h").agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    bounded = once.orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(max_rows)
+    return bounded.repartition("doc_id").select("doc_id", "text", "y")
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiresmith.llm.common import with_keys, word_count
+from quiresmith.llm.common import as_rows, one_row_each, word_count
 from quiresmith.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -31,17 +31,20 @@ BLOCK_ROWS = 2048
 #: Undecided short documents that a block leaves to the landing.
 SPARE = 8
 _EPS = 1e-9
+#: Rows alike that one task numbers.
+_ALIKE = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, source_size, source_docs, source_rank, target for sizes(source, size).
+    """source, source_size, source_docs, source_rank, target for sizes(source, size, and n where a row stands for n).
 
     Sources by code point, null last, take the weights in turn. Targets are
     min(max_repeats * size, level * weight), where the level makes them sum to
     all words: sources are passed in order of the level that fills them, and
     the level that the rest can hold is read off running sums.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    n = F.col("n") if "n" in sizes.columns else F.lit(1)
+    sources = sizes.groupBy("source").agg(F.sum(F.col("size") * n).alias("source_size"), F.sum(n).alias("source_docs"))
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sources.withColumn("source_rank", F.row_number().over(in_order) - 1)
     ranked = ranked.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("source_rank") % len(weights) + 1).cast("int")))
@@ -145,14 +148,21 @@ def mix(
     """Mix docs(doc_id, text, source): doc_id, source, size, source_size, target, copies.
 
     One row per document; ``copies`` (0 to max_repeats) is how often the mix
-    takes it. Draws hang on doc_id, size and seed alone, so reruns agree
+    takes it. Draws hang on ids, texts and seed alone, so reruns agree
     whatever the partitioning. A null text has size 0; a null source is a
     source of its own, the last; null ids and repeated rows are documents like
-    any other; an empty table gives an empty mix. ``keys`` are the columns
-    that the mix keeps, doc_id first.
+    any other, told apart by a running number, and fly in many blocks; texts
+    of any length are counted whole; an empty table gives an empty mix.
+    ``keys`` are the columns that the mix keeps, doc_id first.
     """
-    sizes = materialize(docs.select(*keys, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    plan = source_targets(sizes, weights, max_repeats)
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    every = docs.select(*keys, "source", word_count(F.col("text")).alias("size"), digest.alias("_hash"))
+    counted = materialize(every.groupBy(*keys, "source", "size", "_hash").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    plan = source_targets(counted, weights, max_repeats)
+    # Rows that are alike get running numbers, in parts so that no task makes all of them.
+    parts = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _ALIKE).cast("int")))).repartition("_hash", "_part")
+    last = F.least((F.col("_part") + 1) * _ALIKE, F.col("n")) - 1
+    sizes = parts.withColumn("_k", F.explode(F.sequence((F.col("_part") * _ALIKE).cast("long"), last.cast("long"))))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sizes.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
@@ -160,7 +170,7 @@ def mix(
         .withColumn("_rate", F.least(rate, F.lit(float(max_repeats))))
         .withColumn("_whole", F.floor("_rate").cast("int"))
         .withColumn("_chance", F.col("_rate") - F.col("_whole"))
-        .withColumn("_order", F.xxhash64("doc_id", F.lit(seed)))
+        .withColumn("_order", F.xxhash64("doc_id", "_hash", "_k", F.lit(seed)))
     )
     keep = [*keys, "source", "size", "source_size", "target", "source_rank", "_whole", "_chance", "_order"]
     kind = rows.select(*keep).schema
@@ -177,7 +187,7 @@ def mix(
     open_ = (F.col("_chance") > 0) & (F.col("_chance") < 1)
     done, left = state.where(~open_), state.where(open_)
     # A block leaves SPARE units at most, so each level shrinks a large source by block_rows / SPARE.
-    most = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    most = counted.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     level = 1
     while (most := SPARE * -(-most // block_rows)) > block_rows:
         level += 1
@@ -189,12 +199,18 @@ def mix(
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs(doc_id, text, source, ...) with each document as often as the mix takes it; those not taken go."""
-    keyed = with_keys(docs)
-    taken = mix(keyed.select(F.col("__id").alias("doc_id"), "__hash", "text", "source"), keys=("doc_id", "__hash"), **options)
-    # Rows that share id, text and source are one document to the join.
-    own = F.xxhash64("source").alias("__from")
-    totals = taken.groupBy(F.col("doc_id").alias("__id"), "__hash", own).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
-    once = keyed.withColumn("__from", F.xxhash64("source")).dropDuplicates(["__id", "__hash", "__from"])
-    found = once.join(totals, ["__id", "__hash", "__from"])
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs(doc_id, text, source, ...) with each document as often as the mix takes it; those not taken go.
+
+    All columns stay as they are, whatever their names. Rows that share id,
+    text and source are taken as often as the mix takes all of them together,
+    all as the one with the smallest hash of its columns.
+    """
+    rows = as_rows(docs).withColumn("from", F.xxhash64("row.source"))
+    keyed = rows.select(F.col("id").alias("doc_id"), "hash", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    taken = mix(keyed, keys=("doc_id", "hash"), **options)
+    totals = taken.groupBy(F.col("doc_id").alias("id"), "hash", F.xxhash64("source").alias("from")).agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
+    totals = materialize(totals, "mix-totals")
+    keys = ["id", "hash", "from"]
+    once = one_row_each(rows, keys, totals.where("copies > 0 and n > 1").select(*keys))
+    found = once.join(totals.where("copies > 0").select(*keys, "copies"), keys)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import in_small_batches, rows_of
+from quiresmith.llm.common import in_small_batches, rows_of, without
 from quiresmith.llm.learning import held_out, isotonic, labelled_sample
 
 #: At most so many labelled rows teach the model.
@@ -181,10 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int
 def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
     """docs(text, ...) with a ``column`` of scores added; without a model every score is 1.
 
-    Whole texts are scored; null and empty ones have the score of the bare
-    bias. Nulls in other columns and repeated rows stay; an empty table gives
-    no rows.
+    Whole texts of any length are scored; null and empty ones have the score
+    of the bare bias. Nulls in other columns and repeated rows stay; a column
+    of that name gives way to the scores; an empty table gives no rows.
     """
+    docs = without(docs, column)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import in_small_batches, rows_of, tiled, with_keys
+from quiresmith.llm.common import as_rows, in_small_batches, joined_hot, one_row_each, rows_of, tiled, without
 from quiresmith.llm.graph import components, forest
 from quiresmith.session import materialize
 
@@ -168,25 +168,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     the smallest doc_id reachable over links, the document's own included. A
     null or empty text has fingerprint 0, linked like any other; documents
     with a null id get the smallest id of their component (null if it has
-    none); repeated rows stay as they are; an empty table gives no rows.
+    none); repeated rows stay as they are; an empty table gives no rows. Texts
+    of any length are read whole. Columns named fp or component_id give way.
     """
-    marked = materialize(fingerprints(docs, shingle), "simhash")
-    first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    marked = materialize(fingerprints(without(docs, "fp", "component_id"), shingle), "simhash")
+    first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     groups = components(linked(first.select("fp"), radius))
-    named = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(*marked.columns, "component_id")
+    named = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = materialize(named, "simhash-roots")
+    smallest = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_n")), "simhash-components")
+    by_fp = joined_hot(named.select("fp", "root", "n"), smallest, "root", "_n").select("fp", "component_id", "n")
+    return joined_hot(marked, materialize(by_fp, "simhash-facts"), "fp", "n").select(*marked.columns, "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs(doc_id, text, ...) with one document of each component, the one of the smallest id.
 
-    Rows without an id stand behind all others. Rows that share id and text
-    are one document.
+    Of several with that id, the smallest hash of the text decides, then that
+    of all columns; all columns stay as they are, whatever their names. Rows
+    without an id stand behind all others. Null and empty texts are one
+    document; an empty table gives no rows.
     """
-    keyed = with_keys(docs)
-    marked = near_duplicates(keyed.select(F.col("__id").alias("doc_id"), "text", "__hash"), shingle, radius)
-    kept = marked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").alias("__id"), "__hash")).alias("k")).select("k.*")
-    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    rows = as_rows(docs)
+    marked = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"), "hash"), shingle, radius)
+    keys = materialize(marked.groupBy("component_id", F.col("doc_id").alias("id"), "hash").agg(F.count(F.lit(1)).alias("n")), "simhash-keys")
+    kept = keys.groupBy("component_id").agg(F.min(F.struct("id", "hash")).alias("k"), F.count(F.lit(1)).alias("_n"))
+    # What goes is less than what stays: only its keys meet the texts.
+    judged = materialize(joined_hot(keys, materialize(kept, "simhash-kept"), "component_id", "_n").select("id", "hash", "n", (F.struct("id", "hash") == F.col("k")).alias("stays")), "simhash-judged")
+    left = rows.join(judged.where(~F.col("stays")).select("id", "hash"), ["id", "hash"], "left_anti")
+    return one_row_each(left, ["id", "hash"], judged.where("stays and n > 1").select("id", "hash")).select("row.*")

@@ -41,10 +41,7 @@ def _pack(rows: DataFrame, key: str, out: str) -> DataFrame:
         order = table.sort_by("vec_id")
         ids = order.column("vec_id").to_numpy()
         flat = order.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        # Rows that repeat an id stand for one vector, the first in order.
-        first = np.concatenate(([True], ids[1:] != ids[:-1]))
-        mat = flat.reshape(len(ids), -1)
-        return pa.table({out: pa.array([k[0].as_py()], pa.int32()), "dim": pa.array([k[1].as_py()], pa.int32()), "ids": [ids[first].astype("<i8").tobytes()], "mat": [mat[first].astype("<f8").tobytes()]})
+        return pa.table({out: pa.array([k[0].as_py()], pa.int32()), "dim": pa.array([k[1].as_py()], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "mat": [flat.astype("<f8").tobytes()]})
 
     return rows.groupBy(key, "dim").applyInArrow(run, f"{out} int, dim int, ids binary, mat binary")
 
@@ -95,20 +92,23 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = SCALE, shard
 
     ``is_query`` is a condition on vec_id. All rows but those of the query's
     own id are candidates; ties go to the smaller vec_id; vectors of another
-    dimension do not meet. Rows that repeat an id count once. Null vectors,
-    null or non-finite components and null ids take no part; without queries
-    or candidates there are no rows.
+    dimension do not meet. Rows that repeat an id are candidates each, and
+    queries that repeat one share a list. Scores beyond the range of a long
+    are held at its ends and tie there. Null vectors, null or non-finite
+    components and null ids take no part; without queries or candidates there
+    are no rows.
     """
     v = materialize(whole_numbers(vectors, scale).withColumn("dim", F.size("v")), "topk-vectors")
     n, queries = v.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries // block_rows))
-    dealt = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = v.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    # By id and vector, so that rows that repeat an id are dealt like others.
+    dealt = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    asked = v.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     packed = _pack(dealt, "shard", "shard")
     sent = _pack(asked, "block", "block").withColumnsRenamed({"ids": "q_ids", "mat": "q_mat"})
     sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # Shards stay where the join puts them, and blocks come to them.
     tiles = sent.join(packed, ["shard", "dim"]).select("shard", "dim", "q_ids", "q_mat", "ids", "mat")
-    tiles = tiles.repartition(max(1, min(shards * blocks, 4096)), "shard", F.xxhash64("q_ids"))
     lists = tiles.mapInArrow(_tile(k), "query_id long, vec_id long, score long, shard int")
     order = [F.col("score").desc(), F.col("vec_id")]
     groups = max(1, round(shards**0.5))

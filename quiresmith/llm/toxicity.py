@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import in_small_batches, rows_of
+from quiresmith.llm.common import in_small_batches, rows_of, without
 from quiresmith.llm.learning import Trees, held_out, isotonic, labelled_sample
 from quiresmith.session import materialize
 
-#: At most so many labelled rows teach the model, and so many words make the lexicon.
-MAX_ROWS, MAX_WORDS = 20_000, 4096
+#: At most so many labelled rows teach the model; its lexicon is of their words.
+MAX_ROWS = 20_000
 LEAST_DOCS = 5
 THRESHOLD = 0.5
 #: Words of the second person in the corpus languages, and letters that digits and signs stand for.
@@ -56,25 +56,26 @@ def features(text: str | None, lexicon: dict[str, float], strong: float) -> list
         return [0.0] * len(FEATURES)
     hits = [(k, lexicon[w]) for k, w in enumerate(words) if w in lexicon]
     odd = disguised = 0
-    known = set(words)
+    known = dict(zip(reversed(words), range(n - 1, -1, -1)))  # where each stands first
     for w in known:
         if not w.isalpha() and len(w) > 2 and _INNER.search(w):
             odd += 1
             found = next((x for x in revealed(w) if x in lexicon), None)
             if found:
                 disguised += 1
-                hits.append((words.index(w), lexicon[found]))
+                hits.append((known[w], lexicon[found]))
         elif w not in lexicon and _REPEAT.search(w):
             short = _REPEAT.sub(r"\1", w)
             if short in lexicon:
                 disguised += 1
-                hits.append((words.index(w), lexicon[short]))
+                hits.append((known[w], lexicon[short]))
     heavy = [k for k, v in hits if v >= strong]
-    persons = [k for k, w in enumerate(words) if w in SECOND_PERSON] if not known.isdisjoint(SECOND_PERSON) else []
+    persons = [k for k, w in enumerate(words) if w in SECOND_PERSON] if not SECOND_PERSON.isdisjoint(known) else []
     near = 0.0
     if heavy and persons:
-        places = np.array(persons)
-        near = max(1.0 / (1 + np.abs(places - k).min()) for k in heavy)
+        places, marked = np.array([-n, *persons, 2 * n]), np.array(heavy)
+        after = np.searchsorted(places, marked)
+        near = 1.0 / (1 + int(np.minimum(places[after] - marked, marked - places[after - 1]).min()))
     size = max(1, len(text))
     upper = sum(map(str.isupper, text.split()))
     marks = text.count("!") + text.count("?")
@@ -107,11 +108,10 @@ def learn_lexicon(sample: DataFrame, folds: int = 2) -> list[tuple[str, list[flo
         for batch in rows_of(batches):
             word, y, fold = [], [], []
             for r in batch.to_pylist():
-                for w in set(plain_words(r["text"] or "")):
-                    if 1 < len(w) <= 64:
-                        word.append(w)
-                        y.append(r["y"])
-                        fold.append(r["fold"])
+                for w in {*plain_words(r["text"] or "")} - {""}:
+                    word.append(w)
+                    y.append(r["y"])
+                    fold.append(r["fold"])
             yield pa.record_batch([pa.array(word, pa.string()), pa.array(y, pa.int32()), pa.array(fold, pa.int32())], ["word", "y", "fold"])
 
     one = sample.groupBy(F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text"), F.max("y").alias("y"), F.min("fold").alias("fold"))
@@ -121,7 +121,7 @@ def learn_lexicon(sample: DataFrame, folds: int = 2) -> list[tuple[str, list[flo
     toxic = sum(F.col(f"n1{f}") for f in range(folds))
     clean = sum(F.col(f"n0{f}") for f in range(folds))
     lead = counted.where((toxic >= LEAST_DOCS) & (toxic * (sum(totals[:folds]) + 1) > 2 * clean * (sum(totals[folds:]) + 1)))
-    best = lead.orderBy((toxic / (clean + 1)).desc(), "word").limit(MAX_WORDS).collect()
+    best = lead.orderBy("word").collect()  # few: each is in LEAST_DOCS labelled rows at least
     found = []
     for r in best:
         odds = []
@@ -179,10 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, strong: fl
 def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
     """docs(text, ...) with a ``column`` of scores added; without a model every score is 0.
 
-    Whole texts are scored; null and empty ones have the score of an empty
-    text. Nulls in other columns and repeated rows stay; an empty table gives
-    no rows.
+    Whole texts of any length are scored, in time that grows with their
+    words; null and empty ones have the score of an empty text. Nulls in other
+    columns and repeated rows stay; a column of that name gives way to the
+    scores; an empty table gives no rows.
     """
+    docs = without(docs, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
