@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,13 +29,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut lineage that outlives executors."""
+def materialize(df: DataFrame, name: str, *facts: Column) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut lineage that outlives executors.
+
+    ``facts`` are aggregates that are taken while it is written; the table's
+    ``facts`` has them by name.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    seen = Observation() if facts else None
+    (df.observe(seen, *facts) if facts else df).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table.shared_path = path
+    table.shared_path, table.facts = path, seen.get if facts else {}
     return table
 
 
