@@ -106,14 +106,13 @@ def one_row_each(rows: DataFrame, keys: list[str], repeated: DataFrame) -> DataF
 HOT = 1 / 1000
 
 
-def joined_hot(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+def joined_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """``rows`` with the columns of ``facts``, which has a row for every key and the number ``n`` of its rows.
 
-    The few keys that hold a large share of the rows are broadcast (at most
-    1 / HOT of them, by counting), so their rows stay where they are; the rows
-    of all others are shuffled.
+    The few keys that hold a large share of ``total`` rows are broadcast, so
+    their rows stay where they are; the rows of all others are shuffled. Where
+    there are no more rows than ``total``, at most 1 / HOT keys are hot.
     """
-    total = facts.agg(F.sum(n)).first()[0] or 0
     hot = facts.where(F.col(n) > HOT * total)
     found = rows.join(F.broadcast(hot.drop(n)), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")

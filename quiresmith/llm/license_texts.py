@@ -10,8 +10,49 @@ def _gnu(work: str, license_: str, version: str) -> str:
     return f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {license_} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
 
 
+#: (SPDX identifier, name as written in notices)
+NAMES: tuple[tuple[str, str], ...] = (
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("EPL-2.0", "Eclipse Public License 2.0"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("Zlib", "zlib License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+)
+#: Wordings that give an identifier or a name; by rule for each of them.
+BY_IDENTIFIER = ("SPDX-License-Identifier: {}", "Licensed under {}.", "Licensed under the {} license.", "Released under the {} license.", "License: {}")
+BY_NAME = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This project is licensed under the terms of the {}.", "Distributed under the {}.")
+#: Suffixes of GNU identifiers.
+_SUFFIXES = ("", "-only", "-or-later")
+
+
+def _by_rule() -> tuple[tuple[str, str], ...]:
+    """The wordings of all identifiers and names."""
+    ids = [(f"{i}{s}" if s == "-or-later" else i, f"{i}{s}") for i, _ in NAMES for s in (_SUFFIXES if "GPL" in i else _SUFFIXES[:1])]
+    ids += [(i, i.replace("CC-", "CC ").replace("-4.0", " 4.0").replace("-1.0", " 1.0")) for i, _ in NAMES if i.startswith("CC-")]
+    notices = [(i, w.format(shown)) for i, shown in ids for w in BY_IDENTIFIER]
+    named = [(i, name) for i, name in NAMES] + [(f"{i}-or-later", f"{name} or later") for i, name in NAMES if "GPL" in i]
+    return (*notices, *((i, w.format(name)) for i, name in named for w in BY_NAME))
+
+
+#: Titles of license texts, which count where they stand on a line of their own.
+TITLES: tuple[tuple[str, str], ...] = (*NAMES, ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("MIT", "The MIT License (MIT)"))
 #: (SPDX identifier, wording)
-TEMPLATES: tuple[tuple[str, str], ...] = (
+_WORDINGS: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -57,4 +98,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+    (
+        "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
+#: All wordings that are looked for, each once.
+TEMPLATES: tuple[tuple[str, str], ...] = tuple(dict.fromkeys((*_WORDINGS, *_by_rule())))

@@ -5,8 +5,8 @@ cues: a passage is taken only if nearly all of the template's words stand in
 it, in order, and every number and license code among them. Passages are
 compressed, with a few words around them, alone and with their template as a
 raw zstandard dictionary; the template that saves most names the license. A
-passage taken is taken out and the rest of its block is looked at again, so
-that a block can hold several licenses.
+passage taken is blanked, in all blocks, and the rest of its block is looked at
+again, so that a block can hold several licenses and none spans another.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiresmith.llm.common import rows_of
-from quiresmith.llm.license_texts import TEMPLATES
+from quiresmith.llm.license_texts import TEMPLATES, TITLES
 
 #: A word that every template has one of.
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|creative commons"
+CUE = r"(?i)licen[cs]|copyright|permission|permitted|redistribut|public domain|creative commons|CC0"
 #: Words on either side of a cue that belong to its block (the longest template's, so that it fits), and the longest block that is looked at in one piece.
 MARGIN, LONGEST = max(len(text.split()) for _, text in TEMPLATES), 1500
 #: Words of a template that may differ, as a share; articles may always.
@@ -50,14 +50,15 @@ def starts_item(text: str, spans: list[tuple[int, int]], raw: list[str], k: int)
 
 
 @lru_cache(maxsize=1)
-def _templates() -> list[tuple[str, list[str], object]]:
+def _templates() -> list[tuple[str, list[str], object, bool]]:
+    """Name, words, compressor and whether it is a title, of all templates."""
     import zstandard
 
     out = []
-    for name, text in TEMPLATES:
+    for k, (name, text) in enumerate((*TEMPLATES, *TITLES)):
         words = [p for w in text.split() if (p := plain(w))]
         data = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((name, words, zstandard.ZstdCompressor(level=9, dict_data=data, write_content_size=False)))
+        out.append((name, words, zstandard.ZstdCompressor(level=9, dict_data=data, write_content_size=False), k >= len(TEMPLATES)))
     return out
 
 
@@ -115,7 +116,7 @@ def differences(template: list[str], words: list[str]) -> tuple[int, int, list[s
 def confirmed(template: list[str], found: tuple[int, int, list[str], list[str]]) -> bool:
     """Whether differences leave the license what it is."""
     _, _, missing, extra = found
-    if any(_BOUND.search(w) for w in (*missing, *extra)):
+    if any(not w or _BOUND.search(w) for w in (*missing, *extra)):  # a blanked word is another passage's
         return False
     return all(sum(w not in ARTICLES for w in side) <= SLACK * len(template) for side in (missing, extra))
 
@@ -136,14 +137,17 @@ def scan(text: str | None) -> list[dict]:
         else:
             # A block that grew too long goes on in the next, which starts a template's length before.
             blocks.append([first, last])
+    blank: set[int] = set()
     for first, last in blocks:
         places = [k for k in range(first, last) if plain(raw[k]) and k not in listed]
-        while len(places) > 1:
-            words = [plain(raw[k]) for k in places]
+        words = ["" if k in blank else plain(raw[k]) for k in places]
+        fits = [t for t, (_, template, _, _) in enumerate(_templates()) if may_hold(template, set(words))]
+        while True:
             hit, held = None, set(words)
-            for t, (name, template, _) in enumerate(_templates()):
+            for t in fits:
+                name, template, _, title = _templates()[t]
                 found = differences(template, words) if may_hold(template, held) else None
-                if found and confirmed(template, found):
+                if found and confirmed(template, found) and not (title and (found[2] or found[3] or not _own_line(text, spans[places[found[0]]][0], spans[places[found[1] - 1]][1]))):
                     saved = saving(t, words, *found[:2])
                     if hit is None or saved > hit[0]:
                         hit = (saved, name, *found)
@@ -151,10 +155,15 @@ def scan(text: str | None) -> list[dict]:
                 break
             saved, name, a, b, missing, extra = hit
             out.append({"license": name, "start": spans[places[a]][0], "end": spans[places[b - 1]][1], "wording": "variant" if missing or extra else "exact", "saved_bytes": saved, "missing": " ".join(missing), "extra": " ".join(extra)})
-            del places[a:b]
-    seen: set[tuple] = set()
-    unique = [r for r in sorted(out, key=lambda r: (r["start"], r["end"], r["license"])) if (key := (r["start"], r["end"], r["license"])) not in seen and not seen.add(key)]
-    return unique
+            words[a:b] = [""] * (b - a)
+            blank.update(places[a:b])
+    return sorted(out, key=lambda r: (r["start"], r["end"], r["license"]))
+
+
+def _own_line(text: str, start: int, end: int) -> bool:
+    """Whether only signs stand beside a passage on its first and last line."""
+    head, tail = text[:start].rpartition("\n")[2], text[end:].partition("\n")[0]
+    return not any(map(plain, (head + " " + tail).split()))
 
 
 _ROW = "license string, start int, end int, wording string, saved_bytes int, missing string, extra string"
@@ -163,8 +172,10 @@ _ROW = "license string, start int, end int, wording string, saved_bytes int, mis
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, license, start, end, wording, saved_bytes, missing, extra for docs(doc_id, text): a row per passage found.
 
-    Whole texts are scanned; those without any cue never leave the JVM. Null
-    and empty texts have no rows; null ids and repeated rows stay as they are.
+    Whole texts of any length are scanned; those without any cue never leave
+    the JVM. Null and empty texts and empty tables have no rows; null ids and
+    repeated rows stay as they are. Where templates fit one passage, the one
+    that saves most names it; of equals the first in the table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ RATE = 0.5
 #: Weight of the prior in the bigram model, in tokens.
 PRIOR = 100.0
 #: Tokens of a chunk of documents, of a shard of training, and of the corpus in a bucket.
-CHUNK, SHARD, BUCKET = 1 << 20, 1 << 21, 1 << 21
+CHUNK, SHARD, BUCKET = 1 << 20, 1 << 22, 1 << 21
 #: No word has white space, so this is the end of a text.
 END = b" "
 _BATCH = 8192
@@ -370,7 +370,7 @@ def train_round(chunks: DataFrame, vocabulary, shards: int, w: Weights, turn: in
             squares, tokens = (np.zeros(1 << CLASS_BITS, np.float32), np.zeros(1 << MEMBER_BITS, np.float32)), 0
 
         def closed() -> pa.RecordBatch:
-            moved = (own[2] - shared.value) * np.float32(tokens)
+            moved = (own[2] - shared.value).astype(np.float16)
             rows = [moved[k * size : (k + 1) * size].tobytes() for k in range(parts)]
             return pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([now % fold] * parts, pa.int32()), pa.array([tokens] * parts, pa.int64()), pa.array(rows, pa.binary())], ["part", "fold", "tokens", "moved"])
 
@@ -401,9 +401,10 @@ def train_round(chunks: DataFrame, vocabulary, shards: int, w: Weights, turn: in
         def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             moves, tokens = None, 0
             for batch in batches:
-                for n, moved in zip(batch.column("tokens"), batch.column("moved")):
-                    more = np.frombuffer(moved.as_py(), np.float32 if level == 0 else np.float64).astype(float)
-                    moves, tokens = more if moves is None else moves + more, tokens + n.as_py()
+                for n, moved in zip(batch.column("tokens").to_pylist(), batch.column("moved")):
+                    # A shard tells how far it moved, a sum of shards this times their tokens.
+                    more = np.frombuffer(moved.as_py(), np.float16).astype(float) * n if level == 0 else np.frombuffer(moved.as_py(), np.float64)
+                    moves, tokens = more if moves is None else moves + more, tokens + n
             yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([tokens], pa.int64()), pa.array([moves.tobytes()], pa.binary())], ["part", "tokens", "moved"])
 
         return add

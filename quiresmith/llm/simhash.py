@@ -172,13 +172,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     of any length are read whole. Columns named fp or component_id give way.
     """
     marked = materialize(fingerprints(without(docs, "fp", "component_id"), shingle), "simhash")
-    first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct", F.count(F.lit(1)).alias("fps"), F.sum("n").alias("docs"))
     groups = components(linked(first.select("fp"), radius))
     named = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(named, "simhash-roots")
-    smallest = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_n")), "simhash-components")
-    by_fp = joined_hot(named.select("fp", "root", "n"), smallest, "root", "_n").select("fp", "component_id", "n")
-    return joined_hot(marked, materialize(by_fp, "simhash-facts"), "fp", "n").select(*marked.columns, "component_id")
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    by_fp = joined_hot(named.select("fp", "root", "n"), smallest, "root", "_n", first.facts["fps"]).select("fp", "component_id", "n")
+    return joined_hot(marked, materialize(by_fp, "simhash-facts"), "fp", "n", first.facts["docs"] or 0).select(*marked.columns, "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -191,9 +190,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """
     rows = as_rows(docs)
     marked = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"), "hash"), shingle, radius)
-    keys = materialize(marked.groupBy("component_id", F.col("doc_id").alias("id"), "hash").agg(F.count(F.lit(1)).alias("n")), "simhash-keys")
+    keys = materialize(marked.groupBy("component_id", F.col("doc_id").alias("id"), "hash").agg(F.count(F.lit(1)).alias("n")), "simhash-keys", F.count(F.lit(1)).alias("keys"))
     kept = keys.groupBy("component_id").agg(F.min(F.struct("id", "hash")).alias("k"), F.count(F.lit(1)).alias("_n"))
     # What goes is less than what stays: only its keys meet the texts.
-    judged = materialize(joined_hot(keys, materialize(kept, "simhash-kept"), "component_id", "_n").select("id", "hash", "n", (F.struct("id", "hash") == F.col("k")).alias("stays")), "simhash-judged")
+    judged = materialize(joined_hot(keys, kept, "component_id", "_n", keys.facts["keys"]).select("id", "hash", "n", (F.struct("id", "hash") == F.col("k")).alias("stays")), "simhash-judged")
     left = rows.join(judged.where(~F.col("stays")).select("id", "hash"), ["id", "hash"], "left_anti")
     return one_row_each(left, ["id", "hash"], judged.where("stays and n > 1").select("id", "hash")).select("row.*")

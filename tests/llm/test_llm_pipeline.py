@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quiresmith.llm import mixing, quality, toxicity
+from quiresmith.llm import bpe, mixing, quality, toxicity
 from quiresmith.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -67,7 +71,24 @@ def test_stages(spark, folder):
             copies = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix(keyed).collect() if r["doc_id"] is not None}
             got = Counter((r["doc_id"], r["source"]) for r in docs.where("doc_id is not null").collect())
             assert got == Counter({k: c for k, c in copies.items() if c})
-    assert seen["bpe"].count() == seen["mixing"].count()
+    public = pytest.importorskip("public_tokenizers")
+    ranks = bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in seen["mixing"].collect():
+        ids = np.array(library.encode_ordinary(r["text"] or ""), "<u4").tobytes()
+        want[r["doc_id"], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest(), ids] += 1
+    assert Counter((*r[:4], bytes(r[4])) for r in seen["bpe"].select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids").collect()) == want
+
+
+def test_stages_leave_further_columns_alone(spark, folder):
+    path, _, _ = folder
+    names = {"score": 1.5, "fp": 2, "component_id": 3, "__id": 4, "copies": 5, "row": 6, "size": 7, "y": 8}
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({k: F.lit(v) for k, v in names.items()})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, path), f"test-{name}")
+        assert docs.columns == [*COLUMNS, *names]
+        assert [tuple(r) for r in docs.select(*names).distinct().collect()] == [tuple(names.values())]
 
 
 def test_run_and_empty_input(spark, folder, tmp_path):
