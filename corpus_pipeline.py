@@ -1,68 +1,5 @@
-"""The corpus pipeline: documents in, encoded training texts out.
+"""The corpus pipeline: its stages, its run over documents, and its SQL (none; see ``quiresmith.llm.pipeline``)."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next one's docs. All but the last return the
-columns of documents.
-"""
+from quiresmith.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quiresmith.llm import bpe, mixing, quality, simhash, toxicity
-from quiresmith.session import load, materialize
-
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold."""
-    model = toxicity.fit(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"))
-    scored = toxicity.score(docs, model, "__toxicity")
-    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
-
-
-def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality reaches the threshold."""
-    model = quality.fit(docs, load(spark, sf_dir, "labels", "doc_id", "quality"))
-    scored = quality.score(docs, model, "__quality")
-    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.one_of_each(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the sources' weights take them."""
-    return mixing.mixed_rows(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the packed ids of every text."""
-    import public_tokenizers
-
-    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    return bpe.digests(bpe.round_trip(docs, path, pattern), "ids")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality", drop_poor),
-    ("simhash", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("bpe", encode),
-]
-
-#: The classifiers and the sampling have no SQL; tests hold every stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
