@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.numbers import half_even, size_band
+from quiresmith.operators.columns import fresh
 from quiresmith.operators.relations import texts
 
 #: The share and the number of documents that make a family's shape certain.
@@ -128,7 +129,8 @@ def repeated_stamps(images: DataFrame, pages: DataFrame, share: float = 0.60, ar
 def stratified(df: DataFrame, stratum: str, order: Sequence[str], each: int, most: int) -> DataFrame:
     """Up to ``each`` rows per stratum, taken in rounds, and ``most`` in all."""
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    return df.withColumn("_round", rank).where(F.col("_round") <= each).orderBy("_round", *order).limit(most).drop("_round")
+    own = fresh(df, "_round")
+    return df.withColumn(own, rank).where(F.col(own) <= each).orderBy(own, *order).limit(most).drop(own)
 
 
 def best_by(df: DataFrame, keys: Sequence[str], score: Sequence[Column], seq: str, *columns: str) -> DataFrame:

@@ -1,12 +1,11 @@
-"""Counting chains and the search for item starts, one document at a time.
+"""Counting and rising chains of sequences, a key at a time.
 
-These carry state from one row to the next, so each document is an Arrow
-kernel; documents are independent and spread over the cluster.
+These carry state from one row to the next, so they are Arrow kernels; keys
+are independent and spread over the cluster.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,20 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quiresmith.functions.strings import HIGHEST_LABEL, LABEL, LABEL_START, WORDED_HEADING
-
-Start = tuple[int, float, int]
-_LABEL, _OPENING, _HEADING = re.compile(LABEL), re.compile(LABEL_START), re.compile(WORDED_HEADING)
-_ODD = re.compile(r"^(?:[Qq]|[.,])\s*(?=[0-9])")
-
-
-def label_of(text: str | None) -> int | None:
-    """The number of a label, as ``functions.strings.label_number`` finds it."""
-    match = _LABEL.match(_ODD.sub("", (text or "").strip(), count=1))
-    number = int(match.group(1)) if match else 0
-    return number if 1 <= number <= HIGHEST_LABEL else None
-
-
 def _walk_back(before: list[int], ends: list[tuple[int, int]]) -> list[int]:
     """Positions of the chain that ends best: the longest, then the smallest last value, then the first."""
     if not ends:
@@ -115,194 +100,3 @@ def chains(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
 
     rows = df.select(*dict.fromkeys([*keys, *order, value])).repartition(*keys).sortWithinPartitions(*keys, *order)
     return rows.mapInArrow(run, out)
-
-
-class Document:
-    """Spans of a document by page, in the order they were read."""
-
-    def __init__(self, spans: list[dict], pages: int) -> None:
-        self.pages: list[list[tuple[float, float, float, str]]] = [[] for _ in range(pages)]
-        for s in sorted(spans, key=lambda s: (s["page"], s["ord"])):
-            self.pages[s["page"]].append((s["left"], s["centre"], s["y"], s["text"] or ""))
-        self.lines = [self._openings(p) for p in self.pages]
-
-    @staticmethod
-    def _openings(page: list[tuple[float, float, float, str]]) -> dict[int, float]:
-        lines: dict[int, float] = {}
-        for left, _, y, _ in page:
-            lines[round(y)] = min(left, lines.get(round(y), left))
-        return lines
-
-    def opens(self, page: int, left: float, y: float, reach: int = 5) -> bool:
-        """Whether a span is the first on its line."""
-        near = (self.lines[page].get(k) for k in range(round(y) - reach, round(y) + reach + 1))
-        return all(x is None or left <= x + 0.5 for x in near)
-
-    def spans(self):
-        """(page, left, centre, y, text) in the order read."""
-        return ((p, *s) for p, page in enumerate(self.pages) for s in page)
-
-    def headings(self) -> list[Start]:
-        """Starts by headings in words, if these count from one without a break."""
-        found: dict[int, tuple[int, float]] = {}
-        for page, left, _, y, text in self.spans():
-            match = _HEADING.match(text.strip())
-            if match and self.opens(page, left, y):
-                found.setdefault(int(match.group(1)), (page, y))
-        if len(found) < 2 or set(found) != set(range(1, len(found) + 1)):
-            return []
-        return [(*found[n], n) for n in sorted(found)]
-
-    def starts(self, tolerance: float = 4.0, snap: bool = False) -> list[Start]:
-        """Where items start: the column of numbers that scores best, with swallowed labels recovered.
-
-        Columns form around each number's left edge, then around its centre.
-        Scores compare, field by field: at the margin, upright, pages spanned,
-        counting from one, length of the chain, numbers held, further left.
-        """
-        labels = [(left, centre, page, y, n, text) for page, left, centre, y, text in self.spans() if (n := label_of(text)) is not None and self.opens(page, left, y)]
-        best: tuple | None = None
-        for axis in (0, 1):
-            first: dict[tuple[int, int], tuple] = {}
-            for row in sorted(labels, key=lambda r: (r[2], r[3])):
-                first.setdefault((round(row[axis] / max(1.0, tolerance)), row[4]), row)
-            once = list(first.values())
-            margin = min((r[axis] for r in once), default=0.0) + tolerance
-            for seed in once:
-                x = seed[axis]
-                column = sorted((r for r in once if abs(r[axis] - x) <= tolerance), key=lambda r: (r[2], r[3]))
-                chain = [column[k] for k in counting_chain([r[4] for r in column])]
-                if len(chain) < 2:
-                    continue
-                across = [r[axis] for r in column]
-                numbers = {r[4] for r in column}
-                upright = len(column) <= 2 or max(across) - min(across) <= 1.0
-                score = (x <= margin, upright, len({r[2] for r in chain}), min(numbers) == 1, len(chain), len(numbers), -x)
-                if best is None or score > best[0]:
-                    best = (score, axis, x, column)
-        if best is None or (best[0][2] < 2 and sum(map(bool, self.pages)) > 2):
-            return []
-        _, axis, x, column = best
-        filled = self._filled(column, axis, x, tolerance)
-        picked = [filled[k] for k in rising_chain([n for _, _, n in filled])]
-        return self._snapped(labels, column, picked, tolerance) if snap else picked
-
-    def _filled(self, column: list[tuple], axis: int, x: float, tolerance: float) -> list[Start]:
-        """The column's starts, with labels that ran into their wording: missing numbers, then those past the last."""
-        found = sorted((r[2], r[3], r[4]) for r in column)
-        have = {n for _, _, n in found}
-        low, high = min(r[0] for r in column) - tolerance, max(r[0] for r in column) + tolerance
-        top = max(have)
-
-        def recover(number: int) -> bool:
-            floor = max(((p, y) for p, y, n in found if n < number), default=(-1, -1.0))
-            roof = min(((p, y) for p, y, n in found if n > number), default=None)
-            shape = re.compile(rf"^{number}(?=$|[\s(])")
-            for page, left, centre, y, text in self.spans():
-                lined_up = low <= left <= high or abs((centre if axis else left) - x) <= tolerance
-                between = (page, y) > floor and (roof is None or (page, y) < roof)
-                if lined_up and between and shape.match(text.strip()) and self.opens(page, left, y):
-                    found.append((page, y, number))
-                    found.sort(key=lambda s: s[:2])
-                    return True
-            return False
-
-        for number in range(1, top):
-            if number not in have:
-                recover(number)
-        for number in range(top + 1, min(top + 12, HIGHEST_LABEL + 1)):
-            if not recover(number):
-                break
-        return found
-
-    def _snapped(self, labels: list[tuple], column: list[tuple], starts: list[Start], tolerance: float) -> list[Start]:
-        """Starts moved to the first label of the column with their number, never past the start before."""
-        def reach(values: list[float]) -> tuple[float, float]:
-            middle = sorted(values)[len(values) // 2]
-            return middle - 2 * tolerance, middle + 2 * tolerance
-
-        (l0, l1), (c0, c1) = reach([r[0] for r in column]), reach([r[1] for r in column])
-        fit = [(r[2], r[3], r[4]) for r in labels if (l0 <= r[0] <= l1 or c0 <= r[1] <= c1) and _OPENING.match(r[5].strip())]
-        moved: list[Start] = []
-        floor = (-1, -1.0)
-        for page, y, number in starts:
-            floor = min([(page, y), *((p, v) for p, v, n in fit if n == number and (p, v) > floor)])
-            moved.append((*floor, number))
-        return moved
-
-    def band(self, found: Sequence[Start]) -> tuple[float, float]:
-        """Left edges where items start, from found starts or else from the document's edge."""
-        lefts = []
-        for page, y, number in found:
-            left = next((s[0] for s in self.pages[page] if abs(s[2] - y) < 0.5 and label_of(s[3]) == number), None)
-            if left is not None:
-                lefts.append(left)
-        if not lefts:
-            edge = min((left for _, left, *_ in self.spans()), default=0.0)
-            return edge - 4.0, edge + 40.0
-        middle = sorted(lefts)[len(lefts) // 2]
-        return middle - 12.0, middle + 20.0
-
-    def hunt(self, wanted: Sequence[int], band: tuple[float, float]) -> list[Start]:
-        """The first place in the band of each wanted number in turn, after the one before; misses move nothing."""
-        edges = []
-        for page in self.pages:
-            lines: dict[int, float] = {}
-            for left, _, y, _ in page:
-                lines[round(y / 3.0)] = min(left, lines.get(round(y / 3.0), left))
-            edges.append(lines)
-        fit = sorted(
-            (page, y, text.strip()) for page, left, _, y, text in self.spans() if band[0] <= left <= band[1] and left <= edges[page][round(y / 3.0)] + 0.5
-        )
-        found: list[Start] = []
-        floor = (-1, -1.0)
-        for number in wanted:
-            shape = re.compile(rf"^{number}(?=$|[\s(.])")
-            hit = next(((p, y) for p, y, text in fit if (p, y) > floor and shape.match(text)), None)
-            if hit:
-                found.append((*hit, number))
-                floor = hit
-        return found
-
-
-def read_items(document: Document, kind: str, tolerance: float = 4.0) -> list[Start]:
-    """Starts of a document's items: a question side by its column, an answer side by headings or its snapped column."""
-    if kind == "ms":
-        return document.headings() or document.starts(tolerance, snap=True)
-    return document.starts(tolerance)
-
-
-_SPAN = ("page", "ord", "left", "centre", "y", "text")
-
-
-def find_starts(spans: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """doc, page, y, number, error of the items of spans(doc, kind, page, ord, left, centre, y, text).
-
-    A document that fails gives one row with its error and no others.
-    """
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows, error = [], None
-        try:
-            spans = table.select(list(_SPAN)).to_pylist()
-            rows = read_items(Document(spans, max(s["page"] for s in spans) + 1), key[1].as_py(), tolerance)
-        except Exception as failed:  # one document must not fail the others
-            error = f"{type(failed).__name__}: {failed}"[:200]
-        page, y, number = zip(*rows) if rows else ((None,), (None,), (None,)) if error else ((), (), ())
-        n = len(page)
-        return pa.table({"doc": pa.array([key[0].as_py()] * n, pa.string()), "page": pa.array(page, pa.int32()), "y": pa.array(y, pa.float64()), "number": pa.array(number, pa.int32()), "error": pa.array([error] * n, pa.string())})
-
-    return spans.select("doc", "kind", *_SPAN).groupBy("doc", "kind").applyInArrow(run, "doc string, page int, y double, number int, error string")
-
-
-def hunt_starts(spans: DataFrame) -> DataFrame:
-    """doc, page, y, number for spans with a ``target`` array of wanted numbers per document; the band comes from its own reading."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        spans = table.select(list(_SPAN)).to_pylist()
-        document = Document(spans, max(s["page"] for s in spans) + 1)
-        found = document.hunt(table.column("target")[0].as_py() or [], document.band(read_items(document, key[1].as_py())))
-        page, y, number = zip(*found) if found else ((), (), ())
-        return pa.table({"doc": pa.array([key[0].as_py()] * len(page), pa.string()), "page": pa.array(page, pa.int32()), "y": pa.array(y, pa.float64()), "number": pa.array(number, pa.int32())})
-
-    return spans.select("doc", "kind", "target", *_SPAN).groupBy("doc", "kind").applyInArrow(run, "doc string, page int, y double, number int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.numbers import half_even
-from quiresmith.functions.strings import MARK_ALLOCATION, is_code_strip, mark_allocations, squash, stitched
+from quiresmith.functions.strings import MARK_ALLOCATION, is_code_strip, squash, stitched
 from quiresmith.operators.aggregates import consensus_edges
 from quiresmith.operators.sequences import trimmed_tail
 
@@ -16,7 +16,12 @@ RULING = r"[.…]{12,}"
 AWARDING = r"(?i)Cambridge\s+(?:International|Assessment|University\s+Press)"
 PAGE_OF = r"(?i)\bPage\s+\d+\s+of\s+\d+\b"
 NAVIGATION = r"(?i)^(?:Questions?\s+\d+\s+starts?\s+on\b|Section\s+[A-D]\b\s*$|Answer\s+(?:one|any|all)\b[^.]{0,40}\.?\s*$)"
-END_MATTER = r"The Periodic Table of Elements|Permission to reproduce items|Copyright Acknowledgements Booklet"
+END_MATTER = r"(?i)The Periodic Table of Elements|Permission to reproduce items|Copyright Acknowledgements Booklet|BLANK PAGE|Additional Page|DATA BOOKLET"
+TAIL_MATTER = (
+    r"(?i)Important values,? constants and standards|The Periodic Table of Elements|Permission to reproduce items|Copyright Acknowledgements"
+    r"|To avoid the issue of disclosure of answer-related information|The boundaries and names shown, the designations used"
+)
+LOST_MARK = r"\[\s*(?:Total:\s*)?\d{1,2}\s*\]"
 PHRASES = ("UCLES", "Turn over", "BLANK PAGE")
 NOTICES = ("permission to reproduce", "copyright acknowledgement", "cambridgeinternational.org")
 COLUMNS = ("question", "qu", "answer", "answers", "mark", "marks", "total", "totals", "guidance", "notes", "part", "additional")
@@ -79,34 +84,58 @@ def header_footer_bands(blocks: DataFrame, pages: DataFrame, band: float = 0.16)
     return consensus_edges(every, ["doc"])
 
 
-def redactions(blocks: DataFrame, pages: DataFrame, bands: DataFrame, band: float = 0.16, clear: float = 4.0) -> DataFrame:
+def redactions(blocks: DataFrame, pages: DataFrame, bands: DataFrame, band: float = 0.16, clear: float = 4.0, slack: float = 2.0) -> DataFrame:
     """doc, page, x0, y0, x1, y1 that furniture takes off its pages.
 
-    A head reaches the full width and down to ``clear`` points above the first
-    content, never above its own foot; a foot likewise upwards; a wide low
-    heading in mid-page grows by two points; the bands that pages agree on
-    are taken in any case, and end matter clears to the foot of its page.
+    Heads reach over the full width and down towards the first content that
+    is not all within them, ``clear`` points short of it and within the band,
+    but cover their own foot; feet likewise upwards. A wide low heading in mid-page
+    grows by ``slack``. Where pages agree on a deeper head or a higher foot,
+    that is taken too, up to the content. Tail matter goes to the foot of its
+    page.
     """
     sized = blocks.join(pages.select("doc", "page", "width", "height"), ["doc", "page"])
     rule = furniture_rule(*(F.col(c) for c in ("text", "x0", "y0", "x1", "y1", "width", "height")))
-    sized = sized.withColumn("rule", rule)
     page = Window.partitionBy("doc", "page")
-    content = F.col("rule").isNull() & (F.trim("text") != "")
-    tail = F.min(F.when(F.col("text").rlike(END_MATTER), F.col("y0"))).over(page)
-    marked = sized.withColumn("_first", F.min(F.when(content, F.col("y0"))).over(page)).withColumn("_last", F.max(F.when(content, F.col("y1"))).over(page)).withColumn("_tail", tail)
-    at_head, at_foot = F.col("y1") < band * F.col("height"), F.col("y0") > (1 - band) * F.col("height")
-    wide = (F.col("y1") - F.col("y0") < 40) & (F.col("x1") - F.col("x0") > 0.5 * F.col("width"))
-    full = at_head | at_foot | wide
-    top = F.when(at_head, 0.0).when(at_foot, F.least(F.col("y0"), F.coalesce(F.col("_last") + clear, F.col("y0")))).when(wide, F.col("y0") - 2).otherwise(F.col("y0"))
-    foot = F.when(at_head, F.greatest(F.col("y1"), F.coalesce(F.col("_first") - clear, F.col("y1")))).when(at_foot, F.col("height")).when(wide, F.col("y1") + 2).otherwise(F.col("y1"))
+    plain = F.col("rule").isNull() & (squash(F.col("text")) != "")
+    at_head, at_foot = F.col("rule").isNotNull() & (F.col("y1") < band * F.col("height")), F.col("rule").isNotNull() & (F.col("y0") > (1 - band) * F.col("height"))
+    marked = sized.withColumn("rule", rule).withColumns(
+        {
+            "_head": F.coalesce(F.max(F.when(at_head, F.col("y1"))).over(page), F.lit(0.0)),
+            "_foot": F.coalesce(F.min(F.when(at_foot, F.col("y0"))).over(page), F.col("height")),
+            "_tail": F.min(F.when(squash(F.col("text")).rlike(TAIL_MATTER), F.col("y0"))).over(page),
+        }
+    )
+    marked = marked.withColumns(
+        {
+            "_first": F.coalesce(F.min(F.when(plain & (F.col("y1") > F.col("_head")), F.col("y0"))).over(page), F.col("height")),
+            "_last": F.coalesce(F.max(F.when(plain & (F.col("y0") < F.col("_foot")), F.col("y1"))).over(page), F.lit(0.0)),
+        }
+    )
+    low, high = band * F.col("height"), (1 - band) * F.col("height")
+    down = F.least(F.greatest(F.col("y1"), F.least(F.col("_first") - clear, low)), F.greatest("_first", "y1"))
+    up = F.greatest(F.least(F.col("y0"), F.greatest(F.col("_last") + clear, high)), F.least("_last", "y0"))
+    across = (F.col("y1") - F.col("y0") < 40) & (F.col("x1") - F.col("x0") > 0.5 * F.col("width"))
+    full = at_head | at_foot | across
     found = marked.where("rule is not null").select(
-        "doc", "page", F.when(full, 0.0).otherwise(F.col("x0")).alias("x0"), top.alias("y0"), F.when(full, F.col("width")).otherwise(F.col("x1")).alias("x1"), foot.alias("y1")
+        "doc",
+        "page",
+        F.when(full, 0.0).otherwise(F.col("x0")).alias("x0"),
+        F.when(at_head, 0.0).when(at_foot, up).when(across, F.col("y0") - slack).otherwise(F.col("y0")).alias("y0"),
+        F.when(full, F.col("width")).otherwise(F.col("x1")).alias("x1"),
+        F.when(at_head, down).when(at_foot, F.col("height")).when(across, F.col("y1") + slack).otherwise(F.col("y1")).alias("y1"),
     )
-    tails = marked.where("_tail is not null").select("doc", "page", F.lit(0.0).alias("x0"), F.col("_tail").alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1")).distinct()
-    agreed = pages.join(bands, "doc")
-    heads = agreed.where("head > 0").select("doc", "page", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("head").alias("y1"))
-    feet = agreed.where("foot > 0").select("doc", "page", F.lit(0.0).alias("x0"), F.col("foot").alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1"))
-    return found.unionByName(tails).unionByName(heads).unionByName(feet)
+    facts = marked.groupBy("doc", "page").agg(*(F.first(c).alias(c) for c in ("_head", "_foot", "_first", "_last", "_tail")))
+    every = pages.select("doc", "page", "width", "height").join(facts, ["doc", "page"], "left").join(bands, "doc", "left")
+    every = every.fillna({"_head": 0.0, "_last": 0.0, "head": 0.0, "foot": 0.0}).withColumns({c: F.coalesce(c, "height") for c in ("_foot", "_first")})
+
+    def strip(when: Column, top: Column, foot: Column) -> DataFrame:
+        return every.where(when).select("doc", "page", F.lit(0.0).alias("x0"), top.alias("y0"), F.col("width").alias("x1"), foot.alias("y1"))
+
+    heads = strip(F.col("head") > F.col("_head"), F.lit(0.0), F.least(F.col("head") + slack, F.col("_first")))
+    feet = strip((F.col("foot") > 0) & (F.col("foot") < F.col("_foot")), F.greatest(F.col("foot") - slack, F.col("_last")), F.col("height"))
+    tails = strip(F.col("_tail").isNotNull(), F.col("_tail") - slack, F.col("height"))
+    return found.unionByName(heads).unionByName(feet).unionByName(tails)
 
 
 def swept(blocks: DataFrame, areas: DataFrame) -> DataFrame:
@@ -194,8 +223,8 @@ def page_windows(blocks: DataFrame, pages: DataFrame, margins: dict[str, float],
 
 
 def lost_marks(blocks: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc, page, text, why of mark allocations outside their page's window or cut by it."""
-    marked = blocks.where(F.size(mark_allocations(F.col("text"))) > 0).join(windows, ["doc", "page"])
+    """doc, page, text, why of mark allocations outside their page's window or cut by it; a total needs its colon."""
+    marked = blocks.where(F.col("text").rlike(LOST_MARK)).join(windows, ["doc", "page"])
     outside = (F.col("y1") <= F.col("top")) | (F.col("y0") >= F.col("foot"))
     cut = (F.col("y0") < F.col("top")) | (F.col("y1") > F.col("foot"))
     why = F.when(outside, "outside the window").when(cut, "cut by the window")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiresmith.operators.columns import fresh
+
 #: Fixed value: faults that do not spoil a document's pictures.
 HARMLESS = ("shredded", "mixed-rotation")
 #: Fixed value: faults that reading again may mend.
@@ -22,7 +24,8 @@ def texts(values: Sequence[str]) -> Column:
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """One row per key, the first in ``order``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    own = fresh(df, "_rank")
+    return df.withColumn(own, rank).where(F.col(own) == 1).drop(own)
 
 
 def last_by(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -53,8 +56,9 @@ def without_copies(files: DataFrame, name: str = "name") -> DataFrame:
 
 def flagged(df: DataFrame, there: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """Rows with ``flag``: whether no row of ``there`` has their key."""
-    seen = there.select(*keys).distinct().withColumn("_seen", F.lit(True))
-    return df.join(seen, list(keys), "left").withColumn(flag, F.col("_seen").isNull()).drop("_seen")
+    own = fresh(df, "_seen")
+    seen = there.select(*keys).distinct().withColumn(own, F.lit(True))
+    return df.join(seen, list(keys), "left").withColumn(flag, F.col(own).isNull()).drop(own)
 
 
 def with_partner(rows: DataFrame, name: str = "name", prefix: str = "mate_") -> DataFrame:
@@ -62,7 +66,8 @@ def with_partner(rows: DataFrame, name: str = "name", prefix: str = "mate_") ->
     from quiresmith.functions.names import partner
 
     mates = rows.select(*(F.col(c).alias(f"{prefix}{c}") for c in rows.columns))
-    return rows.withColumn("_mate", partner(F.col(name))).join(mates, F.col("_mate") == F.col(f"{prefix}{name}"), "left").drop("_mate")
+    own = fresh(rows, "_mate")
+    return rows.withColumn(own, partner(F.col(name))).join(mates, F.col(own) == F.col(f"{prefix}{name}"), "left").drop(own)
 
 
 def at_positions(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], order: Sequence[str], position: str = "position") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.numbers import half_even
+from quiresmith.operators.columns import fresh
 
 
 def is_complete(numbers: Column) -> Column:
@@ -20,7 +21,8 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) ->
     """Rows with ``run``, the number of their run of equal ``flag`` within the key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     start = ~F.col(flag).eqNullSafe(F.lag(flag).over(w)) | (F.row_number().over(w) == 1)
-    return df.withColumn("_start", start.cast("int")).withColumn("run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    own = fresh(df, "_start")
+    return df.withColumn(own, start.cast("int")).withColumn("run", F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(own)
 
 
 def bands(df: DataFrame, keys: Sequence[str], at: str, flag: str) -> DataFrame:
@@ -67,7 +69,8 @@ def first_places(df: DataFrame, keys: Sequence[str], x: str, number: str, tolera
     """The first row in reading order of each number in each column bucket."""
     slot = half_even(F.col(x) / max(1.0, tolerance))
     rank = F.row_number().over(Window.partitionBy(*keys, slot, number).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    own = fresh(df, "_rank")
+    return df.withColumn(own, rank).where(F.col(own) == 1).drop(own)
 
 
 def opens_line(spans: DataFrame, keys: Sequence[str] = ("doc", "page"), reach: int = 5) -> DataFrame:
@@ -100,14 +103,14 @@ def longest_true(flags: Column) -> Column:
     return step["best"]
 
 
-def next_free(df: DataFrame, taken: DataFrame, name: str) -> DataFrame:
-    """Rows with ``free``: their name, or with the first suffix -2, -3, ... beyond those taken."""
+def next_free(df: DataFrame, taken: DataFrame, name: str, order: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``free``: their name, or with the first suffix -2, -3, ... beyond those taken; rows of one name in ``order``."""
     # A taken name "x-3" counts for the name "x".
     base = F.regexp_replace(name, r"-[0-9]+$", "")
     suffix = F.regexp_extract(name, r"-([0-9]+)$", 1).try_cast("int")
     used = taken.select(base.alias("_base"), F.coalesce(suffix, F.lit(1)).alias("_n")).unionByName(taken.select(F.col(name).alias("_base"), F.lit(1).alias("_n")))
     used = used.distinct().groupBy("_base").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(F.monotonically_increasing_id()))
+    rank = F.row_number().over(Window.partitionBy(name).orderBy(*(order or [name])))
     joined = df.withColumn("_k", rank).join(used, F.col(name) == F.col("_base"), "left")
     room = F.size(F.coalesce("_used", F.array().cast("array<int>"))) + F.col("_k") + 1
     open_ = F.array_except(F.sequence(F.lit(1), room), F.coalesce("_used", F.array().cast("array<int>")))

@@ -19,6 +19,8 @@ from quiresmith.operators.sequences import is_complete, until_next
 #: Faults that pictures cannot answer for, and answer sides that are short as published.
 ABOUT_PICTURES = ("clipped", "furniture")
 SHORT_ANSWER_SIDES = {"9701_s24_ms_22": 4, "9709_s24_ms_33": 10}
+#: Fixed value: faults of pictures, which leave a reading able to teach its partner.
+IN_PICTURES = ("clipped", "stale")
 #: Numbers of items that were counted by hand.
 BY_HAND = {"9700_s25_ms_51": 2, "9709_w23_ms_43": 7, "9702_w16_ms_51": 2, "9702_w16_ms_53": 2, "9709_s18_ms_33": 10}
 
@@ -148,9 +150,9 @@ def classify(rows: DataFrame, artifacts: DataFrame) -> DataFrame:
     return judged.select("name", F.when(F.col("sound") & ~lone, "clean").otherwise("review").alias("verdict"), reasons.alias("reasons"), "pictures")
 
 
-def sound_reading(faults: Column, questions: Column) -> Column:
-    """Whether a reading stands by itself: no fault but harmless ones and its pair's, and numbers 1 to n."""
-    left = F.array_except(faults, texts((*HARMLESS, "pair-mismatch")))
+def sound_reading(faults: Column, questions: Column, aside: Sequence[str] = ()) -> Column:
+    """Whether a reading stands by itself: no fault but harmless ones, its pair's and those set ``aside``, and numbers 1 to n."""
+    left = F.array_except(faults, texts((*HARMLESS, "pair-mismatch", *aside)))
     return F.coalesce((F.size(left) == 0) & (F.size(questions) > 0) & (questions == F.sequence(F.lit(1), F.greatest(F.size(questions), F.lit(1)))), F.lit(False))
 
 
@@ -182,17 +184,18 @@ def repair_targets(rows: DataFrame, families: DataFrame, done: DataFrame | None
 def repair_outcome(tried: DataFrame) -> DataFrame:
     """Rows(before, after, target, source) with what came of reading again.
 
-    Fewer items are taken only from a family's shape that they match exactly.
+    Nothing read and the same list are no better; fewer items are taken only
+    from a family's shape that they match exactly; what is taken has repaired
+    the paper if it meets the target, and improved it if not.
     """
     before, after = F.size(_numbers("before")), F.size(_numbers("after"))
     met = F.col("after") == F.col("target")
     outcome = (
         F.when(F.col("error").isNotNull(), "error")
-        .when(F.col("after") == F.col("before"), "no better")
-        .when((after < before) & ~((F.col("source") == "family") & met), "worse")
+        .when((after == 0) | (_numbers("after") == _numbers("before")), "no better")
+        .when((after < before) & ~((F.col("source") == "family") & F.coalesce(met, F.lit(False))), "worse")
         .when(met, "repaired")
-        .when(after > before, "improved")
-        .otherwise("no better")
+        .otherwise("improved")
     )
     return tried.withColumn("outcome", outcome)
 
@@ -200,7 +203,7 @@ def repair_outcome(tried: DataFrame) -> DataFrame:
 def match_ups(rows: DataFrame, handed: DataFrame | None = None) -> DataFrame:
     """name, target, action of rows in a pair that disagrees: match to a sound partner, or stuck if neither is sound."""
     every = first_by(rows, ["name"], "ord")
-    own = sound_reading(F.col("faults"), F.col("questions"))
+    own = sound_reading(F.col("faults"), F.col("questions"), IN_PICTURES)
     both = with_partner(every.withColumn("sound", own))
     pairs = both.where(F.array_contains("faults", "pair-mismatch") & ~F.col("sound") & F.col("mate_name").isNotNull())
     if handed is not None:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiresmith.operators import chains, layout, raster, sequences
+from quiresmith.operators import layout, raster, sequences
+from quiresmith.operators import starts as item_starts
 from quiresmith.plans import corpus
 from quiresmith.session import materialize
 
@@ -38,20 +39,20 @@ def swept_spans(spans: DataFrame, areas: DataFrame) -> DataFrame:
 def read(blocks: DataFrame, spans: DataFrame, pages: DataFrame, tolerance: float = 4.0) -> Reading:
     """Facts of the unstripped text, what is furniture, the spans that stay, and where items start.
 
-    The starts are kept as a table, since a kernel per document made them.
+    The starts are kept as a table, since several plans read them.
     """
     facts = layout.document_facts(block_texts(blocks))
     bands = layout.header_footer_bands(blocks, pages)
     areas = layout.redactions(blocks, pages, bands)
     body = layout.body_spans(swept_spans(spans, areas), pages)
-    searchable = layout.after_preamble(body, facts).join(facts.select("doc", "kind"), "doc")
-    starts = materialize(chains.find_starts(searchable, tolerance), "starts")
+    searchable = materialize(layout.after_preamble(body, facts).join(facts.select("doc", "kind"), "doc"), "searchable")
+    starts = materialize(item_starts.find_starts(searchable, tolerance), "starts")
     return Reading(facts, bands, areas, body, starts)
 
 
 def page_choice(reading: Reading, pages: DataFrame, trim: bool = True) -> DataFrame:
     """doc, page, position of the pages to use: from the first item to the content's end, never short of the last item."""
-    found = reading.starts.where("number is not null").groupBy("doc").agg(F.min("page").alias("_first"), F.max("page").alias("_last"))
+    found = reading.starts.groupBy("doc").agg(F.min("page").alias("_first"), F.max("page").alias("_last"))
     span = reading.facts.join(found, "doc", "left")
     first = F.coalesce("_first", "answer_page", "first_question")
     stop = F.greatest("last_page", F.coalesce(F.col("_last") + 1, F.lit(1))) if trim else F.lit(1 << 30)
@@ -71,19 +72,18 @@ def strip_marks(starts: DataFrame, choice: DataFrame, cleaned: DataFrame, dpi: i
     row = F.greatest(F.bround(F.col("y") * dpi / 72, 0).cast("int") - F.col("top"), F.lit(0))
     new = F.size(F.filter("kept", lambda k: k <= row)) - 1
     inside = F.least(F.greatest(new, F.lit(0)), F.col("height") - 1)
-    return starts.where("number is not null").join(placed, ["doc", "page"]).select("doc", (F.col("offset") + inside).cast("int").alias("row"), "number")
+    return starts.join(placed, ["doc", "page"]).select("doc", (F.col("offset") + inside).cast("int").alias("row"), "number")
 
 
 def audit(reading: Reading, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Audit rows (name, kind, questions, faults) of a reading."""
-    starts = reading.starts.where("number is not null").drop("error")
+    starts = reading.starts
     choice = page_choice(reading, pages).select("doc", "page")
     body = blocks.join(choice, ["doc", "page"], "left_semi")
     clean = layout.swept(body, reading.areas)
     turned = pages.join(choice, ["doc", "page"], "left_semi").groupBy("doc").agg(F.count_distinct("rotation").alias("rotations"))
     left = layout.left_furniture(block_texts(clean), clean, pages).select("doc", F.col("text").alias("furniture"))
-    failed = reading.starts.where("error is not null").groupBy("doc").agg(F.first("error").alias("error"))
-    flags = reading.facts.select("doc").join(layout.shredded(body), "doc", "left").join(turned, "doc", "left").join(left, "doc", "left").join(failed, "doc", "left")
+    flags = reading.facts.select("doc").join(layout.shredded(body), "doc", "left").join(turned, "doc", "left").join(left, "doc", "left").withColumn("error", F.lit(None).cast("string"))
     return corpus.audit(reading.facts.select("doc", "kind"), starts, corpus.interval_faults(reading.spans, starts), flags)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiresmith.functions import names, numbers, strings
-from quiresmith.operators import aggregates, chains, layout, raster, relations, sequences, upsert
+from quiresmith.operators import aggregates, chains, layout, raster, relations, sequences, starts, upsert
 from quiresmith.plans import corpus
 from quiresmith.session import load
 
@@ -682,7 +682,7 @@ def hunt_monotone(spark, d):
         F.col("l_orderkey").cast("string").alias("doc"), F.lit("qp").alias("kind"), F.sequence(F.lit(1), F.lit(7)).alias("target"), F.lit(0).alias("page"), order.alias("ord"),
         F.lit(50.0).alias("left"), F.lit(53.0).alias("centre"), (order * 20.0).alias("y"), F.col("l_linenumber").cast("string").alias("text"),
     )
-    return chains.hunt_starts(spans)
+    return starts.hunt_starts(spans)
 
 
 @query("""
@@ -691,7 +691,7 @@ u AS (SELECT o, v, min(p) AS p FROM s GROUP BY 1, 2), counted AS (SELECT DISTINC
 c AS (SELECT o, p, v, [p] AS path, [v] AS vals FROM u WHERE o IN (SELECT o FROM counted)
   UNION ALL SELECT u.o, u.p, u.v, list_append(path, u.p), list_append(vals, u.v) FROM c JOIN u ON u.o = c.o AND u.p > c.p AND u.v > c.v),
 r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY len(path) DESC, v, list_reverse(path)) AS rn FROM c)
-SELECT o::VARCHAR AS doc, 0 AS page, unnest(path) * 20.0::DOUBLE AS y, unnest(vals) AS number, NULL::VARCHAR AS error FROM r WHERE rn = 1
+SELECT o::VARCHAR AS doc, 0 AS page, unnest(path) * 20.0::DOUBLE AS y, unnest(vals) AS number FROM r WHERE rn = 1
 """)
 def column_election(spark, d):
     """Items read from each order's lines, set out as spans of a document."""
@@ -700,4 +700,4 @@ def column_election(spark, d):
     spans = lines.select(
         F.col("l_orderkey").cast("string").alias("doc"), F.lit("qp").alias("kind"), F.lit(0).alias("page"), order.alias("ord"), F.lit(50.0).alias("left"), F.lit(53.0).alias("centre"), (order * 20.0).alias("y"), F.col("l_linenumber").cast("string").alias("text")
     )
-    return chains.find_starts(spans)
+    return starts.find_starts(spans)

@@ -43,16 +43,23 @@ def located(names: DataFrame, files: DataFrame) -> DataFrame:
     return first_by(files.join(names.select("name").distinct(), "name", "left_semi"), ["name"], "path").select("name", "path")
 
 
+def _written() -> Column:
+    """An order of a file scan's rows: files as they were written, and their rows as they stand."""
+    at = F.col("_metadata")
+    return F.struct(at["file_modification_time"].alias("at"), at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON documents that hold arrays, with ``ord``, their place."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    return rows.select("*", _written().alias("ord"))
 
 
 def log_lines(spark: SparkSession, path: str, schema: str, key: str, strict: bool = False) -> DataFrame:
-    """Rows of a log of JSON lines, the last of each key. Lines that do not parse go, or end a strict scan."""
+    """Rows of a log of JSON lines, the last written of each key. Lines that do not parse go, or end a strict scan."""
     mode = "FAILFAST" if strict else "PERMISSIVE"
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    lines = spark.read.text(path)
+    lines = lines.select("value", _written().alias("ord")).where(F.trim("value") != "")
     bad = "" if strict else ", _bad string"
     parsed = lines.select(F.from_json("value", schema + bad, {"mode": mode, "columnNameOfCorruptRecord": "_bad"}).alias("r"), "ord").select("r.*", "ord")
     if not strict:

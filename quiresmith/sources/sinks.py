@@ -21,13 +21,13 @@ def rewrite_json(rows: DataFrame, path: str) -> None:
 
 
 def write_catalog(rows: DataFrame, path: str) -> None:
-    """Replace the catalogue file, sorted by question file, in one file with a header."""
-    rows.select(*CATALOG_COLUMNS).orderBy("q_filename").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Replace the catalogue, sorted by question file: parts in order, each with a header."""
+    rows.select(*CATALOG_COLUMNS).orderBy("q_filename").write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_manifest(lines: DataFrame, path: str) -> None:
-    """Replace a text manifest (value), in the order given."""
-    lines.select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_manifest(lines: DataFrame, path: str, *order: str) -> None:
+    """Replace a text manifest (value), in ``order``: parts in order."""
+    lines.orderBy(*(order or ["value"])).select("value").write.mode("overwrite").text(path)
 
 
 def write_images(pixel_rows: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from hypothesis import settings as relaxed
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quiresmith.operators import aggregates, chains, layout, raster, relations, sequences, upsert
+from quiresmith.operators import aggregates, chains, layout, raster, relations, sequences, starts, upsert
 
 
 def rows(df, *order):
@@ -49,64 +49,55 @@ def test_chains_by_brute_force(values):
         assert (len(found), -values[found[-1]] if found else 0) == longest(values, fits)
 
 
-def document(*pages):
-    """Spans of pages given as (left, y, text), with a centre that hangs on the text's length."""
-    spans = [{"page": p, "ord": k, "left": left, "centre": left + 3.0 * len(text), "y": y, "text": text} for p, page in enumerate(pages) for k, (left, y, text) in enumerate(page)]
-    return chains.Document(spans, len(pages))
+SPAN = "doc string, kind string, page int, ord int, left double, centre double, y double, text string"
 
 
-def test_raised_digit_with_words_to_its_left_is_no_start():
-    d = document([(50, 100, "1"), (70, 100, "Mix"), (20, 198, "V / cm"), (50, 200, "3")], [(50, 100, "2"), (50, 300, "3")])
-    assert d.starts() == [(0, 100, 1), (1, 100, 2), (1, 300, 3)]
+def spans_of(doc, kind, *pages):
+    """Spans of pages given as (left, y, text), with a centre that hangs on the text's length unless it is given."""
+    return [(doc, kind, p, k, float(left), float(*centre or (left + 3.0 * len(text),)), float(y), text) for p, page in enumerate(pages) for k, (left, y, text, *centre) in enumerate(page)]
 
 
-def test_column_that_spans_more_pages_wins():
-    listed = [(80, 100 + 20 * k, str(k)) for k in range(1, 9)]
-    d = document([(50, 50, "1"), *listed], [(50, 60, "2")], [(50, 60, "3")])
-    assert d.starts() == [(0, 50, 1), (1, 60, 2), (2, 60, 3)]
+LISTED = [(80, 100 + 20 * k, str(k)) for k in range(1, 9)]
+#: Pages of a document, its side, and where its items start.
+READINGS = {
+    "raised digit with words to its left": ("qp", [[(50, 100, "1"), (70, 100, "Mix"), (20, 198, "V / cm"), (50, 200, "3")], [(50, 100, "2"), (50, 300, "3")]], [(0, 100, 1), (1, 100, 2), (1, 300, 3)]),
+    "column that spans more pages": ("qp", [[(50, 50, "1"), *LISTED], [(50, 60, "2")], [(50, 60, "3")]], [(0, 50, 1), (1, 60, 2), (2, 60, 3)]),
+    "swallowed label past the last": ("qp", [[(50, 100, "9"), (50, 300, "10")], [(50, 80, "11 Functions f and g"), (90, 200, "x")]], [(0, 100, 9), (0, 300, 10), (1, 80, 11)]),
+    "swallowed label in between": ("qp", [[(50, 100, "1"), (50, 200, "2 Use the formula")], [(50, 100, "3"), (50, 150, "4"), (50, 200, "2 again")]], [(0, 100, 1), (0, 200, 2), (1, 100, 3), (1, 150, 4)]),
+    "missing label": ("qp", [[(50, 100, "1"), (50, 200, "2")], [(50, 100, "4"), (50, 200, "5")]], [(0, 100, 1), (0, 200, 2), (1, 100, 4), (1, 200, 5)]),
+    "headings win over lists": ("ms", [[(50, 100, "Question 1 Planning (15 marks)"), *[(50, 140 + 20 * k, str(k)) for k in range(1, 10)]], [(50, 100, "Question 2 Analysis")]], [(0, 100, 1), (1, 100, 2)]),
+    "lone item": ("qp", [[(50, 100, "1"), (90, 120, "text")]], []),
+    "back to the first part": ("ms", [[(81.6, 100, "1(a)", 90.0), (76.7, 300, "1(d)(i)", 90.0)], [(81.6, 100, "2(a)", 90.0), (76.7, 200, "2(d)(i)", 90.0)]], [(0, 100, 1), (1, 100, 2)]),
+    "count on one page of three": ("qp", [[(50, 100, "1"), (50, 200, "2")], [(50, 100, "x")], [(50, 100, "y")]], []),
+    "no spans that open": ("qp", [[(50, 100, "x y"), (60, 100, "1"), (60, 104, "2")]], []),
+}
 
 
-def test_swallowed_label_past_the_last():
-    d = document([(50, 100, "9"), (50, 300, "10")], [(50, 80, "11 Functions f and g"), (90, 200, "x")])
-    assert d.starts() == [(0, 100, 9), (0, 300, 10), (1, 80, 11)]
+def test_starts_of_documents(spark):
+    rows_ = [r for doc, (kind, pages, _) in READINGS.items() for r in spans_of(doc, kind, *pages)]
+    rows_.append(("nulls", "qp", 0, 0, None, None, None, None))
+    found = {}
+    for r in starts.find_starts(spark.createDataFrame(rows_, SPAN)).collect():
+        found.setdefault(r["doc"], []).append((r["page"], r["y"], r["number"]))
+    for doc, (_, _, want) in READINGS.items():
+        assert sorted(found.get(doc, [])) == [(p, float(y), n) for p, y, n in want], doc
+    assert "nulls" not in found
 
 
-def test_missing_label_leaves_its_neighbours():
-    d = document([(50, 100, "1"), (50, 200, "2")], [(50, 100, "4"), (50, 200, "5")])
-    assert [n for _, _, n in d.starts()] == [1, 2, 4, 5]
+def test_hunt_in_turn(spark):
+    df = spark.createDataFrame(spans_of("a", "qp", [(50, 100, "1"), (50, 150, "3"), (50, 200, "2.")], [(50, 100, "3 x"), (120, 120, "4")]), SPAN)
+    wanted = spark.createDataFrame([("a", [1, 2, 3, 4, 5])], "doc string, target array<int>")
+    bands = spark.createDataFrame([("a", 38.0, 70.0)], "doc string, low double, high double")
+    got = starts.hunt(df, wanted, bands).collect()
+    assert sorted((r["page"], r["y"], r["number"]) for r in got) == [(0, 100, 1), (0, 200, 2), (1, 100, 3)]
 
 
-def test_headings_win_over_lists():
-    listed = [(50, 140 + 20 * k, str(k)) for k in range(1, 10)]
-    d = document([(50, 100, "Question 1 Planning (15 marks)"), *listed], [(50, 100, "Question 2 Analysis")])
-    assert chains.read_items(d, "ms") == [(0, 100, 1), (1, 100, 2)]
-
-
-def test_lone_item_gives_nothing():
-    assert document([(50, 100, "1"), (90, 120, "text")]).starts() == []
-
-
-def test_start_snaps_back_to_the_first_part():
-    label = lambda left, y, text: {"left": left, "centre": 90.0, "y": y, "text": text}
-    pages = [[label(81.6, 100, "1(a)"), label(76.7, 300, "1(d)(i)")], [label(81.6, 100, "2(a)"), label(76.7, 200, "2(d)(i)")]]
-    spans = [{"page": p, "ord": k, **s} for p, page in enumerate(pages) for k, s in enumerate(page)]
-    assert chains.Document(spans, 2).starts(snap=True) == [(0, 100, 1), (1, 100, 2)]
-
-
-def test_hunt_in_turn():
-    d = document([(50, 100, "1"), (50, 150, "3"), (50, 200, "2.")], [(50, 100, "3 x"), (120, 120, "4")])
-    assert d.hunt([1, 2, 3, 4, 5], (38, 70)) == [(0, 100, 1), (0, 200, 2), (1, 100, 3)]
-
-
-def test_documents_run_apart(spark):
-    spans = [(doc, "qp", p, k, 50.0, 53.0, 100.0 * k, str(n)) for doc in ("a", "b") for p, k, n in ((0, 1, 1), (0, 2, 2), (1, 1, 3))]
-    spans.append(("c", "qp", 0, 0, None, None, None, "1"))  # fails by itself
-    df = spark.createDataFrame(spans, "doc string, kind string, page int, ord int, left double, centre double, y double, text string")
-    found = chains.find_starts(df).collect()
-    assert sorted((r["doc"], r["number"]) for r in found if r["error"] is None) == [(d, n) for d in "ab" for n in (1, 2, 3)]
-    assert [r["doc"] for r in found if r["error"]] == ["c"]
-    hunted = chains.hunt_starts(df.where("doc <> 'c'").withColumn("target", F.array(F.lit(1), F.lit(3))))
-    assert rows(hunted.select("doc", "number"), "doc", "number") == [("a", 1), ("a", 3), ("b", 1), ("b", 3)]
+def test_hunts_of_several_documents(spark):
+    rows_ = [r for doc in ("a", "b") for r in spans_of(doc, "qp", [(50, 100, "1"), (50, 200, "2")], [(50, 100, "3")])]
+    rows_ += spans_of("c", "qp", [(40, 100, "x"), (60, 200, "3"), (90, 300, "1")])  # nothing is read: the band lies at the edge
+    df = spark.createDataFrame(rows_, SPAN).withColumn("target", F.array(F.lit(1), F.lit(3)))
+    hunted = starts.hunt_starts(df)
+    assert rows(hunted.select("doc", "number"), "doc", "number") == [("a", 1), ("a", 3), ("b", 1), ("b", 3), ("c", 3)]
 
 
 # Windows
@@ -358,7 +349,10 @@ def test_split_and_edges(spark):
     clean = cut.copy()
     clean[0] = False
     clean[0, 5] = True
-    assert raster.edge_ink(cut)[0] == 1.0 and raster.edge_ink(clean)[0] == 0.0 and raster.edge_ink(image()) is None
+    images = {"cut": cut, "clean": clean, "blank": image()}
+    table = spark.createDataFrame([(name, y, [bool(v) for v in row]) for name, m in images.items() for y, row in enumerate(m)], "img string, y int, ink array<boolean>")
+    edges = {r["img"]: r["top"] for r in raster.cut_edges(table).collect()}
+    assert edges == {"cut": 1.0, "clean": 0.0}
 
 
 def test_stroke_lengths_by_brute_force():
