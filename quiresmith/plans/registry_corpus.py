@@ -152,18 +152,18 @@ def repair_by_family(spark, d):
 
 
 @query("""
-WITH s AS (SELECT l_orderkey AS doc, list_sort(list(l_linenumber)) AS questions, bool_or(l_returnflag = 'A') AS shredded, count(DISTINCT l_linestatus) AS turns, bool_or(l_tax > 0.07) AS part, bool_or(l_discount > 0.09) AS foreign_, min(l_shipmode) FILTER (l_shipmode = 'AIR') AS furniture FROM lineitem GROUP BY 1)
+WITH s AS (SELECT l_orderkey AS doc, list_sort(list(l_linenumber)) AS questions, bool_or(l_returnflag = 'A') AS shredded, count(DISTINCT l_linestatus) AS turns, bool_or(l_tax > 0.07) AS part, bool_or(l_discount > 0.09) AS foreign_, CASE WHEN bool_or(l_suppkey % 7 = 0) THEN 'PUBLISHED' END AS furniture FROM lineitem GROUP BY 1)
 SELECT o_orderkey::VARCHAR AS name, coalesce(array_to_string(questions, ','), '') AS questions, array_to_string(list_sort(list_filter([CASE WHEN shredded THEN 'shredded' END, CASE WHEN turns > 1 THEN 'mixed-rotation' END, CASE WHEN questions IS NULL THEN 'no-questions' END,
    CASE WHEN questions <> list_transform(range(1, len(questions) + 1), lambda x: x::INTEGER) THEN 'gap' END, CASE WHEN part THEN 'missing-part' END, CASE WHEN foreign_ THEN 'foreign-label' END, CASE WHEN furniture IS NOT NULL THEN 'furniture' END], lambda x: x IS NOT NULL)), ',') AS faults
 FROM orders LEFT JOIN s ON o_orderkey = doc
 """)
 def audit(spark, d):
     """Audit rows of documents made of orders: what was read, and all faults of the reading."""
-    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_tax", "l_discount", "l_shipmode").withColumn("doc", F.col("l_orderkey").cast("string"))
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_tax", "l_discount", "l_suppkey").withColumn("doc", F.col("l_orderkey").cast("string"))
     documents = load(spark, d, "orders", F.col("o_orderkey").cast("string").alias("doc"), F.lit("qp").alias("kind"))
     starts = lines.select("doc", F.lit(0).alias("page"), (F.col("l_linenumber") * 10.0).alias("y"), F.col("l_linenumber").alias("number"))
     intervals = lines.select("doc", F.col("l_linenumber").alias("number"), F.when(F.col("l_tax") > 0.07, "b").otherwise("a").alias("first_part"), (F.col("l_discount") > 0.09).alias("foreign"))
-    flags = lines.groupBy("doc").agg(F.bool_or(F.col("l_returnflag") == "A").alias("shredded"), F.count_distinct("l_linestatus").alias("rotations"), F.min(F.when(F.col("l_shipmode") == "AIR", F.col("l_shipmode"))).alias("furniture"))
+    flags = lines.groupBy("doc").agg(F.bool_or(F.col("l_returnflag") == "A").alias("shredded"), F.count_distinct("l_linestatus").alias("rotations"), F.max(F.when(F.col("l_suppkey") % 7 == 0, "PUBLISHED")).alias("furniture"))
     rows = corpus.audit(documents, starts, intervals, flags.withColumn("error", F.lit(None).cast("string")))
     return rows.select("name", F.array_join(F.col("questions").cast("array<string>"), ",").alias("questions"), F.array_join("faults", ",").alias("faults"))
 
@@ -183,19 +183,19 @@ def audit_outputs(spark, d):
 
 
 @query("""
-WITH f AS (SELECT l_shipmode AS name, l_suppkey AS k FROM lineitem UNION SELECT o_orderpriority, o_custkey FROM orders UNION SELECT c_mktsegment, c_nationkey FROM customer) SELECT * FROM f
+WITH f AS (SELECT l_returnflag AS name, l_suppkey AS k FROM lineitem UNION SELECT o_orderpriority, o_custkey FROM orders UNION SELECT c_mktsegment, c_nationkey FROM customer) SELECT * FROM f
 """)
 def union_of_lists(spark, d):
     """Names of three lists, each once."""
-    parts = [load(spark, d, t, F.col(a).alias("name"), F.col(b).cast("long").alias("k")) for t, a, b in (("lineitem", "l_shipmode", "l_suppkey"), ("orders", "o_orderpriority", "o_custkey"), ("customer", "c_mktsegment", "c_nationkey"))]
+    parts = [load(spark, d, t, F.col(a).alias("name"), F.col(b).cast("long").alias("k")) for t, a, b in (("lineitem", "l_returnflag", "l_suppkey"), ("orders", "o_orderpriority", "o_custkey"), ("customer", "c_mktsegment", "c_nationkey"))]
     return relations.union_of(*parts)
 
 
-@query("SELECT l_orderkey, list_sort(list_distinct(list(l_shipmode) FILTER (l_linestatus = 'O'))) IS NOT DISTINCT FROM list_sort(list_distinct(list(l_shipmode) FILTER (l_linestatus = 'F'))) AS same FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag) FILTER (l_linestatus = 'O'))) IS NOT DISTINCT FROM list_sort(list_distinct(list(l_returnflag) FILTER (l_linestatus = 'F'))) AS same FROM lineitem GROUP BY 1")
 def same_sides(spark, d):
     """Whether both sides of an order hold the same modes."""
-    lines = load(spark, d, "lineitem", "l_orderkey", "l_linestatus", "l_shipmode")
-    sides = lines.groupBy("l_orderkey").agg(*(F.collect_list(F.when(F.col("l_linestatus") == s, F.col("l_shipmode"))).alias(s) for s in "OF"))
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linestatus", "l_returnflag")
+    sides = lines.groupBy("l_orderkey").agg(*(F.collect_list(F.when(F.col("l_linestatus") == s, F.col("l_returnflag"))).alias(s) for s in "OF"))
     return sides.select("l_orderkey", relations.same_members(F.col("O"), F.col("F")).alias("same"))
 
 
@@ -426,7 +426,7 @@ def top_faults(spark, d):
     return aggregates.counts_by(rows.select(F.explode("faults").alias("fault")), "fault").limit(3)
 
 
-@query("SELECT l_orderkey, max_by(l_linenumber, (l_quantity, l_tax, -l_linenumber * 1000000000 - l_partkey)) AS line FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, max_by(l_linenumber, (l_quantity, l_tax, -l_linenumber::BIGINT * 1000000000 - l_partkey)) AS line FROM lineitem GROUP BY 1")
 def best_by_score(spark, d):
     """The line of each order with the highest score, field by field; of equals the first."""
     lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax").withColumn("seq", F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey"))

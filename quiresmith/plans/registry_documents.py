@@ -48,8 +48,8 @@ def content_pages(spark, d):
     return layout.document_facts(texts).select("doc", "first_question", "answer_page", "last_page", "kind")
 
 
-@query(LINES + f""", p AS (SELECT l_orderkey AS doc, k AS page, {_picked('(l_partkey + l_suppkey)', *PAGE_TEXTS)} AS text FROM l), a AS (SELECT doc, min(page) AS at FROM p WHERE text LIKE 'Question Answer%' GROUP BY 1)
-SELECT doc::VARCHAR AS doc, page::INTEGER AS page FROM p LEFT JOIN a USING (doc) WHERE page >= coalesce(at, 0)
+@query(LINES + f""", p AS (SELECT l_orderkey AS doc, k AS page, {_picked('(l_partkey + l_suppkey)', *PAGE_TEXTS)} AS text FROM l), a AS (SELECT doc, min(page) AS begins FROM p WHERE text LIKE 'Question Answer%' GROUP BY 1)
+SELECT doc::VARCHAR AS doc, page::INTEGER AS page FROM p LEFT JOIN a USING (doc) WHERE page >= coalesce(begins, 0)
 """)
 def after_preamble(spark, d):
     """Spans from the answer page on."""
@@ -77,13 +77,13 @@ def furniture_rules(spark, d):
 TAILS = ("Important values, constants", "Important  value constants", "the periodic\ntable of elements", "Copyright Acknowledgements", "To avoid the issue of disclosure of answer-related information", "The boundaries and names shown, the designations used", "2 (b) plain")
 
 
-@query(LINES + f""", b AS (SELECT l_orderkey AS doc, 100 + 60 * k AS y0, {_picked('l_partkey', "Important values, constants and standards", "Important values constants", *TAILS[2:])} AS text, l_partkey % 7 IN (0, 2, 3, 4, 5) AS tail FROM l)
+@query(LINES + f""", b AS (SELECT l_orderkey AS doc, 150 + 30 * k AS y0, {_picked('l_partkey', "Important values, constants and standards", "Important values constants", *TAILS[2:])} AS text, l_partkey % 7 IN (0, 2, 3, 4, 5) AS tail FROM l)
 SELECT doc::VARCHAR AS doc, (min(y0) FILTER (tail) - 2)::DOUBLE AS top FROM b GROUP BY 1 HAVING count_if(tail) > 0
 """)
 def tail_matter(spark, d):
     """Where reference matter is cut off below the last item."""
     text = _pick(F.col("l_partkey"), "Important values, constants and standards", "Important values constants", *TAILS[2:])
-    blocks = _lines(spark, d).select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(0).alias("page"), text.alias("text"), F.lit(50.0).alias("x0"), (F.col("k") * 60 + 100.0).alias("y0"), F.lit(300.0).alias("x1"), (F.col("k") * 60 + 112.0).alias("y1"))
+    blocks = _lines(spark, d).select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(0).alias("page"), text.alias("text"), F.lit(50.0).alias("x0"), (F.col("k") * 30 + 150.0).alias("y0"), F.lit(300.0).alias("x1"), (F.col("k") * 30 + 162.0).alias("y1"))
     pages = blocks.select("doc", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
     bands = blocks.select("doc").distinct().withColumns({"head": F.lit(0.0), "foot": F.lit(0.0)})
     return layout.redactions(blocks, pages, bands).where("x0 = 0 and x1 = 600").select("doc", F.col("y0").alias("top"))
@@ -248,8 +248,8 @@ def worded_headings(spark, d):
     return starts.find_starts(_spans(sized, F.lit(50), (F.col("k") + 1) * 30.0, F.concat(F.lit("Question "), v.cast("string"), F.lit(" Planning"))).withColumn("kind", F.lit("ms")))
 
 
-@query(LINES + """, s AS (SELECT l_orderkey AS doc, 40 + l_partkey % 9 AS x, l_linenumber AS n, l_discount > 0.05 AS off FROM l)
-SELECT doc::VARCHAR AS doc, (min(x) FILTER (NOT off) - 6)::DOUBLE AS low, (max(x) FILTER (NOT off) + 6)::DOUBLE AS high FROM s GROUP BY 1 HAVING count_if(NOT off) > 0
+@query(LINES + """, s AS (SELECT l_orderkey AS doc, 40 + l_partkey % 9 AS x, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY k) AS rn FROM l WHERE NOT l_discount > 0.05)
+SELECT doc::VARCHAR AS doc, (min(x) - 6)::DOUBLE AS low, (max(x) + 6)::DOUBLE AS high FROM s WHERE rn = 1 GROUP BY 1
 """)
 def column_bands(spark, d):
     """Where labels stand from which starts were read."""
@@ -372,6 +372,6 @@ def prepared_parts(spark, d):
 @query()
 def split_items(spark, d):
     """Items of tall images, cut at their marks and drawn in to their content."""
-    rows = _images(spark, d, 0.3).where("y < 400")
-    marks = rows.where("y % 60 = 30").select("img", F.col("y").alias("row"), F.floor(F.col("y") / 60).cast("int").alias("number"))
+    rows = _images(spark, d, 0.1).where("y < 400")
+    marks = rows.where("y % 20 = 10").select("img", F.col("y").alias("row"), F.floor(F.col("y") / 20).cast("int").alias("number"))
     return raster.split_items(rows, marks, 1.0, False, True)
