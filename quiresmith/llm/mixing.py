@@ -32,7 +32,7 @@ BLOCK_ROWS = 2048
 SPARE = 8
 _EPS = 1e-9
 #: Rows alike that one task numbers.
-_ALIKE = 1024
+_ALIKE = 128
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
