@@ -4,8 +4,9 @@ Every template is looked for by wording in the blocks of words around license
 cues: a passage is taken only if nearly all of the template's words stand in
 it, in order, and every number and license code among them. Passages are
 compressed, with a few words around them, alone and with their template as a
-raw zstandard dictionary; the template that saves most names the license. A
-passage taken is blanked, in all blocks, and the rest of its block is looked at
+raw zstandard dictionary. Of templates whose passages overlap, one that holds
+the other's passage names the license, an exact wording comes before a variant,
+and then the template that saves most. A passage taken is blanked, in all blocks, and the rest of its block is looked at
 again, so that a block can hold several licenses and none spans another.
 """
 
@@ -121,6 +122,18 @@ def confirmed(template: list[str], found: tuple[int, int, list[str], list[str]])
     return all(sum(w not in ARTICLES for w in side) <= SLACK * len(template) for side in (missing, extra))
 
 
+def _named_by(hits: list[tuple]) -> tuple:
+    """The hit (license, first, past last, missing, extra, saved) that names its passage.
+
+    A passage that lies within another's is a part of that one's wording (as a
+    plain notice is of an or-later one), so it names nothing. Of the others an
+    exact wording comes before a variant, then what saves most; of equals the
+    first in the table.
+    """
+    whole = [h for h in hits if not any(o[1] <= h[1] and h[2] <= o[2] and o[2] - o[1] > h[2] - h[1] for o in hits)]
+    return min(whole, key=lambda h: (bool(h[3] or h[4]), -h[5]))
+
+
 def scan(text: str | None) -> list[dict]:
     """Licenses of a text: name, first and past-last character, exact or variant, bytes saved, missing and extra words."""
     text = text or ""
@@ -143,17 +156,15 @@ def scan(text: str | None) -> list[dict]:
         words = ["" if k in blank else plain(raw[k]) for k in places]
         fits = [t for t, (_, template, _, _) in enumerate(_templates()) if may_hold(template, set(words))]
         while True:
-            hit, held = None, set(words)
+            hits, held = [], set(words)
             for t in fits:
                 name, template, _, title = _templates()[t]
                 found = differences(template, words) if may_hold(template, held) else None
                 if found and confirmed(template, found) and not (title and (found[2] or found[3] or not _own_line(text, spans[places[found[0]]][0], spans[places[found[1] - 1]][1]))):
-                    saved = saving(t, words, *found[:2])
-                    if hit is None or saved > hit[0]:
-                        hit = (saved, name, *found)
-            if hit is None:
+                    hits.append((name, *found, saving(t, words, *found[:2])))
+            if not hits:
                 break
-            saved, name, a, b, missing, extra = hit
+            name, a, b, missing, extra, saved = _named_by(hits)
             out.append({"license": name, "start": spans[places[a]][0], "end": spans[places[b - 1]][1], "wording": "variant" if missing or extra else "exact", "saved_bytes": saved, "missing": " ".join(missing), "extra": " ".join(extra)})
             words[a:b] = [""] * (b - a)
             blank.update(places[a:b])
@@ -175,7 +186,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     Whole texts of any length are scanned; those without any cue never leave
     the JVM. Null and empty texts and empty tables have no rows; null ids and
     repeated rows stay as they are. Where templates fit one passage, the one
-    that saves most names it; of equals the first in the table.
+    with the longest wording there names it, an exact wording before a
+    variant, then what saves most; of equals the first in the table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

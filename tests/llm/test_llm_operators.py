@@ -546,6 +546,19 @@ def test_license_variants():
     assert licenses.scan("Licensed under CC BY 4.0 and CC BY-ND 4.0")[0]["license"] == "CC-BY-4.0"
 
 
+def test_or_later_is_never_plain():
+    from quiresmith.llm.license_texts import TEMPLATES
+
+    rng = random.Random(31)
+    later = [(name, wording) for name, wording in TEMPLATES if name.endswith("-or-later")]
+    assert len(later) > 40
+    for name, wording in later:
+        for _ in range(3):
+            head, tail = prose(rng, rng.randint(5, 60)), prose(rng, rng.randint(5, 60))
+            found = licenses.scan(f"{head}. {wording} {tail}")
+            assert [(r["license"], r["start"], r["wording"]) for r in found] == [(name, len(head) + 2, "exact")], wording
+
+
 def test_licenses_in_long_blocks():
     notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     rng = random.Random(5)
@@ -589,5 +602,5 @@ def test_whole_license_texts():
     # A version at the start of a line is none of a list's numbers.
     assert [r["license"] for r in licenses.scan("This work is licensed under the GNU General Public License, version\n3.")] == ["GPL-3.0"]
     lesser = licenses.scan("This work is licensed under the GNU Lesser General Public License, version 3.")
-    assert [(r["license"], r["wording"]) for r in lesser] == [("LGPL-3.0", "variant")]
+    assert [(r["license"], r["wording"]) for r in lesser] == [("LGPL-3.0", "exact")]
     assert [r["license"] for r in licenses.scan("This library is licensed under the GNU Library General Public License, version 2.")] == ["LGPL-2.0"]
