@@ -117,3 +117,12 @@ def joined_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int)
     found = rows.join(F.broadcast(hot.drop(n)), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return found.unionByName(rest.join(facts.where(F.col(n) <= HOT * total).drop(n), key))
+
+
+def streamed(held: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+    """Rows of ``held`` (kind 0) and ``asked`` (kind 1) by shard, a shard's held rows first: what a task needs to keep what is held and let the rest stream by.
+
+    Both have a column ``shard`` from 0; other columns are those of either, null where the other has them not.
+    """
+    both = held.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return both.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind")

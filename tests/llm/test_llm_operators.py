@@ -378,7 +378,7 @@ def test_top_k_exact(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
     from pyspark.sql import functions as F
 
-    got = topk.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=40, block_rows=2).collect()
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, pack_rows=40, block_rows=2).collect()
     ints = {k: np.floor(1024 * np.array(v, float)) for k, v, _ in rows if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = set()
     for q, v in ints.items():
