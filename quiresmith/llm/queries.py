@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiresmith.llm import bpe, lexical, licenses, lm, mixing, negatives, quality, simhash, topk, toxicity, vectors, warc
+from quiresmith.llm import bpe, html_text, lexical, licenses, lm, mixing, negatives, quality, simhash, topk, toxicity, vectors, warc
 from quiresmith.session import load
 
 
@@ -161,6 +161,11 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(load(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -174,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_ranked_search": op12_ranked_search,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
