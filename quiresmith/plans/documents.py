@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiresmith.operators import layout, raster, sequences
+from quiresmith.operators import bands, layout, sequences
 from quiresmith.operators import starts as item_starts
 from quiresmith.plans import corpus
 from quiresmith.session import materialize
@@ -98,4 +98,4 @@ def item_images(strips: DataFrame, marks: DataFrame, dpi: int, kind: str) -> Dat
     from quiresmith.plans.settings import profile_for
 
     s = profile_for(kind)
-    return raster.split_items(strips, marks, dpi / 72, bool(s.cut_on_rules), bool(s.keep_above_first))
+    return bands.split_items(strips, marks, dpi / 72, bool(s.cut_on_rules), bool(s.keep_above_first))

@@ -10,7 +10,7 @@ from quiresmith.operators import aggregates, relations, sequences, upsert
 from quiresmith.plans import catalog, corpus
 from quiresmith.plans.registry import FAULTS_SQL, PAPERS, _faults, _papers, query
 from quiresmith.session import load, materialize, shared_path
-from quiresmith.sources import readers, schemas, sinks
+from quiresmith.sources import png, readers, schemas, sinks
 from quiresmith.streaming import logs
 
 #: The audit rows of PAPERS, with the fault of a pair that disagrees.
@@ -433,12 +433,35 @@ def best_by_score(spark, d):
     return aggregates.best_by(lines, ["l_orderkey"], [F.col("l_quantity"), F.col("l_tax")], "seq", F.col("l_linenumber").alias("line"))
 
 
-@query("SELECT img, count(*) AS files FROM (SELECT DISTINCT label::VARCHAR AS img FROM embeddings) GROUP BY 1")
+PIXELS = "WITH m AS (SELECT label::VARCHAR AS img, label % 5 AS kind, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS y, list_transform(embedding, lambda x: (floor(x * 255) % 256 + 256) % 256) AS px FROM embeddings)"
+
+
+def _pixels(spark, d) -> DataFrame:
+    """Images whose lines are vectors: img, kind, y, px (bytes)."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    px = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 255), F.lit(256))), 2, "0"))
+    rows = load(spark, d, "embeddings", "vec_id", "label", "embedding")
+    return rows.select(F.col("label").cast("string").alias("img"), (F.col("label") % 5).alias("kind"), place.alias("y"), F.unhex(F.array_join(px, "")).alias("px"))
+
+
+@query(PIXELS + "SELECT img, y, array_to_string(list_transform(px, lambda v: printf('%02X', v::INTEGER)), '') AS line FROM m")
 def image_files(spark, d):
-    """Images written as grey maps, as an inventory of their files."""
+    """Grey images written as PNG files and read again: the pixels of every line."""
     path = shared_path(spark, "images")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = load(spark, d, "embeddings", "vec_id", "label", "embedding").select(F.col("label").cast("string").alias("img"), place.alias("y"), F.transform("embedding", lambda x: F.pmod(F.floor(x * 255), F.lit(256)).cast("int")).alias("px"))
-    sinks.write_images(rows.where("y < 40"), path)
-    files = readers.inventory(spark, path, "*.txt").where("bytes > 0")
-    return materialize(files.select(F.regexp_extract("path", "img=([^/]+)", 1).alias("img")).groupBy("img").agg(F.count(F.lit(1)).alias("files")), "inventory")
+    sinks.write_png(_pixels(spark, d), path)
+    return png.greys(readers.png_lines(spark, path)).select("img", "y", F.hex("px").alias("line"))
+
+
+@query(PIXELS + """,
+k AS (SELECT *, [0, 2, 6, 0, 3][kind + 1] AS colour, [8, 8, 8, 16, 8][kind + 1] AS depth, [64, 21, 16, 32, 64][kind + 1] AS width FROM m)
+SELECT img, y, width::INTEGER AS width, colour::INTEGER AS colour, depth::INTEGER AS depth, array_to_string(list_transform(px[1:CASE WHEN colour = 2 THEN 63 ELSE 64 END], lambda v: printf('%02X', v::INTEGER)), '') AS line FROM k
+""")
+def image_kinds(spark, d):
+    """Images of grey, colour, transparency, sixteen bits and palettes, written and read again as they are stored."""
+    path = shared_path(spark, "images")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), F.col("kind") + 1).cast("int")
+    size = F.max("y").over(Window.partitionBy("img")) + 1
+    rows = _pixels(spark, d).withColumns({"colour": pick(0, 2, 6, 0, 3), "depth": pick(8, 8, 8, 16, 8), "width": pick(64, 21, 16, 32, 64), "height": size.cast("int"), "alpha": F.lit(None).cast("binary")})
+    rows = rows.withColumn("palette", F.when(F.col("colour") == 3, F.unhex(F.repeat(F.lit("102030"), 256)))).withColumn("line", F.substring("px", F.lit(1), F.when(F.col("colour") == 2, 63).otherwise(64)))
+    sinks.write_png(rows, path)
+    return readers.png_lines(spark, path).select("img", "y", "width", "colour", "depth", F.hex("line").alias("line"))

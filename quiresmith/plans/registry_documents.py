@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions import numbers
-from quiresmith.operators import layout, raster, sequences, starts
+from quiresmith.operators import bands, layout, raster, sequences, starts
 from quiresmith.plans import corpus
 from quiresmith.plans.registry import query
 from quiresmith.session import load
@@ -332,7 +332,7 @@ SELECT img, first, stop FROM page
 """)
 def paginated(spark, d):
     """Tall images cut into pages at blank rows."""
-    return raster.pages_of(_images(spark, d, 0.3), 40)
+    return bands.pages_of(_images(spark, d, 0.3), 40)
 
 
 @query(IMAGES.format(t=0.12) + """,
@@ -346,7 +346,7 @@ SELECT img, min_by(top, y)::DOUBLE AS top, (CASE WHEN count(*) = 1 THEN min_by(t
 """)
 def cut_edges(spark, d):
     """How far first and last rows of images look cut."""
-    return raster.cut_edges(_images(spark, d, 0.12))
+    return bands.cut_edges(_images(spark, d, 0.12))
 
 
 def _greys(spark, d) -> DataFrame:
@@ -354,24 +354,36 @@ def _greys(spark, d) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     rows = load(spark, d, "embeddings", "vec_id", "label", "embedding").select(F.col("label").cast("string").alias("img"), place.alias("y"), "embedding")
     dotted = F.transform("embedding", lambda x, k: F.when(k % 2 == 0, 0).otherwise(255))
-    return rows.where("y < 120").select("img", "y", F.when(F.col("y") % 9 == 4, dotted).otherwise(F.transform("embedding", lambda x: F.when(x > 0.3, 30).otherwise(255))).alias("px"))
+    return rows.select("img", "y", F.when(F.col("y") % 9 == 4, dotted).otherwise(F.transform("embedding", lambda x: F.when(x > 0.3, 30).otherwise(255))).alias("px"))
 
 
-@query()
+@query("""
+WITH m AS (SELECT label::VARCHAR AS img, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS y, embedding AS e FROM embeddings),
+i AS (SELECT img, y, x FROM (SELECT *, unnest(range(0, 64)) AS x FROM m) WHERE CASE WHEN y % 9 = 4 THEN x % 2 = 0 ELSE e[x + 1] > 0.3 END),
+v AS (SELECT img, x, y, count(*) OVER (PARTITION BY img, x, g) AS tall FROM (SELECT *, y - row_number() OVER (PARTITION BY img, x ORDER BY y) AS g FROM i)),
+h AS (SELECT img, x, y, count(*) OVER (PARTITION BY img, y, g) AS wide FROM (SELECT *, x - row_number() OVER (PARTITION BY img, y ORDER BY x) AS g FROM i)),
+r AS (SELECT img, y, count(*) AS n, max(x) - min(x) + 1 AS span, count(*) FILTER (tall <= 3) AS thin, max(tall) AS most FROM v GROUP BY 1, 2),
+d AS (SELECT img, y FROM r WHERE span >= 0.45 * 64 AND thin >= 0.8 * n AND most <= 18 AND n / span <= 0.75),
+o AS (SELECT v.*, d.y IS NOT NULL AND tall <= 3 AND wide <= 4.5 AS gone FROM v JOIN h USING (img, x, y) LEFT JOIN d USING (img, y)),
+b AS (SELECT img, y, min(y) OVER (PARTITION BY img, g) AS top, max(y) OVER (PARTITION BY img, g) AS bottom FROM (SELECT *, y - row_number() OVER (PARTITION BY img ORDER BY y) AS g FROM d WHERE img IN (SELECT img FROM o WHERE gone))),
+w AS (SELECT * FROM b WHERE bottom - top <= 7.5), s AS (SELECT DISTINCT w.img, w.top, o.x FROM w JOIN o USING (img, y) WHERE NOT o.gone),
+z AS (SELECT DISTINCT o.img, o.y, o.x FROM o LEFT JOIN w USING (img, y) LEFT JOIN s ON s.img = o.img AND s.top = w.top AND s.x BETWEEN o.x - 3 AND o.x + 3 WHERE w.top IS NULL OR s.x IS NOT NULL)
+SELECT m.img, m.y, count(z.x)::INTEGER AS ink FROM m LEFT JOIN z USING (img, y) GROUP BY 1, 2
+""")
 def erased_rulings(spark, d):
-    """Images without their answer rulings."""
-    return raster.erase_rulings(_greys(spark, d)).select("img", "y", F.size(F.filter("px", lambda v: v < 200)).alias("ink"))
+    """Images without their answer rulings: the ink that each line is left."""
+    return bands.facts(bands.erase_rulings(_greys(spark, d))).where("y >= 0").select("img", "y", "ink")
 
 
 @query()
 def prepared_parts(spark, d):
     """Parts made ready: edge rules, rulings, margins and gaps gone."""
-    return raster.prepare_parts(_greys(spark, d)).select("img", "y", F.size("px").alias("width"), F.size(F.filter("px", lambda v: v < 200)).alias("ink"))
+    return bands.facts(bands.prepare_parts(_greys(spark, d))).where("y >= 0").select("img", "y", "width", "ink")
 
 
 @query()
 def split_items(spark, d):
     """Items of tall images, cut at their marks and drawn in to their content."""
-    rows = _images(spark, d, 0.1).where("y < 400")
+    rows = _images(spark, d, 0.1)
     marks = rows.where("y % 20 = 10").select("img", F.col("y").alias("row"), F.floor(F.col("y") / 20).cast("int").alias("number"))
-    return raster.split_items(rows, marks, 1.0, False, True)
+    return bands.split_items(rows, marks, 1.0, False, True)

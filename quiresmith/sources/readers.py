@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quiresmith.functions.names import artifact
 from quiresmith.operators.relations import first_by, header_columns, last_by
-from quiresmith.sources import schemas
+from quiresmith.sources import png, schemas
 
 
 def _file(path: Column) -> Column:
@@ -95,8 +95,14 @@ def tokens(spark: SparkSession, *paths: str) -> DataFrame:
     return words.where("name <> ''").distinct()
 
 
+def png_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the PNG images below ``root``, as ``png.ROWS``; ``png.greys`` makes grey values of them."""
+    png.register(spark)
+    return spark.read.format("png").load(root)
+
+
 def images(spark: SparkSession, root: str) -> DataFrame:
-    """img, y, px (grey values) of the images below ``root``, by Spark's image source; transparency lies on white."""
+    """img, y, px (grey values) of images of other formats below ``root``, by Spark's image source; transparency lies on white."""
     raw = spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*")
     step = F.col("nChannels") * F.col("width")
     rows = raw.select(F.col("origin").alias("img"), "nChannels", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", (y * step + 1).cast("int"), step.cast("int")))).alias("y", "line"))

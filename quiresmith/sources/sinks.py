@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiresmith.sources import png
 from quiresmith.sources.schemas import CATALOG
 
 CATALOG_COLUMNS = tuple(c.split()[0] for c in CATALOG.split(", "))
@@ -30,9 +31,20 @@ def write_manifest(lines: DataFrame, path: str, *order: str) -> None:
     lines.orderBy(*(order or ["value"])).select("value").write.mode("overwrite").text(path)
 
 
-def write_images(pixel_rows: DataFrame, path: str) -> None:
-    """Write images as portable grey maps, a row of text per image; img names the image and partitions the folder."""
-    size = F.concat_ws(" ", F.max(F.size("px")).cast("string"), (F.max("y") + 1).cast("string"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "px"))), lambda r: F.array_join(r["px"], " ")), "\n")
-    maps = pixel_rows.groupBy("img").agg(F.concat(F.lit("P2\n"), size, F.lit("\n255\n"), body).alias("value"))
-    maps.write.mode("overwrite").partitionBy("img").text(path)
+def write_png(lines: DataFrame, path: str, replace: bool = False, dpi: int = 200) -> None:
+    """Write images as PNG files below ``path``, by a commit that shows all of them or none.
+
+    ``lines`` are rows as format ``png`` reads them (``png.ROWS``), or
+    rows(img, y, px) of grey images, px a byte for each pixel. With
+    ``replace`` an image takes the place of one of its name; otherwise its
+    name gets the first free suffix. Lines of an image must be complete, from
+    0, each once. Without rows no file is written.
+    """
+    png.register(lines.sparkSession)
+    if "line" not in lines.columns:
+        size = lines.groupBy("img").agg((F.max("y") + 1).cast("int").alias("height"), F.max(F.length("px")).alias("width"))
+        grey = lines.select("img", F.col("y").cast("int").alias("y"), F.col("px").alias("line")).join(size, "img")
+        none = F.lit(None).cast("binary")
+        lines = grey.withColumns({"colour": F.lit(0), "depth": F.lit(8), "palette": none, "alpha": none})
+    whole = lines.select(*[c.split()[0] for c in png.ROWS.split(", ")]).repartition("img").sortWithinPartitions("img", "y")
+    whole.write.format("png").mode("append").option("path", path).option("replace", replace).option("dpi", dpi).save()

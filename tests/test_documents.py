@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiresmith.operators import aggregates, raster, relations
+from quiresmith.operators import aggregates, bands, raster, relations
 from quiresmith.plans import documents
 
 DOC = "9702_s25_qp_21"
@@ -56,8 +56,8 @@ def test_page_rows_and_parts(spark):
     out = raster.prepared(grey)
     assert out.shape == (30 + 45 + 10 + 2 * 10, 60 + 2 * 10) and set(np.unique(out)) == {0, 255}
     rows = spark.createDataFrame([("i", y, [int(v) for v in line]) for y, line in enumerate(grey)], "img string, y int, px array<int>")
-    assert raster.prepare_parts(rows).count() == out.shape[0]
-    assert raster.erase_rulings(rows).count() == 300
+    assert bands.prepare_parts(rows).count() == out.shape[0]
+    assert bands.erase_rulings(rows).count() == 300
     parts = spark.createDataFrame([("a", 1, 100, 50), ("a", 2, 50, 50)], "doc string, ord int, width int, height int")
     assert [(r["width"], r["height"]) for r in raster.matched(parts, ["doc"]).orderBy("ord").collect()] == [(100, 50), (100, 100)]
     laid = raster.stacked(raster.matched(parts, ["doc"]), ["doc"], "ord", 22, 18).orderBy("ord").collect()

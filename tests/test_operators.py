@@ -11,7 +11,7 @@ from hypothesis import settings as relaxed
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quiresmith.operators import aggregates, chains, layout, raster, relations, sequences, starts, upsert
+from quiresmith.operators import aggregates, bands, chains, layout, raster, relations, sequences, starts, upsert
 
 
 def rows(df, *order):
@@ -306,10 +306,10 @@ def test_edge_rules_are_shaved():
     mask = image()
     mask[2:4] = True  # a rule by the edge
     mask[20:30, 50:90] = True
-    assert raster.edge_cut(mask) == 4
-    assert raster.strip_box(mask)[1] == 4
+    assert raster.edge_cut(mask.mean(axis=1)) == 4
+    assert raster.box_of(mask.mean(axis=1), mask.mean(axis=0))[1] == 4
     mask[0:3, 10:20] = True  # content first
-    assert raster.edge_cut(mask) == 0
+    assert raster.edge_cut(mask.mean(axis=1)) == 0
 
 
 def test_rulings_go_and_marks_stay():
@@ -340,10 +340,10 @@ def test_split_and_edges(spark):
     assert found == [(1, 10, 40), (2, 60, 100)]
     df = spark.createDataFrame([("i", y, [bool(v) for v in line]) for y, line in enumerate(ink)], "img string, y int, ink array<boolean>")
     marks = spark.createDataFrame([("i", 12, 1), ("i", 62, 2)], "img string, row int, number int")
-    assert rows(raster.split_items(df, marks, 1.0, False, False), "number") == [("i", 1, 10, 40), ("i", 2, 60, 100)]
+    assert rows(bands.split_items(df, marks, 1.0, False, False), "number") == [("i", 1, 10, 40), ("i", 2, 60, 100)]
     assert rows(raster.trim_boxes(df, 4)) == [("i", 1, 6, 54, 104)]
     assert rows(raster.blank_images(raster.row_profile(df))) == [("i", False)]
-    assert rows(raster.pages_of(df, 50), "first")[0] == ("i", 0, 49)
+    assert rows(bands.pages_of(df, 50), "first")[0] == ("i", 0, 49)
     cut = image(40, 300)
     cut[0:20, ::10] = True
     clean = cut.copy()
@@ -351,17 +351,20 @@ def test_split_and_edges(spark):
     clean[0, 5] = True
     images = {"cut": cut, "clean": clean, "blank": image()}
     table = spark.createDataFrame([(name, y, [bool(v) for v in row]) for name, m in images.items() for y, row in enumerate(m)], "img string, y int, ink array<boolean>")
-    edges = {r["img"]: r["top"] for r in raster.cut_edges(table).collect()}
+    edges = {r["img"]: r["top"] for r in bands.cut_edges(table).collect()}
     assert edges == {"cut": 1.0, "clean": 0.0}
 
 
-def test_stroke_lengths_by_brute_force():
+def test_runs_by_brute_force():
     mask = np.random.default_rng(3).random((20, 7)) < 0.6
     want = np.zeros_like(mask, int)
     for x in range(7):
         for a, b in raster.bands_of(mask[:, x]):
             want[a : b + 1, x] = b - a + 1
-    assert (raster.stroke_lengths(mask) == want).all()
+    for most in (2, 5, 30):
+        assert (raster.vertical_runs(mask, most) == np.minimum(want, most + 1)).all()
+    assert (raster.horizontal_runs(mask.T) == want.T).all()
+    assert (raster.longest_runs(mask.T) == want.max(axis=0)).all()
 
 
 def test_kept_parts(spark):
