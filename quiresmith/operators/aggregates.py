@@ -73,16 +73,6 @@ def agreed_shapes(artifacts: DataFrame) -> DataFrame:
     return family_shape(agreed.select("family", "paper", F.explode("qp").alias("number")))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle of sorted values, the upper one of two."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
-
-
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles by key."""
-    return df.groupBy(*keys).agg(*(F.percentile(value, F.lit(p)).alias(name) for name, p in shares.items()))
-
-
 def size_histogram(pictures: DataFrame, height: str = "height") -> DataFrame:
     """band, n over pictures; bands without any do not show."""
     return pictures.groupBy(size_band(F.col(height)).alias("band")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiresmith.functions import names, numbers, strings
-from quiresmith.operators import aggregates, chains, layout, raster, relations, sequences, starts, upsert
+from quiresmith.operators import aggregates, chains, layout, long_groups, raster, relations, sequences, starts, upsert
 from quiresmith.plans import corpus
 from quiresmith.session import load
 
@@ -102,14 +102,21 @@ def dilate(spark, d):
 @query("SELECT doc_id, coalesce(sum(n_chars + 10) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM documents")
 def running_offset(spark, d):
     """Where documents start when stacked with gaps."""
-    return sequences.running_offset(load(spark, d, "documents", "doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 10).select("doc_id", "offset")
+    return long_groups.running_offset(load(spark, d, "documents", "doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 10).select("doc_id", "offset")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (coalesce(sum(l_suppkey + 10) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset FROM lineitem")
+def long_offsets(spark, d):
+    """Where lines start when those of a flag are stacked: groups that no task holds, in ranges of 4,096 rows."""
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return long_groups.running_offset(lines, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "l_suppkey", 10, long=4096).drop("l_returnflag")
 
 
 @query("SELECT event_id, greatest(sum((event_type <> 'view')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1, 0)::BIGINT AS new_at FROM events")
 def remap_cumsum(spark, d):
     """Places of events among the kept ones."""
     marked = _events(spark, d).withColumn("keep", F.col("event_type") != "view")
-    return sequences.remap(marked, ["user_id"], ["ts", "event_id"], "keep").select("event_id", "new_at")
+    return long_groups.remap(marked, ["user_id"], ["ts", "event_id"], "keep").select("event_id", "new_at")
 
 
 @query("SELECT o_orderkey, coalesce(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), TIMESTAMP '2100-01-01') AS stop FROM orders")
@@ -312,13 +319,27 @@ def consensus_having(spark, d):
 @query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.75) AS p75, quantile_cont(l_extendedprice, 0.98) AS p98 FROM lineitem GROUP BY 1")
 def percentiles(spark, d):
     """Interpolated percentiles."""
-    return aggregates.percentiles(load(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p75": 0.75, "p98": 0.98})
+    return long_groups.percentiles(load(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p75": 0.75, "p98": 0.98})
 
 
 @query("SELECT o_custkey, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS middle FROM orders GROUP BY 1")
 def upper_median(spark, d):
     """The upper middle value of each customer's orders."""
-    return load(spark, d, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(aggregates.upper_median(F.collect_list("o_totalprice")).alias("middle"))
+    return long_groups.upper_median(load(spark, d, "orders", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "middle")
+
+
+@query("SELECT l_linestatus, list_sort(list(l_quantity))[count(*) // 2 + 1] AS middle, min(l_quantity) AS least FROM lineitem GROUP BY 1")
+def long_medians(spark, d):
+    """The upper middle quantity of lines by status: a few values, each many times, in long groups."""
+    lines = load(spark, d, "lineitem", "l_linestatus", "l_quantity")
+    return long_groups.kth_values(lines, ["l_linestatus"], "l_quantity", {"middle": lambda n: F.floor(n / 2), "least": lambda n: F.lit(0)}, long=4096)
+
+
+@query("SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.98) AS p98 FROM lineitem GROUP BY 1, 2")
+def long_percentiles(spark, d):
+    """Interpolated percentiles of groups that no task holds: brackets are narrowed to 4,096 values."""
+    lines = load(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice")
+    return long_groups.percentiles(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p98": 0.98}, long=4096)
 
 
 @query("SELECT CASE WHEN n_chars <= 1200 THEN 0.4 WHEN n_chars <= 3000 THEN 0.45 WHEN n_chars <= 6000 THEN 0.5 WHEN n_chars <= 12000 THEN 0.55 ELSE 0.6 END::DOUBLE AS band, count(*) AS n FROM documents GROUP BY 1")

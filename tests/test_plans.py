@@ -167,8 +167,6 @@ def test_sinks(spark, tmp_path):
     sinks.rewrite_json(rows, str(tmp_path / "table"))
     sinks.rewrite_json(rows, str(tmp_path / "table"))
     assert spark.read.json(str(tmp_path / "table")).count() == 1
-    sinks.write_images(spark.createDataFrame([("i", 0, [0, 255]), ("i", 1, [9, 9])], "img string, y int, px array<int>"), str(tmp_path / "img"))
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "img")).select("value").collect()] == ["P2", "2 2", "255", "0 255", "9 9"]
 
 
 def test_stream_hands_over_each_ok_row_once(spark, tmp_path):
