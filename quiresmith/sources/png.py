@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from quiresmith.sources.stores import dealt, move_in, store_of
+
 #: A line of an image: its place, the image's header, its palette and transparency chunks, and the samples of the line, packed as PNG packs them.
 ROWS = "img string, y int, width int, height int, colour int, depth int, palette binary, alpha binary, line binary"
 #: Fixed values of the format: signature, samples of a pixel by colour type, depths that each may have, and the passes of an interlaced image (x, y, step right, step down).
@@ -308,13 +310,6 @@ class Encoder:
         self.stream.write(_chunk(b"IDAT", self.zip.flush()) + _chunk(b"IEND", b""))
 
 
-def _store(path: str):
-    """The file system of a path or address, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class _Files(InputPartition):
     files: list[tuple[str, str]]  # path, name of the image
@@ -325,23 +320,10 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_Files]:
-        from pyarrow import fs
-
-        store, root = _store(self.path)
-        info = store.get_file_info(root)
-        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        found = sorted((f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".png") and "/_" not in f.path.removeprefix(root)), key=lambda f: f.path)
-        parts, size = [_Files([])], 0
-        for f in found:
-            if parts[-1].files and size + f.size > TASK_BYTES:
-                parts, size = [*parts, _Files([])], 0
-            name = f.path.removeprefix(root).lstrip("/") or f.base_name
-            parts[-1].files.append((f.path, name[:-4]))
-            size += f.size
-        return parts
+        return [_Files(x) for x in dealt(self.path, ".png", TASK_BYTES)]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         for path, name in partition.files:
             with store.open_input_stream(path) as stream:
                 try:
@@ -372,7 +354,7 @@ class _Writer(DataSourceArrowWriter):
         self.folder = f"_images-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         task, out, stream, encoder = TaskContext.get(), _Written(), None, None
         store.create_dir(f"{root}/{self.folder}", recursive=True)
 
@@ -394,29 +376,10 @@ class _Writer(DataSourceArrowWriter):
         return out
 
     def commit(self, messages: list[_Written | None]) -> None:
-        from pyarrow import fs
-
-        store, root = _store(self.path)
-        there = {f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))}
-        for at, name in sorted((x for m in messages if m for x in m.files), key=lambda x: x[1]):
-            path, n = f"{root}/{name}.png", 2
-            while not self.replace and path in there:
-                path, n = f"{root}/{name}-{n}.png", n + 1
-            if "/" in name:
-                store.create_dir(path.rpartition("/")[0], recursive=True)
-            store.move(at, path)
-            there.add(path)
-        self._clean()
+        move_in(self.path, self.folder, ".png", [x for m in messages if m for x in m.files], self.replace)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        self._clean()
-
-    def _clean(self) -> None:
-        store, root = _store(self.path)
-        try:
-            store.delete_dir(f"{root}/{self.folder}")
-        except FileNotFoundError:
-            pass  # no task has written
+        move_in(self.path, self.folder, ".png", [], self.replace)
 
 
 class PngSource(DataSource):

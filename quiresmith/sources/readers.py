@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quiresmith.functions.names import artifact
 from quiresmith.operators.relations import first_by, header_columns, last_by
-from quiresmith.sources import png, schemas
+from quiresmith.sources import png, schemas, xlsx
 
 
 def _file(path: Column) -> Column:
@@ -101,6 +101,12 @@ def png_lines(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("png").load(root)
 
 
+def cells(spark: SparkSession, root: str) -> DataFrame:
+    """Cells of the workbooks below ``root``, as ``xlsx.CELLS``."""
+    xlsx.register(spark)
+    return spark.read.format("xlsx").load(root)
+
+
 def images(spark: SparkSession, root: str) -> DataFrame:
     """img, y, px (grey values) of images of other formats below ``root``, by Spark's image source; transparency lies on white."""
     raw = spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*")

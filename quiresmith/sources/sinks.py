@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiresmith.sources import png
+from quiresmith.sources import png, xlsx
 from quiresmith.sources.schemas import CATALOG
 
 CATALOG_COLUMNS = tuple(c.split()[0] for c in CATALOG.split(", "))
@@ -48,3 +48,16 @@ def write_png(lines: DataFrame, path: str, replace: bool = False, dpi: int = 200
         lines = grey.withColumns({"colour": F.lit(0), "depth": F.lit(8), "palette": none, "alpha": none})
     whole = lines.select(*[c.split()[0] for c in png.ROWS.split(", ")]).repartition("img").sortWithinPartitions("img", "y")
     whole.write.format("png").mode("append").option("path", path).option("replace", replace).option("dpi", dpi).save()
+
+
+def write_cells(cells: DataFrame, path: str, base: str | None = None) -> None:
+    """Write cells (``xlsx.CELLS``; place is not needed) to workbooks below ``path``, by a commit that shows all of them or none.
+
+    A workbook of that name below ``base`` (by default ``path``) keeps all
+    but these cells; any other is made of them, its sheets in order of name.
+    A cell that is written twice ends as either.
+    """
+    xlsx.register(cells.sparkSession)
+    names = [c.split()[0] for c in xlsx.CELLS.split(", ")]
+    whole = cells.withColumn("place", F.lit(None).cast("int")).select(*names).repartition("book").sortWithinPartitions("book", "sheet", "row", "col")
+    whole.write.format("xlsx").mode("append").option("path", path).option("base", base or path).save()
