@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quiresmith.functions import names, numbers, strings
 from quiresmith.operators import aggregates, relations, sequences, upsert
-from quiresmith.plans import catalog, corpus
+from quiresmith.plans import catalog, corpus, workbook
 from quiresmith.plans.registry import FAULTS_SQL, PAPERS, _faults, _papers, query
 from quiresmith.session import load, materialize, shared_path
 from quiresmith.sources import png, readers, schemas, sinks
@@ -465,3 +465,57 @@ def image_kinds(spark, d):
     rows = rows.withColumn("palette", F.when(F.col("colour") == 3, F.unhex(F.repeat(F.lit("102030"), 256)))).withColumn("line", F.substring("px", F.lit(1), F.when(F.col("colour") == 2, 63).otherwise(64)))
     sinks.write_png(rows, path)
     return readers.png_lines(spark, path).select("img", "y", "width", "colour", "depth", F.hex("line").alias("line"))
+
+
+BOOKS = """
+WITH c AS (SELECT c_nationkey, c_custkey, c_name, (1 + c_nationkey % 3)::INTEGER AS head, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+b AS (SELECT 'n' || c_nationkey AS book, c_nationkey, (head + k)::INTEGER AS row, c_custkey, c_name FROM c)
+"""
+
+
+def _books(spark, d) -> DataFrame:
+    """Cells of a workbook for each nation: headings, a row for each customer, and a column of formulas."""
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    rows = load(spark, d, "customer", "c_custkey", "c_nationkey", "c_name").withColumns({"k": place, "head": F.col("c_nationkey") % 3 + 1})
+    none = F.lit(None).cast("string")
+
+    def cell(row, col: int, kind: str, value, formula=none, style: int | None = None):
+        return F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), formula.alias("formula"), F.lit(style).cast("int").alias("style"))
+
+    row = F.col("head") + F.col("k")
+    heads = [cell(F.col("head"), col, "text", F.lit(name)) for col, name in ((2, "Subject"), (3, "Q file name"), (5, "Topic"), (6, "Marks"), (10, "Auto"))]
+    body = [cell(row, 3, "text", F.concat(F.lit("s"), F.col("c_custkey").cast("string"), F.lit("_Q.png"))), cell(row, 5, "text", F.col("c_name")), cell(row, 6, "number", F.col("c_custkey") % 20), cell(row, 10, "number", none, F.concat(F.lit("C"), row.cast("string"), F.lit('&$B$1&"C1"')))]
+    cells = rows.select("c_nationkey", F.explode(F.array(*body)).alias("x")).unionByName(rows.where("k = 1").select("c_nationkey", F.explode(F.array(*heads)).alias("x")))
+    return cells.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("book"), F.lit("Questions").alias("sheet"), "x.*")
+
+
+@query(BOOKS + """SELECT book, row, 3 AS col, 's' || c_custkey || '_Q.png' AS value, NULL AS formula FROM b UNION ALL SELECT book, row, 5, c_name, NULL FROM b
+UNION ALL SELECT book, row, 6, (c_custkey % 20)::VARCHAR, NULL FROM b UNION ALL SELECT book, row, 10, NULL, 'C' || row || '&$B$1&"C1"' FROM b
+UNION ALL SELECT DISTINCT 'n' || c_nationkey, head, h.col, h.name, NULL FROM c, (VALUES (2, 'Subject'), (3, 'Q file name'), (5, 'Topic'), (6, 'Marks'), (10, 'Auto')) h(col, name)""")
+def workbook_cells(spark, d):
+    """Workbooks written and read again, cell by cell."""
+    path = shared_path(spark, "books")
+    sinks.write_cells(_books(spark, d), path)
+    return readers.cells(spark, path).where("row > 0").select("book", "row", "col", "value", "formula")
+
+
+@query(BOOKS + """,
+e AS (SELECT 'n' || o_custkey % 25 AS book, o_custkey, min(o_orderkey) AS seq, arg_max(o_orderkey % 9, o_orderkey) FILTER (o_orderkey % 9 > 0) AS marks FROM orders GROUP BY 1, 2),
+l AS (SELECT book, max(row) AS last FROM b GROUP BY 1),
+p AS (SELECT e.*, b.row AS old, last FROM e JOIN l USING (book) LEFT JOIN b ON b.book = e.book AND b.c_custkey = e.o_custkey),
+n AS (SELECT *, coalesce(old, last + row_number() OVER (PARTITION BY book, old IS NULL ORDER BY seq))::INTEGER AS row FROM p)
+SELECT coalesce(b.book, n.book) AS book, coalesce(b.row, n.row) AS row, coalesce('s' || n.o_custkey || '_q.PNG', 's' || b.c_custkey || '_Q.png') AS q_filename, coalesce(n.marks, b.c_custkey % 20)::VARCHAR AS marks, 'C' || coalesce(b.row, n.row) || '&$B$1&"C1"' AS formula
+FROM b FULL JOIN n ON n.book = b.book AND n.row = b.row
+""")
+def workbook_entries(spark, d):
+    """Entries put in their workbooks: rows that have their stem, new rows below with the formula carried down, blanks that write nothing."""
+    base, path = shared_path(spark, "books"), shared_path(spark, "books")
+    sinks.write_cells(_books(spark, d), base)
+    key = F.col("o_custkey").cast("string")
+    marks = F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderkey") % 9)
+    entries = load(spark, d, "orders", "o_orderkey", "o_custkey").select(F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string")).alias("book"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("s"), key, F.lit("_q.PNG")).alias("q_filename"), marks.alias("marks"), F.lit("").alias("chapter"))
+    updates, _ = workbook.additions(readers.cells(spark, base), entries)
+    sinks.write_cells(updates, path, base)
+    done = readers.cells(spark, path).where("row > 0")
+    rows = readers.sheet_rows(done.withColumn("sheet", F.col("book"))).select(F.col("sheet").alias("book"), "row", "q_filename", "marks")
+    return rows.join(done.where("formula is not null").select("book", "row", "formula"), ["book", "row"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quiresmith.functions.formulas import shifted
 from quiresmith.functions.strings import heading_key, picture_stem
 from quiresmith.operators.relations import first_by, header_columns
+from quiresmith.session import materialize
 from quiresmith.sources.schemas import HEADINGS
 
 #: Names of the sheet that holds the rows; where none is so called the first sheet does.
@@ -38,10 +39,11 @@ def additions(cells: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFram
     written has nothing in a column that is none of the catalogue's and the
     row above has a formula, the formula is carried down. Workbooks without
     the headings, and entries without a question file or workbook, are left
-    out; ties of seq go either way.
+    out; ties of seq go either way. The sheets' cells and the placed entries
+    are written to the shared folder once, as many steps read them.
     """
     sheet = F.struct("book", "sheet").alias("sheet")
-    body = question_cells(cells).select(sheet, "row", "col", "kind", "value", "formula", "style")
+    body = materialize(question_cells(cells).select(sheet, "row", "col", "value", "formula", "style"), "question-cells")
     header = header_columns(body.select("sheet", "row", "col", "value"), HEADINGS).withColumnRenamed("row", "head")
     heads = header.groupBy("sheet").agg(F.first("head").alias("head"))
     filled = ~_blank(F.col("value")) | F.col("formula").isNotNull()
@@ -56,7 +58,7 @@ def additions(cells: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFram
     merged = keyed.groupBy("sheet", "stem").agg(F.min("seq").alias("seq"), *(F.max_by(f, F.when(~_blank(F.col(f)), F.col("seq"))).alias(f) for f in fields))
     known = merged.join(there, ["sheet", "stem"], "left").withColumn("updated", F.col("row").isNotNull())
     rank = F.sum((~F.col("updated")).cast("int")).over(Window.partitionBy("sheet").orderBy("seq", "stem"))
-    placed = known.withColumn("rank", rank).join(last, "sheet").withColumn("row", F.coalesce("row", F.col("last") + F.col("rank")).cast("int"))
+    placed = materialize(known.withColumn("rank", rank).join(last, "sheet").withColumn("row", F.coalesce("row", F.col("last") + F.col("rank")).cast("int")), "placed-entries")
 
     numeric = {f: dict(entries.dtypes)[f] in ("int", "bigint", "double") for f in fields}
     values = F.array(*(F.struct(F.lit(f).alias("field"), F.lit("number" if numeric[f] else "text").alias("kind"), F.col(f).cast("string").alias("value")) for f in fields))
