@@ -296,6 +296,23 @@ def log_stream(spark, d):
     return spark.read.schema("name string, questions int").parquet(path)
 
 
+@query(LOG_SQL + "SELECT 'n' || o_custkey AS name, 1::BIGINT AS times, max(o_orderkey)::INTEGER AS questions FROM one WHERE turn = 1 GROUP BY 1")
+def log_followed(spark, d):
+    """Finished papers handed over once each: by a run over what is there, and one that goes on, with rows that come again, to the end marker."""
+    log = _log(spark, d)
+    own, state, marker = (shared_path(spark, x) for x in ("own", "state", "marker"))
+
+    def follow(**more) -> None:
+        logs.follow_log(spark, log, own, lambda work: work.select("name", "questions"), state, **more)
+
+    follow(once=True)
+    again = spark.read.schema("paper string, name string, status string, questions int").json(log)
+    sinks.append_log(again.withColumn("questions", F.lit(0)), log)
+    spark.range(1).select(F.lit("... batch finished\n").alias("value")).write.text(marker)
+    follow(marker=marker, every=1)
+    return spark.read.schema("name string, questions int").json(own).groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.max("questions").alias("questions"))
+
+
 @query("SELECT '/r/' || c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def resume(spark, d):
     """Files that the log does not have."""

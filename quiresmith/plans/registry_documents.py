@@ -248,6 +248,23 @@ def worded_headings(spark, d):
     return starts.find_starts(_spans(sized, F.lit(50), (F.col("k") + 1) * 30.0, F.concat(F.lit("Question "), v.cast("string"), F.lit(" Planning"))).withColumn("kind", F.lit("ms")))
 
 
+@query(LINES + """, n AS (SELECT l_orderkey AS o, count(*) AS n FROM l GROUP BY 1 HAVING count(*) >= 3)
+SELECT o::VARCHAR AS doc, CASE o % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END::INTEGER AS reading, CASE WHEN o % 4 < 3 THEN 'cut' ELSE 'could not find them all' END AS status, CASE WHEN o % 4 < 3 THEN n ELSE n - 1 END::BIGINT AS found FROM n
+""")
+def second_readings(spark, d):
+    """Orders read three ways: in their own column, along the edge when starts stand elsewhere, and with what the sweep took; some have no last number at all."""
+    sized = _lines(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))).where("n >= 3")
+    way, number = F.col("l_orderkey") % 4, F.col("k") + 1
+    raw = _spans(sized.where((way < 3) | (number < F.col("n"))), F.lit(50), number * 40.0, number.cast("string"))
+    decoys = _spans(sized.where((way == 1) & (number == 1)), F.lit(163), number * 40.0 + 20.0, number.cast("string"))
+    whole = raw.unionByName(decoys)
+    swept = whole.where("not (cast(doc as long) % 4 = 2 and text = '1')")
+    begun = sized.where((way != 1) | (number == 1)).select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(0).alias("page"), (number * 40.0 + F.when(way == 1, 20.0).otherwise(0.0)).alias("y"), number.cast("int").alias("number"))
+    wanted = sized.where("k = 0").select(F.col("l_orderkey").cast("string").alias("doc"), F.sequence(F.lit(1), F.col("n").cast("int")).alias("target"))
+    readings, items = corpus.second_reading(swept, whole, wanted, begun)
+    return readings.join(items.groupBy("doc").agg(F.count(F.lit(1)).alias("found")), "doc", "left").select("doc", "reading", "status", F.coalesce("found", F.lit(0)).alias("found"))
+
+
 @query(LINES + """, s AS (SELECT l_orderkey AS doc, 40 + l_partkey % 9 AS x, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY k) AS rn FROM l WHERE NOT l_discount > 0.05)
 SELECT doc::VARCHAR AS doc, (min(x) - 6)::DOUBLE AS low, (max(x) + 6)::DOUBLE AS high FROM s WHERE rn = 1 GROUP BY 1
 """)

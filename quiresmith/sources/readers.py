@@ -49,6 +49,11 @@ def _written() -> Column:
     return F.struct(at["file_modification_time"].alias("at"), at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
+def _in_turn(commit: Column, written: Column) -> Column:
+    """The order of a log's rows: by the number of their commit; those without one come first, as their files were written."""
+    return F.struct(F.coalesce(commit, F.lit(-1)).alias("commit"), F.when(commit.isNull(), written["at"]).alias("at"), *(written[c].alias(c) for c in ("file", "block", "row")))
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON documents that hold arrays, with ``ord``, their place."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
@@ -56,12 +61,13 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str, schema: str, key: str, strict: bool = False) -> DataFrame:
-    """Rows of a log of JSON lines, the last written of each key. Lines that do not parse go, or end a strict scan."""
+    """Rows of a log of JSON lines, the last of each key by number of commit. Lines that do not parse go, or end a strict scan."""
     mode = "FAILFAST" if strict else "PERMISSIVE"
     lines = spark.read.text(path)
     lines = lines.select("value", _written().alias("ord")).where(F.trim("value") != "")
-    bad = "" if strict else ", _bad string"
+    bad = ", commit long" + ("" if strict else ", _bad string")
     parsed = lines.select(F.from_json("value", schema + bad, {"mode": mode, "columnNameOfCorruptRecord": "_bad"}).alias("r"), "ord").select("r.*", "ord")
+    parsed = parsed.withColumn("ord", _in_turn(F.col("commit"), F.col("ord"))).drop("commit")
     if not strict:
         parsed = parsed.where("_bad is null").drop("_bad")
     return last_by(parsed.where(F.col(key).isNotNull()), [key], "ord")

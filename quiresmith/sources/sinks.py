@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiresmith.sources import png, xlsx
@@ -11,9 +11,32 @@ from quiresmith.sources.schemas import CATALOG
 CATALOG_COLUMNS = tuple(c.split()[0] for c in CATALOG.split(", "))
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Add rows to a log of JSON lines; each commit is a file of its own."""
-    rows.write.mode("append").json(path)
+def next_commit(spark: SparkSession, path: str) -> int:
+    """The number of a new commit to the log at ``path``, reserved by a marker that is made only if it is not there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.mkdirs(folder)
+    number = 1 + max((int(f.getPath().getName()) for f in store.listStatus(folder) if f.getPath().getName().isdigit()), default=-1)
+    while True:
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}")
+        try:
+            store.create(marker, False).close()
+            return number
+        except Exception as taken:
+            if not store.exists(marker):
+                raise taken
+        number += 1
+
+
+def append_log(rows: DataFrame, path: str) -> int:
+    """Add rows to a log of JSON lines, with the number of this commit as ``commit``, which orders them after those of all commits before.
+
+    The number is reserved before anything is written; one whose rows never
+    came is skipped. Rows of one commit are in the order of its parts.
+    """
+    number = next_commit(rows.sparkSession, path)
+    rows.drop("commit").withColumn("commit", F.lit(number).cast("long")).write.mode("append").json(path)
+    return number
 
 
 def rewrite_json(rows: DataFrame, path: str) -> None:
