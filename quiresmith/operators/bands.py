@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quiresmith.operators.raster import Settings, Strip, box_of, erased, kept_rows, longest_runs, paginate, spread, thickness_of
 from quiresmith.operators.sequences import like_neighbours
+from quiresmith.session import discard, materialize
 
 #: Pixels of a band, about, and lines at least; lines that a kernel looks at together.
 BAND_PIXELS, BAND_LINES, STEP = 4_000_000, 64, 256
@@ -248,8 +249,10 @@ def prepare_parts(rows: DataFrame, s: Settings = Settings(), passthrough: bool =
         kept = top + np.flatnonzero(kept_rows(p.ink[top:foot] == 0, s.max_gap))
         return [(int(y), k, left, right - left) for k, y in enumerate(kept)]
 
-    within = _cut(lines, per_profile(facts(lines, s.ink_threshold), shaved, _KEPT))
-    clean = erase_rulings(within, s)
+    # Each phase reads its lines several times, so they are written once.
+    within = materialize(_cut(lines, per_profile(facts(lines, s.ink_threshold), shaved, _KEPT)), "part-within")
+    clean = materialize(erase_rulings(within, s), "part-clean")
+    discard(within)
     out = _cut(clean, per_profile(facts(clean, s.ink_threshold), trimmed, _KEPT))
     white = bytes(255 if v >= s.white_from else v for v in range(256))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions import numbers
-from quiresmith.operators import bands, layout, raster, sequences, starts
+from quiresmith.operators import bands, canvas, layout, raster, sequences, starts
 from quiresmith.plans import corpus
 from quiresmith.plans.registry import query
 from quiresmith.session import load
@@ -404,3 +404,48 @@ def split_items(spark, d):
     rows = _images(spark, d, 0.1)
     marks = rows.where("y % 20 = 10").select("img", F.col("y").alias("row"), F.floor(F.col("y") / 20).cast("int").alias("number"))
     return bands.split_items(rows, marks, 1.0, False, True)
+
+
+def _parts(spark, d) -> DataFrame:
+    """Grey parts of images: rows of a label and a remainder of ids; a part's width goes by its number. img, part, y, px (bytes)."""
+    part = F.col("vec_id") % 3
+    place = F.row_number().over(Window.partitionBy("label", part).orderBy("vec_id")) - 1
+    px = F.transform(F.slice("embedding", F.lit(1), (64 - 10 * part).cast("int")), lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 255), F.lit(256))), 2, "0"))
+    rows = load(spark, d, "embeddings", "vec_id", "label", "embedding")
+    return rows.select(F.col("label").cast("string").alias("img"), part.cast("int").alias("part"), place.alias("y"), F.unhex(F.array_join(px, "")).alias("px"))
+
+
+PARTS = """
+WITH p AS (SELECT label::VARCHAR AS img, vec_id % 3 AS part, row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) - 1 AS y, 64 - 10 * (vec_id % 3) AS w,
+   array_to_string(list_transform(embedding[1:64 - 10 * (vec_id % 3)], lambda x: printf('%02X', ((floor(x * 255) % 256 + 256) % 256)::INTEGER)), '') AS line FROM embeddings),
+s AS (SELECT img, part, max(w) AS w, count(*) AS h FROM p GROUP BY 1, 2),
+"""
+
+
+@query(PARTS + """
+l AS (SELECT *, coalesce(sum(h + 3) OVER (PARTITION BY img ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 AS top, max(w) OVER (PARTITION BY img) AS wide FROM s),
+c AS (SELECT img, wide + 4 AS width, (sum(h + 3) - 3 + 4)::BIGINT AS height FROM l GROUP BY img, wide), y AS (SELECT img, width, unnest(range(0, height)) AS y FROM c),
+q AS (SELECT p.img, (p.y + top)::BIGINT AS y, (wide - p.w) // 2 + 2 AS x, p.w, p.line FROM p JOIN l USING (img, part))
+SELECT img, y::INTEGER AS y, CASE WHEN line IS NULL THEN repeat('FF', width) ELSE repeat('FF', x) || line || repeat('FF', width - x - w) END AS line FROM y LEFT JOIN q USING (img, y)
+""")
+def fused_images(spark, d):
+    """Parts put below each other, centred, with gaps and a margin: every line of the pictures."""
+    return canvas.fused(_parts(spark, d), 3, 2, "center").select("img", "y", F.hex("px").alias("line"))
+
+
+@query(PARTS + """
+l AS (SELECT *, coalesce(sum(w + 3) OVER (PARTITION BY img ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 AS x, max(h) OVER (PARTITION BY img) AS tall FROM s),
+c AS (SELECT img, (max(tall) + 4)::BIGINT AS height FROM l GROUP BY img), y AS (SELECT img, height, unnest(range(0, height)) AS y FROM c),
+q AS (SELECT y.img, y.y, l.part, l.w, coalesce(p.line, repeat('FF', l.w)) AS line FROM y JOIN l USING (img) LEFT JOIN p ON p.img = y.img AND p.part = l.part AND p.y = y.y - 2 - (l.tall - l.h))
+SELECT img, y::INTEGER AS y, 'FFFF' || string_agg(line, 'FFFFFF' ORDER BY part) || 'FFFF' AS line FROM q GROUP BY 1, 2
+""")
+def fused_across(spark, d):
+    """Parts put side by side at the bottom: every line of the pictures."""
+    return canvas.fused(_parts(spark, d), 3, 2, "bottom", across=True).select("img", "y", F.hex("px").alias("line"))
+
+
+@query()
+def built_pictures(spark, d):
+    """Pictures made ready, put together with parts scaled to one width, and fitted to 40 columns: the ink of every line."""
+    made = canvas.built(_parts(spark, d), raster.Settings(max_gap=9, padding=3), 4, 3, "center", match=True, width=40)
+    return bands.facts(made).where("y >= 0").select("img", "y", "width", "ink")
