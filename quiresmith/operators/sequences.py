@@ -75,9 +75,10 @@ def first_places(df: DataFrame, keys: Sequence[str], x: str, number: str, tolera
 
 def opens_line(spans: DataFrame, keys: Sequence[str] = ("doc", "page"), reach: int = 5) -> DataFrame:
     """Spans(left, y) with ``opens``: whether nothing stands left of them within ``reach`` points of height."""
-    near = Window.partitionBy(*keys).orderBy("_line").rangeBetween(-reach, reach)
-    lined = spans.withColumn("_line", half_even(F.col("y")).cast("long"))
-    return lined.withColumn("opens", F.col("left") <= F.min("left").over(near) + 0.5).drop("_line")
+    line = fresh(spans, "_line")
+    near = Window.partitionBy(*keys).orderBy(line).rangeBetween(-reach, reach)
+    lined = spans.withColumn(line, half_even(F.col("y")).cast("long"))
+    return lined.withColumn("opens", F.col("left") <= F.min("left").over(near) + 0.5).drop(line)
 
 
 def opens_coarse_line(spans: DataFrame, keys: Sequence[str] = ("doc", "page"), step: float = 3.0) -> DataFrame:
@@ -106,16 +107,17 @@ def longest_true(flags: Column) -> Column:
 def next_free(df: DataFrame, taken: DataFrame, name: str, order: Sequence[str] = ()) -> DataFrame:
     """Rows with ``free``: their name, or with the first suffix -2, -3, ... beyond those taken; rows of one name in ``order``."""
     # A taken name "x-3" counts for the name "x".
+    own, base_of, used_of = (fresh(df, x) for x in ("_k", "_base", "_used"))
     base = F.regexp_replace(name, r"-[0-9]+$", "")
     suffix = F.regexp_extract(name, r"-([0-9]+)$", 1).try_cast("int")
-    used = taken.select(base.alias("_base"), F.coalesce(suffix, F.lit(1)).alias("_n")).unionByName(taken.select(F.col(name).alias("_base"), F.lit(1).alias("_n")))
-    used = used.distinct().groupBy("_base").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
+    used = taken.select(base.alias(base_of), F.coalesce(suffix, F.lit(1)).alias("n")).unionByName(taken.select(F.col(name).alias(base_of), F.lit(1).alias("n")))
+    used = used.distinct().groupBy(base_of).agg(F.array_sort(F.collect_set("n")).alias(used_of))
     rank = F.row_number().over(Window.partitionBy(name).orderBy(*(order or [name])))
-    joined = df.withColumn("_k", rank).join(used, F.col(name) == F.col("_base"), "left")
-    room = F.size(F.coalesce("_used", F.array().cast("array<int>"))) + F.col("_k") + 1
-    open_ = F.array_except(F.sequence(F.lit(1), room), F.coalesce("_used", F.array().cast("array<int>")))
-    n = F.element_at(open_, F.col("_k"))
-    return joined.withColumn("free", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), n))).drop("_k", "_base", "_used")
+    joined = df.withColumn(own, rank).join(used, F.col(name) == F.col(base_of), "left")
+    numbers = F.coalesce(used_of, F.array().cast("array<int>"))
+    open_ = F.array_except(F.sequence(F.lit(1), F.size(numbers) + F.col(own) + 1), numbers)
+    n = F.element_at(open_, F.col(own))
+    return joined.withColumn("free", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), n))).drop(own, base_of, used_of)
 
 
 def trimmed_tail(pages: DataFrame, is_end: str, marked: str, keys: Sequence[str] = ("doc",)) -> DataFrame:

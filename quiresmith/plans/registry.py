@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quiresmith.functions import names, numbers, strings
 from quiresmith.operators import aggregates, chains, layout, long_groups, raster, relations, sequences, starts, upsert
 from quiresmith.plans import corpus
-from quiresmith.session import load
+from quiresmith.session import load, shared_path
+from quiresmith.sources import ranges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,6 +454,17 @@ def upsert_csv(spark, d):
     return _upsert(spark, d, True)
 
 
+@query("SELECT key, name, segment FROM (" + UPSERT_SQL.replace("FROM orders", "FROM orders WHERE o_custkey % 40 = 7").format(take="l.key IS NOT NULL AND l.segment <> ''") + ")")
+def upsert_ranges(spark, d):
+    """Upsert into a table of ranges: only those that a staged key falls in are written anew."""
+    path = shared_path(spark, "catalogue")
+    ranges.create(load(spark, d, "customer", F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), path, "key", 100)
+    orders = load(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus").where("o_custkey % 40 = 7")
+    staged = orders.select((F.col("o_custkey") + 1000).cast("string").alias("key"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("segment"), F.col("o_orderkey").alias("seq"))
+    ranges.upsert_into(staged, path, ["name", "segment"], False, 100)
+    return ranges.read(spark, path)
+
+
 @query(UPSERT_SQL.format(take="l.key IS NOT NULL AND l.segment <> ''"))
 def upsert_sheet(spark, d):
     """Upsert where blanks keep the old value."""

@@ -349,6 +349,17 @@ def json_table(spark, d):
     return rows.select("name", F.size("questions").alias("n"), F.get("questions", F.lit(0)).alias("first_key"))
 
 
+@query("SELECT c_custkey AS customer, c_name AS name, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey))::INTEGER AS place FROM customer")
+def json_document(spark, d):
+    """JSON documents that are one array of entries each, a document for each nation, read in the order of their entries."""
+    path = shared_path(spark, "documents")
+    entries = F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("customer"), F.col("c_name").alias("name"))))
+    texts = load(spark, d, "customer", "c_custkey", "c_name", "c_nationkey").groupBy("c_nationkey").agg(F.to_json(entries).alias("value"))
+    texts.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    rows = readers.json_document(spark, f"{path}/c_nationkey=*", "customer long, name string")
+    return rows.select("customer", "name", F.row_number().over(Window.partitionBy("ord.file").orderBy("ord")).alias("place"))
+
+
 @query("SELECT 'Nations: ' || count(*) AS value FROM nation UNION ALL SELECT '' UNION ALL SELECT n_nationkey || ' ' || n_name FROM nation")
 def manifest(spark, d):
     """A manifest: its title with a count, an empty line, and a line per row."""
@@ -536,3 +547,4 @@ def workbook_entries(spark, d):
     done = readers.cells(spark, path).where("row > 0")
     rows = readers.sheet_rows(done.withColumn("sheet", F.col("book"))).select(F.col("sheet").alias("book"), "row", "q_filename", "marks")
     return rows.join(done.where("formula is not null").select("book", "row", "formula"), ["book", "row"], "left")
+
