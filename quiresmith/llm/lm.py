@@ -17,7 +17,8 @@ the rest of their member.
 Texts are read once, as hashes of their words; then chunks of documents stand
 as numbers. What a chunk needs to know of all counts (of its pairs and its
 rare words, each once) it asks of buckets by hash, and scores when the answers
-are back, so a pair that is frequent everywhere is one entry per chunk.
+are back, so a pair that is frequent everywhere is one entry per chunk. Where
+there are many buckets, chunks ask in groups, in two steps.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ RATE = 0.5
 PRIOR = 100.0
 #: Tokens of a chunk of documents, of a shard of training, and of the corpus in a bucket.
 CHUNK, SHARD, BUCKET = 1 << 20, 1 << 22, 1 << 21
+#: Buckets that a chunk asks by itself; beyond them chunks ask in groups.
+DIRECT = 128
 #: No word has white space, so this is the end of a text.
 END = b" "
 _BATCH = 8192
@@ -429,8 +432,9 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _asked(vocabulary, buckets: int):
-    """Kernel over chunks: a row for each bucket with the chunk's pairs and rare words of that bucket, each once, and their counts in training."""
+def _asked(vocabulary, buckets: int, each: int = 1):
+    """Kernel over chunks: a row for every ``each`` buckets with the chunk's pairs and rare words of these buckets, each once, and their counts in training."""
+    lots = -(-buckets // each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Vocabulary = vocabulary.value
@@ -443,21 +447,69 @@ def _asked(vocabulary, buckets: int):
                 once, at = np.unique(keys, return_inverse=True)
                 counts = np.bincount(at, weight, len(once)).astype(np.int64)
                 order, ends = _by_bucket(once, buckets)
+                ends = ends[np.minimum(np.arange(lots + 1) * each, buckets)]
                 cuts = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 blobs += [[_packed(once[c], width) for c in cuts], [_packed(counts[c], 4) for c in cuts]]
-            columns = [pa.array([r.column("chunk")[0].as_py()] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)]
+            columns = [pa.array([r.column("chunk")[0].as_py()] * lots, pa.int64()), pa.array(range(lots), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)]
             yield pa.record_batch(columns, ["chunk", "bucket", "pairs", "pair_counts", "words", "word_counts"])
 
     return run
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets, one bucket after the other, with the counts over all chunks in place of the chunk's."""
+_KINDS = (("pair", 5), ("word", 8))
+
+
+def _together(rows: list[dict], name: str, width: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The distinct keys of rows, where each row's keys stand among them, one row after the other, and where rows end."""
+    keys = [_unpacked(r[f"{name}s"], width) for r in rows]
+    once, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return once, at, np.cumsum([len(k) for k in keys])[:-1].tolist()
+
+
+def _grouped(buckets: int, each: int):
+    """Kernel over what a group of chunks asks of one lot of buckets: a row for each of these, with every key once and its counts in the group."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        unit, lot, rows = key[0].as_py(), key[1].as_py(), table.to_pylist()
+        first, last = lot * each, min(buckets, lot * each + each)
+        out = {"chunk": [unit] * (last - first), "bucket": list(range(first, last))}
+        for name, width in _KINDS:
+            once, at, _ = _together(rows, name, width)
+            counts = np.bincount(at, np.concatenate([_unpacked(r[f"{name}_counts"], 4) for r in rows]), len(once)).astype(np.int64)
+            order, ends = _by_bucket(once, buckets)
+            cuts = [order[a:b] for a, b in zip(ends[first:last], ends[first + 1 : last + 1])]
+            out |= {f"{name}s": [_packed(once[c], width) for c in cuts], f"{name}_counts": [_packed(counts[c], 5) for c in cuts]}
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
+
+    return run
+
+
+def _handed_back(buckets: int):
+    """Kernel over what a group of chunks asked of one lot of buckets, and the answers to the group: each chunk's answers."""
+
+    def run(key: tuple[pa.Scalar, ...], asked: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers = asked.to_pylist(), answers.sort_by("bucket")
+        out = {"chunk": [r["chunk"] for r in rows], "bucket": [r["bucket"] for r in rows]}
+        for name, width in _KINDS:
+            once, at, ends = _together(rows, name, width)
+            order, _ = _by_bucket(once, buckets)
+            total = np.empty(len(once), np.int64)
+            total[order] = np.concatenate([_unpacked(x.as_py(), 5) for x in answers.column(f"{name}_counts")])
+            out[f"{name}_counts"] = [_packed(x, 5) for x in np.split(total[at], ends)]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
+
+    return run
+
+
+def _answered(counts_width: int):
+    """Kernel over rows of buckets, one bucket after the other: the counts over all chunks in place of the chunk's."""
 
     def answer(rows: list[dict]) -> pa.RecordBatch:
         out = {"chunk": [r["chunk"] for r in rows], "bucket": [r["bucket"] for r in rows]}
-        for name, width in (("pair", 5), ("word", 8)):
-            keys, counts = ([_unpacked(r[c], w) for r in rows] for c, w in ((f"{name}s", width), (f"{name}_counts", 4)))
+        for name, width in _KINDS:
+            keys, counts = ([_unpacked(r[c], w) for r in rows] for c, w in ((f"{name}s", width), (f"{name}_counts", counts_width)))
             once, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, np.concatenate(counts), len(once)).astype(np.int64)[at]
             ends = np.cumsum([len(k) for k in keys])
@@ -465,15 +517,46 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
 
-    held: list[dict] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held and r["bucket"] != held[-1]["bucket"]:
-                yield answer(held)
-                held = []
-            held.append(r)
-    if held:
-        yield answer(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and r["bucket"] != held[-1]["bucket"]:
+                    yield answer(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield answer(held)
+
+    return run
+
+
+def exchange(chunks: DataFrame, vocabulary, buckets: int) -> DataFrame:
+    """chunk, bucket, pair_counts, word_counts: what each chunk asks of all counts, answered, in parts whose order is that of ``bucket``.
+
+    Up to ``DIRECT`` buckets every chunk asks each of them. Beyond, buckets
+    are in lots and chunks in groups, about as many of either in one as the
+    root of the buckets: a chunk asks lots, a group of chunks asks the buckets
+    of a lot, with every key once, and answers come back the same way. So a
+    chunk has as many rows as that root, and not as all buckets.
+    """
+    kind = "chunk long, bucket int, pairs binary, pair_counts binary, words binary, word_counts binary"
+    back = "chunk long, bucket int, pair_counts binary, word_counts binary"
+    wanted = chunks.select("chunk", "numbers", "lengths", "held", "rare")
+    each = 1 if buckets <= DIRECT else round(buckets**0.5)
+    asked = wanted.mapInArrow(_asked(vocabulary, buckets, each), kind)
+
+    def answered(rows: DataFrame, width: int) -> DataFrame:
+        return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(_answered(width), back)
+
+    if each == 1:
+        return answered(asked, 4)
+    lots, groups = -(-buckets // each), max(1, -(-asked.count() // (each * -(-buckets // each))))
+    # A group's number and the lot make one number: a unit that asks as a chunk does.
+    asked = asked.withColumn("unit", F.pmod(F.xxhash64("chunk"), F.lit(groups)) * lots + F.col("bucket"))
+    grouped = asked.groupBy("unit", "bucket").applyInArrow(_grouped(buckets, each), kind)
+    answers = answered(grouped, 5)
+    return asked.groupBy("unit").cogroup(answers.withColumnRenamed("chunk", "unit").groupBy("unit")).applyInArrow(_handed_back(buckets), back)
 
 
 def _scored(vocabulary, weights, buckets: int):
@@ -548,9 +631,7 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -
     known, w, chunks = learn(docs, head_words, rounds)
     context, buckets = docs.sparkSession.sparkContext, known.tokens // BUCKET + 1
     vocabulary, weights = context.broadcast(known), context.broadcast(w)  # of fixed size
-    asked = chunks.select("chunk", "numbers", "lengths", "held", "rare").mapInArrow(_asked(vocabulary, buckets), "chunk long, bucket int, pairs binary, pair_counts binary, words binary, word_counts binary")
-    asked = asked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk")
-    answers = asked.mapInArrow(_answered, "chunk long, bucket int, pair_counts binary, word_counts binary")
+    answers = exchange(chunks, vocabulary, buckets)
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     rows = both.applyInArrow(_scored(vocabulary, weights, buckets), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -604,3 +604,27 @@ def test_whole_license_texts():
     lesser = licenses.scan("This work is licensed under the GNU Lesser General Public License, version 3.")
     assert [(r["license"], r["wording"]) for r in lesser] == [("LGPL-3.0", "exact")]
     assert [r["license"] for r in licenses.scan("This library is licensed under the GNU Library General Public License, version 2.")] == ["LGPL-2.0"]
+
+
+def test_counts_in_groups_are_those_of_every_chunk(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 200)
+    monkeypatch.setattr(lm, "BUCKET", 100)
+    want = {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 6)) for r in lm.score(docs.select("doc_id", "text"), head_words=50, rounds=1).collect()}
+    monkeypatch.setattr(lm, "DIRECT", 1)
+    got = {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 6)) for r in lm.score(docs.select("doc_id", "text"), head_words=50, rounds=1).collect()}
+    assert got == want
+
+
+def test_rows_of_the_count_exchange_grow_with_the_tokens(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(k, prose(rng, 60)) for k in range(640)]
+    monkeypatch.setattr(lm, "CHUNK", 300)
+    monkeypatch.setattr(lm, "DIRECT", 8)
+    made = {}
+    for n in (40, 160, 640):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string").coalesce(1)
+        known, _, chunks = lm.learn(df, head_words=50, rounds=1)
+        vocabulary, buckets = spark.sparkContext.broadcast(known), known.tokens // 150 + 1
+        made[n] = lm.exchange(chunks, vocabulary, buckets).count() / chunks.count()
+        assert made[n] <= max(8, 2 * buckets**0.5 + 2)
+    assert made[640] < 3 * made[160] + 1
