@@ -32,6 +32,11 @@ def partner(name: Column) -> Column:
     return F.when(name.rlike(DOCUMENT), F.concat_ws("_", _group(name, 1), _group(name, 2), other, _group(name, 4)))
 
 
+def pair_key(name: Column) -> Column:
+    """What both sides of a document share; of any other name something of its own."""
+    return F.when(name.rlike(DOCUMENT), F.concat_ws("_", _group(name, 1), _group(name, 2), _group(name, 4))).otherwise(F.concat(F.lit("!"), name))
+
+
 def family(name: Column) -> Column:
     """Syllabus and first digit of the variant."""
     return F.concat(_group(name, 1), F.lit("_"), F.left(_group(name, 4), F.lit(1)))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiresmith.functions.names import document_name, family, partner
+from quiresmith.functions.names import document_name, family, pair_key, partner
 from quiresmith.functions.strings import label_number, opens_as_label, part_label
 from quiresmith.operators import starts as item_starts
 from quiresmith.operators.relations import HARMLESS, first_by, fixable, small_side, texts, with_fault, with_partner
@@ -126,12 +126,20 @@ def audit_outputs(rows: DataFrame, artifacts: DataFrame, edges: DataFrame, writt
     return out.select("name", "kind", "questions", faults.alias("faults"))
 
 
+def _of_mate(row: Column, field: str) -> Column:
+    """A field of the row in the document's group whose name is ``_mate``, null where there is none. A group has few rows: its names."""
+    return F.get(F.filter(F.collect_list(row).over(Window.partitionBy("_key")), lambda x: x["name"] == F.col("_mate")), F.lit(0))[field]
+
+
 def classify(rows: DataFrame, artifacts: DataFrame) -> DataFrame:
     """name, verdict (clean or review), reasons and pictures of audit rows that have pictures."""
-    pictures = artifacts.groupBy(F.col("paper").alias("name")).agg(F.array_sort(F.collect_list("number")).alias("own"), F.count(F.lit(1)).alias("pictures"))
-    have = first_by(rows, ["name"], "ord").join(pictures, "name")
-    mates = pictures.select(F.col("name").alias("_mate"), F.col("own").alias("theirs"))
-    have = have.withColumn("_mate", partner(F.col("name"))).join(mates, "_mate", "left")
+    name = F.col("name")
+    # One shuffle brings both sides of a document together: rows, pictures, partners and their verdicts are all by its key.
+    read = rows.select(pair_key(name).alias("_key"), "name", F.struct("ord", "faults").alias("row"))
+    drawn = artifacts.select(pair_key(F.col("paper")).alias("_key"), F.col("paper").alias("name"), "number")
+    sides = read.unionByName(drawn, allowMissingColumns=True).where("name is not null").repartition("_key").groupBy("_key", "name").agg(F.min("row").alias("row"), F.array_sort(F.collect_list("number")).alias("own"), F.count("number").alias("pictures"))
+    sides = sides.withColumns({"_mate": partner(name), "faults": F.col("row.faults")})
+    have = sides.withColumn("theirs", _of_mate(F.struct("name", "own"), "own")).withColumn("theirs", F.when(F.size("theirs") > 0, F.col("theirs")))
     own, theirs = F.col("own"), F.col("theirs")
     short = _lookup(SHORT_ANSWER_SIDES, F.when(F.col("name").contains("_ms_"), F.col("name")).otherwise(F.col("_mate")))
     longer = F.when(F.size(own) > F.size(theirs), own).otherwise(theirs)
@@ -140,9 +148,10 @@ def classify(rows: DataFrame, artifacts: DataFrame) -> DataFrame:
     corroborated = (F.size(own) > 0) & is_complete(own) & ((own == theirs) | allowed)
     left = F.array_except("faults", texts(HARMLESS))
     sound = ~F.arrays_overlap("faults", texts(ABOUT_PICTURES)) & (F.coalesce(corroborated, F.lit(False)) | (F.size(left) == 0))
-    judged = have.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("_left", left)
-    partners = judged.select(F.col("name").alias("_m"), F.col("sound").alias("_mate_sound"))
-    judged = judged.join(partners, F.col("_mate") == F.col("_m"), "left")
+    # Only what has a row and pictures is judged, and can be a partner that is sound.
+    known = F.col("row").isNotNull() & (F.col("pictures") > 0)
+    judged = have.withColumns({"sound": known & F.coalesce(sound, F.lit(False)), "_left": left, "known": known})
+    judged = judged.withColumn("_mate_sound", _of_mate(F.struct("name", "sound"), "sound")).where("known")
     lone = F.col("_mate").isNotNull() & ~F.coalesce("_mate_sound", F.lit(False))
     reasons = (
         F.when(~F.col("sound") & (F.size("_left") > 0), F.array_sort("_left"))
@@ -165,14 +174,17 @@ def repair_targets(rows: DataFrame, families: DataFrame, done: DataFrame | None
     The target is the partner's list if that is sound, else the size of a
     certain family, else the numbers up to the highest read where one is missing.
     """
-    asked = first_by(rows, ["name"], "ord").where(fixable(F.col("faults")) & document_name(F.col("name")).isNotNull())
+    # One shuffle brings a document's sides together.
+    keyed = rows.where("name is not null").select("name", "ord", "questions", "faults", pair_key(F.col("name")).alias("_key")).repartition("_key")
+    first = first_by(keyed, ["_key", "name"], "ord").withColumn("_mate", partner(F.col("name")))
+    mate = F.struct("name", F.struct("questions", "faults").alias("read"))
+    asked = first.withColumn("_read", _of_mate(mate, "read")).where(fixable(F.col("faults")) & document_name(F.col("name")).isNotNull())
     if done is not None:
         asked = asked.join(done.select("name"), "name", "left_anti")
     if inventory is not None:
         asked = asked.join(inventory.select("name"), "name", "left_semi")
-    mates = first_by(rows, ["name"], "ord").select(F.col("name").alias("_mate"), F.col("questions").alias("_theirs"), F.col("faults").alias("_their_faults"))
     shapes = small_side(families.where("certain").select(F.col("family").alias("_family"), F.col("questions").alias("_size")))
-    joined = asked.withColumn("_mate", partner(F.col("name"))).join(mates, "_mate", "left").withColumn("_family", family(F.col("name"))).join(shapes, "_family", "left")
+    joined = asked.select("*", F.col("_read.questions").alias("_theirs"), F.col("_read.faults").alias("_their_faults"), family(F.col("name")).alias("_family")).join(shapes, "_family", "left")
     taught = sound_reading(F.col("_their_faults"), F.col("_theirs"))
     gap = F.array_contains("faults", "gap") & (F.size(_numbers("questions")) > 0)
 

@@ -406,9 +406,8 @@ SELECT name, CASE WHEN taught THEN 'partner' WHEN size IS NOT NULL THEN 'family'
 """)
 def repair_target(spark, d):
     """What faulty documents should hold: by partner, family or own gap."""
-    rows, artifacts = _papers(spark, d)
-    items = artifacts.join(rows.select(F.col("name").alias("paper"), F.size("questions").alias("n")), "paper")
-    sizes = items.select("paper", "n", names.family(F.col("paper")).alias("family")).distinct().groupBy("family", "n").agg(F.count(F.lit(1)).alias("hits"))
+    rows, _ = _papers(spark, d)
+    sizes = rows.select(F.size("questions").alias("n"), names.family(F.col("name")).alias("family")).groupBy("family", "n").agg(F.count(F.lit(1)).alias("hits"))
     total = sizes.groupBy("family").agg(F.sum("hits").alias("papers"))
     modal = relations.first_by(sizes, ["family"], F.col("hits").desc(), "n").join(total, "family")
     families = modal.select("family", F.col("n").alias("questions"), (F.col("hits") / F.col("papers") >= 0.2).alias("certain"))
