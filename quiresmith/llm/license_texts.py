@@ -40,13 +40,51 @@ BY_NAME = ("Licensed under the {}.", "Released under the {}.", "This work is lic
 _SUFFIXES = ("", "-only", "-or-later")
 
 
+#: (SPDX identifier, another name that it goes by in notices)
+ALIASES: tuple[tuple[str, str], ...] = (
+    *((f"{kind}-{v}", f"{short}{gap}v{v.removesuffix('.0')}") for kind, versions in (("GPL", ("2.0", "3.0")), ("LGPL", ("2.1", "3.0")), ("AGPL", ("3.0",))) for v in versions for short in (kind, f"GNU {kind}") for gap in ("", " ")),
+    *((i, name.replace(", version ", " v").replace(", Version ", " v")) for i, name in NAMES if "ersion " in name),
+    *((i, name.replace(", version ", " ").replace(", Version ", " ")) for i, name in NAMES if "ersion " in name),
+    ("Apache-2.0", "Apache 2.0"),
+    ("MPL-2.0", "MPL 2.0"),
+    ("PSF-2.0", "Python Software Foundation License"),
+    ("PSF-2.0", "PSF License"),
+    ("Artistic-2.0", "Artistic License 2.0"),
+)
+#: Addresses of license texts, without scheme, www and ending.
+ADDRESSES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "apache.org/licenses/LICENSE-2.0"),
+    ("MIT", "opensource.org/licenses/MIT"),
+    ("MIT", "opensource.org/license/mit"),
+    ("Apache-2.0", "opensource.org/licenses/Apache-2.0"),
+    ("BSD-2-Clause", "opensource.org/licenses/BSD-2-Clause"),
+    ("BSD-3-Clause", "opensource.org/licenses/BSD-3-Clause"),
+    ("ISC", "opensource.org/licenses/ISC"),
+    ("GPL-2.0", "gnu.org/licenses/gpl-2.0"),
+    ("GPL-3.0", "gnu.org/licenses/gpl-3.0"),
+    ("LGPL-3.0", "gnu.org/licenses/lgpl-3.0"),
+    ("AGPL-3.0", "gnu.org/licenses/agpl-3.0"),
+    ("MPL-2.0", "mozilla.org/MPL/2.0"),
+    ("CC0-1.0", "creativecommons.org/publicdomain/zero/1.0"),
+    *((i, f"creativecommons.org/licenses/{i.removeprefix('CC-').removesuffix('-4.0').lower()}/4.0") for i, _ in NAMES if i.startswith("CC-")),
+)
+
+
 def _by_rule() -> tuple[tuple[str, str], ...]:
-    """The wordings of all identifiers and names."""
+    """The wordings of all identifiers, names and other names."""
     ids = [(f"{i}{s}" if s == "-or-later" else i, f"{i}{s}") for i, _ in NAMES for s in (_SUFFIXES if "GPL" in i else _SUFFIXES[:1])]
     ids += [(i, i.replace("CC-", "CC ").replace("-4.0", " 4.0").replace("-1.0", " 1.0")) for i, _ in NAMES if i.startswith("CC-")]
     notices = [(i, w.format(shown)) for i, shown in ids for w in BY_IDENTIFIER]
-    named = [(i, name) for i, name in NAMES] + [(f"{i}-or-later", f"{name} or later") for i, name in NAMES if "GPL" in i]
-    return (*notices, *((i, w.format(name)) for i, name in named for w in BY_NAME))
+    names = (*NAMES, *ALIASES)
+    named = [*names, *((f"{i}-or-later", f"{name} or later") for i, name in names if "GPL" in i), *((f"{i}-or-later", f"{name}+") for i, name in ALIASES if "GPL" in i)]
+    short = [(i, w.format(name)) for i, name in named if (i, name) not in NAMES for w in ("License: {}", "Licensed under {}.", "under the {} license")]
+    return (*notices, *((i, w.format(name)) for i, name in named for w in (*BY_NAME, "under the terms of the {}")), *short)
+
+
+def alternatives() -> tuple[tuple[str, str], ...]:
+    """Identifiers and names as they stand after "or" and "and"."""
+    ids = tuple((f"{i}{s}" if s == "-or-later" else i, f"{i}{s}") for i, _ in NAMES for s in (_SUFFIXES if "GPL" in i else _SUFFIXES[:1]))
+    return (*ids, ("MIT", "MIT"), *NAMES, *ALIASES, *((f"{i}-or-later", f"{name} or later") for i, name in (*NAMES, *ALIASES) if "GPL" in i))
 
 
 #: Titles of license texts, which count where they stand on a line of their own.
@@ -114,4 +152,4 @@ _WORDINGS: tuple[tuple[str, str], ...] = (
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 #: All wordings that are looked for, each once.
-TEMPLATES: tuple[tuple[str, str], ...] = tuple(dict.fromkeys((*_WORDINGS, *_by_rule())))
+TEMPLATES: tuple[tuple[str, str], ...] = tuple(dict.fromkeys((*_WORDINGS, *_by_rule(), *ADDRESSES)))

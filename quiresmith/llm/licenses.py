@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiresmith.llm.common import rows_of
-from quiresmith.llm.license_texts import TEMPLATES, TITLES
+from quiresmith.llm.license_texts import TEMPLATES, TITLES, alternatives
 
 #: A word that every template has one of.
-CUE = r"(?i)licen[cs]|copyright|permission|permitted|redistribut|public domain|creative commons|CC0"
+CUE = r"(?i)licen[cs]|copyright|permission|permitted|redistribut|public ?domain|creative commons|CC0|under the terms of the|mozilla\.org/MPL|\b[al]?gpl"
 #: Words on either side of a cue that belong to its block (the longest template's, so that it fits), and the longest block that is looked at in one piece.
 MARGIN, LONGEST = max(len(text.split()) for _, text in TEMPLATES), 1500
 #: Words of a template that may differ, as a share; articles may always.
@@ -34,12 +34,20 @@ SLACK, ARTICLES = 0.1, frozenset({"a", "an", "the"})
 _WORD = re.compile(r"\S+")
 _NUMBER = re.compile(r"\(?\d{1,2}[.)]$")
 _EDGES = ".,;:()[]{}<>\"'`*#/\\-–—“”‘’!?|"
-_BOUND = re.compile(r"\d|^(by|cc|mit|bsd|isc|gnu|lesser|affero|apache|mozilla|neither|endorse|not|sharealike|noncommercial)\b|attribution|^cc0$")
+_BOUND = re.compile(r"\d|\+$|^(by|cc|mit|bsd|isc|gnu|psf|python|artistic|lesser|affero|apache|mozilla|neither|endorse|not|sharealike|noncommercial)\b|attribution|^cc0$")
+
+
+#: Spellings that are one, and what an address may have before and behind.
+_SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
+_ADDRESS = re.compile(r"^https?://(?:www\.)?|(?:\.html|\.txt|\.en|/legalcode|/)+$")
 
 
 def plain(word: str) -> str:
-    """A word without case and the signs around it."""
-    return word.lower().strip(_EDGES)
+    """A word without case and the signs around it; a "+" behind it stays, and of an address what tells it."""
+    word = word.lower().strip(_EDGES)
+    if "/" in word:
+        word = _ADDRESS.sub("", word)
+    return _SPELLINGS.get(word, word)
 
 
 def starts_item(text: str, spans: list[tuple[int, int]], raw: list[str], k: int) -> bool:
@@ -63,6 +71,25 @@ def _templates() -> list[tuple[str, list[str], object, bool]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _others() -> tuple[dict[tuple[str, ...], str], int]:
+    """Licenses by the words of their identifiers and names, and the most words of any."""
+    found: dict[tuple[str, ...], str] = {}
+    for name, text in alternatives():
+        found.setdefault(tuple(p for w in text.split() if (p := plain(w))), name)
+    return found, max(map(len, found))
+
+
+def _alternative(words: list[str], at: int) -> tuple[str, int] | None:
+    """The license whose name stands at a place, an article aside, and the place behind it; the longest name there."""
+    known, most = _others()
+    at += words[at] in ARTICLES
+    for n in range(min(most, len(words) - at), 0, -1):
+        if name := known.get(tuple(words[at : at + n])):
+            return name, at + n
+    return None
+
+
 def saving(t: int, words: list[str], first: int, last: int) -> int:
     """Bytes that template ``t`` saves on the words from first to last and half as many again on either side.
 
@@ -82,6 +109,26 @@ def may_hold(template: list[str], words: set[str]) -> bool:
     return confirmed(template, (0, 0, missing, []))
 
 
+@lru_cache(maxsize=1)
+def _by_word() -> tuple[dict[str, list[int]], list[int]]:
+    """Templates by the first of their words that may not be missing, and those without such a word."""
+    found: dict[str, list[int]] = {}
+    free = []
+    for t, (_, template, _, _) in enumerate(_templates()):
+        word = next((w for w in template if _BOUND.search(w)), None)
+        if word is None:
+            free.append(t)
+        else:
+            found.setdefault(word, []).append(t)
+    return found, free
+
+
+def _possible(words: set[str]) -> list[int]:
+    """Templates in their order that have nothing bound that a block has not, as far as their first such word tells."""
+    found, free = _by_word()
+    return sorted([*free, *(t for w in words & found.keys() for t in found[w])])
+
+
 def differences(template: list[str], words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
     """Where a template stands in a block (first, past last), its missing words and the extra ones; None if it does not."""
     # A passage starts with one of the template's first words: more may not be missing.
@@ -154,7 +201,8 @@ def scan(text: str | None) -> list[dict]:
     for first, last in blocks:
         places = [k for k in range(first, last) if plain(raw[k]) and k not in listed]
         words = ["" if k in blank else plain(raw[k]) for k in places]
-        fits = [t for t, (_, template, _, _) in enumerate(_templates()) if may_hold(template, set(words))]
+        some = set(words)
+        fits = [t for t in _possible(some) if may_hold(_templates()[t][1], some)]
         while True:
             hits, held = [], set(words)
             for t in fits:
@@ -168,6 +216,13 @@ def scan(text: str | None) -> list[dict]:
             out.append({"license": name, "start": spans[places[a]][0], "end": spans[places[b - 1]][1], "wording": "variant" if missing or extra else "exact", "saved_bytes": saved, "missing": " ".join(missing), "extra": " ".join(extra)})
             words[a:b] = [""] * (b - a)
             blank.update(places[a:b])
+            # "... or B": what a passage goes on with names another license.
+            while b + 1 < len(words) and words[b] in ("or", "and") and (more := _alternative(words, b + 1)):
+                name, past = more
+                out.append({"license": name, "start": spans[places[b + 1]][0], "end": spans[places[past - 1]][1], "wording": "exact", "saved_bytes": 0, "missing": "", "extra": ""})
+                words[b:past] = [""] * (past - b)
+                blank.update(places[b:past])
+                b = past
     return sorted(out, key=lambda r: (r["start"], r["end"], r["license"]))
 
 

@@ -243,3 +243,30 @@ def test_titles_stand_alone():
     assert [r["license"] for r in licenses.scan("intro\n  * MIT License *\nmore")] == ["MIT"]
     assert licenses.scan("we like the MIT License a lot") == []
     assert [r["license"] for r in licenses.scan("/* SPDX-License-Identifier: GPL-2.0-or-later */")] == ["GPL-2.0-or-later"]
+
+
+def test_recall_on_wordings_of_no_rule():
+    from quiresmith.llm.licenses import scan
+
+    wild = [
+        ("GPL-3.0", "This code is under the GPLv3 license, see the file."), ("GPL-3.0", "License: GPLv3"), ("GPL-3.0", "It was released under the GNU GPL v3."), ("Apache-2.0", "Distributed under the Apache License 2.0."),
+        ("MPL-2.0", "Licensed under the Mozilla Public License 2.0 (MPL)."), ("CC-BY-SA-4.0", "licence: CC-BY-SA-4.0"), ("Apache-2.0", "see http://www.apache.org/licenses/LICENSE-2.0.html for it"), ("MIT", "see https://opensource.org/licenses/MIT."),
+        ("AGPL-3.0", "you may use it under the terms of the GNU Affero General Public License v3 only"), ("PSF-2.0", "Licensed under the Python Software Foundation License."), ("Artistic-2.0", "Released under the Artistic License 2.0."),
+        ("GPL-3.0-or-later", "Licensed under GPLv3+."), ("GPL-2.0-or-later", "Released under the GPLv2 or later."), ("MIT", "Licenced under the MIT licence."), ("CC-BY-4.0", "https://creativecommons.org/licenses/by/4.0/ applies"),
+        ("CC0-1.0", "https://creativecommons.org/publicdomain/zero/1.0/"), ("LGPL-2.1", "Distributed under the GNU LGPL v2.1."), ("MPL-2.0", "You can obtain one at https://mozilla.org/MPL/2.0/."), ("GPL-3.0", "All files are licensed under the GPL v3 unless noted."), ("AGPL-3.0-or-later", "under the terms of the GNU Affero General Public License v3 or later"),
+    ]
+    hits = sum([r["license"] for r in scan(f"Some words of prose. {text} And others that follow.")] == [name] for name, text in wild)
+    assert hits / len(wild) >= 0.9
+    assert [r["license"] for r in scan("This work is dual licensed under MIT or Apache-2.0, at your option.")] == ["MIT", "Apache-2.0"]
+    assert [r["license"] for r in scan("Licensed under the MIT License or the Apache License 2.0 and the GNU GPL v3 or later.")] == ["MIT", "Apache-2.0", "GPL-3.0-or-later"]
+    assert not scan("I use MIT or apple trees under the terms of the contract, and a license to print money.")
+
+
+def test_long_texts_are_scanned_in_proportion():
+    import time
+
+    from quiresmith.llm.licenses import scan
+
+    began = time.perf_counter()
+    found = scan(("license the software under terms of any license permitted by permission " * 400 + "Released under the MIT License. ") * 12)
+    assert [r["license"] for r in found] == ["MIT"] * 12 and time.perf_counter() - began < 60
