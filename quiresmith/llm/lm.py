@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from quiresmith.llm.common import id_crc, rows_of
 from quiresmith.session import discard, materialize
@@ -71,8 +72,6 @@ def is_held_out() -> Column:
 
 def code_of(word: bytes) -> int:
     """What stands for a word: 55 bits of its hash, and its shared member, by its last two letters."""
-    from xxhash import xxh64_intdigest
-
     end = word[-2:]
     if not end.isascii():
         end = word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")
@@ -321,6 +320,19 @@ def log_p(w: np.ndarray, bias: np.ndarray, slots: np.ndarray, y: np.ndarray) ->
     return own - np.log(logits.sum(axis=1))
 
 
+def _sums(rows: np.ndarray, at: np.ndarray, firsts: np.ndarray, step: int = 16) -> np.ndarray:
+    """Sums of runs of the rows at ``at``; runs start at ``firsts``. The k-th rows of all runs are added at once, and what is left of the few long ones as a whole."""
+    sizes = np.diff(np.append(firsts, len(at)))
+    out, live, k = rows.take(at[firsts], axis=0), np.flatnonzero(sizes > 1), 1
+    while len(live) and k < step:
+        out[live] += rows.take(at[firsts[live] + k], axis=0)
+        k += 1
+        live = live[sizes[live] > k]
+    for run in live:
+        out[run] += rows.take(at[firsts[run] + k : firsts[run] + sizes[run]], axis=0).sum(axis=0)
+    return out
+
+
 def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, y: np.ndarray, slots: np.ndarray) -> None:
     """One gradient step on a batch of tokens; each slot's step shrinks with its past gradients."""
     p = _logits(w, bias, slots)
@@ -332,7 +344,7 @@ def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, y: np.ndarray,
     order = np.argsort(flat, kind="stable")
     sorted_ = flat[order]
     firsts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    gradient = np.add.reduceat(p.take(order % n, axis=0), firsts, axis=0)
+    gradient = _sums(p, order % n, firsts)
     at = sorted_[firsts]
     squares[at] += np.einsum("ij,ij->i", gradient, gradient)
     w[at] -= RATE * gradient / np.sqrt(squares[at] + 1.0)[:, None]

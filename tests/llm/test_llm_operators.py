@@ -628,3 +628,10 @@ def test_rows_of_the_count_exchange_grow_with_the_tokens(spark, monkeypatch):
         made[n] = lm.exchange(chunks, vocabulary, buckets).count() / chunks.count()
         assert made[n] <= max(8, 2 * buckets**0.5 + 2)
     assert made[640] < 3 * made[160] + 1
+
+
+def test_sums_of_runs_of_rows():
+    rng = np.random.default_rng(1)
+    rows, at, firsts = rng.random((50, 4)), rng.integers(0, 50, 200), np.array([0, 1, 5, 6, 40, 41, 199])
+    for step in (2, 16, 500):
+        assert np.allclose(lm._sums(rows, at, firsts, step), np.add.reduceat(rows[at], firsts, axis=0))
