@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiresmith.functions import names, numbers, strings
 from quiresmith.operators import aggregates, relations, sequences, upsert
 from quiresmith.plans import catalog, corpus, workbook
-from quiresmith.plans.registry import FAULTS_SQL, PAPERS, _faults, _papers, query
+from quiresmith.plans.registry import FAULTS_SQL, PAPERS, _faults, _papers, grey_levels, query
 from quiresmith.session import load, materialize, shared_path
 from quiresmith.sources import png, readers, schemas, sinks
 from quiresmith.streaming import logs
@@ -467,7 +467,7 @@ PIXELS = "WITH m AS (SELECT label::VARCHAR AS img, label % 5 AS kind, (row_numbe
 def _pixels(spark, d) -> DataFrame:
     """Images whose lines are vectors: img, kind, y, px (bytes)."""
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    px = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 255), F.lit(256))), 2, "0"))
+    px = F.transform(grey_levels("embedding"), lambda v: F.lpad(F.hex(v), 2, "0"))
     rows = load(spark, d, "embeddings", "vec_id", "label", "embedding")
     return rows.select(F.col("label").cast("string").alias("img"), (F.col("label") % 5).alias("kind"), place.alias("y"), F.unhex(F.array_join(px, "")).alias("px"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiresmith.functions import numbers
 from quiresmith.operators import bands, canvas, layout, raster, sequences, starts
 from quiresmith.plans import corpus
-from quiresmith.plans.registry import query
+from quiresmith.plans.registry import grey_levels, query
 from quiresmith.session import load
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -301,7 +301,7 @@ IMAGES = "WITH m AS (SELECT label::VARCHAR AS img, vec_id, (row_number() OVER (P
 @query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: (floor(x * 255) % 256 + 256) % 256 < 100)::INTEGER[])::BIGINT AS ink, len(list_filter(embedding, lambda x: (floor(x * 255) % 256 + 256) % 256 >= 225))::INTEGER AS white FROM embeddings")
 def ink_and_white(spark, d):
     """Ink pixels, and pixels that whitening makes white."""
-    grey = F.transform("embedding", lambda x: F.pmod(F.floor(x * 255), F.lit(256)).cast("int"))
+    grey = grey_levels("embedding").cast("array<int>")
     rows = load(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", grey.alias("px"))
     ink = F.size(F.filter(raster.ink_mask(F.col("px"), 100), lambda v: v)).cast("long")
     return rows.select("vec_id", ink.alias("ink"), F.size(F.filter(raster.whitened(F.col("px")), lambda v: v == 255)).alias("white"))
@@ -334,7 +334,7 @@ def matched_parts(spark, d):
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: abs(floor(x * 40)) > 12)) < 0.002 * len(embedding) AS grey FROM embeddings")
 def grey_images(spark, d):
     """Whether nearly no pixel has colour."""
-    spreads = F.transform("embedding", lambda x: F.abs(F.floor(x * 40)))
+    spreads = F.transform("embedding", lambda x: F.abs(F.floor(x * F.lit(40).cast("float"))))
     return load(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", numbers.is_grey(spreads).alias("grey"))
 
 
@@ -410,7 +410,7 @@ def _parts(spark, d) -> DataFrame:
     """Grey parts of images: rows of a label and a remainder of ids; a part's width goes by its number. img, part, y, px (bytes)."""
     part = F.col("vec_id") % 3
     place = F.row_number().over(Window.partitionBy("label", part).orderBy("vec_id")) - 1
-    px = F.transform(F.slice("embedding", F.lit(1), (64 - 10 * part).cast("int")), lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 255), F.lit(256))), 2, "0"))
+    px = F.transform(F.slice(grey_levels("embedding"), F.lit(1), (64 - 10 * part).cast("int")), lambda v: F.lpad(F.hex(v), 2, "0"))
     rows = load(spark, d, "embeddings", "vec_id", "label", "embedding")
     return rows.select(F.col("label").cast("string").alias("img"), part.cast("int").alias("part"), place.alias("y"), F.unhex(F.array_join(px, "")).alias("px"))
 

@@ -30,3 +30,14 @@ def test_a_form_with_a_long_key_has_a_year(spark, tmp_path):
     keys = (999, 1000, 9999, 10000, 14926, 1234567)
     _write(spark, tmp_path, "orders", [(k, c, s) for k, (c, s) in enumerate((c, s) for c in keys for s in "OFP")], "o_orderkey long, o_custkey long, o_orderstatus string")
     assert _differences(spark, tmp_path, "form_problems") == (Counter(), Counter())
+
+
+@pytest.mark.parametrize("name", ["fused_images", "fused_across", "image_files", "image_kinds", "ink_and_white"])
+def test_levels_are_products_in_single_precision(spark, tmp_path, name):
+    """Components just below a multiple of 1/255 or 1/40: the product is whole in single precision and short of it in double."""
+    np = pytest.importorskip("numpy")
+    near = [(float(np.float32(k / s)), s) for s in (255, 40) for k in range(-s, s)]
+    edges = [x for x, s in near if np.floor(np.float32(x) * np.float32(s)) != np.floor(x * s)]
+    assert len(edges) >= 64
+    _write(spark, tmp_path, "embeddings", [(k, [edges[(k * 64 + j) % len(edges)] for j in range(64)], k % 3) for k in range(12)], "vec_id long, embedding array<float>, label int")
+    assert _differences(spark, tmp_path, name) == (Counter(), Counter())
