@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Shapes of labels and headings.
 LABEL = r"^(\d{1,2})\s*(?:\(.*)?\.?$"
+#: The same with what may stand before a number, for numbers from 1 to 40.
+LABEL_NUMBER = r"^(?:(?:[Qq]|[.,])\s*(?=[0-9]))?(0?[1-9]|[1-3][0-9]|40)\s*(?:\(.*)?\.?$"
 LABEL_START = r"^\d{1,2}\s*(?:[.(]|$)"
 NAMES_A_PART = r"^\d{1,2}\s*\("
 WORDED_HEADING = r"^Question\s+(\d{1,2})\b"
@@ -58,9 +60,8 @@ def stitched(left: Column, right: Column) -> Column:
 
 def label_number(text: Column) -> Column:
     """The question a label belongs to (1 to 40); null if the text is no label."""
-    body = F.regexp_replace(F.btrim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"^(?:[Qq]|[.,])\s*(?=[0-9])", "")
-    found = F.when(body.rlike(LABEL.replace(r"\d", "[0-9]")), F.regexp_extract(body, LABEL.replace(r"\d", "[0-9]"), 1).try_cast("int"))
-    return F.when(found.between(1, HIGHEST_LABEL), found)
+    body = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_extract(body, LABEL_NUMBER, 1).try_cast("int")
 
 
 def opens_as_label(text: Column) -> Column:

@@ -73,12 +73,13 @@ def first_places(df: DataFrame, keys: Sequence[str], x: str, number: str, tolera
     return df.withColumn(own, rank).where(F.col(own) == 1).drop(own)
 
 
-def opens_line(spans: DataFrame, keys: Sequence[str] = ("doc", "page"), reach: int = 5) -> DataFrame:
-    """Spans(left, y) with ``opens``: whether nothing stands left of them within ``reach`` points of height."""
+def opens_line(spans: DataFrame, keys: Sequence[str] = ("doc", "page"), reach: int = 5, **among: Column) -> DataFrame:
+    """Spans(left, y) with ``opens``: whether nothing stands left of them within ``reach`` points of height; each of ``among`` says it for the spans that meet it, among themselves."""
     line = fresh(spans, "_line")
     near = Window.partitionBy(*keys).orderBy(line).rangeBetween(-reach, reach)
     lined = spans.withColumn(line, half_even(F.col("y")).cast("long"))
-    return lined.withColumn("opens", F.col("left") <= F.min("left").over(near) + 0.5).drop(line)
+    some = {name: meets & (F.col("left") <= F.min(F.when(meets, F.col("left"))).over(near) + 0.5) for name, meets in among.items()}
+    return lined.withColumns({"opens": F.col("left") <= F.min("left").over(near) + 0.5} | some).drop(line)
 
 
 def opens_coarse_line(spans: DataFrame, keys: Sequence[str] = ("doc", "page"), step: float = 3.0) -> DataFrame:

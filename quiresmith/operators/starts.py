@@ -1,24 +1,28 @@
-"""Where a document's items start, as relations over its spans.
-
-Labels that open a line are banded into columns; the best column by a scored
-struct gives the items, those whose label ran into its wording are recovered
-between their neighbours, and the longest rising chain stands. Steps that
-carry a place from one number to the next are folds over short arrays, one
-entry a number; documents are independent and spread over the cluster.
+"""Where a document's items start.
+
+Spans meet by document once: windows tell which open their line, and those
+that read as labels or headings go on in reading order. Labels that open
+a line are banded into columns; the best column by a scored tuple gives the
+items, those whose label ran into its wording are recovered between their
+neighbours, and the longest rising chain stands. These steps carry a place
+from one number to the next, so they run over a document's marks in an
+Arrow kernel; documents are independent and spread over the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.strings import HIGHEST_LABEL, LABEL_START, WORDED_HEADING, label_number
-from quiresmith.operators.chains import chains, rising_chain
-from quiresmith.operators.relations import first_by, near_pairs
-from quiresmith.operators.sequences import first_places, opens_coarse_line, opens_line
-from quiresmith.session import materialize
+from quiresmith.operators.chains import counting_chain, rising_chain
+from quiresmith.operators.sequences import opens_coarse_line, opens_line
 
 _PLACE = "struct<page: int, y: double>"
 _START = "struct<page: int, y: double, number: int>"
@@ -34,46 +38,9 @@ def _place() -> Column:
     return F.struct(F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"))
 
 
-def _middle(x: str) -> Column:
-    """The upper median of a group's values."""
-    held = F.array_sort(F.collect_list(x))
-    return F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
-
-
-def labels(spans: DataFrame) -> DataFrame:
-    """Spans that open their line and read as labels, with their ``number``."""
-    return opens_line(spans).where("opens").withColumn("number", label_number(F.col("text"))).where("number is not null").drop("opens")
-
-
-def label_columns(found: DataFrame, tolerance: float) -> DataFrame:
-    """doc, axis, seed, margin and a label: the labels within ``tolerance`` of each seed, along left edges (0) and centres (1)."""
-    aligned = found.select("doc", "page", "ord", "left", "centre", "y", "number", F.posexplode(F.array("left", "centre")).alias("axis", "x"))
-    once = first_places(aligned, ["doc", "axis"], "x", "number", tolerance, ["page", "y", "ord"])
-    once = once.withColumn("margin", F.min("x").over(Window.partitionBy("doc", "axis")) + tolerance)
-    seeds = once.select("doc", "axis", "x").distinct()
-    pairs = near_pairs(seeds, ["doc", "axis"], "x", tolerance, ["x"], "seed_")
-    members = pairs.select("doc", "axis", F.col("seed_x").alias("seed"), "x").distinct()
-    return members.join(once, ["doc", "axis", "x"])
-
-
-def best_columns(columns: DataFrame) -> DataFrame:
-    """doc, axis, seed of each document's best column whose numbers count up at least once.
-
-    Scores compare field by field: at the margin, upright, pages that the
-    count spans, from one, its length, numbers held, further left.
-    """
-    keys = ["doc", "axis", "seed"]
-    placed = columns.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "y", "ord")) - 1)
-    counted = chains(columns, keys, ["page", "y", "ord"], "number").select(*keys, "position")
-    count = placed.join(counted, [*keys, "position"]).groupBy(*keys).agg(F.count_distinct("page").alias("pages"), F.count(F.lit(1)).alias("length"))
-    facts = columns.groupBy(*keys).agg(
-        (F.first("seed") <= F.first("margin")).alias("at_margin"),
-        ((F.count(F.lit(1)) <= 2) | (F.max("x") - F.min("x") <= 1.0)).alias("upright"),
-        (F.min("number") == 1).alias("from_one"),
-        F.count_distinct("number").alias("numbers"),
-    )
-    score = F.struct("at_margin", "upright", "pages", "from_one", "length", "numbers", (-F.col("seed")).alias("left"), (-F.col("axis")).alias("edge"))
-    return count.where("length >= 2").join(facts, keys).groupBy("doc").agg(F.max_by(F.struct("axis", "seed", "pages"), score).alias("best")).select("doc", "best.*")
+def _upper_median(held: Column) -> Column:
+    """The upper median of an array; null if it is empty."""
+    return F.get(F.array_sort(held), F.floor(F.size(held) / 2).cast("int"))
 
 
 def _walk(entries: Column, start: Column, step: Callable[[Column, Column], Column], out: str) -> Column:
@@ -85,87 +52,154 @@ def _nowhere() -> Column:
     return F.struct(F.lit(-1).alias("page"), F.lit(-1.0).cast("double").alias("y")).cast(_PLACE)
 
 
-def filled(spans: DataFrame, column: DataFrame, tolerance: float) -> DataFrame:
-    """doc, page, y, number: a column's labels, and those recovered between their neighbours or past the last.
+class Mark(NamedTuple):
+    """A span that opens its line with a number or a heading in words.
+
+    It has its ``label`` number, the number that its text leads with
+    (``lead``), the number of its heading (``head``) among the spans of an
+    answer side, and whether it is ``bare`` of wording; -1 is no number.
+    """
+
+    page: int
+    y: float
+    ord: int
+    left: float
+    centre: float
+    label: int
+    lead: int
+    head: int
+    bare: bool
+
+
+def openings(spans: DataFrame) -> DataFrame:
+    """Marks of documents with their ``side`` (an answer side), in reading order, and a row that is not ``here`` for a page without a mark at its head."""
+    side = F.col("kind").eqNullSafe("ms")
+    # A document's spans meet in one shuffle; lines, pages and the order are within it.
+    opened = opens_line(spans.where("doc is not null").repartition("doc"), opens_answers=side)
+    page = Window.partitionBy("doc", "page").orderBy(F.lit(1))
+    paged = opened.select("*", side.alias("side"), (F.row_number().over(page) == 1).alias("begins"), F.when(F.col("opens") | F.col("opens_answers"), _body()).alias("body"))
+    label = F.when(F.col("opens"), label_number(F.col("body")))
+    lead = F.when(F.col("opens"), F.regexp_extract("body", r"^([1-9][0-9]?)(?=$|[\s(])", 1).try_cast("int"))
+    head = F.when(F.col("opens_answers"), F.regexp_extract("body", WORDED_HEADING, 1).try_cast("int"))
+    bare = F.when(F.col("side"), F.col("body").rlike(LABEL_START))
+    found = dict(page=F.col("page").cast("int"), y=F.col("y").cast("double"), ord=F.col("ord").cast("long"), left=F.col("left").cast("double"), centre=F.col("centre").cast("double"), label=label, lead=lead, head=head, bare=bare)
+    marks = paged.select("doc", "side", "begins", *(found[c].alias(c) for c in Mark._fields))
+    here = F.col("y").isNotNull() & F.col("left").isNotNull() & F.col("centre").isNotNull() & F.coalesce("label", "lead", "head").isNotNull()
+    marks = marks.withColumn("here", F.coalesce(here, F.lit(False))).where("page is not null and (here or begins)").drop("begins")
+    marks = marks.fillna({"y": 0.0, "ord": -1, "left": 0.0, "centre": 0.0, "label": -1, "lead": -1, "head": -1, "bare": False})
+    return marks.sortWithinPartitions("doc", "page", "y", "ord", "left", "centre")
+
+
+def headings(marks: list[Mark]) -> list[tuple]:
+    """page, y, number of a document's headings in words, where these count from one without a break."""
+    first: dict[int, Mark] = {}
+    for m in marks:
+        n = m.head
+        if n >= 0 and (n not in first or (m.page, m.ord) < (first[n].page, first[n].ord)):
+            first[n] = m
+    whole = len(first) >= 2 and min(first) == 1 and max(first) == len(first)
+    return [(m.page, m.y, n) for n, m in sorted(first.items())] if whole else []
+
+
+def best_column(labels: list[Mark], tolerance: float) -> tuple[list[Mark], int, float, int] | None:
+    """A document's best column of labels whose numbers count up at least once: its labels, the field of its edge, its seed and the pages that the count spans.
+
+    The first label of each number in each bucket counts, along left edges and
+    centres, and a column is what lies within ``tolerance`` of one of them.
+    Scores compare field by field: at the margin, upright, pages that the
+    count spans, from one, its length, numbers held, further left.
+    """
+    bands = []
+    for axis, edge in enumerate(("left", "centre")):
+        at = Mark._fields.index(edge)
+        once: dict[tuple, int] = {}
+        for k, m in enumerate(labels):
+            once.setdefault((round(m[at] / max(1.0, tolerance)), m.label), k)
+        across = sorted((labels[k][at], k) for k in once.values())
+        xs = [x for x, _ in across]
+        bands.extend((seed <= xs[0] + tolerance, seed, -axis, at, across, xs) for seed in dict.fromkeys(xs))
+    best = None
+    # Those at the margin come first: no other is better than one of them.
+    for at_margin, seed, axis, at, across, xs in sorted(bands, key=lambda b: not b[0]):
+        if best is not None and best[0][0] > at_margin:
+            break
+        # Edges of the band are compared as differences are.
+        near = across[bisect_left(xs, seed - tolerance - 1.0) : bisect_right(xs, seed + tolerance + 1.0)]
+        held = [labels[k] for k in sorted(k for x, k in near if abs(x - seed) <= tolerance)]
+        chain = counting_chain([m.label for m in held])
+        if len(chain) < 2:
+            continue
+        numbers, places = {m.label for m in held}, [m[at] for m in held]
+        pages = len({held[k].page for k in chain})
+        score = (at_margin, len(held) <= 2 or max(places) - min(places) <= 1.0, pages, min(numbers) == 1, len(chain), len(numbers), -seed, axis)
+        if best is None or score > best[0]:
+            best = (score, held, at, seed, pages)
+    return best and best[1:]
+
+
+def filled(marks: list[Mark], column: list[Mark], edge: int, seed: float, tolerance: float) -> list[tuple]:
+    """page, y, number of a column's labels, and of those recovered between their neighbours or past the last.
 
     A number that is missing is taken where a span in line with the column
     starts with it, opens its line, and stands after all smaller numbers and
     before all larger ones. Past the highest, the first miss ends the search.
     """
-    reach = column.groupBy("doc").agg((F.min("left") - tolerance).alias("low"), (F.max("left") + tolerance).alias("high"), F.first("axis").alias("axis"), F.first("seed").alias("seed"), F.max("number").alias("top"))
-    number = F.regexp_extract(_body(), r"^([1-9][0-9]?)(?=$|[\s(])", 1).try_cast("int")
-    lined_up = F.col("left").between(F.col("low"), F.col("high")) | (F.abs(F.when(F.col("axis") == 0, F.col("left")).otherwise(F.col("centre")) - F.col("seed")) <= tolerance)
-    there = opens_line(spans).where("opens").withColumn("number", number).where("number is not null").join(reach, "doc").where(lined_up)
-    offers = there.groupBy("doc", "number").agg(F.array_sort(F.collect_set(_place())).alias("offers"))
-    own = column.groupBy("doc", "number").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
-    asked = reach.select("doc", "top", F.explode(F.sequence(F.lit(1), F.greatest(F.col("top"), F.least(F.col("top") + BEYOND, F.lit(HIGHEST_LABEL))))).alias("number"))
-    larger = Window.partitionBy("doc").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
-    asked = asked.join(own, ["doc", "number"], "left").join(offers, ["doc", "number"], "left").withColumn("roof", F.min("first").over(larger))
-    entry = F.struct("number", "last", "roof", (F.col("number") > F.col("top")).alias("past"), F.coalesce("offers", F.array().cast(f"array<{_PLACE}>")).alias("offers"))
-    none = F.array().cast(f"array<{_START}>")
-    start = F.struct(_nowhere().alias("floor"), F.lit(True).alias("going"), none.alias("found"))
-
-    def step(state: Column, e: Column) -> Column:
-        fits = F.filter(e["offers"], lambda o: (o > state["floor"]) & (e["roof"].isNull() | (o < e["roof"])))
-        hit = F.when(e["last"].isNull() & (state["going"] | ~e["past"]), F.get(fits, F.lit(0)))
-        more = F.when(hit.isNotNull(), F.array(F.struct(hit["page"].alias("page"), hit["y"].alias("y"), e["number"].alias("number")))).otherwise(none)
-        return F.struct(F.greatest(state["floor"], e["last"], hit).alias("floor"), (state["going"] & ~(e["past"] & hit.isNull())).alias("going"), F.concat(state["found"], more).alias("found"))
-
-    listed = asked.groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    more = listed.select("doc", F.explode(_walk(F.col("entries"), start, step, "found")).alias("s")).select("doc", "s.*")
-    return column.select("doc", F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"), "number").unionByName(more)
-
-
-def rising(starts: DataFrame) -> DataFrame:
-    """The longest rising chain of starts(doc, page, y, number) in reading order."""
-    order = ["page", "y", "number"]
-    placed = starts.withColumn("position", F.row_number().over(Window.partitionBy("doc").orderBy(*order)) - 1)
-    return placed.join(chains(starts, ["doc"], order, "number", rising_chain).select("doc", "position"), ["doc", "position"]).drop("position")
-
-
-def snapped(starts: DataFrame, found: DataFrame, column: DataFrame, tolerance: float) -> DataFrame:
+    low, high = min(m.left for m in column) - tolerance, max(m.left for m in column) + tolerance
+    offers: dict[int, list[tuple]] = {}
+    for m in marks:
+        if m.lead > 0 and (low <= m.left <= high or abs(m[edge] - seed) <= tolerance):
+            offers.setdefault(m.lead, []).append((m.page, m.y))
+    own: dict[int, list[tuple]] = {}
+    for m in column:
+        own.setdefault(m.label, []).append((m.page, m.y))
+    top = max(own)
+    last = max(top, min(top + BEYOND, HIGHEST_LABEL))
+    roofs, roof = {}, None
+    for n in range(last, 0, -1):
+        roofs[n] = roof
+        if n in own:
+            roof = min(own[n]) if roof is None else min(roof, min(own[n]))
+    out, floor = [(*at, n) for n, places in own.items() for at in places], (-1, -1.0)
+    for n in range(1, last + 1):
+        if n in own:
+            floor = max(floor, max(own[n]))
+            continue
+        hit = next((at for at in offers.get(n, ()) if at > floor and (roofs[n] is None or at < roofs[n])), None)
+        if hit is not None:
+            out.append((*hit, n))
+            floor = hit
+        elif n > top:
+            break
+    return out
+
+
+def snapped(starts: list[tuple], labels: list[Mark], column: list[Mark], tolerance: float) -> list[tuple]:
     """Starts moved up to the first label of the column with their number, never past the start before."""
-    middles = column.groupBy("doc").agg(_middle("left").alias("l"), _middle("centre").alias("c"))
-    fit = found.where(_body().rlike(LABEL_START)).join(middles, "doc")
-    fit = fit.where((F.abs(F.col("left") - F.col("l")) <= 2 * tolerance) | (F.abs(F.col("centre") - F.col("c")) <= 2 * tolerance))
-    offers = fit.groupBy("doc", "number").agg(F.array_sort(F.collect_set(_place())).alias("offers"))
-    entry = F.struct(_place().alias("at"), "number", F.coalesce("offers", F.array().cast(f"array<{_PLACE}>")).alias("offers"))
-    listed = starts.join(offers, ["doc", "number"], "left").groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    begin = F.struct(_nowhere().alias("floor"), F.array().cast(f"array<{_START}>").alias("found"))
-
-    def step(state: Column, e: Column) -> Column:
-        place = F.least(e["at"], F.get(F.filter(e["offers"], lambda o: o > state["floor"]), F.lit(0)))
-        moved = F.struct(place["page"].alias("page"), place["y"].alias("y"), e["number"].alias("number"))
-        return F.struct(place.alias("floor"), F.concat(state["found"], F.array(moved)).alias("found"))
-
-    return listed.select("doc", F.explode(_walk(F.col("entries"), begin, step, "found")).alias("s")).select("doc", "s.*")
-
-
-def headings(spans: DataFrame) -> DataFrame:
-    """doc, page, y, number of headings in words, for documents where these count from one without a break."""
-    number = F.regexp_extract(_body(), WORDED_HEADING, 1).try_cast("int")
-    found = opens_line(spans).where("opens").withColumn("number", number).where("number is not null")
-    once = first_by(found, ["doc", "number"], "page", "ord").select("doc", F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"), "number")
-    whole = once.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("least"), F.max("number").alias("most"))
-    return once.join(whole.where("n >= 2 and least = 1 and most = n").select("doc"), "doc", "left_semi")
-
-
-def column_starts(spans: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """doc, page, y, number by each document's best column of labels; a count on one page of several is none.
-
-    Starts of answer sides move up to first labels. Steps are cut by written
-    tables: each is read several times by the next.
-    """
-    found = materialize(labels(spans).drop("kind"), "start-labels")
-    columns = materialize(label_columns(found, tolerance), "start-columns")
-    sides = spans.groupBy("doc").agg(F.count_distinct("page").alias("inked"), F.bool_or(F.col("kind").eqNullSafe("ms")).alias("answers"))
-    best = best_columns(columns).join(sides, "doc").where("pages >= 2 or inked <= 2").select("doc", "axis", "seed", "answers")
-    column = materialize(columns.join(best, ["doc", "axis", "seed"]), "start-column")
-    full = materialize(filled(spans, column, tolerance), "start-filled")
-    picked = materialize(rising(full).join(column.select("doc", "answers").distinct(), "doc"), "start-picked")
-    own = picked.where("not answers").drop("answers")
-    answers = picked.where("answers").drop("answers")
-    return own.unionByName(snapped(answers, found, column.where("answers"), tolerance))
+    left, centre = (sorted(edges)[len(column) // 2] for edges in ([m.left for m in column], [m.centre for m in column]))
+    offers: dict[int, list[tuple]] = {}
+    for m in labels:
+        if m.bare and (abs(m.left - left) <= 2 * tolerance or abs(m.centre - centre) <= 2 * tolerance):
+            offers.setdefault(m.label, []).append((m.page, m.y))
+    out, floor = [], (-1, -1.0)
+    for page, y, number in starts:
+        floor = min((page, y), next((at for at in offers.get(number, ()) if at > floor), (page, y)))
+        out.append((*floor, number))
+    return out
+
+
+def starts_of_marks(marks: list[Mark], inked: int, answers: bool, tolerance: float) -> list[tuple]:
+    """page, y, number of a document's items: by its headings, or else by its best column; a count on one page of several is none."""
+    worded = headings(marks)
+    if worded:
+        return worded
+    labels = [m for m in marks if m.label > 0]
+    best = best_column(labels, tolerance)
+    if best is None or (best[3] < 2 and inked > 2):
+        return []
+    column, edge, seed, _ = best
+    full = sorted(filled(marks, column, edge, seed, tolerance))
+    rising = [full[k] for k in rising_chain([n for *_, n in full])]
+    return snapped(rising, labels, column, tolerance) if answers else rising
 
 
 def find_starts(spans: DataFrame, tolerance: float = 4.0) -> DataFrame:
@@ -173,39 +207,84 @@ def find_starts(spans: DataFrame, tolerance: float = 4.0) -> DataFrame:
 
     A question side goes by its column; an answer side (kind ``ms``) by its
     headings, or else by its column moved up to first labels. Spans without a
-    place take no part. Spans are read several times; cut a long plan first.
+    place take no part.
     """
-    own = spans.select("doc", "kind", "page", "ord", "left", "centre", "y", "text")
-    worded = materialize(headings(own.where("kind <=> 'ms'")), "start-headings")
-    rest = own.join(worded.select("doc").distinct(), "doc", "left_anti")
-    return worded.unionByName(column_starts(rest, tolerance))
+    listed = openings(spans.select("doc", "kind", "page", "ord", "left", "centre", "y", "text"))
+    kind = spans.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, marks, pages, answers = None, [], set(), False
+        docs, found = [], []
+
+        def close() -> None:
+            own = starts_of_marks(marks, len(pages), answers, tolerance)
+            docs.extend([doc] * len(own))
+            found.extend(own)
+
+        def table() -> pa.RecordBatch:
+            page, y, number = zip(*found) if found else ((), (), ())
+            made = pa.record_batch([pa.array(docs, types[0]), pa.array(page, pa.int32()), pa.array(y, pa.float64()), pa.array(number, pa.int32())], ["doc", "page", "y", "number"])
+            docs.clear()
+            found.clear()
+            return made
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.column("doc").type]
+            runs, start = pc.run_end_encode(batch.column("doc")), 0
+            side, here, *fields = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("side", "here", *Mark._fields))
+            rows = list(zip(*fields))
+            for now, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if now != doc:
+                    if marks:
+                        close()
+                    doc, marks, pages, answers = now, [], set(), False
+                pages.update(fields[0][start:end])
+                answers |= any(side[start:end])
+                marks.extend(Mark._make(rows[k]) for k in range(start, end) if here[k])
+                start = end
+            yield table()
+        if marks:
+            close()
+            yield table()
+
+    return listed.mapInArrow(run, f"doc {kind}, page int, y double, number int")
 
 
 def start_bands(spans: DataFrame, starts: DataFrame) -> DataFrame:
     """doc, low, high: left edges where labels are looked for, about those of the starts, or else about the document's edge."""
-    held = spans.withColumn("_n", label_number(F.col("text"))).alias("s").join(starts.alias("t"), ["doc", "page"]).where("abs(s.y - t.y) < 0.5 and _n = number")
-    lefts = first_by(held.select("doc", "page", "number", "ord", "left"), ["doc", "page", "number"], "ord").groupBy("doc").agg(_middle("left").alias("m"))
-    edges = spans.groupBy("doc").agg(F.min("left").alias("edge")).join(lefts, "doc", "left")
+    label = F.struct("page", "y", "number", F.struct("ord", "left").alias("at"))
+    own = spans.withColumn("number", label_number(F.col("text"))).groupBy("doc").agg(F.min("left").alias("edge"), F.collect_list(F.when(F.col("number").isNotNull(), label)).alias("labels"))
+    begun = starts.groupBy("doc").agg(F.collect_list(F.struct("page", "y", "number")).alias("starts"))
+
+    def first(key: Column) -> Column:
+        """The left edge of the first label that a start with this page and number was read from."""
+        same = lambda x: (x["page"] == key["page"]) & (x["number"] == key["number"])
+        held = F.filter("labels", lambda x: same(x) & F.exists("starts", lambda s: same(s) & (F.abs(s["y"] - x["y"]) < 0.5)))
+        return F.array_min(F.transform(held, lambda x: x["at"]))["left"]
+
+    keys = F.array_distinct(F.transform("starts", lambda s: F.struct(s["page"].alias("page"), s["number"].alias("number"))))
+    lefts = F.filter(F.transform(keys, first), lambda x: x.isNotNull())
+    edges = own.join(begun, "doc", "left").withColumn("m", _upper_median(lefts))
     return edges.select("doc", F.coalesce(F.col("m") - BAND[0], F.col("edge") - EDGE[0]).alias("low"), F.coalesce(F.col("m") + BAND[1], F.col("edge") + EDGE[1]).alias("high"))
 
 
 def hunt(spans: DataFrame, wanted: DataFrame, bands: DataFrame) -> DataFrame:
     """doc, page, y, number: the first place in the band of each number of wanted(doc, target) in turn, after the one before; misses move nothing."""
-    near = opens_coarse_line(spans).where("opens").join(bands, "doc").where(F.col("left").between(F.col("low"), F.col("high")))
-    asked = wanted.select("doc", F.posexplode("target").alias("turn", "number"))
-    offers = near.withColumn("number", F.regexp_extract(_body(), r"^([0-9]+)(?=$|[\s(.])", 1).try_cast("int")).where(~_body().rlike("^0"))
-    offers = offers.groupBy("doc", "number").agg(F.array_sort(F.collect_set(_place())).alias("offers"))
-    entry = F.struct("turn", "number", F.coalesce("offers", F.array().cast(f"array<{_PLACE}>")).alias("offers"))
-    listed = asked.join(offers, ["doc", "number"], "left").groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    near = opens_coarse_line(spans.select("doc", "page", "y", "left", "text").where("doc is not null").repartition("doc")).where("opens")
+    near = near.withColumn("number", F.regexp_extract(_body(), r"^([0-9]+)(?=$|[\s(.])", 1).try_cast("int")).where(F.col("number").isNotNull() & ~_body().rlike("^0"))
+    offers = near.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(_place().alias("at"), "number", "left"))).alias("offers"))
+    asked = offers.join(wanted.select("doc", "target"), "doc").join(bands, "doc")
+    held = asked.select("doc", "target", F.filter("offers", lambda o: o["left"].between(F.col("low"), F.col("high"))).alias("offers"))
     none = F.array().cast(f"array<{_START}>")
     begin = F.struct(_nowhere().alias("floor"), none.alias("found"))
 
-    def step(state: Column, e: Column) -> Column:
-        hit = F.get(F.filter(e["offers"], lambda o: o > state["floor"]), F.lit(0))
-        more = F.when(hit.isNotNull(), F.array(F.struct(hit["page"].alias("page"), hit["y"].alias("y"), e["number"].alias("number")))).otherwise(none)
+    def step(state: Column, number: Column) -> Column:
+        hit = F.get(F.filter("offers", lambda o: (o["number"] == number) & (o["at"] > state["floor"])), F.lit(0))["at"]
+        more = F.when(hit.isNotNull(), F.array(F.struct(hit["page"].alias("page"), hit["y"].alias("y"), number.cast("int").alias("number")))).otherwise(none)
         return F.struct(F.coalesce(hit, state["floor"]).alias("floor"), F.concat(state["found"], more).alias("found"))
 
-    return listed.select("doc", F.explode(_walk(F.col("entries"), begin, step, "found")).alias("s")).select("doc", "s.*")
+    return held.select("doc", F.explode(_walk(F.col("target"), begin, step, "found")).alias("s")).select("doc", "s.*")
 
 
 def hunt_starts(spans: DataFrame) -> DataFrame:

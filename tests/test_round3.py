@@ -41,3 +41,33 @@ def test_levels_are_products_in_single_precision(spark, tmp_path, name):
     assert len(edges) >= 64
     _write(spark, tmp_path, "embeddings", [(k, [edges[(k * 64 + j) % len(edges)] for j in range(64)], k % 3) for k in range(12)], "vec_id long, embedding array<float>, label int")
     assert _differences(spark, tmp_path, name) == (Counter(), Counter())
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SPAN = "doc string, kind string, page int, ord int, left double, centre double, y double, text string"
+
+
+def test_starts_shuffle_their_spans_once(spark, tmp_path):
+    """Spans meet by document in one exchange; nothing is joined or written on the way."""
+    from quiresmith.operators import starts
+
+    rows = [("d", "qp", k, 0, 50.0, 53.0, 100.0, str(k + 1)) for k in range(3)] + [("m", "ms", 0, k, 50.0, 53.0, 30.0 * k, f"Question {k + 1} Planning") for k in range(3)]
+    spark.createDataFrame(rows, SPAN).write.parquet(f"{tmp_path}/spans")
+    found = starts.find_starts(spark.read.parquet(f"{tmp_path}/spans"))
+    plan = _plan(found)
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert sorted((r["doc"], r["page"], r["y"], r["number"]) for r in found.collect()) == [("d", k, 100.0, k + 1) for k in range(3)] + [("m", 0, 30.0 * k, k + 1) for k in range(3)]
+
+
+def test_a_hunt_shuffles_its_spans_once(spark, tmp_path):
+    from quiresmith.operators import starts
+
+    spark.createDataFrame([("d", "qp", 0, 0, 50.0, 53.0, 20.0, "1"), ("d", "qp", 0, 1, 50.0, 53.0, 40.0, "3")], SPAN).write.parquet(f"{tmp_path}/spans")
+    wanted = spark.createDataFrame([("d", [3, 1, 2])], "doc string, target array<int>")
+    bands = spark.createDataFrame([("d", 0.0, 90.0)], "doc string, low double, high double")
+    found = starts.hunt(spark.read.parquet(f"{tmp_path}/spans"), wanted, bands)
+    assert _plan(found).count("Exchange hashpartitioning") <= 3  # spans, wanted and bands, each by document
+    assert [(r["y"], r["number"]) for r in found.collect()] == [(40.0, 3)]
