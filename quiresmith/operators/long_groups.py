@@ -19,6 +19,8 @@ from quiresmith.session import discard, materialize
 
 #: Rows of a group that a single buffer or window may hold; points of the sketch that brackets are taken from, and its accuracy; rows of a table that may be broadcast.
 LONG, GRID, ACCURACY, SMALL = 1 << 18, 256, 10_000, 10_000
+#: Ranges that a table may be cut in however few rows they have.
+FEW = 64
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -160,7 +162,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     result = short.withColumn(out, summed(short, [key], list(order)))
     if rest is not None:
         total = sizes.facts["rows"]
-        ranges = max(2, -(-total // long))
+        # A window sorts on disk, so a range may hold LONG rows: cutting one for every few rows would send samples of them all to the driver.
+        ranges = max(2, min(-(-total // long), max(FEW, -(-total // LONG))))
         ordered = rest.withColumn(row, F.monotonically_increasing_id()).repartitionByRange(ranges, key, *order, row).withColumn(part, F.spark_partition_id())
         ordered = materialize(ordered, "ranges")
         sums = ordered.groupBy(key, part).agg(F.sum(own).alias(start))

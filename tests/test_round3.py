@@ -71,3 +71,17 @@ def test_a_hunt_shuffles_its_spans_once(spark, tmp_path):
     found = starts.hunt(spark.read.parquet(f"{tmp_path}/spans"), wanted, bands)
     assert _plan(found).count("Exchange hashpartitioning") <= 3  # spans, wanted and bands, each by document
     assert [(r["y"], r["number"]) for r in found.collect()] == [(40.0, 3)]
+
+
+def test_ranges_of_long_groups_do_not_grow_as_their_rows(spark, monkeypatch):
+    """A sample of each range goes to the driver, so there are few of them however short ``long`` is."""
+    from pyspark.sql import functions as F
+
+    from quiresmith.operators import long_groups
+
+    table, asked = type(spark.range(1)), []
+    cut = table.repartitionByRange
+    monkeypatch.setattr(table, "repartitionByRange", lambda self, n, *by: asked.append(n) or cut(self, n, *by))
+    found = long_groups.running_offset(spark.range(4000).withColumn("k", F.lit(1)), ["k"], ["id"], "id", 1, long=8).orderBy("id").collect()
+    assert asked and max(asked) <= 64
+    assert [r["offset"] for r in found] == [k * (k - 1) // 2 + k for k in range(4000)]
