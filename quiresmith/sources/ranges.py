@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_right
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiresmith.operators.columns import fresh
@@ -93,25 +95,53 @@ def _publish(spark: SparkSession, path: str, made: list[Range], schema: str, key
     return after + 1
 
 
+def _place(text: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds a text is not below; 0 for null. Each is a search, however many bounds there are."""
+
+    @F.arrow_udf("int")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([0 if t is None else bisect_right(bounds, t) for t in texts.to_pylist()], pa.int32())
+
+    return found(text) if bounds else F.lit(0)
+
+
 def _lot(key: str, firsts: list[str | None]) -> Column:
     """Number of the range that a key belongs to, by a search in the first keys."""
-    bounds = F.array(*(F.lit(f) for f in firsts[1:])).cast("array<string>")
-    return F.size(F.filter(bounds, lambda b: F.col(key).cast("string") >= b)) if len(firsts) > 1 else F.lit(0)
+    return _place(F.col(key).cast("string"), firsts[1:])
+
+
+def _cuts(marked: DataFrame, lot: str, key: str, sizes: dict[int, int], rows: int) -> dict[int, list[str]]:
+    """Keys at which lots that are too long are cut in pieces of ``rows`` rows; one job for all of them, whose tasks hold ``ROWS`` rows or so."""
+    long = {k: n for k, n in sizes.items() if n > 2 * rows}
+    if not long:
+        return {}
+    parts = max(1, -(-sum(long.values()) // ROWS))
+    dealt = marked.select(lot, F.col(key).cast("string").alias("k")).join(F.broadcast(marked.sparkSession.createDataFrame([(k,) for k in long], f"`{lot}` int")), lot, "left_semi")
+    held = dealt.where("k is not null").repartitionByRange(parts, lot, "k").withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("part", lot).orderBy("k")) - 1
+    found = held.withColumn("n", place).where(F.col("n") % rows == 0).select(lot, "k").distinct().collect()  # a row for each piece
+    cuts: dict[int, list[str]] = {}
+    for k, first in sorted(map(tuple, found)):
+        cuts.setdefault(k, []).append(first)
+    return {k: firsts[1:] for k, firsts in cuts.items()}
 
 
 def _written(table: DataFrame, path: str, key: str, lot: Column, firsts: list[str | None], rows: int) -> list[Range]:
     """Writes rows by lot, a lot cut in pieces of about ``rows`` rows where it has more than twice as many."""
     own, piece = fresh(table, "lot_"), fresh(table, "piece_")
     marked = materialize(table.withColumn(own, lot.cast("int")), "ranges-new")
-    text, part, cuts = F.col(key).cast("string"), F.lit(0), {}
     sizes = {r[own]: r["count"] for r in marked.groupBy(own).count().collect()}  # a row for each range that is touched
-    for k, n in sizes.items():
-        if n > 2 * rows:
-            dealt = marked.where(F.col(own) == k).select(text.alias("k")).repartitionByRange(-(-n // rows), "k").groupBy(F.spark_partition_id().alias("p"))
-            cuts[k] = sorted(r["k"] for r in dealt.agg(F.min("k").alias("k")).collect() if r["k"] is not None)[1:]
-            part = F.when(F.col(own) == k, F.size(F.filter(F.array(*map(F.lit, cuts[k])).cast("array<string>"), lambda b: text >= b))).otherwise(part)
-    batch = uuid.uuid4().hex
-    keyed = marked.withColumn(piece, F.coalesce(part.cast("int"), F.lit(0)))
+    cuts = _cuts(marked, own, key, sizes, rows)
+    # A row's piece follows from its place among the cuts of all lots, which are in order of keys, less those of the lots before.
+    every = [c for k in sorted(cuts) for c in cuts[k]]
+    before, passed = {}, 0
+    for k in sorted(sizes):
+        before[k] = passed
+        passed += len(cuts.get(k, []))
+    spark, batch = table.sparkSession, uuid.uuid4().hex
+    starts = F.broadcast(spark.createDataFrame(list(before.items()), f"`{own}` int, `{piece}` int"))
+    keyed = marked.join(starts, own) if before else marked.withColumn(piece, F.lit(0))
+    keyed = keyed.withColumn(piece, F.greatest(_place(F.col(key).cast("string"), every) - F.col(piece), F.lit(0)))
     out = keyed.withColumn("range", F.concat_ws("-", F.lit(batch), own, piece)).drop(own, piece)
     out.repartition("range").sortWithinPartitions("range", key).write.partitionBy("range").mode("append").parquet(f"{path}/data")
     made = sorted(tuple(r) for r in keyed.groupBy(own, piece).count().collect())

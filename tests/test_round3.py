@@ -85,3 +85,20 @@ def test_ranges_of_long_groups_do_not_grow_as_their_rows(spark, monkeypatch):
     found = long_groups.running_offset(spark.range(4000).withColumn("k", F.lit(1)), ["k"], ["id"], "id", 1, long=8).orderBy("id").collect()
     assert asked and max(asked) <= 64
     assert [r["offset"] for r in found] == [k * (k - 1) // 2 + k for k in range(4000)]
+
+
+def test_keys_find_their_range_by_a_search(spark, tmp_path, monkeypatch):
+    """A range for every few rows: plans do not hold a literal for each, and lots are cut in one job."""
+    from quiresmith.sources import ranges
+
+    table = spark.range(3000).selectExpr("cast(id as string) as key", "'a' as name").unionByName(spark.createDataFrame([(None, "n")], "key string, name string"))
+    path = f"file://{tmp_path}/table"
+    ranges.create(table, path, "key", 20)
+    held = ranges.ranges(spark, path)
+    assert 100 <= len(held) <= 400 and sum(r.rows for r in held) == 3001
+    assert len(str(ranges._lot("key", [r.first for r in held])._jc)) < 2000
+    staged = spark.range(2900, 3100).selectExpr("cast(id as string) as key", "'b' as name", "id as seq")
+    ranges.upsert_into(staged, path, ["name"], False, 20)
+    assert {r["key"]: r["name"] for r in ranges.read(spark, path).collect()} == {str(k): "b" if k >= 2900 else "a" for k in range(3100)} | {None: "n"}
+    firsts = [r.first for r in ranges.ranges(spark, path)]
+    assert firsts[0] is None and firsts[1:] == sorted(set(firsts[1:]))
