@@ -12,7 +12,7 @@ Arrow kernel; documents are independent and spread over the cluster.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiresmith.functions.numbers import half_even
 from quiresmith.functions.strings import HIGHEST_LABEL, LABEL_START, WORDED_HEADING, label_number
 from quiresmith.operators.chains import counting_chain, rising_chain
-from quiresmith.operators.sequences import opens_coarse_line, opens_line
+from quiresmith.operators.kernels import by_document
+from quiresmith.operators.sequences import opens_line
 
-_PLACE = "struct<page: int, y: double>"
-_START = "struct<page: int, y: double, number: int>"
 #: How far numbers past the highest label are looked for, and where a column's band ends on either side.
 BEYOND, BAND, EDGE = 11, (12.0, 20.0), (4.0, 40.0)
 
@@ -34,24 +34,6 @@ def _body(text: str = "text") -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _place() -> Column:
-    return F.struct(F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"))
-
-
-def _upper_median(held: Column) -> Column:
-    """The upper median of an array; null if it is empty."""
-    return F.get(F.array_sort(held), F.floor(F.size(held) / 2).cast("int"))
-
-
-def _walk(entries: Column, start: Column, step: Callable[[Column, Column], Column], out: str) -> Column:
-    """A fold over entries; ``step`` gives the state, whose field ``out`` is the result."""
-    return F.aggregate(entries, start, step, lambda state: state[out])
-
-
-def _nowhere() -> Column:
-    return F.struct(F.lit(-1).alias("page"), F.lit(-1.0).cast("double").alias("y")).cast(_PLACE)
-
-
 class Mark(NamedTuple):
     """A span that opens its line with a number or a heading in words.
 
@@ -251,40 +233,142 @@ def find_starts(spans: DataFrame, tolerance: float = 4.0) -> DataFrame:
     return listed.mapInArrow(run, f"doc {kind}, page int, y double, number int")
 
 
+#: What a row of a reading is.
+SWEPT, RAW, START, WANTED, BETWEEN = range(5)
+
+
+def _role(rows: DataFrame, role: int, **values: Column) -> DataFrame:
+    """Rows of documents as readings take them; what ``values`` do not have is -1, 0 or null."""
+    none = F.lit(0.0)
+    fields = dict(page=F.lit(-1), y=none, left=none, line=none, ord=F.lit(-1), label=F.lit(-1), number=F.lit(-1), target=F.lit(None)) | values
+    kinds = dict(page="int", y="double", left="double", line="double", ord="long", label="int", number="int", target="array<int>")
+    return rows.select("doc", F.lit(role).alias("role"), *(fields[c].cast(t).alias(c) for c, t in kinds.items()))
+
+
+def _placed(spans: DataFrame, role: int) -> DataFrame:
+    """Spans with the number that they lead with and that of their label (-1: none); what has no place takes no part."""
+    number = F.regexp_extract(_body(), r"^([1-9][0-9]*)(?=$|[\s(.])", 1).try_cast("int")
+    order = F.coalesce("ord", F.lit(-1)) if "ord" in spans.columns else F.lit(-1)
+    held = spans.where("doc is not null and page is not null and y is not null and left is not null")
+    return _role(held, role, page=F.col("page"), y=F.col("y"), left=F.col("left"), line=half_even(F.col("y") / 3.0), ord=order, label=F.coalesce(label_number(F.col("text")), F.lit(-1)), number=F.coalesce(number, F.lit(-1)))
+
+
+def _begun(starts: DataFrame) -> DataFrame:
+    held = starts.where("doc is not null and page is not null and y is not null and number is not null")
+    return _role(held, START, page=F.col("page"), y=F.col("y"), number=F.col("number"))
+
+
+def _asked(wanted: DataFrame) -> DataFrame:
+    return _role(wanted.where("target is not null"), WANTED, target=F.col("target"))
+
+
+def _parted(rows: list[tuple]) -> list[list[tuple]]:
+    """A document's rows by their role; each is (role, page, y, left, line, ord, label, number, target)."""
+    held: list[list[tuple]] = [[] for _ in range(5)]
+    for r in rows:
+        held[r[0]].append(r)
+    return held
+
+
+def edge_of(spans: list[tuple]) -> tuple[float, float] | None:
+    """The band along a document's left edge."""
+    edge = min((r[3] for r in spans), default=None)
+    return None if edge is None else (edge - EDGE[0], edge + EDGE[1])
+
+
+def band_of(spans: list[tuple], starts: list[tuple]) -> tuple[float, float] | None:
+    """Where a document's labels are looked for: about those that its starts were read from, by their upper median, or else about its left edge."""
+    begun: dict[tuple, list[float]] = {}
+    for _, page, y, *_, number, _ in starts:
+        begun.setdefault((page, number), []).append(y)
+    first: dict[tuple, tuple] = {}
+    for _, page, y, left, _, ord_, label, _, _ in spans if begun else ():
+        key = (page, label)
+        if label > 0 and key in begun and any(abs(at - y) < 0.5 for at in begun[key]):
+            first[key] = min(first.get(key, (ord_, left)), (ord_, left))
+    if first:
+        middle = sorted(left for _, left in first.values())[len(first) // 2]
+        return middle - BAND[0], middle + BAND[1]
+    return edge_of(spans)
+
+
+def offered(spans: list[tuple]) -> list[tuple]:
+    """page, y, number, left of the spans that open their line (of three points) with a number, in reading order."""
+    first: dict[tuple, float] = {}
+    for _, page, _, left, line, *_ in spans:
+        key = (page, line)
+        if left < first.get(key, left + 1.0):
+            first[key] = left
+    return sorted((page, y, number, left) for _, page, y, left, line, _, _, number, _ in spans if number > 0 and left <= first[page, line] + 0.5)
+
+
+def hunted(offers: list[tuple], band: tuple[float, float] | None, target: list) -> list[tuple]:
+    """page, y, number of the first offer in the band of each number in turn, after the one before; misses move nothing."""
+    if band is None:
+        return []
+    places: dict[int, list[tuple]] = {}
+    for page, y, number, left in offers:
+        if band[0] <= left <= band[1]:
+            places.setdefault(number, []).append((page, y))
+    floor, out = (-1, -1.0), []
+    for number in target:
+        at = places.get(number, ())
+        k = bisect_right(at, floor)
+        if k < len(at):
+            floor = at[k]
+            out.append((*floor, number))
+    return out
+
+
 def start_bands(spans: DataFrame, starts: DataFrame) -> DataFrame:
     """doc, low, high: left edges where labels are looked for, about those of the starts, or else about the document's edge."""
-    label = F.struct("page", "y", "number", F.struct("ord", "left").alias("at"))
-    own = spans.withColumn("number", label_number(F.col("text"))).groupBy("doc").agg(F.min("left").alias("edge"), F.collect_list(F.when(F.col("number").isNotNull(), label)).alias("labels"))
-    begun = starts.groupBy("doc").agg(F.collect_list(F.struct("page", "y", "number")).alias("starts"))
 
-    def first(key: Column) -> Column:
-        """The left edge of the first label that a start with this page and number was read from."""
-        same = lambda x: (x["page"] == key["page"]) & (x["number"] == key["number"])
-        held = F.filter("labels", lambda x: same(x) & F.exists("starts", lambda s: same(s) & (F.abs(s["y"] - x["y"]) < 0.5)))
-        return F.array_min(F.transform(held, lambda x: x["at"]))["left"]
+    def run(rows: list[tuple]) -> list[tuple]:
+        own = _parted(rows)
+        band = band_of(own[SWEPT], own[START])
+        return [band] if band else []
 
-    keys = F.array_distinct(F.transform("starts", lambda s: F.struct(s["page"].alias("page"), s["number"].alias("number"))))
-    lefts = F.filter(F.transform(keys, first), lambda x: x.isNotNull())
-    edges = own.join(begun, "doc", "left").withColumn("m", _upper_median(lefts))
-    return edges.select("doc", F.coalesce(F.col("m") - BAND[0], F.col("edge") - EDGE[0]).alias("low"), F.coalesce(F.col("m") + BAND[1], F.col("edge") + EDGE[1]).alias("high"))
+    return by_document(_placed(spans, SWEPT).unionByName(_begun(starts)), run, low="double", high="double")
 
 
 def hunt(spans: DataFrame, wanted: DataFrame, bands: DataFrame) -> DataFrame:
     """doc, page, y, number: the first place in the band of each number of wanted(doc, target) in turn, after the one before; misses move nothing."""
-    near = opens_coarse_line(spans.select("doc", "page", "y", "left", "text").where("doc is not null").repartition("doc")).where("opens")
-    near = near.withColumn("number", F.regexp_extract(_body(), r"^([0-9]+)(?=$|[\s(.])", 1).try_cast("int")).where(F.col("number").isNotNull() & ~_body().rlike("^0"))
-    offers = near.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(_place().alias("at"), "number", "left"))).alias("offers"))
-    asked = offers.join(wanted.select("doc", "target"), "doc").join(bands, "doc")
-    held = asked.select("doc", "target", F.filter("offers", lambda o: o["left"].between(F.col("low"), F.col("high"))).alias("offers"))
-    none = F.array().cast(f"array<{_START}>")
-    begin = F.struct(_nowhere().alias("floor"), none.alias("found"))
-
-    def step(state: Column, number: Column) -> Column:
-        hit = F.get(F.filter("offers", lambda o: (o["number"] == number) & (o["at"] > state["floor"])), F.lit(0))["at"]
-        more = F.when(hit.isNotNull(), F.array(F.struct(hit["page"].alias("page"), hit["y"].alias("y"), number.cast("int").alias("number")))).otherwise(none)
-        return F.struct(F.coalesce(hit, state["floor"]).alias("floor"), F.concat(state["found"], more).alias("found"))
-
-    return held.select("doc", F.explode(_walk(F.col("target"), begin, step, "found")).alias("s")).select("doc", "s.*")
+    asked = _asked(wanted).unionByName(_role(bands.where("low is not null and high is not null"), BETWEEN, left=F.col("low"), y=F.col("high")))
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        own = _parted(rows)
+        bands, targets = [(r[3], r[2]) for r in own[BETWEEN]], [r[-1] for r in own[WANTED]]
+        offers = offered(own[SWEPT]) if bands and targets else []
+        return [start for band in bands for target in targets for start in hunted(offers, band, target)]
+
+    return by_document(_placed(spans, SWEPT).unionByName(asked), run, page="int", y="double", number="int")
+
+
+def read_thrice(swept: DataFrame, raw: DataFrame, wanted: DataFrame, starts: DataFrame) -> DataFrame:
+    """doc, reading, found of wanted(doc, target): the first of three ways that finds all numbers, or null, and what it or the last one found.
+
+    The ways are the band of the starts, the left edge, and that edge among
+    ``raw`` spans. A number that is asked for once is hit once at most, so as
+    many hits as numbers are all of them.
+    """
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        swept, raw, starts, wanted, _ = _parted(rows)
+        if not wanted:
+            return []
+        offers, edge, out = offered(swept), edge_of(swept), []
+        ways = (lambda: (offers, band_of(swept, starts)), lambda: (offers, edge), lambda: (offered(raw), edge))
+        for target in (w[-1] for w in wanted):
+            for number, way in enumerate(ways, 1):
+                found = hunted(*way(), target)
+                if len(found) == len(target):
+                    break
+            whole = number if len(found) == len(target) else None
+            out.append((whole, [dict(zip(("page", "y", "number"), x)) for x in found]))
+        return out
+
+    rows = _placed(swept, SWEPT).unionByName(_placed(raw, RAW)).unionByName(_begun(starts)).unionByName(_asked(wanted))
+    return by_document(rows, run, reading="int", found="array<struct<page:int,y:double,number:int>>")
 
 
 def hunt_starts(spans: DataFrame) -> DataFrame:

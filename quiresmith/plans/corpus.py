@@ -16,7 +16,6 @@ from quiresmith.functions.strings import label_number, opens_as_label, part_labe
 from quiresmith.operators import starts as item_starts
 from quiresmith.operators.relations import HARMLESS, first_by, fixable, small_side, texts, with_fault, with_partner
 from quiresmith.operators.sequences import is_complete, until_next
-from quiresmith.operators.starts import EDGE
 from quiresmith.session import materialize
 
 #: Faults that pictures cannot answer for, and answer sides that are short as published.
@@ -292,24 +291,11 @@ def second_reading(swept: DataFrame, raw: DataFrame, wanted: DataFrame, starts:
     Each document is read three ways until one finds all its numbers: in the
     band of the starts it has, along its left edge, and along that edge before
     its furniture was swept. ``reading`` is the first that did, or null, and
-    then the items are the last one's. Only documents that a way leaves over
-    go on to the next.
+    then the items are the last one's. Both tables read one in the shared folder.
     """
-    edges = swept.groupBy("doc").agg((F.min("left") - EDGE[0]).alias("low"), (F.min("left") + EDGE[1]).alias("high"))
-    left, ways, items = wanted.select("doc", "target"), [], []
-    for number, (spans, bands) in enumerate(((swept, item_starts.start_bands(swept, starts)), (swept, edges), (raw, edges)), 1):
-        found = materialize(item_starts.hunt(spans.join(left.select("doc"), "doc", "left_semi"), left, bands), "reading")
-        # A number is hit once at most, so as many hits as numbers are all of them.
-        hits = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-        whole = left.join(hits, "doc", "left").select("doc", "target", (F.coalesce("n", F.lit(0)) == F.size("target")).alias("all"))
-        whole = materialize(whole, "readings")
-        done = whole.where("all" if number < 3 else "true")
-        ways.append(done.select("doc", F.when(F.col("all"), number).alias("reading")))
-        items.append(found.join(done.select("doc"), "doc", "left_semi"))
-        left = whole.where("not all").select("doc", "target")
-    readings = ways[0].unionByName(ways[1]).unionByName(ways[2])
+    read = materialize(item_starts.read_thrice(swept, raw, wanted, starts), "readings")
     status = F.when(F.col("reading").isNotNull(), "cut").otherwise("could not find them all")
-    return readings.withColumn("status", status), items[0].unionByName(items[1]).unionByName(items[2])
+    return read.select("doc", "reading", status.alias("status")), read.select("doc", F.inline("found"))
 
 
 def changed_counts(rows: DataFrame, log: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from quiresmith.functions import numbers
 from quiresmith.operators import bands, canvas, layout, raster, sequences, starts
 from quiresmith.plans import corpus
 from quiresmith.plans.registry import grey_levels, query
-from quiresmith.session import load
+from quiresmith.session import load, materialize
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -254,6 +254,7 @@ SELECT o::VARCHAR AS doc, CASE o % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 E
 def second_readings(spark, d):
     """Orders read three ways: in their own column, along the edge when starts stand elsewhere, and with what the sweep took; some have no last number at all."""
     sized = _lines(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))).where("n >= 3")
+    sized = materialize(sized.select("l_orderkey", "k", "n"), "lines")  # six tables are made of it
     way, number = F.col("l_orderkey") % 4, F.col("k") + 1
     raw = _spans(sized.where((way < 3) | (number < F.col("n"))), F.lit(50), number * 40.0, number.cast("string"))
     decoys = _spans(sized.where((way == 1) & (number == 1)), F.lit(163), number * 40.0 + 20.0, number.cast("string"))
