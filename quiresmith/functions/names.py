@@ -20,6 +20,17 @@ def _group(name: Column, k: int) -> Column:
     return F.when(name.rlike(DOCUMENT), F.regexp_extract(name, DOCUMENT, k))
 
 
+def is_document(name: Column) -> Column:
+    """Whether a name is a document's."""
+    return name.rlike(DOCUMENT)
+
+
+def document_fields(name: Column) -> list[Column]:
+    """syllabus, session, side (lower-case) and variant of a name that is a document's."""
+    syllabus, session, side, variant = (F.regexp_extract(name, DOCUMENT, k) for k in range(1, 5))
+    return [syllabus.alias("syllabus"), session.alias("session"), F.lower(side).alias("side"), variant.alias("variant")]
+
+
 def document_name(name: Column) -> Column:
     """struct(syllabus, session, side, variant) of a document's name; null if it is none. The side is lower-case."""
     fields = [_group(name, 1).alias("syllabus"), _group(name, 2).alias("session"), F.lower(_group(name, 3)).alias("side"), _group(name, 4).alias("variant")]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiresmith.functions.names import document_name, family, pair_key, partner
+from quiresmith.functions.names import document_fields, document_name, family, is_document, pair_key, partner
 from quiresmith.functions.strings import label_number, opens_as_label, part_label
 from quiresmith.operators import starts as item_starts
 from quiresmith.operators.relations import HARMLESS, first_by, fixable, small_side, texts, with_fault, with_partner
@@ -269,14 +269,18 @@ def hand_over(artifacts: DataFrame, rows: DataFrame, pending: DataFrame, most: i
     """
     from quiresmith.operators.aggregates import stratified
 
-    d = document_name(F.col("paper"))
-    lists = artifacts.where(d.isNotNull()).withColumn("d", d).groupBy("d.syllabus", "d.session", "d.variant", "d.side", "size").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
-    four = lists.groupBy("syllabus", "session", "variant").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("numbers").alias("kinds"), F.first("numbers").alias("numbers"))
-    fit = four.where((F.col("n") == 4) & (F.col("kinds") == 1) & is_complete(F.col("numbers")) & (F.size("numbers") > 0))
+    # Names are taken apart where they are a row each: by a paper's lists, not by its pictures.
+    lists = artifacts.where(is_document(F.col("paper"))).groupBy("paper", "size").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
     bad = pending.select("name").union(rows.where(F.size(F.array_except("faults", texts((*HARMLESS, "stale")))) > 0).select("name"))
-    barred = bad.select(document_name(F.col("name")).alias("d")).where("d is not null").select("d.syllabus", "d.session", "d.variant").distinct()
-    left = fit.join(barred, ["syllabus", "session", "variant"], "left_anti")
-    return stratified(left.select("syllabus", "session", "variant", F.size("numbers").alias("questions")), "variant", ["syllabus", "session"], each, most)
+    barred = bad.where(is_document(F.col("name"))).select(F.col("name").alias("paper"), F.lit(True).alias("bad"))
+    sides = lists.withColumn("bad", F.lit(False)).unionByName(barred, allowMissingColumns=True)
+    pair = ["syllabus", "session", "variant"]
+    named = sides.select(*document_fields(F.col("paper")), "size", "numbers", "bad").repartition(*pair)
+    four = named.groupBy(*pair, "side", "size").agg(F.array_sort(F.flatten(F.collect_list("numbers"))).alias("numbers"), F.count("numbers").alias("lists"), F.bool_or("bad").alias("bad"))
+    pairs = four.groupBy(*pair).agg(F.count_if(F.col("lists") > 0).alias("n"), F.collect_set(F.when(F.col("lists") > 0, F.col("numbers"))).alias("kinds"), F.bool_or("bad").alias("bad"))
+    fit = pairs.where((F.col("n") == 4) & (F.size("kinds") == 1) & ~F.col("bad")).withColumn("numbers", F.get("kinds", F.lit(0)))
+    fit = fit.where(is_complete(F.col("numbers")) & (F.size("numbers") > 0))
+    return stratified(fit.select(*pair, F.size("numbers").alias("questions")), "variant", ["syllabus", "session"], each, most)
 
 
 def by_hand(rows: DataFrame, counts: dict[str, int] = BY_HAND) -> DataFrame:

@@ -29,3 +29,18 @@ def test_readings_are_one_shuffle_and_one_table(spark, tmp_path, monkeypatch):
     assert {r["doc"]: (r["reading"], r["status"]) for r in readings.collect()} == {"own": (1, "cut"), "edge": (2, "cut"), "raw": (3, "cut"), "none": (None, "could not find them all")}
     found = sorted((r["doc"], r["page"], r["y"], r["number"]) for r in items.collect())
     assert found == [("edge", 0, 40.0, 1), ("edge", 0, 80.0, 2), ("none", 0, 40.0, 1), ("own", 0, 40.0, 1), ("own", 0, 80.0, 2), ("own", 0, 120.0, 3), ("raw", 0, 40.0, 1), ("raw", 0, 80.0, 2)]
+
+
+def test_hand_over_takes_names_apart_by_paper(spark, tmp_path):
+    """Pictures pass with one look at their paper's name; what is barred meets its pair without a join."""
+    from quiresmith.plans import corpus
+
+    held = {"9700_s01_qp_1": (1, 2), "9700_s01_MS_1": (1,), "9700_s01_ms_1": (2,), "9701_s01_qp_1": (1,), "9701_s01_ms_1": (1,), "9702_s01_qp_2": (1, 2), "9702_s01_ms_2": (1,), "other": (1,), "9703_s01_qp_1": (1,), "9703_s01_ms_1": (1,)}
+    pictures = [(paper, n, size) for paper, numbers in held.items() for n in numbers for size in ("web", "full")]
+    spark.createDataFrame(pictures, "paper string, number int, size string").write.parquet(f"{tmp_path}/artifacts")
+    rows = spark.createDataFrame([("9701_s01_ms_1", ["gap"]), ("9700_s01_qp_1", ["stale"]), ("other", ["gap"])], "name string, faults array<string>")
+    pending = spark.createDataFrame([("9703_s01_qp_1",)], "name string")
+    found = corpus.hand_over(spark.read.parquet(f"{tmp_path}/artifacts"), rows, pending)
+    plan = _plan(found)
+    assert "Join" not in plan and plan.count("regexp_extract(") <= 12
+    assert [tuple(r) for r in found.collect()] == [("9700", "s01", "1", 2)]
