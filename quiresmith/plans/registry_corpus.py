@@ -544,7 +544,7 @@ def workbook_entries(spark, d):
     entries = load(spark, d, "orders", "o_orderkey", "o_custkey").select(F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string")).alias("book"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("s"), key, F.lit("_q.PNG")).alias("q_filename"), marks.alias("marks"), F.lit("").alias("chapter"))
     updates, _ = workbook.additions(readers.cells(spark, base), entries)
     sinks.write_cells(updates, path, base)
-    done = readers.cells(spark, path).where("row > 0")
+    done = materialize(readers.cells(spark, path).where("row > 0"), "cells")  # workbooks are slow to read, and four steps do
     rows = readers.sheet_rows(done.withColumn("sheet", F.col("book"))).select(F.col("sheet").alias("book"), "row", "q_filename", "marks")
     return rows.join(done.where("formula is not null").select("book", "row", "formula"), ["book", "row"], "left")
 

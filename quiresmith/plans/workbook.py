@@ -39,9 +39,10 @@ def additions(cells: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFram
     written has nothing in a column that is none of the catalogue's and the
     row above has a formula, the formula is carried down. Workbooks without
     the headings, and entries without a question file or workbook, are left
-    out; ties of seq go either way. The sheets' cells and the placed entries
-    are written to the shared folder once, as many steps read them.
+    out; ties of seq go either way. The cells, the sheets' cells and the placed
+    entries are written to the shared folder once, as many steps read them.
     """
+    cells = materialize(cells.select("book", "sheet", "place", "row", "col", "kind", "value", "formula", "style"), "cells")
     sheet = F.struct("book", "sheet").alias("sheet")
     body = materialize(question_cells(cells).select(sheet, "row", "col", "value", "formula", "style"), "question-cells")
     header = header_columns(body.select("sheet", "row", "col", "value"), HEADINGS).withColumnRenamed("row", "head")

@@ -78,9 +78,13 @@ def write_cells(cells: DataFrame, path: str, base: str | None = None) -> None:
 
     A workbook of that name below ``base`` (by default ``path``) keeps all
     but these cells; any other is made of them, its sheets in order of name.
-    A cell that is written twice ends as either.
+    A cell that is written twice ends as either. Workbooks are dealt to
+    several tasks a core: cells are few bytes and slow to write, so tasks are
+    not put together by their size.
     """
-    xlsx.register(cells.sparkSession)
+    spark = cells.sparkSession
+    xlsx.register(spark)
+    tasks = max(32, 4 * spark.sparkContext.defaultParallelism)
     names = [c.split()[0] for c in xlsx.CELLS.split(", ")]
-    whole = cells.withColumn("place", F.lit(None).cast("int")).select(*names).repartition("book").sortWithinPartitions("book", "sheet", "row", "col")
+    whole = cells.withColumn("place", F.lit(None).cast("int")).select(*names).repartition(tasks, "book").sortWithinPartitions("book", "sheet", "row", "col")
     whole.write.format("xlsx").mode("append").option("path", path).option("base", base or path).save()

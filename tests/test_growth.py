@@ -44,3 +44,21 @@ def test_hand_over_takes_names_apart_by_paper(spark, tmp_path):
     plan = _plan(found)
     assert "Join" not in plan and plan.count("regexp_extract(") <= 12
     assert [tuple(r) for r in found.collect()] == [("9700", "s01", "1", 2)]
+
+
+def test_workbooks_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """A zipped workbook of half a megabyte is a few hundred thousand cells: neither readers nor writers put many into one task."""
+    from pyspark.sql import functions as F
+
+    from quiresmith.sources import sinks, xlsx
+
+    for k in range(6):
+        (tmp_path / f"b{k}.xlsx").write_bytes(bytes(600_000))
+    assert len(xlsx._Reader(str(tmp_path)).partitions()) == 6
+    none, asked, table = F.lit(None).cast("string"), [], type(spark.range(1))
+    deal = table.repartition
+    monkeypatch.setattr(table, "repartition", lambda self, *by: asked.append(by) or deal(self, *by))
+    books = spark.range(12).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("book"), F.lit("s").alias("sheet"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("text").alias("kind"), F.lit("x").alias("value"), none.alias("formula"), F.lit(None).cast("int").alias("style"))
+    sinks.write_cells(books, f"file://{tmp_path}/made")
+    assert [by[1:] for by in asked] == [("book",)] and asked[0][0] >= 32
+    assert len(list((tmp_path / "made").glob("*.xlsx"))) == 12
