@@ -27,6 +27,11 @@ def squash(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def tag_list(text: Column) -> Column:
     """Array of comma-separated tags, squashed; empties go, and of spellings that differ in case the first stays."""
     tags = F.filter(F.transform(F.split(text, ","), squash), lambda t: t != "")
@@ -60,7 +65,7 @@ def stitched(left: Column, right: Column) -> Column:
 
 def label_number(text: Column) -> Column:
     """The question a label belongs to (1 to 40); null if the text is no label."""
-    body = F.regexp_replace(text, r"^\s+|\s+$", "")
+    body = stripped(text)
     return F.regexp_extract(body, LABEL_NUMBER, 1).try_cast("int")
 
 
@@ -103,4 +108,4 @@ def control_counts(text: Column) -> Column:
 def is_code_strip(text: Column) -> Column:
     """Whether a text is a strip of control codes, as a barcode font leaves it."""
     n = control_counts(text)
-    return (n["visible"] >= 6) & (n["odd"] > 0.3 * n["visible"]) & (n["odd"] >= 8) & (n["odd"] > n["readable"])
+    return text.rlike(r"[\p{Cc}\p{Cf}\p{Cn}]") & (n["visible"] >= 6) & (n["odd"] > 0.3 * n["visible"]) & (n["odd"] >= 8) & (n["odd"] > n["readable"])

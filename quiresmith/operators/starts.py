@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.numbers import half_even
-from quiresmith.functions.strings import HIGHEST_LABEL, LABEL_START, WORDED_HEADING, label_number
+from quiresmith.functions.strings import HIGHEST_LABEL, LABEL_START, WORDED_HEADING, label_number, stripped
 from quiresmith.operators.chains import counting_chain, rising_chain
 from quiresmith.operators.kernels import by_document
 from quiresmith.operators.sequences import opens_line
@@ -31,7 +31,7 @@ BEYOND, BAND, EDGE = 11, (12.0, 20.0), (4.0, 40.0)
 
 
 def _body(text: str = "text") -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return stripped(F.col(text))
 
 
 class Mark(NamedTuple):

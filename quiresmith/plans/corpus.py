@@ -6,14 +6,16 @@ name, its kind, the numbers read (questions) and its faults.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.names import document_fields, document_name, family, is_document, pair_key, partner
-from quiresmith.functions.strings import label_number, opens_as_label, part_label
+from quiresmith.functions.strings import PART, label_number, opens_as_label
 from quiresmith.operators import starts as item_starts
+from quiresmith.operators.kernels import by_document
 from quiresmith.operators.relations import HARMLESS, first_by, fixable, small_side, texts, with_fault, with_partner
 from quiresmith.operators.sequences import is_complete, until_next
 from quiresmith.session import materialize
@@ -58,21 +60,44 @@ def column_bands(spans: DataFrame, starts: DataFrame, slack: float = 6.0) -> Dat
 
 def interval_faults(spans: DataFrame, starts: DataFrame, slack: float = 2.0) -> DataFrame:
     """doc, number, first_part, foreign: the first part label inside each item, and whether the next item's label stands in it."""
-    bands = column_bands(spans, starts)
-    bounds = starts_of(starts).select("doc", "number", F.col("page").alias("_p0"), F.col("y").alias("_y0"), F.col("stop_page").alias("_p1"), F.col("stop_y").alias("_y1"))
-    inside = (
-        (F.col("page") >= F.col("_p0"))
-        & ~((F.col("page") == F.col("_p0")) & (F.col("y") < F.col("_y0") - slack))
-        & (F.col("_p1").isNull() | (F.col("page") < F.col("_p1")) | ((F.col("page") == F.col("_p1")) & (F.col("y") < F.col("_y1") - slack)))
-    )
-    held = spans.join(bounds, "doc").where(inside).join(bands, "doc", "left")
-    held = held.withColumns({"low": F.coalesce("low", F.lit(0.0)), "high": F.coalesce("high", F.lit(0.0)), "_part": part_label(F.col("text"))})
-    part = F.col("_part").isNotNull() & (F.col("left") <= F.col("high") + 40.0) & (F.col("_part.number").isNull() | (F.col("_part.number") == F.col("number")))
-    foreign = F.col("left").between(F.col("low"), F.col("high")) & opens_as_label(F.col("text")) & (label_number(F.col("text")) == F.col("number") + 1)
-    return held.groupBy("doc", "number").agg(
-        F.min_by(F.when(part, F.col("_part.part")), F.when(part, F.struct("page", "y", "_part.part"))).alias("first_part"),
-        F.coalesce(F.bool_or(foreign), F.lit(False)).alias("foreign"),
-    )
+    has = "doc is not null and page is not null and y is not null"
+    nothing, bracket, body = F.lit(-1), F.contains("text", F.lit("(")), F.trim("text")
+    asked = dict(page=F.col("page").cast("int"), y=F.col("y").cast("double"), left=F.coalesce(F.col("left").cast("double"), F.lit(float("nan"))), ord=F.coalesce(F.col("ord").cast("long"), nothing), label=F.coalesce(label_number(F.col("text")), nothing), opens=F.coalesce(opens_as_label(F.col("text")), F.lit(False)), part=F.when(bracket, F.nullif(F.regexp_extract(body, PART, 2), F.lit(""))), of=F.coalesce(F.when(bracket, F.regexp_extract(body, PART, 1).try_cast("int")), nothing))
+    read = spans.where(has).select("doc", F.lit(False).alias("start"), *(c.alias(name) for name, c in asked.items()))
+    begun = starts.where(has).select("doc", F.lit(True).alias("start"), F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("left"), nothing.cast("long").alias("ord"), F.col("number").cast("int").alias("label"), F.lit(False).alias("opens"), F.lit(None).cast("string").alias("part"), nothing.alias("of"))
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        return parts_between([r for r in rows if r[0]], [r for r in rows if not r[0]], slack)
+
+    return by_document(read.unionByName(begun), run, number="int", first_part="string", foreign="boolean")
+
+
+def parts_between(starts: list[tuple], spans: list[tuple], slack: float, beside: float = 6.0) -> list[tuple]:
+    """number, first_part, foreign of a document's items that hold a span; rows are (start, page, y, left, ord, label, opens, part, of)."""
+    places: dict[tuple, list[float]] = {}
+    for _, page, y, _, _, number, *_ in starts:
+        places.setdefault((page, number), []).append(y)
+    used: dict[tuple, tuple] = {}
+    for _, page, y, left, at, label, *_ in spans:
+        if label > 0 and left == left and any(abs(y - own) < 0.5 for own in places.get((page, label), ())):
+            used[page, label] = min(used.get((page, label), (at, left)), (at, left))
+    lefts = [left for _, left in used.values()]
+    low, high = (min(lefts) - beside, max(lefts) + beside) if lefts else (0.0, 0.0)
+    ordered = sorted((s[1], s[2] - slack, k) for k, s in enumerate(starts))
+    opens, numbers = [x[:2] for x in ordered], [starts[x[2]][5] for x in ordered]
+    first: dict[int | None, tuple | None] = {}
+    foreign: set[int] = set()
+    for _, page, y, left, _, label, label_like, part, of in spans:
+        k = bisect_right(opens, (page, y)) - 1
+        if k < 0:
+            continue
+        number = numbers[k]
+        best = first.setdefault(number, None)
+        if part is not None and left <= high + 40.0 and of in (-1, number) and (best is None or (page, y, part) < best):
+            first[number] = (page, y, part)
+        if label_like and low <= left <= high and number is not None and label == number + 1:
+            foreign.add(number)
+    return [(number, best and best[2], number in foreign) for number, best in first.items()]
 
 
 def audit(documents: DataFrame, starts: DataFrame, intervals: DataFrame, flags: DataFrame) -> DataFrame:

@@ -282,7 +282,7 @@ SELECT doc::VARCHAR AS doc, (k + 1)::INTEGER AS number, CASE p WHEN 0 THEN 'a' W
 """)
 def interval_parts(spark, d):
     """The first part label inside each item's interval."""
-    lines = _lines(spark, d)
+    lines = materialize(_lines(spark, d), "lines")  # four tables are made of it
     labels = _spans(lines, F.lit(50), F.col("k") * 100.0, (F.col("k") + 1).cast("string"))
     parts = _spans(lines.where("l_partkey % 3 < 2"), F.lit(70), F.col("k") * 100.0 + 20, _pick(F.col("l_partkey"), "(a) State", "(b) Find", "x"))
     later = _spans(lines, F.lit(70), F.col("k") * 100.0 + 40, F.when(F.col("l_partkey") % 3 == 2, "plain").otherwise("(c) Explain"))
