@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.numbers import half_even
-from quiresmith.functions.strings import MARK_ALLOCATION, is_code_strip, squash, stitched
-from quiresmith.operators.aggregates import consensus_edges
+from quiresmith.functions.strings import MARK_ALLOCATION, is_code_strip, squash, stitched, stripped
 from quiresmith.operators.sequences import trimmed_tail
 
 #: Wordings by which pages are told apart.
@@ -31,13 +30,21 @@ BANNER_WORDS = ("question", "answer", "answers", "mark", "marks", "total", "tota
 
 def furniture_rule(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
     """Name of the first rule that makes a block page furniture; null if it is content."""
-    body = F.btrim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    words = F.filter(F.split(F.translate(F.lower(body), "/", " "), r"\s+"), lambda w: w != "")
+    body = stripped(text)
+    return _rule_of(body, F.lower(body), _words(body), x0, y0, x1, y1, width, height)
+
+
+def _words(body: Column) -> Column:
+    return F.filter(F.split(F.translate(F.lower(body), "/", " "), r"\s+"), lambda w: w != "")
+
+
+def _rule_of(body: Column, low: Column, words: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
+    """``furniture_rule`` of a text without space at its ends, the same in lower case, and its words."""
     named = F.forall(words, lambda w: w.isin(*COLUMNS))
     enough = F.when(y1 < 0.12 * height, 1).otherwise(2)
     banded = (y1 < 0.16 * height) | (y0 > 0.84 * height)
     centred = F.abs((x0 + x1) / 2 - width / 2) < 0.15 * width
-    short_caps = (F.length(body) <= 5) & (F.upper(body) == body) & (F.lower(body) != body)
+    short_caps = (F.length(body) <= 5) & (F.upper(body) == body) & (low != body)
     rules = (
         ("margin phrase", body.contains("DO NOT WRITE")),
         ("edge bar", ((x1 < 0.06 * width) | (x0 > 0.94 * width)) & (x1 - x0 < 25) & (y1 - y0 > 100)),
@@ -49,7 +56,7 @@ def furniture_rule(text: Column, x0: Column, y0: Column, x1: Column, y1: Column,
         ("banner", body.contains("Mark Scheme")),
         ("published", (y1 < 0.16 * height) & body.contains("PUBLISHED")),
         ("column heading", (F.size(words) >= enough) & named),
-        ("notice", _any(F.lower(body), NOTICES)),
+        ("notice", _any(low, NOTICES)),
         ("foot", y0 > 0.935 * height),
         ("page number", (y1 < 0.075 * height) & centred & (body.rlike("^[0-9]+$") | short_caps)),
     )
@@ -75,13 +82,34 @@ def furniture(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 def header_footer_bands(blocks: DataFrame, pages: DataFrame, band: float = 0.16) -> DataFrame:
     """doc, head, foot that furniture agrees on over pages."""
-    found = furniture(blocks, pages)
-    edges = found.groupBy("doc", "page").agg(
-        F.max(F.when(F.col("y1") < band * F.col("height"), F.col("y1"))).alias("head"),
-        F.min(F.when(F.col("y0") > (1 - band) * F.col("height"), F.col("y0"))).alias("foot"),
-    )
-    every = pages.select("doc", "page").join(edges, ["doc", "page"], "left")
-    return consensus_edges(every, ["doc"])
+    ruled, low, high = _ruled(blocks, pages), F.col("y1") < band * F.col("height"), F.col("y0") > (1 - band) * F.col("height")
+    held = F.col("rule").isNotNull()
+    edges = ruled.groupBy("doc", "page").agg(F.bool_or("sheet").alias("sheet"), F.max(F.when(held & low, F.col("y1"))).alias("head"), F.min(F.when(held & high, F.col("y0"))).alias("foot"))
+    # A document has few pages: its edges are two arrays, in which what two pages agree on stands twice.
+    every = edges.where("sheet").groupBy("doc").agg(*(F.array_sort(F.collect_list(half_even(F.col(c)))).alias(c) for c in ("head", "foot")))
+
+    def twice(c: str) -> Column:
+        return F.filter(c, lambda x, k: x == F.get(F.col(c), k + 1))
+
+    return every.select("doc", F.coalesce(F.array_max(twice("head")), F.lit(0.0)).alias("head"), F.coalesce(F.array_min(twice("foot")), F.lit(0.0)).alias("foot"))
+
+
+def _ruled(blocks: DataFrame, pages: DataFrame, *more: DataFrame) -> DataFrame:
+    """Rows of pages (``sheet``) and of the blocks on them, with their page's size and the ``rule`` that makes a block furniture, and rows of ``more`` (doc, ...).
+
+    They meet by document in one shuffle; a page has one row.
+    """
+    sheets = pages.select("doc", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.lit(True).alias("sheet"))
+    box = (F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))
+    met = sheets.unionByName(blocks.where("doc is not null and page is not null").select("doc", "page", *box, "text", F.lit(False).alias("sheet")), allowMissingColumns=True)
+    for rows in more:
+        met = met.unionByName(rows, allowMissingColumns=True)
+    page = Window.partitionBy("doc", "page")
+    sized = met.repartition("doc").withColumns({"width": F.max("width").over(page), "height": F.max("height").over(page), "_paged": F.max("sheet").over(page)})
+    # What many rules look at is made once, step by step.
+    read = sized.withColumn("_body", stripped(F.col("text"))).withColumn("_low", F.lower("_body"))
+    rule = _rule_of(F.col("_body"), F.col("_low"), _words(F.col("_body")), *(F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")))
+    return read.withColumn("rule", F.when(~F.col("sheet") & F.col("_paged"), rule)).drop("_low")
 
 
 def redactions(blocks: DataFrame, pages: DataFrame, bands: DataFrame, band: float = 0.16, clear: float = 4.0, slack: float = 2.0) -> DataFrame:
@@ -94,13 +122,15 @@ def redactions(blocks: DataFrame, pages: DataFrame, bands: DataFrame, band: floa
     that is taken too, up to the content. Tail matter goes to the foot of its
     page.
     """
-    sized = blocks.join(pages.select("doc", "page", "width", "height"), ["doc", "page"])
-    rule = furniture_rule(*(F.col(c) for c in ("text", "x0", "y0", "x1", "y1", "width", "height")))
-    page = Window.partitionBy("doc", "page")
-    plain = F.col("rule").isNull() & (squash(F.col("text")) != "")
+    deeper = bands.select("doc", F.col("head").cast("double").alias("_band_head"), F.col("foot").cast("double").alias("_band_foot"))
+    sized = _ruled(blocks, pages, deeper)
+    page, document = Window.partitionBy("doc", "page"), Window.partitionBy("doc")
+    plain = F.col("_paged") & F.col("rule").isNull() & (F.col("_body") != "")
     at_head, at_foot = F.col("rule").isNotNull() & (F.col("y1") < band * F.col("height")), F.col("rule").isNotNull() & (F.col("y0") > (1 - band) * F.col("height"))
-    marked = sized.withColumn("rule", rule).withColumns(
+    marked = sized.withColumns(
         {
+            "head": F.coalesce(F.max("_band_head").over(document), F.lit(0.0)),
+            "foot": F.coalesce(F.max("_band_foot").over(document), F.lit(0.0)),
             "_head": F.coalesce(F.max(F.when(at_head, F.col("y1"))).over(page), F.lit(0.0)),
             "_foot": F.coalesce(F.min(F.when(at_foot, F.col("y0"))).over(page), F.col("height")),
             "_tail": F.min(F.when(squash(F.col("text")).rlike(TAIL_MATTER), F.col("y0"))).over(page),
@@ -117,25 +147,28 @@ def redactions(blocks: DataFrame, pages: DataFrame, bands: DataFrame, band: floa
     up = F.greatest(F.least(F.col("y0"), F.greatest(F.col("_last") + clear, high)), F.least("_last", "y0"))
     across = (F.col("y1") - F.col("y0") < 40) & (F.col("x1") - F.col("x0") > 0.5 * F.col("width"))
     full = at_head | at_foot | across
-    found = marked.where("rule is not null").select(
-        "doc",
-        "page",
-        F.when(full, 0.0).otherwise(F.col("x0")).alias("x0"),
-        F.when(at_head, 0.0).when(at_foot, up).when(across, F.col("y0") - slack).otherwise(F.col("y0")).alias("y0"),
-        F.when(full, F.col("width")).otherwise(F.col("x1")).alias("x1"),
-        F.when(at_head, down).when(at_foot, F.col("height")).when(across, F.col("y1") + slack).otherwise(F.col("y1")).alias("y1"),
-    )
-    facts = marked.groupBy("doc", "page").agg(*(F.first(c).alias(c) for c in ("_head", "_foot", "_first", "_last", "_tail")))
-    every = pages.select("doc", "page", "width", "height").join(facts, ["doc", "page"], "left").join(bands, "doc", "left")
-    every = every.fillna({"_head": 0.0, "_last": 0.0, "head": 0.0, "foot": 0.0}).withColumns({c: F.coalesce(c, "height") for c in ("_foot", "_first")})
+    width, height, none = F.col("width"), F.col("height"), F.lit(0.0)
 
-    def strip(when: Column, top: Column, foot: Column) -> DataFrame:
-        return every.where(when).select("doc", "page", F.lit(0.0).alias("x0"), top.alias("y0"), F.col("width").alias("x1"), foot.alias("y1"))
+    def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
-    heads = strip(F.col("head") > F.col("_head"), F.lit(0.0), F.least(F.col("head") + slack, F.col("_first")))
-    feet = strip((F.col("foot") > 0) & (F.col("foot") < F.col("_foot")), F.greatest(F.col("foot") - slack, F.col("_last")), F.col("height"))
-    tails = strip(F.col("_tail").isNotNull(), F.col("_tail") - slack, F.col("height"))
-    return found.unionByName(heads).unionByName(feet).unionByName(tails)
+    own = area(
+        F.when(full, none).otherwise(F.col("x0")),
+        F.when(at_head, none).when(at_foot, up).when(across, F.col("y0") - slack).otherwise(F.col("y0")),
+        F.when(full, width).otherwise(F.col("x1")),
+        F.when(at_head, down).when(at_foot, height).when(across, F.col("y1") + slack).otherwise(F.col("y1")),
+    )
+    sheet = F.col("sheet")
+    heads = area(none, none, width, F.least(F.col("head") + slack, F.col("_first")))
+    feet = area(none, F.greatest(F.col("foot") - slack, F.col("_last")), width, height)
+    tails = area(none, F.col("_tail") - slack, width, height)
+    areas = F.array(
+        F.when(F.col("rule").isNotNull(), own),
+        F.when(sheet & (F.col("head") > F.col("_head")), heads),
+        F.when(sheet & (F.col("foot") > 0) & (F.col("foot") < F.col("_foot")), feet),
+        F.when(sheet & F.col("_tail").isNotNull(), tails),
+    )
+    return marked.select("doc", "page", F.explode(F.filter(areas, lambda a: a.isNotNull())).alias("a")).select("doc", "page", "a.*")
 
 
 def swept(blocks: DataFrame, areas: DataFrame) -> DataFrame:

@@ -62,3 +62,24 @@ def test_workbooks_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
     sinks.write_cells(books, f"file://{tmp_path}/made")
     assert [by[1:] for by in asked] == [("book",)] and asked[0][0] >= 32
     assert len(list((tmp_path / "made").glob("*.xlsx"))) == 12
+
+
+def test_bands_and_redactions_meet_by_document_without_joins(spark, tmp_path):
+    from quiresmith.operators import layout
+
+    spark.createDataFrame([("d", p, 600.0, 800.0) for p in (0, 1)] + [("e", 0, 600.0, 800.0)], "doc string, page int, width double, height double").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([("d", p, 50.0, 20.0, 200.0, 40.0, "© board") for p in (0, 1)] + [("x", 0, 50.0, 20.0, 200.0, 40.0, "© board")], "doc string, page int, x0 double, y0 double, x1 double, y1 double, text string").write.parquet(f"{tmp_path}/blocks")
+    pages, blocks = spark.read.parquet(f"{tmp_path}/pages"), spark.read.parquet(f"{tmp_path}/blocks")
+    bands = layout.header_footer_bands(blocks, pages)
+    assert "Join" not in _plan(bands) and sorted(map(tuple, bands.collect())) == [("d", 40.0, 0.0), ("e", 0.0, 0.0)]
+    assert "Join" not in _plan(layout.redactions(blocks, pages, bands))
+
+
+def test_interval_faults_meet_by_document_without_joins(spark, tmp_path):
+    from quiresmith.plans import corpus
+
+    spark.createDataFrame([("d", 0, 0, 50.0, 10.0, "1"), ("d", 0, 1, 70.0, 30.0, "(b) x"), ("d", 0, 2, 50.0, 50.0, "2"), ("d", 1, 3, 50.0, 5.0, "3")], SPAN).write.parquet(f"{tmp_path}/spans")
+    begun = spark.createDataFrame([("d", 0, 10.0, 1), ("d", 0, 50.0, 2)], "doc string, page int, y double, number int")
+    found = corpus.interval_faults(spark.read.parquet(f"{tmp_path}/spans"), begun)
+    assert "Join" not in _plan(found)
+    assert sorted((r["number"], r["first_part"], r["foreign"]) for r in found.collect()) == [(1, "b", False), (2, None, True)]
