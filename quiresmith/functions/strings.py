@@ -63,10 +63,15 @@ def stitched(left: Column, right: Column) -> Column:
     return F.concat(left, F.substr(right, F.get(fits, F.lit(0)) + 1))
 
 
+def matched_number(text: Column, pattern: str) -> Column:
+    """The whole number that a pattern's first group holds; null if the text does not match."""
+    # An empty text that is tried as a number costs an exception a row, a null costs nothing.
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
+
+
 def label_number(text: Column) -> Column:
     """The question a label belongs to (1 to 40); null if the text is no label."""
-    body = stripped(text)
-    return F.regexp_extract(body, LABEL_NUMBER, 1).try_cast("int")
+    return matched_number(stripped(text), LABEL_NUMBER)
 
 
 def opens_as_label(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.numbers import half_even
-from quiresmith.functions.strings import HIGHEST_LABEL, LABEL_START, WORDED_HEADING, label_number, stripped
+from quiresmith.functions.strings import HIGHEST_LABEL, LABEL_START, WORDED_HEADING, label_number, matched_number, stripped
 from quiresmith.operators.chains import counting_chain, rising_chain
 from quiresmith.operators.kernels import by_document
 from quiresmith.operators.sequences import opens_line
@@ -61,8 +61,8 @@ def openings(spans: DataFrame) -> DataFrame:
     page = Window.partitionBy("doc", "page").orderBy(F.lit(1))
     paged = opened.select("*", side.alias("side"), (F.row_number().over(page) == 1).alias("begins"), F.when(F.col("opens") | F.col("opens_answers"), _body()).alias("body"))
     label = F.when(F.col("opens"), label_number(F.col("body")))
-    lead = F.when(F.col("opens"), F.regexp_extract("body", r"^([1-9][0-9]?)(?=$|[\s(])", 1).try_cast("int"))
-    head = F.when(F.col("opens_answers"), F.regexp_extract("body", WORDED_HEADING, 1).try_cast("int"))
+    lead = F.when(F.col("opens"), matched_number(F.col("body"), r"^([1-9][0-9]?)(?=$|[\s(])"))
+    head = F.when(F.col("opens_answers"), matched_number(F.col("body"), WORDED_HEADING))
     bare = F.when(F.col("side"), F.col("body").rlike(LABEL_START))
     found = dict(page=F.col("page").cast("int"), y=F.col("y").cast("double"), ord=F.col("ord").cast("long"), left=F.col("left").cast("double"), centre=F.col("centre").cast("double"), label=label, lead=lead, head=head, bare=bare)
     marks = paged.select("doc", "side", "begins", *(found[c].alias(c) for c in Mark._fields))
@@ -247,7 +247,7 @@ def _role(rows: DataFrame, role: int, **values: Column) -> DataFrame:
 
 def _placed(spans: DataFrame, role: int) -> DataFrame:
     """Spans with the number that they lead with and that of their label (-1: none); what has no place takes no part."""
-    number = F.regexp_extract(_body(), r"^([1-9][0-9]*)(?=$|[\s(.])", 1).try_cast("int")
+    number = matched_number(_body(), r"^([1-9][0-9]*)(?=$|[\s(.])")
     order = F.coalesce("ord", F.lit(-1)) if "ord" in spans.columns else F.lit(-1)
     held = spans.where("doc is not null and page is not null and y is not null and left is not null")
     return _role(held, role, page=F.col("page"), y=F.col("y"), left=F.col("left"), line=half_even(F.col("y") / 3.0), ord=order, label=F.coalesce(label_number(F.col("text")), F.lit(-1)), number=F.coalesce(number, F.lit(-1)))
